@@ -1,0 +1,72 @@
+"""Small dimension tables built from the fixed values in :mod:`ensemble.schemas`.
+
+Their size is fixed by the registry (3 reservoirs, 11 PVT rows, 15 layers), so
+they are safe to broadcast: nothing about them grows with the ensemble.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import (ALL_LEVERS, LAYER_POROSITY, LAYER_THICKNESS_FT, PVDG, PVTO_SATURATED,
+                       RESERVOIRS)
+
+RESERVOIR_DIM = T.StructType(
+    [T.StructField("reservoir_id", T.StringType(), False),
+     T.StructField("unit_system", T.StringType(), False),
+     T.StructField("baseline_pb", T.DoubleType(), False),
+     T.StructField("baseline_porosity", T.DoubleType(), False),
+     T.StructField("baseline_perm_md", T.DoubleType(), False),
+     T.StructField("espesor_neto_m", T.DoubleType(), False),
+     T.StructField("area_m2", T.DoubleType(), False),
+     T.StructField("flow_timeout_s", T.DoubleType(), False),
+     T.StructField("n_levers", T.IntegerType(), False)]
+    + [T.StructField(f"{lv}_{end}", T.DoubleType(), True)
+       for lv in ALL_LEVERS for end in ("lo", "hi")]
+)
+
+
+def reservoir_dim(spark: SparkSession) -> DataFrame:
+    """One row per registered reservoir; lever ranges as nullable ``<lever>_lo/_hi``."""
+    rows = []
+    for name in sorted(RESERVOIRS):
+        cfg = RESERVOIRS[name]
+        row = [name, cfg["unit_system"], float(cfg["baseline_pb"]), float(cfg["baseline_porosity"]),
+               float(cfg["baseline_perm_md"]), float(cfg["espesor_neto_m"]), float(cfg["area_m2"]),
+               float(cfg["flow_timeout_s"]), len(cfg["levers"])]
+        for lv in ALL_LEVERS:
+            lo_hi = cfg["levers"].get(lv)
+            row += [float(lo_hi[0]), float(lo_hi[1])] if lo_hi else [None, None]
+        rows.append(tuple(row))
+    return F.broadcast(spark.createDataFrame(rows, RESERVOIR_DIM))
+
+
+def lever_ranges(spark: SparkSession) -> DataFrame:
+    """Long form (reservoir_id, lever, lever_pos, lo, hi)."""
+    rows = [(name, lv, i, float(lo), float(hi))
+            for name, cfg in sorted(RESERVOIRS.items())
+            for i, (lv, (lo, hi)) in enumerate(cfg["levers"].items())]
+    schema = "reservoir_id string, lever string, lever_pos int, lo double, hi double"
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def pvt_tables(spark: SparkSession) -> DataFrame:
+    """Segments of both PVT tables: (table_id, seg, x0, x1, y0, y1)."""
+    rows = []
+    tables = {
+        "pvto_rs": [(r[1], r[0] * 1000.0) for r in PVTO_SATURATED],
+        "pvto_bo": [(r[1], r[2]) for r in PVTO_SATURATED],
+        "pvdg_bg": [(r[0], r[1] / 1000.0) for r in PVDG],
+    }
+    for tid, pts in tables.items():
+        for j in range(len(pts) - 1):
+            rows.append((tid, j, pts[j][0], pts[j + 1][0], pts[j][1], pts[j + 1][1]))
+    schema = "table_id string, seg int, x0 double, x1 double, y0 double, y1 double"
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def layers(spark: SparkSession) -> DataFrame:
+    rows = [(i + 1, float(h), float(p)) for i, (h, p) in enumerate(zip(LAYER_THICKNESS_FT, LAYER_POROSITY))]
+    return F.broadcast(spark.createDataFrame(rows, "layer int, thickness_ft double, porosity double"))
