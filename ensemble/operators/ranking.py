@@ -10,7 +10,6 @@ and equal to the plain window: chunks are contiguous ranges of the order key.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +27,7 @@ def _exclusive_prefix(col: Column, part: Sequence[str], order: str) -> Column:
 def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
                 partition_cols: Sequence[str] = (), rank_col: str = "rank",
                 uniform: bool = False, buckets: int | None = None,
-                rows_per_bucket: int = 200_000, bounded_groups: bool = False) -> DataFrame:
+                bounded_groups: bool = False) -> DataFrame:
     """0-based rank of each row by (order_col, *tie_cols) within partition_cols.
 
     ``uniform=True`` says order_col lies in [0, 1) and is evenly spread (a hash
@@ -39,8 +38,7 @@ def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
     """
     part = list(partition_cols)
     if buckets is None:
-        n = df.count()
-        buckets = max(1, min(4096, math.ceil(n / rows_per_bucket)))
+        buckets = 256 if uniform else 64
     x = F.col(order_col)
     if uniform:
         staged = df.withColumn(_BUCKET, F.least(F.floor(x * F.lit(buckets)), F.lit(buckets - 1)))
@@ -127,3 +125,36 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     drop = [_CHUNK, "__rn", "__off_n"] + [f"__off_{o}" for o in running_sums] \
         + [f"__prev_{o}" for o in previous]
     return out.drop(*drop)
+
+
+def exact_quantiles(long: DataFrame, group_cols: Sequence[str], value_col: str,
+                    probs: Sequence[float], *, buckets: int = 64) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / ``percentile``), per group.
+
+    Instead of buffering each group's values in one task, values are ranked
+    with :func:`global_rank` (bucketed by approximate quantiles), the two ranks
+    around ``q * (n - 1)`` are kept and interpolated. NULLs are ignored.
+    Returns (group_cols..., q, value).
+    """
+    group = list(group_cols)
+    vals = long.where(F.col(value_col).isNotNull()).select(*group, F.col(value_col).alias("__v"))
+    # tie-break on the value itself: equal values are interchangeable
+    ranked = global_rank(vals, "__v", [], partition_cols=group, rank_col="__r", buckets=buckets)
+    counts = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    qs = F.array(*[F.lit(float(q)) for q in probs])
+    targets = counts.select(*group, F.explode(qs).alias("q"), "__n").select(
+        *group, "q", (F.col("q") * (F.col("__n") - 1)).alias("__pos"))
+    targets = targets.select(*group, "q", "__pos",
+                             F.floor("__pos").cast("long").alias("__lo"),
+                             F.ceil("__pos").cast("long").alias("__hi"))
+    picks = targets.select(*group, "q", "__pos", "__lo", F.explode(F.array_distinct(
+        F.array("__lo", "__hi"))).alias("__r"))
+    hit = ranked.join(picks, group + ["__r"], "inner")
+    agg = hit.groupBy(*group, "q").agg(
+        F.max(F.when(F.col("__r") == F.col("__lo"), F.col("__v"))).alias("__vlo"),
+        F.max("__v").alias("__vhi"),
+        F.first("__pos").alias("__pos"), F.first("__lo").alias("__lo"))
+    frac = F.col("__pos") - F.col("__lo")
+    value = F.when(frac == 0, F.col("__vlo")).otherwise(
+        F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * frac)
+    return agg.select(*group, "q", value.alias("value"))

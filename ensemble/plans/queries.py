@@ -157,3 +157,327 @@ def union_reservoirs(spark, sf):
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("sim_id").alias("n_sims"),
         F.max("sim_id").alias("max_sim_id"))
+
+
+# --- PVT and lookups ----------------------------------------------------------
+
+from ..functions import pvt as pvt_fn  # noqa: E402
+from ..functions.interp import interp, segment_index  # noqa: E402
+from ..operators import explore, metrics, quality, scenarios as rules, splits, text, wells  # noqa: E402
+from ..schemas import (CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET)  # noqa: E402
+from ..sources.reference import pvt_tables  # noqa: E402
+from ..operators.ranking import global_rank  # noqa: E402
+
+STEP_KEY = RUN_KEY + ["step"]
+
+
+def _traj_p(spark, sf):
+    return D.trajectory(spark, sf).select(*STEP_KEY, F.col(TARGET).alias("p"))
+
+
+def _with_shift(spark, sf):
+    rf = features.run_features(D.scenarios(spark, sf)).select(*RUN_KEY, "pvt_shift")
+    return _traj_p(spark, sf).join(rf, RUN_KEY)
+
+
+@query
+def pvt_segments(spark, sf):
+    """Rows per segment of the gas table (-1: below, 10: at/above the last node)."""
+    return _traj_p(spark, sf).groupBy(segment_index(F.col("p"), [r[0] for r in PVDG]).alias("seg")) \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def interp_lookup(spark, sf):
+    """Clamped lookup of the unshifted saturated Rs curve (Mscf/stb)."""
+    grid = [r[1] for r in PVTO_SATURATED]
+    return _traj_p(spark, sf).select(*STEP_KEY, "p", interp(F.col("p"), grid, [r[0] for r in PVTO_SATURATED])
+                                     .alias("rs_mscf"))
+
+
+@query
+def shifted_grid(spark, sf):
+    rf = features.run_features(D.scenarios(spark, sf))
+    return rf.select(*RUN_KEY, F.posexplode(pvt_fn.shifted_grid_array(F.col("pvt_shift"))).alias("node", "pressure"))
+
+
+@query
+def pvt_rs(spark, sf):
+    return _with_shift(spark, sf).select(*STEP_KEY, "p", pvt_fn.rs_from_pressure(F.col("p"), F.col("pvt_shift")).alias("rs"))
+
+
+@query
+def pvt_bo(spark, sf):
+    return _with_shift(spark, sf).select(*STEP_KEY, "p", pvt_fn.bo_from_pressure(F.col("p"), F.col("pvt_shift")).alias("bo"))
+
+
+@query
+def pvt_bg(spark, sf):
+    return _traj_p(spark, sf).select(*STEP_KEY, "p", pvt_fn.bg_from_pressure(F.col("p")).alias("bg"))
+
+
+@query
+def interp_join(spark, sf):
+    """Tabular lookup: rows x segments of their table (equi key table_id, then
+    x0 <= p < x1), interpolated; rows outside the table find no segment."""
+    segs = pvt_tables(spark).where(F.col("table_id") == "pvdg_bg")
+    rows = _traj_p(spark, sf).withColumn("table_id", F.lit("pvdg_bg"))
+    j = rows.join(segs, (rows.table_id == segs.table_id) & (F.col("p") >= F.col("x0")) & (F.col("p") < F.col("x1")))
+    val = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")) * (F.col("p") - F.col("x0")) + F.col("y0")
+    return j.select(*STEP_KEY, "p", "seg", val.alias("bg"))
+
+
+@query
+def weighted_statics(spark, sf):
+    """Weighted mean sum(w*x)/sum(w) and sum(w) per group (parts: w = size,
+    x = retail price, group = brand)."""
+    part = testdata.table(spark, sf, "part")
+    w, x = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return part.groupBy(F.col("p_brand").alias("grp")).agg(
+        (F.sum(w * x) / F.sum(w)).alias("weighted_mean"), F.sum(w).alias("total_weight"))
+
+
+# --- scenario rules --------------------------------------------------------------
+
+@query
+def apply_injector_rate(spark, sf):
+    return rules.apply_injector_rate(D.scenarios(spark, sf))
+
+
+@query
+def apply_producer_cap(spark, sf):
+    return rules.apply_producer_cap(D.scenarios(spark, sf))
+
+
+@query
+def apply_equil(spark, sf):
+    return rules.apply_equil(D.scenarios(spark, sf))
+
+
+@query
+def apply_multipliers(spark, sf):
+    return rules.apply_multipliers(D.scenarios(spark, sf))
+
+
+@query
+def apply_pvto_shift(spark, sf):
+    r = rules.apply_pvto_shift(D.scenarios(spark, sf))
+    return r.select(*RUN_KEY, "record_no", "base_pressure", *[F.col("nums")[i].alias(f"n{i}") for i in range(4)],
+                    F.size("nums").alias("n_nums"), "terminated", "shifted")
+
+
+@query
+def apply_group_rate(spark, sf):
+    return rules.apply_group_rate(D.scenarios(spark, sf))
+
+
+@query
+def apply_scenario(spark, sf):
+    return rules.apply_scenario(D.scenarios(spark, sf))
+
+
+# --- text ------------------------------------------------------------------------
+
+@query
+def section_scan(spark, sf):
+    lines = testdata.section_lines(spark, sf)
+    out = text.section_scan(lines, header=F.col("header"))
+    return out.select("file", "lineno", "section", "n_tokens", "n_numbers", "terminated",
+                      F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def tail_lines(spark, sf):
+    docs = testdata.table(spark, sf, "documents")
+    return docs.select("doc_id", text.line_count("text").alias("n_lines"), text.tail_lines("text", 300).alias("tail"))
+
+
+# --- quality ---------------------------------------------------------------------
+
+@query
+def validate_dataset(spark, sf):
+    req = testdata.runs(spark, sf).agg(F.count(F.lit(1)).alias("n_requested"))
+    return quality.validate_dataset(D.trajectory(spark, sf), req)
+
+
+@query
+def monotonic_violations(spark, sf):
+    return quality.monotonic_violations(D.trajectory(spark, sf))
+
+
+@query
+def variance_audit(spark, sf):
+    return quality.variance_audit(D.trajectory(spark, sf))
+
+
+def _field(spark, sf, name):
+    return D.trajectory(spark, sf).where(F.col("reservoir_id") == name)
+
+
+@query
+def drift_report(spark, sf):
+    return quality.drift_report(_field(spark, sf, "spe9"), _field(spark, sf, "norne"), FEATURES)
+
+
+# --- exploration -----------------------------------------------------------------
+
+@query
+def median_by_step(spark, sf):
+    return explore.median_by_step(D.trajectory(spark, sf))
+
+
+DESCRIBE_COLUMNS = [c for c in TRAJECTORY_COLUMNS if c not in ("reservoir_id",)]
+
+
+@query
+def describe_columns(spark, sf):
+    return explore.describe_columns(D.trajectory(spark, sf), DESCRIBE_COLUMNS)
+
+
+@query
+def histogram(spark, sf):
+    tr = D.trajectory(spark, sf).select("reservoir_id", TARGET)
+    return explore.histogram(tr, ["reservoir_id"], TARGET, 40)
+
+
+@query
+def correlation_matrix(spark, sf):
+    return explore.correlation_matrix(D.trajectory(spark, sf), CORRELATION_COLUMNS)
+
+
+@query
+def drift_histogram(spark, sf):
+    tr = D.trajectory(spark, sf).where(F.col("reservoir_id").isin("spe9", "norne"))
+    long = explore.unpivot(tr, ["reservoir_id"], FEATURES, name="feature", value="x")
+    return explore.histogram(long, ["reservoir_id", "feature"], "x", 40, density=True)
+
+
+def _per_run_min(spark, sf):
+    return D.trajectory(spark, sf).groupBy(*RUN_KEY).agg(F.min(TARGET).alias("fpr_min"))
+
+
+@query
+def rank_picks(spark, sf):
+    picks = explore.rank_picks(_per_run_min(spark, sf), "fpr_min", ("first", "half", "last"))
+    tr = D.trajectory(spark, sf)
+    return tr.join(picks.select(*RUN_KEY, "pick"), RUN_KEY).select(
+        *RUN_KEY, "pick", "step", TARGET, "Caudal_Prod_Petroleo_bbl", "Caudal_Iny_Agua_bbl",
+        "Prod_Acumulada_Petroleo", "Iny_Acumulada_Agua")
+
+
+@query
+def sample_sims(spark, sf):
+    return explore.sample_runs(D.trajectory(spark, sf), k=8, seed=0)
+
+
+@query
+def pvt_curve(spark, sf):
+    tr = D.trajectory(spark, sf)
+    return explore.pvt_curve(tr, explore.sample_runs(tr, k=8, seed=0))
+
+
+@query
+def lever_sensitivity(spark, sf):
+    return explore.lever_long(D.run_log(spark, sf))
+
+
+@query
+def lever_histogram(spark, sf):
+    return explore.histogram(explore.lever_long(D.run_log(spark, sf)), ["reservoir_id", "lever"], "x", 20)
+
+
+# --- splits ----------------------------------------------------------------------
+
+@query
+def group_split(spark, sf):
+    return splits.group_split(D.trajectory(spark, sf), seed=D.SEED)
+
+
+@query
+def split_sizes(spark, sf):
+    tr = D.trajectory(spark, sf)
+    return splits.split_sizes(tr, splits.group_split(tr, seed=D.SEED))
+
+
+@query
+def group_kfold(spark, sf):
+    return splits.group_kfold(D.trajectory(spark, sf), k=5)
+
+
+# --- prediction metrics ------------------------------------------------------------
+
+def _pred(spark, sf):
+    return testdata.predictions(spark, sf)
+
+
+@query
+def regression_metrics(spark, sf):
+    return metrics.regression_metrics(_pred(spark, sf), ["reservoir_id"])
+
+
+def _baseline(spark, sf):
+    p = _pred(spark, sf)
+    assign = splits.split_by_fraction(p, 0.2, seed=D.SEED)
+    train = splits.rows_of(p, assign, "train")
+    test = splits.rows_of(p, assign, "test")
+    return test, metrics.median_baseline(train, test, ["reservoir_id"])
+
+
+@query
+def median_baseline(spark, sf):
+    return _baseline(spark, sf)[1]
+
+
+@query
+def metrics_report(spark, sf):
+    test, base = _baseline(spark, sf)
+    m = metrics.regression_metrics(test, ["reservoir_id"])
+    return metrics.metrics_report(m, base, ["reservoir_id"])
+
+
+@query
+def per_sim_metrics(spark, sf):
+    return metrics.per_sim_metrics(_pred(spark, sf))
+
+
+@query
+def residual_stats(spark, sf):
+    return metrics.residual_stats(_pred(spark, sf), ["reservoir_id"])
+
+
+@query
+def best_worst_sims(spark, sf):
+    ps = metrics.per_sim_metrics(_pred(spark, sf))
+    ranked = global_rank(ps, "mae", ["sim_id"], partition_cols=["reservoir_id"], rank_col="rank",
+                         bounded_groups=True, buckets=16)
+    n = ps.groupBy("reservoir_id").agg(F.count(F.lit(1)).alias("__n"))
+    j = ranked.join(F.broadcast(n), "reservoir_id")
+    kind = F.when(F.col("rank") < 3, F.lit("best")).when(F.col("rank") >= F.col("__n") - 3, F.lit("worst"))
+    return j.where(kind.isNotNull()).select("reservoir_id", kind.alias("kind"), "rank", "sim_id", "mae", "r2")
+
+
+@query
+def pred_actual_bins(spark, sf):
+    return explore.binned_2d(_pred(spark, sf), "y", "y_pred", 20, ["reservoir_id"])
+
+
+# --- wells -----------------------------------------------------------------------
+
+@query
+def well_catalog(spark, sf):
+    return wells.well_catalog(testdata.well_vectors(spark, sf))
+
+
+@query
+def key_catalog(spark, sf):
+    return wells.key_catalog(testdata.well_vectors(spark, sf))
+
+
+@query
+def well_wide(spark, sf):
+    return wells.well_wide(testdata.well_vectors(spark, sf))
+
+
+@query
+def run_comparison(spark, sf):
+    return wells.run_comparison(testdata.well_vectors(spark, sf), ["run_O", "run_F"])

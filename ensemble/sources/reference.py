@@ -70,3 +70,78 @@ def pvt_tables(spark: SparkSession) -> DataFrame:
 def layers(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, float(h), float(p)) for i, (h, p) in enumerate(zip(LAYER_THICKNESS_FT, LAYER_POROSITY))]
     return F.broadcast(spark.createDataFrame(rows, "layer int, thickness_ft double, porosity double"))
+
+
+# ---------------------------------------------------------------------------
+# Baseline control records of the decks (the records scenario
+# rules rewrite). The main deck of the third field is not available; its
+# equilibration and group-injection records below are illustrative only.
+# ---------------------------------------------------------------------------
+INJECTOR_RECORDS = [("spe9", 1, "INJE1", "WATER", "OPEN", "RATE", 5000.0)]
+PRODUCER_RECORDS = [
+    ("spe9", 1, "PRODU*", "OPEN", "ORAT", 1500.0),
+    ("spe9", 2, "PRODU*", "OPEN", "ORAT", 100.0),
+    ("spe9", 3, "PRODU*", "OPEN", "ORAT", 1500.0),
+]
+EQUIL_RECORDS = [
+    ("spe9", 1, 9035.0, 3600.0, 9950.0, 0.0, 8800.0, 0.0, 1, 0, 0),
+    ("norne", 1, 2582.0, 268.56, 2692.0, 0.0, 2582.0, 0.0, 1, 0, 0),
+    ("norne", 2, 2500.0, 263.41, 2585.5, 0.0, 2500.0, 0.0, 2, 0, 0),
+    ("norne", 3, 2582.0, 269.46, 2618.0, 0.0, 2582.0, 0.0, 3, 0, 0),
+    ("norne", 4, 2200.0, 236.92, 2400.0, 0.0, 2200.0, 0.0, 4, 0, 0),
+    ("norne", 5, 2585.0, 268.77, 2693.3, 0.0, 2585.0, 0.0, 5, 0, 0),
+] + [("volve", i, 2900.0 + 10.0 * i, 320.0 + 0.5 * i, 3100.0, 0.0, 2900.0, 0.0, i, 0, 0)
+     for i in range(1, 13)]
+#: PVTO records of the light-oil deck: numbers per line, trailing '/' or not.
+PVTO_RECORDS = [
+    (1, [0.0, 14.7, 1.0, 1.20], True),
+    (2, [0.165, 400.0, 1.0120, 1.17], True),
+    (3, [0.335, 800.0, 1.0255, 1.14], True),
+    (4, [0.500, 1200.0, 1.0380, 1.11], True),
+    (5, [0.665, 1600.0, 1.0510, 1.08], True),
+    (6, [0.828, 2000.0, 1.0630, 1.06], True),
+    (7, [0.985, 2400.0, 1.0750, 1.03], True),
+    (8, [1.130, 2800.0, 1.0870, 1.00], True),
+    (9, [1.270, 3200.0, 1.0985, 0.98], True),
+    (10, [1.390, 3600.0, 1.1100, 0.95], True),
+    (11, [1.500, 4000.0, 1.1200, 0.94], False),
+    (12, [5000.0, 1.1189, 0.94], True),
+]
+GROUP_INJECTION_RECORDS = [
+    ("volve", 1, "FIELD", "WAT", "RATE", 9000.0),
+    ("volve", 2, "FIELD", "WAT", "RATE", 7000.0),
+    ("volve", 3, "FIELD", "GAS", "RATE", 1000.0),
+]
+GRID_PROPERTIES = ["PORO", "PERMX", "PERMY", "PERMZ"]
+
+
+def control_table(spark: SparkSession, name: str) -> DataFrame:
+    """Baseline control records by name (fixed size: safe to broadcast)."""
+    if name == "injector":
+        df = spark.createDataFrame(INJECTOR_RECORDS, "reservoir_id string, record_no int, well string, "
+                                   "fluid string, status string, mode string, rate double")
+    elif name == "producer":
+        df = spark.createDataFrame(PRODUCER_RECORDS, "reservoir_id string, record_no int, well_pattern string, "
+                                   "status string, mode string, rate double")
+    elif name == "equil":
+        df = spark.createDataFrame(EQUIL_RECORDS, "reservoir_id string, record_no int, datum double, "
+                                   "pressure double, woc double, pcow double, goc double, pcog double, "
+                                   "rsvd int, rvvd int, acc int")
+    elif name == "pvto":
+        rows = [("spe9", n, [float(x) for x in nums], term) for n, nums, term in PVTO_RECORDS]
+        df = spark.createDataFrame(rows, "reservoir_id string, record_no int, nums array<double>, "
+                                   "terminated boolean")
+    elif name == "group_injection":
+        df = spark.createDataFrame(GROUP_INJECTION_RECORDS, "reservoir_id string, record_no int, "
+                                   "grp string, phase string, mode string, rate double")
+    elif name == "grid":
+        # per layer of the light-oil deck: porosity, and the baseline permeability
+        rows = []
+        base_perm = RESERVOIRS["spe9"]["baseline_perm_md"]
+        for i, p in enumerate(LAYER_POROSITY):
+            for prop in GRID_PROPERTIES:
+                rows.append(("spe9", i + 1, prop, float(p) if prop == "PORO" else float(base_perm)))
+        df = spark.createDataFrame(rows, "reservoir_id string, cell long, prop string, value double")
+    else:
+        raise KeyError(f"unknown control table {name!r}")
+    return F.broadcast(df)

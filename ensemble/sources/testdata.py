@@ -101,3 +101,54 @@ def summary_vectors(spark: SparkSession, sf_dir: str, rows_per_chunk: int = 1_00
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value"))
                         for k in SUMMARY_KEYS])
     return ev.select("reservoir_id", "sim_id", "step", F.inline(entries))
+
+
+#: Well vector names routed from the part key (pmod(l_partkey, 5)).
+WELL_VECTORS = ["WBHP", "WBHPH", "WOPR", "WGPR", "WWPR"]
+SHIP_ORIGIN = "1992-01-01 00:00:00"
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction rows: a dataset per return flag, a run per supplier,
+    y = extended price, y_pred = 2000 * quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_returnflag").alias("reservoir_id"),
+        F.col("l_suppkey").alias("sim_id"),
+        F.col("l_orderkey"), F.col("l_linenumber"),
+        F.col("l_extendedprice").alias("y"),
+        (F.lit(2000.0) * F.col("l_quantity")).alias("y_pred"),
+    )
+
+
+def well_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long well vectors (run, key_well, days, date, value): a run per line
+    status, a well per supplier, a vector per part key."""
+    li = table(spark, sf_dir, "lineitem")
+    vec = F.element_at(F.array(*[F.lit(v) for v in WELL_VECTORS]),
+                       (F.pmod(F.col("l_partkey"), F.lit(len(WELL_VECTORS))) + 1).cast("int"))
+    well = F.format_string("W-%d", F.col("l_suppkey"))
+    days = F.timestamp_diff("DAY", F.lit(SHIP_ORIGIN).cast("timestamp_ntz"), F.col("l_shipdate").cast("timestamp_ntz"))
+    return li.select(
+        F.concat(F.lit("run_"), F.col("l_linestatus")).alias("run"),
+        F.concat_ws(":", vec, well).alias("key_well"),
+        days.cast("double").alias("days"),
+        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("date"),
+        F.col("l_extendedprice").alias("value"),
+    )
+
+
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of keyword text: a file per conversation; every line of a turn in
+    turn order; a ``user`` turn opens a section named after its turn."""
+    cv = table(spark, sf_dir, "conversations")
+    body = F.regexp_replace(F.col("text"), r"(\r\n|\r|\n)$", "")
+    lines = cv.select("conv_id", "turn", "role",
+                      F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("pos", "line"))
+    return lines.select(
+        F.col("conv_id").alias("file"),
+        (F.col("turn") * F.lit(1_000_000) + F.col("pos")).alias("lineno"),
+        "line",
+        F.when((F.col("role") == "user") & (F.col("pos") == 0),
+               F.format_string("TURN%d", F.col("turn"))).alias("header"),
+    )
