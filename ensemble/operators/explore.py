@@ -84,8 +84,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = [c for c in cols if c in df.columns]
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
-    cen = d.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in cols])
+    means = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                  *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in cols])
+    cen = d.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in cols],
+                                                 *[F.col(f"v_{c}") for c in cols])
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -99,6 +101,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 F.sum(F.when(both, F.col(b))).alias(f"sb_{k}"),
                 F.count_if(both).alias(f"n_{k}"),
             ]
+            if i == cols.index(b):
+                aggs.append(F.first(f"v_{a}").alias(f"var_{i}"))
             pairs.append((a, b, k))
     sums = cen.agg(*aggs)
     entries = []
@@ -108,7 +112,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         cab = F.col(f"sab_{k}") - F.col(f"sa_{k}") * F.col(f"sb_{k}") / n
         caa = F.col(f"saa_{k}") - F.col(f"sa_{k}") * F.col(f"sa_{k}") / n
         cbb = F.col(f"sbb_{k}") - F.col(f"sb_{k}") * F.col(f"sb_{k}") / n
-        r = F.when((n > 1) & (caa > 0) & (cbb > 0), F.try_divide(cab, F.sqrt(caa * cbb)))
+        varies = F.col(f"var_{cols.index(a)}") & F.col(f"var_{cols.index(b)}")
+        r = F.when((n > 1) & varies & (caa > 0) & (cbb > 0), F.try_divide(cab, F.sqrt(caa * cbb)))
         entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
         if a != b:
             entries.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("corr")))

@@ -104,7 +104,7 @@ def validate_dataset(df: DataFrame, n_requested: DataFrame | int) -> DataFrame:
     findings.append(_finding("pressure_range", TARGET, F.coalesce(F.col("p_range") >= F.lit(MIN_PRESSURE_RANGE_PSI),
                                                                    F.lit(False)),
                              F.col("p_range"), MIN_PRESSURE_RANGE_PSI,
-                             F.format_string("FPR range across batch %.0f psi", F.col("p_range").cast("double"))))
+                             F.format_string("FPR range across batch %.0f psi", F.floor(F.col("p_range") + 0.5).cast("double"))))
     out = row.select(F.col("n_rows"), F.inline(F.array(*findings)))
     # empty dataset: only the first finding is reported
     return out.where((F.col("n_rows") > 0) | (F.col("check") == "empty")).drop("n_rows")

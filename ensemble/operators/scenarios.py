@@ -109,9 +109,10 @@ def apply_pvto_shift(scenarios: DataFrame) -> DataFrame:
     j = _scen(scenarios, "spe9").join(ctl, "reservoir_id")
     shift = F.coalesce(F.col("pb_shift"), F.lit(0.0))
     nums = F.col("nums")
-    target = (F.size(nums) == 4) & (nums[1] > F.lit(PVT_ANCHOR_PSI)) & (shift != 0)
-    shifted = F.array(_round(nums[0], 3), _round(nums[1] + shift, 2), _round(nums[2], 4), _round(nums[3], 4))
-    return j.select(*RUN_KEY, "record_no", nums[1].alias("base_pressure"),
+    n = [F.get(nums, i) for i in range(4)]
+    target = (F.size(nums) == 4) & (n[1] > F.lit(PVT_ANCHOR_PSI)) & (shift != 0)
+    shifted = F.array(_round(n[0], 3), _round(n[1] + shift, 2), _round(n[2], 4), _round(n[3], 4))
+    return j.select(*RUN_KEY, "record_no", n[1].alias("base_pressure"),
                     F.when(target, shifted).otherwise(nums).alias("nums"),
                     "terminated", target.alias("shifted"))
 
@@ -142,7 +143,7 @@ def apply_scenario(scenarios: DataFrame) -> DataFrame:
         norm(apply_producer_cap(scenarios), "producer_cap", "record_no", "base_rate", "rate"),
         norm(apply_equil(scenarios), "equil_pressure", "record_no", "base_pressure", "pressure"),
         norm(apply_multipliers(scenarios).withColumn("one", F.lit(1.0)), "multiply", "prop", "one", "multiplier"),
-        norm(apply_pvto_shift(scenarios).where(F.col("shifted")).withColumn("v", F.col("nums")[1]),
+        norm(apply_pvto_shift(scenarios).where(F.col("shifted")).withColumn("v", F.get(F.col("nums"), 1)),
              "pvto_bubble_point", "record_no", "base_pressure", "v"),
         norm(apply_group_rate(scenarios), "group_rate", "record_no", "base_rate", "rate"),
     ]

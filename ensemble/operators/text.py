@@ -18,16 +18,23 @@ from .ranking import ordered_scan
 KEYWORD_PATTERN = r"^[A-Z][A-Z0-9]*$"
 #: Line separators recognised when splitting text into lines.
 LINE_BREAK = r"\r\n|\r|\n"
+#: One line break at the very end of a text (``\z``: not before a final break).
+TRAILING_BREAK = r"(\r\n|\r|\n)\z"
+
+
+def strip(c: Column) -> Column:
+    """Remove leading and trailing whitespace (tabs included, unlike ``trim``)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def keyword_header(line: Column) -> Column:
-    t = F.trim(line)
+    t = strip(line)
     return F.when(t.rlike(KEYWORD_PATTERN), t)
 
 
 def text_lines(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """Whole texts -> (file, lineno, line); one trailing line break ends the last line."""
-    body = F.regexp_replace(F.col(text_col), r"(\r\n|\r|\n)$", "")
+    body = F.regexp_replace(F.col(text_col), TRAILING_BREAK, "")
     return df.select(F.col(file_col).alias("file"),
                      F.posexplode(F.split(body, LINE_BREAK)).alias("lineno", "line"))
 
@@ -44,11 +51,11 @@ def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk:
     scanned = ordered_scan(tagged, ["file"], ["lineno"], running_sums={"__sec_no": "__is_hdr"},
                            rows_per_chunk=rows_per_chunk)
     headers = scanned.where(F.col("__is_hdr") == 1).select("file", "__sec_no", F.col("__hdr").alias("section"))
-    stripped = F.trim(F.col("line"))
+    stripped = strip(F.col("line"))
     content = scanned.where((F.col("__is_hdr") == 0) & (stripped != "") & ~stripped.startswith("--"))
     joined = content.join(headers, ["file", "__sec_no"], "left")
     terminated = stripped.endswith("/")
-    body = F.trim(F.regexp_replace(stripped, r"/+$", ""))
+    body = strip(F.regexp_replace(stripped, r"/+$", ""))
     tokens = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
     numbers = F.transform(tokens, lambda t: t.try_cast("double"))
     return joined.select(
@@ -59,7 +66,7 @@ def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk:
 
 def tail_lines(text_col: str, n: int = 300) -> Column:
     """The last ``n`` lines of a text (all of it when shorter)."""
-    body = F.regexp_replace(F.col(text_col), r"(\r\n|\r|\n)$", "")
+    body = F.regexp_replace(F.col(text_col), TRAILING_BREAK, "")
     parts = F.split(body, LINE_BREAK)
     k = F.least(F.size(parts), F.lit(n))
     return F.when(F.col(text_col) == "", F.lit("")).otherwise(
@@ -67,5 +74,5 @@ def tail_lines(text_col: str, n: int = 300) -> Column:
 
 
 def line_count(text_col: str) -> Column:
-    body = F.regexp_replace(F.col(text_col), r"(\r\n|\r|\n)$", "")
+    body = F.regexp_replace(F.col(text_col), TRAILING_BREAK, "")
     return F.when(F.col(text_col) == "", F.lit(0)).otherwise(F.size(F.split(body, LINE_BREAK)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+SIGNIFICANT = 10
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -23,13 +24,22 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+def _digits(c, sig: int):
+    """Decimals that keep ``sig`` significant digits, at most 12."""
+    return F.least(F.lit(sig - 1) - F.floor(F.log10(F.abs(c))), F.lit(12))
+
+
 def round_half_up(c, digits: int = DIGITS):
-    """``floor(x * 10^d + 0.5) / 10^d``: plain IEEE steps, so every engine gets
-    the same bits (decimal-based rounding differs between engines on ties).
-    Magnitudes of 1e9 and more are left as they are."""
-    scale = float(10 ** digits)
-    r = F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0)
-    return F.when(F.abs(c) < F.lit(1e9), r).otherwise(c)
+    """Round to ``SIGNIFICANT`` significant digits: ``floor(x * 10^k + 0.5) / 10^k``.
+
+    Plain IEEE steps, so engines that computed the same bits get the same
+    result (decimal-based ``round`` breaks ties differently between engines),
+    and a relative quantum, so large aggregates computed by different
+    summation orders still compare equal. ``digits`` is kept for the API.
+    """
+    scale = F.pow(F.lit(10.0), _digits(c, SIGNIFICANT))
+    r = F.floor(c * scale + F.lit(0.5)) / scale + F.lit(0.0)
+    return F.when((c == 0) | c.isNull() | F.isnan(c), c + F.lit(0.0)).otherwise(r)
 
 
 def round_sql(inner: str, double_cols: str | list[str], digits: int = DIGITS) -> str:
@@ -37,8 +47,10 @@ def round_sql(inner: str, double_cols: str | list[str], digits: int = DIGITS) ->
     cols = double_cols.split() if isinstance(double_cols, str) else list(double_cols)
     if not cols:
         return inner
-    sc = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
-    rep = ", ".join(
-        f"CASE WHEN abs({c}) < CAST(1e9 AS DOUBLE) THEN floor({c} * {sc} + CAST(0.5 AS DOUBLE)) / {sc}"
-        f" + CAST(0.0 AS DOUBLE) ELSE {c} END AS {c}" for c in cols)
+    def one(c):
+        k = f"least({SIGNIFICANT - 1} - floor(log10(abs({c}))), 12)"
+        sc = f"pow(CAST(10.0 AS DOUBLE), {k})"
+        return (f"CASE WHEN {c} = 0 OR {c} IS NULL OR isnan({c}) THEN {c} + CAST(0.0 AS DOUBLE)"
+                f" ELSE floor({c} * {sc} + CAST(0.5 AS DOUBLE)) / {sc} + CAST(0.0 AS DOUBLE) END AS {c}")
+    rep = ", ".join(one(c) for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) q"

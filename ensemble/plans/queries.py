@@ -262,7 +262,7 @@ def apply_multipliers(spark, sf):
 @query
 def apply_pvto_shift(spark, sf):
     r = rules.apply_pvto_shift(D.scenarios(spark, sf))
-    return r.select(*RUN_KEY, "record_no", "base_pressure", *[F.col("nums")[i].alias(f"n{i}") for i in range(4)],
+    return r.select(*RUN_KEY, "record_no", "base_pressure", *[F.get(F.col("nums"), i).alias(f"n{i}") for i in range(4)],
                     F.size("nums").alias("n_nums"), "terminated", "shifted")
 
 

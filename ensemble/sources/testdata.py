@@ -142,7 +142,7 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of keyword text: a file per conversation; every line of a turn in
     turn order; a ``user`` turn opens a section named after its turn."""
     cv = table(spark, sf_dir, "conversations")
-    body = F.regexp_replace(F.col("text"), r"(\r\n|\r|\n)$", "")
+    body = F.regexp_replace(F.col("text"), r"(\r\n|\r|\n)\z", "")
     lines = cv.select("conv_id", "turn", "role",
                       F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("pos", "line"))
     return lines.select(
