@@ -6,33 +6,75 @@ the driver. ``trajectory`` is the converged feature table every analysis reads.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import features, runlog, sampling
+from ..schemas import TRAJECTORY_COLUMNS
+from ..session import checkpoint_dir
 from ..sources import testdata
 
 SEED = testdata.SEED
+#: Bump when the derivation of a materialized table changes.
+DATASET_VERSION = "v1"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None) -> DataFrame:
+    """A derived table written once to the shared checkpoint folder and read back.
+
+    This is the dataset sink + scan of the batch: later analyses read Parquet
+    (pruned columns, pushed filters, reservoir partitions) instead of re-running
+    the derivation, and lineage is cut so a lost executor recomputes from files.
+    Reuse requires the ``_SUCCESS`` marker of a completed write.
+    """
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DATASET_VERSION}".encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-tables/{name}-{key}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        w = build().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(partition_by)
+        w.parquet(path)
+    return spark.read.parquet(path)
 
 
-def scenarios(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+def scenarios_plan(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
     """Levers of every run: LHS per reservoir, then validator redraws."""
     return sampling.lhs_rejection(sampling.lhs_sample(testdata.runs(spark, sf_dir), seed), seed)
 
 
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = scenarios_plan(spark, sf_dir).columns
+    return materialized(spark, sf_dir, "scenarios", lambda: scenarios_plan(spark, sf_dir)).select(*cols)
+
+
 def classified_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.classify_outcome(testdata.run_outcomes(spark, sf_dir))
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows of all runs (before dropping failed ones)."""
-    return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios(spark, sf_dir))
+    return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios_plan(spark, sf_dir))
 
 
-def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trajectory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Converged runs' rows: 19 schema columns + step."""
     return runlog.converged(feature_rows(spark, sf_dir), classified_runs(spark, sf_dir))
 
 
+def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written dataset (Parquet partitioned by reservoir), in schema order."""
+    t = materialized(spark, sf_dir, "trajectory", lambda: trajectory_plan(spark, sf_dir), "reservoir_id")
+    return t.select(*TRAJECTORY_COLUMNS, "step")
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.run_log(classified_runs(spark, sf_dir), scenarios(spark, sf_dir),
                           trajectory(spark, sf_dir))
