@@ -78,46 +78,53 @@ def histogram(long: DataFrame, group_cols: Sequence[str], value_col: str, bins:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pooled Pearson correlation of every pair (pairwise-complete rows).
 
-    Two passes: column means (one row), then sums of centred products per pair
-    in one aggregation. A constant column gives NULL (no division by zero).
-    Returns (col_a, col_b, corr) for all ordered pairs including the diagonal.
+    Pass 1 (one row, fetched): column means, whether each column varies, and
+    its NULL count. Pass 2 sums centred cross products in one aggregation with
+    partial sums before the shuffle: when no value is missing, one sum per pair
+    (the Gram matrix); otherwise each row emits one record per pair so that each
+    pair uses only rows where both values exist. A constant column gives NULL,
+    never a division by zero. Returns (col_a, col_b, corr) for all ordered pairs
+    including the diagonal.
     """
     cols = [c for c in cols if c in df.columns]
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                  *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in cols])
-    cen = d.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in cols],
-                                                 *[F.col(f"v_{c}") for c in cols])
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            k = f"{i}_{cols.index(b)}"
-            aggs += [
-                F.sum(F.when(both, F.col(a) * F.col(b))).alias(f"sab_{k}"),
-                F.sum(F.when(both, F.col(a) * F.col(a))).alias(f"saa_{k}"),
-                F.sum(F.when(both, F.col(b) * F.col(b))).alias(f"sbb_{k}"),
-                F.sum(F.when(both, F.col(a))).alias(f"sa_{k}"),
-                F.sum(F.when(both, F.col(b))).alias(f"sb_{k}"),
-                F.count_if(both).alias(f"n_{k}"),
-            ]
-            if i == cols.index(b):
-                aggs.append(F.first(f"v_{a}").alias(f"var_{i}"))
-            pairs.append((a, b, k))
-    sums = cen.agg(*aggs)
-    entries = []
-    for a, b, k in pairs:
-        n = F.col(f"n_{k}")
-        # subtract the pair-subset means (equal to 0 when no NULLs) for pairwise-complete rows
-        cab = F.col(f"sab_{k}") - F.col(f"sa_{k}") * F.col(f"sb_{k}") / n
-        caa = F.col(f"saa_{k}") - F.col(f"sa_{k}") * F.col(f"sa_{k}") / n
-        cbb = F.col(f"sbb_{k}") - F.col(f"sb_{k}") * F.col(f"sb_{k}") / n
-        varies = F.col(f"var_{cols.index(a)}") & F.col(f"var_{cols.index(b)}")
-        r = F.when((n > 1) & varies & (caa > 0) & (cbb > 0), F.try_divide(cab, F.sqrt(caa * cbb)))
-        entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
-        if a != b:
-            entries.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("corr")))
-    return sums.select(F.inline(F.array(*entries)))
+    st = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+               *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in cols],
+               *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in cols],
+               F.count(F.lit(1)).alias("rows")).first()
+    spark = df.sparkSession
+    cen = d.select(*[(F.col(c) - F.lit(st[f"m_{c}"])).alias(c) for c in cols])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if all(st[f"z_{c}"] == 0 for c in cols):
+        g = cen.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s_{i}_{j}") for i, j in pairs]).first()
+        sums = [(i, j, g[f"s_{i}_{j}"], g[f"s_{i}_{i}"], g[f"s_{j}_{j}"], 0.0, 0.0, st["rows"]) for i, j in pairs]
+        sums_df = spark.createDataFrame(
+            sums, "i int, j int, sab double, saa double, sbb double, sa double, sb double, n long")
+    else:
+        recs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                                  F.col(cols[i]).alias("a"), F.col(cols[j]).alias("b")) for i, j in pairs])
+        both = F.col("a").isNotNull() & F.col("b").isNotNull()
+        sums_df = cen.select(F.inline(recs)).groupBy("i", "j").agg(
+            F.sum(F.when(both, F.col("a") * F.col("b"))).alias("sab"),
+            F.sum(F.when(both, F.col("a") * F.col("a"))).alias("saa"),
+            F.sum(F.when(both, F.col("b") * F.col("b"))).alias("sbb"),
+            F.sum(F.when(both, F.col("a"))).alias("sa"),
+            F.sum(F.when(both, F.col("b"))).alias("sb"),
+            F.count_if(both).alias("n"))
+    names = F.array(*[F.lit(c) for c in cols])
+    varies = F.array(*[F.lit(bool(st[f"v_{c}"])) for c in cols])
+    n = F.col("n")
+    # subtract the pair-subset means (0 when nothing is missing)
+    cab = F.col("sab") - F.col("sa") * F.col("sb") / n
+    caa = F.col("saa") - F.col("sa") * F.col("sa") / n
+    cbb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    ok = (n > 1) & F.get(varies, F.col("i")) & F.get(varies, F.col("j")) & (caa > 0) & (cbb > 0)
+    r = F.when(ok, F.try_divide(cab, F.sqrt(caa * cbb)))
+    per_pair = sums_df.select(F.get(names, F.col("i")).alias("a_name"), F.get(names, F.col("j")).alias("b_name"),
+                              r.alias("corr"))
+    both_ways = F.array(F.struct(F.col("a_name").alias("col_a"), F.col("b_name").alias("col_b"), F.col("corr")),
+                        F.struct(F.col("b_name").alias("col_a"), F.col("a_name").alias("col_b"), F.col("corr")))
+    return per_pair.select(F.inline(F.array_distinct(both_ways)))
 
 
 def rank_picks(per_run: DataFrame, measure: str, positions: Sequence[str] = ("first", "half", "last"),
