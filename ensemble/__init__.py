@@ -1,0 +1 @@
+"""Ensemble analytics on Spark: sampling, feature extraction, validation, exploration, models."""

@@ -15,10 +15,16 @@ RUN_KEY = ["reservoir_id", "sim_id"]
 
 def pivot_summary_vectors(vectors: DataFrame) -> DataFrame:
     """Long (reservoir_id, sim_id, step, key, value) -> one row per step, one
-    column per vector. Pivot values are explicit, so no extra job lists them;
-    the shuffle is on (run, step), which splits even a huge run evenly."""
-    return (vectors.groupBy(*RUN_KEY, "step")
-            .pivot("key", SUMMARY_KEYS).agg(F.first("value")))
+    column per vector (NULL where a vector has no value at that step).
+
+    Conditional aggregation over the fixed key list: a single aggregation with
+    map-side partial results, so one shuffle (``pivot`` would add a second
+    aggregation round). It shuffles on (run, step), which splits even a huge
+    run evenly across tasks.
+    """
+    key, value = F.col("key"), F.col("value")
+    return vectors.groupBy(*RUN_KEY, "step").agg(
+        *[F.max(F.when(key == k, value)).alias(k) for k in SUMMARY_KEYS])
 
 
 def step_index(df: DataFrame, order_cols=("tiempo_dias",), step_col: str = "step",
@@ -66,13 +72,17 @@ def with_pvt(df: DataFrame, pressure: str = "Presion_Reservorio_psi", shift: str
     })
 
 
-def feature_table(vectors: DataFrame, levers: DataFrame) -> DataFrame:
+def feature_table(vectors: DataFrame, levers: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Join each run's scalars onto its steps, normalise units, derive PVT.
 
     The join is on the run key; the run table has one row per run, so AQE
-    broadcasts it when small and splits a skewed run otherwise.
+    broadcasts it when small and splits a skewed run otherwise. ``runs``
+    (optional) restricts the result to those runs by filtering the small run
+    table before the one join, instead of a second join on the big side.
     """
     wide = pivot_summary_vectors(vectors)
     rf = run_features(levers)
+    if runs is not None:
+        rf = rf.join(runs.select(*RUN_KEY), RUN_KEY, "left_semi")
     joined = wide.join(rf, RUN_KEY, "inner")
     return with_pvt(normalize_units(joined)).select(*TRAJECTORY_COLUMNS, "step")

@@ -1,0 +1 @@
+"""Streaming: the source workload has no streams, watermarks or state, so nothing lives here."""
