@@ -137,7 +137,7 @@ def rank_picks(per_run: DataFrame, measure: str, positions: Sequence[str] = ("fi
     """
     group = list(group_cols)
     ranked = global_rank(per_run, measure, ["sim_id"], partition_cols=group, rank_col="__rank",
-                         bounded_groups=True, buckets=16)
+                         bounded_groups=True)
     n = per_run.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     pos = {"first": F.lit(0), "half": F.floor(F.col("__n") / 2), "third": F.floor(F.col("__n") / 3),
            "two_thirds": F.floor(2 * F.col("__n") / 3), "last": F.col("__n") - 1}
@@ -154,7 +154,7 @@ def sample_runs(runs: DataFrame, k: int = 8, seed: int = 0,
     r = runs.select(*group_cols, "sim_id").distinct().withColumn(
         "__h", hash_uniform(seed, *[F.col(c) for c in group_cols], F.col("sim_id")))
     ranked = global_rank(r, "__h", ["sim_id"], partition_cols=list(group_cols), rank_col="sample_rank",
-                         uniform=True, bounded_groups=True, buckets=16)
+                         uniform=True, bounded_groups=True)
     return ranked.where(F.col("sample_rank") < k).drop("__h")
 
 

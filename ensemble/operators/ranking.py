@@ -10,6 +10,7 @@ and equal to the plain window: chunks are contiguous ranges of the order key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,19 @@ def _exclusive_prefix(col: Column, part: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(col).over(w), F.lit(0))
 
 
+#: Rows one window task may sort; larger groups are split into more buckets.
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 65_536
+
+
+def buckets_for(df: DataFrame, partition_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bucket count for the largest group (one small aggregation, one scalar back)."""
+    part = list(partition_cols)
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")) if part else df.agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    return int(max(1, min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))))
+
+
 def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
                 partition_cols: Sequence[str] = (), rank_col: str = "rank",
                 uniform: bool = False, buckets: int | None = None,
@@ -32,13 +46,14 @@ def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
 
     ``uniform=True`` says order_col lies in [0, 1) and is evenly spread (a hash
     draw), so buckets are ``floor(x * B)``. Otherwise bucket bounds are the
-    approximate quantiles of order_col per group. ``bounded_groups`` says the
-    number of groups is bounded by a dimension (e.g. reservoirs x levers): the
-    per-bucket count table is then broadcast.
+    approximate quantiles of order_col per group. ``buckets=None`` sizes B from
+    the largest group so no window task sorts more than ``ROWS_PER_BUCKET``
+    rows. ``bounded_groups`` says the number of groups is bounded by a
+    dimension (e.g. reservoirs x levers): the per-bucket tables are broadcast.
     """
     part = list(partition_cols)
     if buckets is None:
-        buckets = 256 if uniform else 64
+        buckets = buckets_for(df, part)
     x = F.col(order_col)
     if uniform:
         staged = df.withColumn(_BUCKET, F.least(F.floor(x * F.lit(buckets)), F.lit(buckets - 1)))
@@ -48,12 +63,12 @@ def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
         probs = [i / buckets for i in range(1, buckets)]
         if part:
             cuts = df.groupBy(*part).agg(
-                F.percentile_approx(x, probs, 10_000).alias("__cuts"))
+                F.percentile_approx(x, probs, max(10_000, 10 * buckets)).alias("__cuts"))
             if bounded_groups:
                 cuts = F.broadcast(cuts)
             staged = df.join(cuts, part, "left")
         else:
-            cuts = df.agg(F.percentile_approx(x, probs, 10_000).alias("__cuts"))
+            cuts = df.agg(F.percentile_approx(x, probs, max(10_000, 10 * buckets)).alias("__cuts"))
             staged = df.crossJoin(F.broadcast(cuts))  # one row
         staged = staged.withColumn(
             _BUCKET, F.size(F.filter(F.col("__cuts"), lambda c: c < x)).cast("long")
@@ -128,7 +143,7 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
 
 
 def exact_quantiles(long: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], *, buckets: int = 64) -> DataFrame:
+                    probs: Sequence[float], *, buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``percentile``), per group.
 
     Instead of buffering each group's values in one task, values are ranked

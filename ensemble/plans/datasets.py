@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ from ..session import checkpoint_dir
 from ..sources import testdata
 
 SEED = testdata.SEED
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
 #: Bump when the derivation of a materialized table changes.
 DATASET_VERSION = "v1"
 
@@ -37,11 +40,14 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_b
     """
     key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DATASET_VERSION}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-tables/{name}-{key}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        w = build().write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(partition_by)
-        w.parquet(path)
+    with _LOCKS_GUARD:
+        lock = _LOCKS.setdefault(path, threading.Lock())
+    with lock:  # one writer per table and process
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            w = build().write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(partition_by)
+            w.parquet(path)
     return spark.read.parquet(path)
 
 

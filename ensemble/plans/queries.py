@@ -449,7 +449,7 @@ def residual_stats(spark, sf):
 def best_worst_sims(spark, sf):
     ps = metrics.per_sim_metrics(_pred(spark, sf))
     ranked = global_rank(ps, "mae", ["sim_id"], partition_cols=["reservoir_id"], rank_col="rank",
-                         bounded_groups=True, buckets=16)
+                         bounded_groups=True)
     n = ps.groupBy("reservoir_id").agg(F.count(F.lit(1)).alias("__n"))
     j = ranked.join(F.broadcast(n), "reservoir_id")
     kind = F.when(F.col("rank") < 3, F.lit("best")).when(F.col("rank") >= F.col("__n") - 3, F.lit("worst"))

@@ -46,8 +46,9 @@ def test_global_rank_is_a_permutation(spark, uniform):
         assert [x[2] for x in sub] == list(range(len(sub)))
 
 
-def test_exact_quantiles_match_numpy(series):
-    q = exact_quantiles(series, ["g"], "v", [0.25, 0.5, 0.75]).collect()
+@pytest.mark.parametrize("buckets", [None, 8])
+def test_exact_quantiles_match_numpy(series, buckets):
+    q = exact_quantiles(series, ["g"], "v", [0.25, 0.5, 0.75], buckets=buckets).collect()
     data = {}
     for r in series.collect():
         data.setdefault(r.g, []).append(r.v)
