@@ -16,10 +16,7 @@ from .ranking import ordered_scan
 
 #: A keyword header line: an upper-case word alone on its line.
 KEYWORD_PATTERN = r"^[A-Z][A-Z0-9]*$"
-#: Line separators recognised when splitting text into lines.
-LINE_BREAK = r"\r\n|\r|\n"
-#: One line break at the very end of a text (``\z``: not before a final break).
-TRAILING_BREAK = r"(\r\n|\r|\n)\z"
+#: Line separators recognised: ``\r\n``, ``\r`` and ``\n``.
 
 
 def strip(c: Column) -> Column:
@@ -32,11 +29,22 @@ def keyword_header(line: Column) -> Column:
     return F.when(t.rlike(KEYWORD_PATTERN), t)
 
 
+def normalized_lines(c: Column) -> Column:
+    """Text with ``\r\n`` and ``\r`` turned into ``\n`` and one final line break
+    dropped, so that splitting on ``\n`` yields its lines. Literal replaces and
+    a single-character split only: no regular expression runs over the text."""
+    one = F.lit(1)
+    body = (F.when(c.endswith("\r\n"), c.substr(one, F.length(c) - 2))
+            .when(c.endswith("\n") | c.endswith("\r"), c.substr(one, F.length(c) - 1))
+            .otherwise(c))
+    return F.when(body.contains("\r"), F.replace(F.replace(body, F.lit("\r\n"), F.lit("\n")),
+                                                 F.lit("\r"), F.lit("\n"))).otherwise(body)
+
+
 def text_lines(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """Whole texts -> (file, lineno, line); one trailing line break ends the last line."""
-    body = F.regexp_replace(F.col(text_col), TRAILING_BREAK, "")
     return df.select(F.col(file_col).alias("file"),
-                     F.posexplode(F.split(body, LINE_BREAK)).alias("lineno", "line"))
+                     F.posexplode(F.split(normalized_lines(F.col(text_col)), "\n")).alias("lineno", "line"))
 
 
 def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk: int = 1_000_000) -> DataFrame:
@@ -65,14 +73,12 @@ def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk:
 
 
 def tail_lines(text_col: str, n: int = 300) -> Column:
-    """The last ``n`` lines of a text (all of it when shorter)."""
-    body = F.regexp_replace(F.col(text_col), TRAILING_BREAK, "")
-    parts = F.split(body, LINE_BREAK)
-    k = F.least(F.size(parts), F.lit(n))
-    return F.when(F.col(text_col) == "", F.lit("")).otherwise(
-        F.array_join(F.slice(parts, -k, k), "\n"))
+    """The last ``n`` lines of a text (all of it when shorter): the part after
+    the n-th line break counted from the end, found without splitting."""
+    return F.substring_index(normalized_lines(F.col(text_col)), "\n", -n)
 
 
 def line_count(text_col: str) -> Column:
-    body = F.regexp_replace(F.col(text_col), TRAILING_BREAK, "")
-    return F.when(F.col(text_col) == "", F.lit(0)).otherwise(F.size(F.split(body, LINE_BREAK)))
+    body = normalized_lines(F.col(text_col))
+    breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    return F.when(F.col(text_col) == "", F.lit(0)).otherwise(breaks + 1)

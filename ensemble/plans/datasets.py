@@ -74,7 +74,7 @@ def trajectory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Converged runs' rows: 19 schema columns + step (failed runs are dropped
     on the run table, before it meets the step rows)."""
     ok = classified_runs(spark, sf_dir).where("ok")
-    return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios_plan(spark, sf_dir), ok)
+    return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios(spark, sf_dir), ok)
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import BAR_TO_PSI, RESERVOIR_ORDER, SUMMARY_KEYS
 from ..operators.ranking import ordered_scan
+from ..operators.text import normalized_lines
 from .reference import reservoir_dim
 
 SEED = 42
@@ -142,9 +143,8 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of keyword text: a file per conversation; every line of a turn in
     turn order; a ``user`` turn opens a section named after its turn."""
     cv = table(spark, sf_dir, "conversations")
-    body = F.regexp_replace(F.col("text"), r"(\r\n|\r|\n)\z", "")
     lines = cv.select("conv_id", "turn", "role",
-                      F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("pos", "line"))
+                      F.posexplode(F.split(normalized_lines(F.col("text")), "\n")).alias("pos", "line"))
     return lines.select(
         F.col("conv_id").alias("file"),
         (F.col("turn") * F.lit(1_000_000) + F.col("pos")).alias("lineno"),
