@@ -29,6 +29,22 @@ def median_by_step(df: DataFrame, cols: Sequence[str] = (TARGET, *CUMULATIVE_COL
     return (med.groupBy(*group_cols).pivot("column", list(cols)).agg(F.first("value")))
 
 
+def quantile_band_by_step(df: DataFrame, col: str = TARGET, probs: Sequence[float] = (0.05, 0.5, 0.95),
+                          group_cols: Sequence[str] = ("reservoir_id", "step")) -> DataFrame:
+    """Per step, the band of a column over runs (default 5/50/95 %), exact.
+    The compact form of drawing every run's trajectory for large ensembles."""
+    q = exact_quantiles(df.select(*group_cols, F.col(col).cast("double").alias("__x")),
+                        list(group_cols), "__x", list(probs))
+    return q.groupBy(*group_cols).pivot("q", [float(p) for p in probs]).agg(F.first("value"))
+
+
+def weighted_mean(df: DataFrame, weight: str, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """sum(w * x) / sum(w) and sum(w) per group (e.g. thickness-weighted porosity)."""
+    w, x = F.col(weight).cast("double"), F.col(value).cast("double")
+    return df.groupBy(*group_cols).agg((F.sum(w * x) / F.sum(w)).alias("weighted_mean"),
+                                       F.sum(w).alias("total_weight"))
+
+
 def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std (ddof 1), min, 25/50/75 %, max per column (one row each)."""
     long = unpivot(df, [], cols).where(F.col("value").isNotNull())
@@ -191,4 +207,5 @@ def binned_2d(df: DataFrame, x: str, y: str, bins: int, group_cols: Sequence[str
 
 
 __all__ = ["unpivot", "median_by_step", "describe_columns", "histogram", "correlation_matrix",
-           "rank_picks", "sample_runs", "pvt_curve", "lever_long", "binned_2d"]
+           "rank_picks", "sample_runs", "pvt_curve", "lever_long", "binned_2d", "quantile_band_by_step",
+           "weighted_mean"]

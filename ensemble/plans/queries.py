@@ -231,10 +231,8 @@ def interp_join(spark, sf):
 def weighted_statics(spark, sf):
     """Weighted mean sum(w*x)/sum(w) and sum(w) per group (parts: w = size,
     x = retail price, group = brand)."""
-    part = testdata.table(spark, sf, "part")
-    w, x = F.col("p_size").cast("double"), F.col("p_retailprice")
-    return part.groupBy(F.col("p_brand").alias("grp")).agg(
-        (F.sum(w * x) / F.sum(w)).alias("weighted_mean"), F.sum(w).alias("total_weight"))
+    part = testdata.table(spark, sf, "part").withColumnRenamed("p_brand", "grp")
+    return explore.weighted_mean(part, "p_size", "p_retailprice", ["grp"])
 
 
 # --- scenario rules --------------------------------------------------------------

@@ -17,8 +17,11 @@ derived from the parquet test tables by Spark, and grows with them:
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import BAR_TO_PSI, RESERVOIR_ORDER, SUMMARY_KEYS
 from ..operators.ranking import ordered_scan
@@ -40,10 +43,20 @@ def reservoir_of(sim_id: Column) -> Column:
     return F.element_at(names, (F.pmod(sim_id, F.lit(len(RESERVOIR_ORDER))) + 1).cast("int"))
 
 
-def days_since_origin(ts: Column) -> Column:
-    micros = F.timestamp_diff("MICROSECOND", F.lit(TIME_ORIGIN).cast("timestamp_ntz"),
-                             ts.cast("timestamp_ntz"))
-    return micros / F.lit(86_400e6)
+def micros_since(df: DataFrame, col: str, origin: str) -> Column:
+    """Microseconds from ``origin`` (a wall-clock time) to ``col``, independent of
+    the session time zone: a TIMESTAMP_NTZ column is compared as wall-clock
+    time, a TIMESTAMP column by its epoch microseconds (files that store
+    wall-clock times are read with the epoch counted as UTC)."""
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(origin).cast("timestamp_ntz"), F.col(col))
+    origin_us = int((datetime.fromisoformat(origin).replace(tzinfo=timezone.utc)
+                     - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()) * 1_000_000
+    return F.unix_micros(F.col(col)) - F.lit(origin_us)
+
+
+def days_since_origin(df: DataFrame, col: str, origin: str = TIME_ORIGIN) -> Column:
+    return micros_since(df, col, origin) / F.lit(86_400e6)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +67,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id"),
         F.col("event_type"),
         F.col("value"),
-        days_since_origin(F.col("ts")).alias("tiempo_dias"),
+        days_since_origin(ev, "ts").alias("tiempo_dias"),
     )
 
 
@@ -129,12 +142,13 @@ def well_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.element_at(F.array(*[F.lit(v) for v in WELL_VECTORS]),
                        (F.pmod(F.col("l_partkey"), F.lit(len(WELL_VECTORS))) + 1).cast("int"))
     well = F.format_string("W-%d", F.col("l_suppkey"))
-    days = F.timestamp_diff("DAY", F.lit(SHIP_ORIGIN).cast("timestamp_ntz"), F.col("l_shipdate").cast("timestamp_ntz"))
+    days = F.floor(micros_since(li, "l_shipdate", SHIP_ORIGIN) / F.lit(86_400_000_000))
+    date = F.date_format(F.date_add(F.lit(SHIP_ORIGIN[:10]).cast("date"), days.cast("int")), "yyyy-MM-dd")
     return li.select(
         F.concat(F.lit("run_"), F.col("l_linestatus")).alias("run"),
         F.concat_ws(":", vec, well).alias("key_well"),
         days.cast("double").alias("days"),
-        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("date"),
+        date.alias("date"),
         F.col("l_extendedprice").alias("value"),
     )
 

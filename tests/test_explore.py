@@ -60,3 +60,18 @@ def test_rank_picks_positions(spark):
 def test_binned_2d_counts_everything(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("y"), (F.col("id") * 0.5).alias("p"))
     assert sum(r["count"] for r in explore.binned_2d(df, "y", "p", 10).collect()) == 100
+
+
+def test_weighted_mean_layer_porosity(spark):
+    from ensemble.schemas import RESERVOIRS
+    from ensemble.sources.reference import layers
+    r = explore.weighted_mean(layers(spark), "thickness_ft", "porosity").first()
+    assert r.weighted_mean == pytest.approx(RESERVOIRS["spe9"]["baseline_porosity"])
+    assert r.total_weight == 359.0 and r.weighted_mean == pytest.approx(47.091 / 359)
+
+
+def test_quantile_band(spark):
+    rows = [("r", s, 0, float(v)) for s, v in enumerate(range(101))]
+    df = spark.createDataFrame(rows, "reservoir_id string, sim_id long, step long, p double")
+    b = explore.quantile_band_by_step(df, "p").first()
+    assert (b["0.05"], b["0.5"], b["0.95"]) == (5.0, 50.0, 95.0)
