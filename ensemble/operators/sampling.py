@@ -62,8 +62,9 @@ def lhs_sample(runs: DataFrame, seed: int = 42) -> DataFrame:
     u = (F.col("stratum") + jitter) / F.col("n")
     valued = ranked.join(n_runs, "reservoir_id").select(
         "reservoir_id", "sim_id", "lever", (F.col("lo") + u * (F.col("hi") - F.col("lo"))).alias("value"))
-    return (valued.groupBy("reservoir_id", "sim_id")
-            .pivot("lever", ALL_LEVERS).agg(F.first("value")))
+    lever, value = F.col("lever"), F.col("value")
+    return valued.groupBy("reservoir_id", "sim_id").agg(
+        *[F.max(F.when(lever == lv, value)).alias(lv) for lv in ALL_LEVERS])
 
 
 def lhs_rejection(sample: DataFrame, seed: int = 42) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 from ..operators import features, runlog, sampling
-from ..schemas import ALL_LEVERS, SUMMARY_KEYS, TRAJECTORY_COLUMNS
+from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
 from ..sources import files, testdata
 from ..sources.reference import reservoir_dim as dim_table
 from . import datasets as D
