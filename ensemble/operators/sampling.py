@@ -24,6 +24,8 @@ from ..sources.reference import lever_ranges, reservoir_dim
 from .ranking import global_rank
 
 MAX_REDRAWS = 50
+#: Attempts tested by compiled CASE branches before the array form takes over.
+UNROLLED_ATTEMPTS = 8
 
 Getter = Callable[[str], Column]
 
@@ -68,28 +70,35 @@ def lhs_sample(runs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def lhs_rejection(sample: DataFrame, seed: int = 42) -> DataFrame:
-    """Apply validators with up to 50 redraws; adds ``attempt`` (0 = LHS point)."""
+    """Apply validators with up to 50 redraws; adds ``attempt`` (0 = LHS point).
+
+    The attempt is a lazy ``CASE`` chain: attempt k is only drawn when 0..k-1
+    failed, and only the levers the validator reads are drawn to test it; the
+    kept sample's levers are drawn once from the chosen attempt. The first
+    attempts are compiled branches; the rare rows that need more scan the
+    remaining attempts as an array. Row-local throughout.
+    """
     spark = sample.sparkSession
     dim = reservoir_dim(spark).select("reservoir_id", *[f"{lv}_{e}" for lv in ALL_LEVERS for e in ("lo", "hi")])
     s = sample.join(dim, "reservoir_id")
     res, sim = F.col("reservoir_id"), F.col("sim_id")
 
-    def redraw(a: Column) -> Column:
-        fields = []
-        for lv in ALL_LEVERS:
-            lo, hi = F.col(f"{lv}_lo"), F.col(f"{lv}_hi")
-            u = hash_uniform(seed, res, F.lit(lv), "redraw", a, sim)
-            fields.append(F.when(lo.isNotNull(), lo + u * (hi - lo)).alias(lv))
-        return F.struct(*fields, a.alias("attempt"))
-
-    first = F.struct(*[F.col(lv).alias(lv) for lv in ALL_LEVERS], F.lit(0).alias("attempt"))
-    attempts = F.transform(F.sequence(F.lit(1), F.lit(MAX_REDRAWS)), redraw)
-    valid_redraws = F.filter(attempts, lambda st: is_valid(res, lambda k: st[k]))
-    chosen = F.when(is_valid(res, lambda k: F.col(k)), first).otherwise(
-        F.coalesce(F.get(valid_redraws, 0), F.get(attempts, MAX_REDRAWS - 1)))
-    return s.select(res, sim, chosen.alias("c")).select(
-        "reservoir_id", "sim_id", F.col("c.attempt").alias("attempt"),
-        *[F.col(f"c.{lv}").alias(lv) for lv in ALL_LEVERS])
+    def redraw(lever: str, a: Column) -> Column:
+        lo, hi = F.col(f"{lever}_lo"), F.col(f"{lever}_hi")
+        u = hash_uniform(seed, res, F.lit(lever), "redraw", a, sim)
+        return F.when(lo.isNotNull(), lo + u * (hi - lo))
+
+    attempt = F.when(is_valid(res, lambda k: F.col(k)), F.lit(0))
+    for a in range(1, UNROLLED_ATTEMPTS + 1):
+        attempt = attempt.when(is_valid(res, lambda k, a=a: redraw(k, F.lit(a))), F.lit(a))
+    # rows still invalid after the unrolled attempts (rare): scan the rest in order
+    rest = F.filter(F.sequence(F.lit(UNROLLED_ATTEMPTS + 1), F.lit(MAX_REDRAWS - 1)),
+                    lambda a: is_valid(res, lambda k: redraw(k, a)))
+    attempt = attempt.otherwise(F.coalesce(F.get(rest, 0), F.lit(MAX_REDRAWS)))
+    s = s.withColumn("attempt", attempt)
+    chosen = [F.when(F.col("attempt") == 0, F.col(lv)).otherwise(redraw(lv, F.col("attempt"))).alias(lv)
+              for lv in ALL_LEVERS]
+    return s.select("reservoir_id", "sim_id", "attempt", *chosen)
 
 
 def with_dependent_levers(levers: DataFrame) -> DataFrame:
