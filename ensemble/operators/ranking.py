@@ -30,11 +30,16 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 65_536
 
 
-def buckets_for(df: DataFrame, partition_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Bucket count for the largest group (one small aggregation, one scalar back)."""
-    part = list(partition_cols)
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the largest group (one small aggregation, one scalar back)."""
+    part = list(group_cols)
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")) if part else df.agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    return int(sizes.agg(F.max("n")).first()[0] or 0)
+
+
+def buckets_for(df: DataFrame, partition_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bucket count so that the largest group's buckets fit one task each."""
+    largest = largest_group(df, partition_cols)
     return int(max(1, min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))))
 
 
@@ -94,12 +99,26 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
 
     ``running_sums`` maps output -> input column (inclusive running sum);
     ``previous`` maps output -> input column (value of the row before, NULL on
-    the first row of the group). The first order column must be numeric; chunks
-    are equal-width ranges of it, as many per group as its size needs.
+    the first row of the group). The size of the largest group is checked
+    first: when it fits ``rows_per_chunk`` a plain window is used; otherwise
+    every group is cut into chunks — equal-width ranges of the first (numeric)
+    order column, as many per group as its size needs.
     """
     running_sums = dict(running_sums or {})
     previous = dict(previous or {})
     group = list(group_cols)
+    if largest_group(df, group) <= rows_per_chunk:
+        # every group fits one task: a plain window (one shuffle) is enough
+        w = Window.partitionBy(*group).orderBy(*[F.col(c) for c in order_cols])
+        out = df
+        if index_col:
+            out = out.withColumn(index_col, (F.row_number().over(w) - 1).cast("long"))
+        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for o, src in running_sums.items():
+            out = out.withColumn(o, F.sum(src).over(w_run))
+        for o, src in previous.items():
+            out = out.withColumn(o, F.lag(src).over(w))
+        return out
     t = F.col(order_cols[0])
     stats = df.groupBy(*group).agg(
         F.min(t).alias("__tmin"), F.max(t).alias("__tmax"), F.count(F.lit(1)).alias("__cnt"))
