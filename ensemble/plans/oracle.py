@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from ..functions.units import VECTOR_COLUMNS
-from ..schemas import ALL_LEVERS, SUMMARY_KEYS, TRAJECTORY_COLUMNS
+from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, CUMULATIVE_COLUMNS, FEATURES, LEAKAGE_COLUMNS,
+                       PVDG, PVT_ANCHOR_PSI, PVTO_SATURATED, SUMMARY_KEYS, TARGET, TRAJECTORY_COLUMNS,
+                       ZERO_VARIANCE_COLUMNS)
+from ..sources.reference import EQUIL_RECORDS, GRID_PROPERTIES, GROUP_INJECTION_RECORDS, PVTO_RECORDS
 from .common import round_sql
-from .oracle_base import base_ctes, d
+from .oracle_base import base_ctes, bg_sql, bo_sql, d, hu, interp_sql, rs_sql
 
 ORACLE: dict[str, str] = {}
 LEVERS = " ".join(ALL_LEVERS)
@@ -104,11 +107,6 @@ sql("union_reservoirs",
 
 
 # --- PVT and lookups -------------------------------------------------------------
-from ..schemas import (CORRELATION_COLUMNS, FEATURES, LEAKAGE_COLUMNS, PVDG, PVT_ANCHOR_PSI,  # noqa: E402
-                       PVTO_SATURATED, TARGET, ZERO_VARIANCE_COLUMNS, CUMULATIVE_COLUMNS)
-from ..sources.reference import (EQUIL_RECORDS, GROUP_INJECTION_RECORDS, PVTO_RECORDS,  # noqa: E402
-                                 GRID_PROPERTIES)
-from .oracle_base import bg_sql, bo_sql, hu, interp_sql, rs_sql  # noqa: E402
 
 TP = "tp AS (SELECT reservoir_id, sim_id, step, Presion_Reservorio_psi AS p FROM traj)"
 TPS = TP + ",\ntps AS (SELECT t.*, f.pvt_shift FROM tp t JOIN runf f ON t.reservoir_id = f.reservoir_id AND t.sim_id = f.sim_id)"
@@ -209,7 +207,6 @@ sql("apply_scenario",
     "base value", ",\n".join([INJ, PROD, EQ, MUL, PV, GI]))
 
 # --- text --------------------------------------------------------------------------
-_BR = r"'\r\n|\r|\n'".replace("\\r", "\r").replace("\\n", "\n")
 SEC = rf"""
 cl AS (
   SELECT conv_id, turn, role, string_split_regex(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS parts

@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
-from ..operators import features, runlog, sampling
-from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
+from ..functions import pvt as pvt_fn
+from ..functions.interp import interp, segment_index
+from ..operators import explore, features, metrics, quality, runlog, sampling, splits, text, wells
+from ..operators import scenarios as rules
+from ..operators.ranking import global_rank
+from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
+                       TRAJECTORY_COLUMNS)
 from ..sources import files, testdata
+from ..sources.reference import pvt_tables
 from ..sources.reference import reservoir_dim as dim_table
 from . import datasets as D
 from .common import rounded
@@ -161,12 +167,6 @@ def union_reservoirs(spark, sf):
 
 # --- PVT and lookups ----------------------------------------------------------
 
-from ..functions import pvt as pvt_fn  # noqa: E402
-from ..functions.interp import interp, segment_index  # noqa: E402
-from ..operators import explore, metrics, quality, scenarios as rules, splits, text, wells  # noqa: E402
-from ..schemas import (CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET)  # noqa: E402
-from ..sources.reference import pvt_tables  # noqa: E402
-from ..operators.ranking import global_rank  # noqa: E402
 
 STEP_KEY = RUN_KEY + ["step"]
 
