@@ -22,11 +22,16 @@ def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
 
 
 def median_by_step(df: DataFrame, cols: Sequence[str] = (TARGET, *CUMULATIVE_COLUMNS),
-                   group_cols: Sequence[str] = ("reservoir_id", "step")) -> DataFrame:
-    """Median over runs at each step of each column (exact, interpolated)."""
+                   group_cols: Sequence[str] = ("reservoir_id", "step"), exact: bool = True) -> DataFrame:
+    """Median over runs at each step of each column (exact and interpolated, or
+    ``exact=False``: one pass of ``percentile_approx`` with bounded memory)."""
+    if not exact:
+        return df.groupBy(*group_cols).agg(
+            *[F.percentile_approx(F.col(c), 0.5, 10_000).alias(c) for c in cols])
     long = unpivot(df, list(group_cols), cols)
     med = exact_quantiles(long, [*group_cols, "column"], "value", [0.5])
-    return (med.groupBy(*group_cols).pivot("column", list(cols)).agg(F.first("value")))
+    return med.groupBy(*group_cols).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in cols])
 
 
 def quantile_band_by_step(df: DataFrame, col: str = TARGET, probs: Sequence[float] = (0.05, 0.5, 0.95),
@@ -35,7 +40,8 @@ def quantile_band_by_step(df: DataFrame, col: str = TARGET, probs: Sequence[floa
     The compact form of drawing every run's trajectory for large ensembles."""
     q = exact_quantiles(df.select(*group_cols, F.col(col).cast("double").alias("__x")),
                         list(group_cols), "__x", list(probs))
-    return q.groupBy(*group_cols).pivot("q", [float(p) for p in probs]).agg(F.first("value"))
+    return q.groupBy(*group_cols).agg(
+        *[F.max(F.when(F.col("q") == float(p), F.col("value"))).alias(str(float(p))) for p in probs])
 
 
 def weighted_mean(df: DataFrame, weight: str, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -45,15 +51,21 @@ def weighted_mean(df: DataFrame, weight: str, value: str, group_cols: Sequence[s
                                        F.sum(w).alias("total_weight"))
 
 
-def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 %, max per column (one row each)."""
+def describe_columns(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """count, mean, std (ddof 1), min, 25/50/75 %, max per column (one row each).
+    Quartiles are exact (distributed ranking) or, with ``exact=False``,
+    approximate from one aggregation pass."""
     long = unpivot(df, [], cols).where(F.col("value").isNotNull())
     base = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
-    qw = q.groupBy("column").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    qw = qw.select("column", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("p50"), F.col("`0.75`").alias("p75"))
+    if exact:
+        q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+        qw = q.groupBy("column").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(name)
+                                       for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    else:
+        qw = long.groupBy("column").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10_000).alias("__q")) \
+            .select("column", *[F.col("__q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
     return base.join(qw, "column", "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

@@ -143,7 +143,7 @@ def well_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.pmod(F.col("l_partkey"), F.lit(len(WELL_VECTORS))) + 1).cast("int"))
     well = F.format_string("W-%d", F.col("l_suppkey"))
     days = F.floor(micros_since(li, "l_shipdate", SHIP_ORIGIN) / F.lit(86_400_000_000))
-    date = F.date_format(F.date_add(F.lit(SHIP_ORIGIN[:10]).cast("date"), days.cast("int")), "yyyy-MM-dd")
+    date = F.date_add(F.lit(SHIP_ORIGIN[:10]).cast("date"), days.cast("int")).cast("string")  # ISO yyyy-MM-dd
     return li.select(
         F.concat(F.lit("run_"), F.col("l_linestatus")).alias("run"),
         F.concat_ws(":", vec, well).alias("key_well"),

@@ -75,3 +75,13 @@ def test_quantile_band(spark):
     df = spark.createDataFrame(rows, "reservoir_id string, sim_id long, step long, p double")
     b = explore.quantile_band_by_step(df, "p").first()
     assert (b["0.05"], b["0.5"], b["0.95"]) == (5.0, 50.0, 95.0)
+
+
+def test_approximate_paths_close_to_exact(spark):
+    rows = [("r", s, 0, float(v)) for s, v in enumerate(range(1001))]
+    df = spark.createDataFrame(rows, "reservoir_id string, sim_id long, step long, x double")
+    a = explore.median_by_step(df, ["x"], exact=False).first().x
+    e = explore.median_by_step(df, ["x"]).first().x
+    assert e == 500.0 and abs(a - e) <= 1.0
+    d = explore.describe_columns(df, ["x"], exact=False).first()
+    assert abs(d.p25 - 250.0) <= 1.0 and d["count"] == 1001
