@@ -58,7 +58,10 @@ def describe_columns(df: DataFrame, cols: Sequence[str], exact: bool = True) ->
     long = unpivot(df, [], cols).where(F.col("value").isNotNull())
     base = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+        F.stddev_samp("value").alias("__std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # equal values give exactly 0 (merged partial moments need not)
+    base = base.withColumn("std", F.when((F.col("min") == F.col("max")) & F.col("__std").isNotNull(), F.lit(0.0))
+                           .otherwise(F.col("__std"))).drop("__std")
     if exact:
         q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
         qw = q.groupBy("column").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(name)

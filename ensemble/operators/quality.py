@@ -117,9 +117,13 @@ def variance_audit(df: DataFrame, group_cols: Sequence[str] = ("reservoir_id",))
     long = df.select(*group_cols, F.inline(entries))
     reason = F.when(F.col("column").isin(LEAKAGE_COLUMNS), F.lit("PVT-derived from pressure (leakage)")) \
         .otherwise(F.lit("constant per reservoir (zero variance)"))
-    return (long.groupBy(*group_cols, "column").agg(F.var_samp("x").alias("variance"))
-            .select(*group_cols, "column", "variance", reason.alias("reason"),
-                    (F.col("variance") == 0).alias("zero_variance")))
+    # a constant column is detected exactly (min == max); merged partial
+    # variances of equal values can otherwise come out as 1e-26 instead of 0
+    agg = long.groupBy(*group_cols, "column").agg(
+        F.var_samp("x").alias("__var"), (F.min("x") == F.max("x")).alias("zero_variance"))
+    variance = F.when(F.col("zero_variance") & F.col("__var").isNotNull(), F.lit(0.0)).otherwise(F.col("__var"))
+    return agg.select(*group_cols, "column", variance.alias("variance"), reason.alias("reason"),
+                      F.coalesce(F.col("zero_variance"), F.lit(False)).alias("zero_variance"))
 
 
 def drift_report(a: DataFrame, b: DataFrame, features: Sequence[str]) -> DataFrame:

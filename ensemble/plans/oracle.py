@@ -279,8 +279,9 @@ sql("variance_audit",
     "SELECT reservoir_id, \"column\", variance, CASE WHEN \"column\" IN ("
     + ", ".join(f"'{c}'" for c in LEAKAGE_COLUMNS)
     + ") THEN 'PVT-derived from pressure (leakage)' ELSE 'constant per reservoir (zero variance)' END AS reason,"
-    " variance = 0 AS zero_variance FROM (" + " UNION ALL ".join(
-        f"SELECT reservoir_id, '{c}' AS \"column\", var_samp({c}) AS variance FROM traj GROUP BY reservoir_id"
+    " coalesce(variance = 0, false) AS zero_variance FROM (" + " UNION ALL ".join(
+        f"SELECT reservoir_id, '{c}' AS \"column\", CASE WHEN min({c}) = max({c}) AND var_samp({c}) IS NOT NULL"
+        f" THEN CAST(0 AS DOUBLE) ELSE var_samp({c}) END AS variance FROM traj GROUP BY reservoir_id"
         for c in LEAKAGE_COLUMNS + ZERO_VARIANCE_COLUMNS) + ") v", "variance")
 
 
@@ -309,7 +310,8 @@ sql("median_by_step",
 _desc_cols = [c for c in TRAJECTORY_COLUMNS if c != "reservoir_id"]
 DESC = f"dsl AS ({_long('traj', _desc_cols, name='column', value='value')})"
 sql("describe_columns",
-    "SELECT \"column\", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,"
+    "SELECT \"column\", count(value) AS count, avg(value) AS mean, CASE WHEN min(value) = max(value) AND stddev_samp(value) IS NOT NULL THEN CAST(0 AS DOUBLE)"
+    " ELSE stddev_samp(value) END AS std, min(value) AS min,"
     " quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75,"
     " max(value) AS max FROM dsl WHERE value IS NOT NULL GROUP BY \"column\"",
     "mean std min p25 p50 p75 max", DESC)
@@ -429,7 +431,7 @@ PRED = ("pred AS (SELECT l_returnflag AS reservoir_id, l_suppkey AS sim_id, l_or
 
 def _metrics_sql(src: str) -> str:
     return ("SELECT reservoir_id, count(*) AS n, avg(abs(y - y_pred)) AS mae, sqrt(avg((y - y_pred) * (y - y_pred))) AS rmse,"
-            " CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) * count(*) = 0 THEN"
+            " CASE WHEN count(*) < 2 THEN NULL WHEN min(y) = max(y) OR var_pop(y) * count(*) = 0 THEN"
             " (CASE WHEN sum((y - y_pred) * (y - y_pred)) = 0 THEN 1.0 ELSE 0.0 END)"
             " ELSE 1.0 - sum((y - y_pred) * (y - y_pred)) / (var_pop(y) * count(*)) END AS r2,"
             f" CASE WHEN avg(y) = 0 THEN NULL ELSE avg(abs(y - y_pred)) / avg(y) END AS mae_over_mean FROM {src} GROUP BY reservoir_id")
@@ -461,7 +463,7 @@ sql("metrics_report",
     "", BASE + f",\ntm AS ({_metrics_sql('pte')})")
 
 PSM = PRED + ",\npsm AS (SELECT reservoir_id, sim_id, count(*) AS n, avg(abs(y - y_pred)) AS mae," \
-    " CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) * count(*) = 0 THEN" \
+    " CASE WHEN count(*) < 2 THEN NULL WHEN min(y) = max(y) OR var_pop(y) * count(*) = 0 THEN" \
     " (CASE WHEN sum((y - y_pred) * (y - y_pred)) = 0 THEN 1.0 ELSE 0.0 END)" \
     " ELSE 1.0 - sum((y - y_pred) * (y - y_pred)) / (var_pop(y) * count(*)) END AS r2," \
     " min(y) AS y_min, max(y) AS y_max FROM pred GROUP BY reservoir_id, sim_id)"
