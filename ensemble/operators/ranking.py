@@ -2,10 +2,12 @@
 
 A window ``partitionBy(sim).orderBy(t)`` puts a whole simulation in one task;
 if one simulation holds a third of all rows that task holds a third of the
-data. Both helpers here split each group into ordered chunks, compute per-chunk
-totals on a small table, take exclusive prefix sums over those totals, join
-them back and finish with a window over (group, chunk) only. Results are exact
-and equal to the plain window: chunks are contiguous ranges of the order key.
+data. The helpers here first check the size of the largest group (one small
+aggregation); when it exceeds what one task should sort, they split each group
+into ordered chunks or buckets, compute per-chunk totals on a small table, take
+exclusive prefix sums over those totals, join them back and finish with a
+window over (group, chunk) only. Results are exact and equal to the plain
+window: chunks are contiguous ranges of the order key.
 """
 
 from __future__ import annotations
