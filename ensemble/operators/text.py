@@ -82,3 +82,19 @@ def line_count(text_col: str) -> Column:
     body = normalized_lines(F.col(text_col))
     breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
     return F.when(F.col(text_col) == "", F.lit(0)).otherwise(breaks + 1)
+
+
+def failure_log(stdout_col: str, stderr_col: str, n: int = 300) -> Column:
+    """The persisted log of a failed run: the last ``n`` lines of stdout and of
+    stderr under their headers."""
+    return F.concat(F.lit("=== STDOUT (tail) ===\n"), tail_lines(stdout_col, n),
+                    F.lit("\n\n=== STDERR (tail) ===\n"), tail_lines(stderr_col, n), F.lit("\n"))
+
+
+def failure_logs(outcomes: DataFrame, n: int = 300) -> DataFrame:
+    """(reservoir_id, sim_id, log) for runs that did not succeed, from
+    (reservoir_id, sim_id, ok, stdout, stderr); NULL streams count as empty."""
+    o = outcomes.where(~F.col("ok")).select(
+        "reservoir_id", "sim_id", F.coalesce(F.col("stdout"), F.lit("")).alias("__out"),
+        F.coalesce(F.col("stderr"), F.lit("")).alias("__err"))
+    return o.select("reservoir_id", "sim_id", failure_log("__out", "__err", n).alias("log"))

@@ -70,3 +70,10 @@ def union_datasets(parts: list[DataFrame]) -> DataFrame:
     if not parts:
         raise ValueError("no datasets to combine")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), parts)
+
+
+def read_keyword_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Keyword text files as (file, text), one row per file (``wholetext``), so
+    that line order within a file is kept; files are spread over tasks."""
+    df = spark.read.text(paths, wholetext=True)
+    return df.select(F.input_file_name().alias("file"), F.col("value").alias("text"))

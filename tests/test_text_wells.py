@@ -47,3 +47,16 @@ def test_well_key_filter_and_catalogue_union(spark):
     assert wide.WBHP == 1.0 and wide.WOPR == 3.0
     cmp = wells.run_comparison(v, ["r1", "r2"]).where("well = 'A' AND vector = 'WBHP'").first()
     assert cmp["r1"] == 1.0 and cmp["r2"] == 4.0
+
+
+def test_failure_log_and_keyword_files(spark, tmp_path):
+    from ensemble.sources import files
+    out = spark.createDataFrame([("spe9", 1, False, "a\nb\n", None), ("spe9", 2, True, "x", "y")],
+                                "reservoir_id string, sim_id long, ok boolean, stdout string, stderr string")
+    logs = text.failure_logs(out, 1).collect()
+    assert len(logs) == 1 and logs[0].log == "=== STDOUT (tail) ===\nb\n\n=== STDERR (tail) ===\n\n"
+    p = tmp_path / "deck.inc"
+    p.write_text(DECK)
+    kf = files.read_keyword_files(spark, str(p))
+    scanned = text.section_scan(text.text_lines(kf, "file", "text")).collect()
+    assert {r.section for r in scanned} == {"PVTO", "EQUIL"} and len(scanned) == 5
