@@ -51,10 +51,17 @@ def run_features(levers: DataFrame) -> DataFrame:
         F.col("area_m2").alias("Area"),
         units.bubble_point_psi(F.col("unit_system"), F.col("baseline_pb"),
                                F.col("pb_shift"), F.col("p_init_shift_bar")).alias("Presion_Burbuja_psi"),
-        units.pvt_shift(F.col("unit_system"), F.col("pb_shift")).alias("pvt_shift"),
+        checked_shift(units.pvt_shift(F.col("unit_system"), F.col("pb_shift"))).alias("pvt_shift"),
     )
 
 
+def checked_shift(shift):
+    """The PVT grid must keep rising: a shift at or below 14.7 - 400 psi would
+    move the first shifted node onto the anchor, so such a run fails the job."""
+    return F.when(pvt.shift_is_valid(shift), shift).otherwise(
+        F.raise_error(F.format_string("pb_shift %s would reorder the PVT grid", shift.cast("string"))))
+
+
 def normalize_units(wide: DataFrame) -> DataFrame:
     """Vector columns (deck units) + unit_system -> trajectory columns in FIELD units."""
     u = F.col("unit_system")

@@ -83,3 +83,17 @@ def test_null_pressure_gives_null(spark):
 def test_shifted_grid_keeps_anchor(spark):
     g = spark.range(1).select(pvt.shifted_grid_array(F.lit(-300.0))).first()[0]
     assert g[0] == 14.7 and g[1] == 100.0 and g[-1] == 3700.0
+
+
+def test_run_features_rejects_shift_crossing_anchor(spark):
+    from ensemble.operators.features import run_features
+    from ensemble.schemas import ALL_LEVERS
+    row = {k: None for k in ALL_LEVERS}
+    row.update(k_mult=1.0, phi_mult=1.0, pb_shift=-390.0)
+    df = spark.createDataFrame([("spe9", 1, *[row[k] for k in ALL_LEVERS])],
+                               "reservoir_id string, sim_id long, " + ", ".join(f"{k} double" for k in ALL_LEVERS))
+    with pytest.raises(Exception, match="reorder the PVT grid"):
+        run_features(df).collect()
+    row.update(pb_shift=-300.0)
+    ok = spark.createDataFrame([("spe9", 1, *[row[k] for k in ALL_LEVERS])], df.schema)
+    assert run_features(ok).first().pvt_shift == -300.0
