@@ -1,5 +1,8 @@
 """Per-well summary vectors across runs: catalogues, wide tables, run comparison.
 
+Wide tables are conditional aggregations over fixed key lists: one
+aggregation with map-side partial results, one shuffle.
+
 Input: long well vectors (run, key_well, days, date, value) with keys such as
 ``WBHP:C-4H`` (vector ``WBHP`` of well ``C-4H``).
 """
@@ -52,7 +55,8 @@ def filter_selection(vectors: DataFrame, wells: Sequence[str] | None = None,
 def well_wide(vectors: DataFrame, keys: Sequence[str] = DEFAULT_VECTORS) -> DataFrame:
     """One row per (run, well, days, date), one column per vector."""
     v = filter_selection(vectors, keys=keys)
-    return v.groupBy("run", "well", "days", "date").pivot("vector", list(keys)).agg(F.avg("value"))
+    return v.groupBy("run", "well", "days", "date").agg(
+        *[F.avg(F.when(F.col("vector") == k, F.col("value"))).alias(k) for k in keys])
 
 
 def run_comparison(vectors: DataFrame, runs: Sequence[str], keys: Sequence[str] = DEFAULT_VECTORS) -> DataFrame:
@@ -60,4 +64,5 @@ def run_comparison(vectors: DataFrame, runs: Sequence[str], keys: Sequence[str]
     (labels with ``_`` written as ``-``)."""
     v = filter_selection(vectors, keys=keys).withColumn("label", F.translate(F.col("run"), "_", "-"))
     labels = [r.replace("_", "-") for r in runs]
-    return v.groupBy("well", "vector", "days").pivot("label", labels).agg(F.avg("value"))
+    return v.groupBy("well", "vector", "days").agg(
+        *[F.avg(F.when(F.col("label") == lb, F.col("value"))).alias(lb) for lb in labels])
