@@ -22,6 +22,7 @@ _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 #: Bump when the derivation of a materialized table changes.
 DATASET_VERSION = "v1"
+MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -30,13 +31,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None) -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None,
+                 sort_by: tuple[str, ...] = ()) -> DataFrame:
     """A derived table written once to the shared checkpoint folder and read back.
 
     This is the dataset sink + scan of the batch: later analyses read Parquet
     (pruned columns, pushed filters, reservoir partitions) instead of re-running
     the derivation, and lineage is cut so a lost executor recomputes from files.
-    Reuse requires the ``_SUCCESS`` marker of a completed write.
+    Reuse requires the ``_SUCCESS`` marker of a completed write. ``sort_by``
+    sorts rows within each task before writing (no shuffle), so Parquet row
+    groups cover narrow key ranges and equality filters on those keys skip
+    most of them; files are capped at a fixed number of rows.
     """
     key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DATASET_VERSION}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-tables/{name}-{key}"
@@ -44,7 +49,10 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_b
         lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # one writer per table and process
         if not _exists(spark, f"{path}/_SUCCESS"):
-            w = build().write.mode("overwrite")
+            df = build()
+            if sort_by:
+                df = df.sortWithinPartitions(*sort_by)
+            w = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
             if partition_by:
                 w = w.partitionBy(partition_by)
             w.parquet(path)
@@ -79,7 +87,8 @@ def trajectory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written dataset (Parquet partitioned by reservoir), in schema order."""
-    t = materialized(spark, sf_dir, "trajectory", lambda: trajectory_plan(spark, sf_dir), "reservoir_id")
+    t = materialized(spark, sf_dir, "trajectory", lambda: trajectory_plan(spark, sf_dir), "reservoir_id",
+                     sort_by=("reservoir_id", "sim_id", "step"))
     return t.select(*TRAJECTORY_COLUMNS, "step")
 
 

@@ -49,7 +49,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     """
     if df.isEmpty():
         return False
-    w = df.write.mode(mode).partitionBy("reservoir_id")
+    w = df.write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy("reservoir_id")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
