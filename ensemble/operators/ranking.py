@@ -39,10 +39,13 @@ def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
     return int(sizes.agg(F.max("n")).first()[0] or 0)
 
 
+def buckets_for_size(largest: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    return int(max(1, min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))))
+
+
 def buckets_for(df: DataFrame, partition_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Bucket count so that the largest group's buckets fit one task each."""
-    largest = largest_group(df, partition_cols)
-    return int(max(1, min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))))
+    return buckets_for_size(largest_group(df, partition_cols), rows_per_bucket)
 
 
 def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
