@@ -31,13 +31,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None,
-                 sort_by: tuple[str, ...] = ()) -> DataFrame:
-    """A derived table written once to the shared checkpoint folder and read back.
+def materialize(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None,
+                sort_by: tuple[str, ...] = ()) -> str:
+    """Write a derived table once to the shared checkpoint folder; return its path.
 
-    This is the dataset sink + scan of the batch: later analyses read Parquet
-    (pruned columns, pushed filters, reservoir partitions) instead of re-running
-    the derivation, and lineage is cut so a lost executor recomputes from files.
+    This is the dataset sink of the batch: later analyses read Parquet (pruned
+    columns, pushed filters, reservoir partitions) instead of re-running the
+    derivation, and lineage is cut so a lost executor recomputes from files.
     Reuse requires the ``_SUCCESS`` marker of a completed write. ``sort_by``
     sorts rows within each task before writing (no shuffle), so Parquet row
     groups cover narrow key ranges and equality filters on those keys skip
@@ -56,7 +56,12 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_b
             if partition_by:
                 w = w.partitionBy(partition_by)
             w.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None,
+                 sort_by: tuple[str, ...] = ()) -> DataFrame:
+    return spark.read.parquet(materialize(spark, sf_dir, name, build, partition_by, sort_by))
 
 
 def scenarios_plan(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
@@ -85,13 +90,21 @@ def trajectory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios(spark, sf_dir), ok)
 
 
+def trajectory_path(spark: SparkSession, sf_dir: str) -> str:
+    return materialize(spark, sf_dir, "trajectory", lambda: trajectory_plan(spark, sf_dir), "reservoir_id",
+                       sort_by=("reservoir_id", "sim_id", "step"))
+
+
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written dataset (Parquet partitioned by reservoir), in schema order."""
-    t = materialized(spark, sf_dir, "trajectory", lambda: trajectory_plan(spark, sf_dir), "reservoir_id",
-                     sort_by=("reservoir_id", "sim_id", "step"))
-    return t.select(*TRAJECTORY_COLUMNS, "step")
+    return spark.read.parquet(trajectory_path(spark, sf_dir)).select(*TRAJECTORY_COLUMNS, "step")
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.run_log(classified_runs(spark, sf_dir), scenarios(spark, sf_dir),
                           trajectory(spark, sf_dir))
+
+
+def run_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """The run log written next to the dataset (the batch's second sink)."""
+    return materialize(spark, sf_dir, "run_log", lambda: run_log(spark, sf_dir))

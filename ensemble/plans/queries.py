@@ -2,7 +2,8 @@
 
 Every query reads the test tables of ``sf_dir`` (through the bindings of
 :mod:`ensemble.sources.testdata`) and runs over all of their rows.
-Double columns are rounded to 6 decimals so that engines can be compared.
+Double columns are rounded to 10 significant digits so that engines can be
+compared (see :mod:`ensemble.plans.common`).
 """
 
 from __future__ import annotations
@@ -44,14 +45,16 @@ def query(fn: Query) -> Query:
 
 @query
 def scan_trajectory(spark, sf):
-    """The converged dataset in its 19-column schema order (NaN read as NULL)."""
-    return files.nan_to_null(D.trajectory(spark, sf).select(*TRAJECTORY_COLUMNS))
+    """The written dataset read back with the explicit 19-column schema (never
+    inferred; NaN read as NULL)."""
+    return files.read_trajectory(spark, D.trajectory_path(spark, sf)).select(*TRAJECTORY_COLUMNS)
 
 
 @query
 def scan_run_log(spark, sf):
-    """Run log of all reservoirs in one table; levers a reservoir lacks are NULL."""
-    return files.nan_to_null(D.run_log(spark, sf))
+    """The written run log of all reservoirs read back with the run-log schema;
+    levers a reservoir lacks are NULL."""
+    return files.read_run_log(spark, D.run_log_path(spark, sf), fmt="parquet")
 
 
 @query
