@@ -142,3 +142,10 @@ def drift_report(a: DataFrame, b: DataFrame, features: Sequence[str]) -> DataFra
     return rb.select("feature", "min_a", "max_a", "min_b", "max_b",
                      ((F.col("min_b") < F.col("min_a")) | (F.col("max_b") > F.col("max_a"))).alias("out_of_range"),
                      "share_out")
+
+
+def exit_status(findings: DataFrame) -> int:
+    """Process exit status of a validation run: 2 when any check failed, else 0
+    (one scalar back to the driver)."""
+    failed = findings.agg(F.count_if(~F.col("passed")).alias("n")).first()["n"]
+    return 2 if failed else 0

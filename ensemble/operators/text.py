@@ -16,7 +16,6 @@ from .ranking import ordered_scan
 
 #: A keyword header line: an upper-case word alone on its line.
 KEYWORD_PATTERN = r"^[A-Z][A-Z0-9]*$"
-#: Line separators recognised: ``\r\n``, ``\r`` and ``\n``.
 
 
 def strip(c: Column) -> Column:

@@ -30,6 +30,8 @@ def findings(df, n):
 def test_clean_dataset_passes(spark):
     f = findings(make(spark), 3)
     assert all(r.passed for r in f.values())
+    assert quality.exit_status(quality.validate_dataset(make(spark), 3)) == 0
+    assert quality.exit_status(quality.validate_dataset(make(spark, p_span=10.0), 3)) == 2
 
 
 def test_empty_short_circuits(spark):
