@@ -171,11 +171,13 @@ stp AS (
          CASE WHEN event_type = 'view' THEN value ELSE {d(0)} END AS FOPR,
          CASE WHEN event_type = 'click' THEN value ELSE {d(0)} END AS FGPR,
          CASE WHEN event_type = 'purchase' THEN value ELSE {d(0)} END AS FWIR,
-         CASE WHEN event_type = 'signup' THEN value ELSE {d(0)} END AS WPROD
+         CASE WHEN event_type = 'signup' THEN value ELSE {d(0)} END AS WPROD,
+         CASE WHEN event_type = 'purchase' THEN value WHEN event_type = 'error' THEN value * {d(-0.01)}
+              ELSE {d(0)} END AS WINJ
   FROM ev e JOIN dim dm ON e.reservoir_id = dm.reservoir_id),
 cum AS (
   SELECT *, sum(FOPR) OVER ({w}) AS FOPT, sum(FGPR) OVER ({w}) AS FGPT,
-         sum(WPROD) OVER ({w}) AS FWPT, sum(FWIR) OVER ({w}) AS FWIT
+         sum(WPROD) OVER ({w}) AS FWPT, sum(WINJ) OVER ({w}) AS FWIT
   FROM stp),
 vec AS (SELECT reservoir_id, sim_id, step, unit_system, {vec_cols} FROM cum),
 runf AS (

@@ -9,7 +9,8 @@ derived from the parquet test tables by Spark, and grows with them:
   2024-01-01; pressure is ``6000 - 12.5 * value`` psi (stored in the deck's
   unit); rates are the event value routed by type (view: oil, click: gas,
   purchase: water injection, signup: water production) and cumulatives are
-  their running sums;
+  their running sums, except that an ``error`` event books a correction of
+  -1 % of its value on cumulative water injected (so that cumulative can fall);
 * a run fails by exit code when ``pmod(sim_id, 11) = 0``, by time-out when
   ``pmod(sim_id, 23) = 5`` and by an exception when ``pmod(sim_id, 29) = 7``;
 * scenario levers come from :func:`lhs_sample` + :func:`lhs_rejection`.
@@ -32,6 +33,9 @@ SEED = 42
 TIME_ORIGIN = "2024-01-01 00:00:00"
 #: Event type -> rate vector it feeds.
 RATE_OF_EVENT = {"view": "FOPR", "click": "FGPR", "purchase": "FWIR", "signup": "WATER_PROD"}
+#: An ``error`` event books a reporting correction of -1 % of its value on the
+#: cumulative water injected (so cumulatives can fall, as simulator output can).
+CORRECTION_EVENT, CORRECTION_SHARE = "error", -0.01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,9 +106,12 @@ def summary_vectors(spark: SparkSession, sf_dir: str, rows_per_chunk: int = 1_00
     ev = event_rows(spark, sf_dir)
     for etype, vec in RATE_OF_EVENT.items():
         ev = ev.withColumn(vec, F.when(F.col("event_type") == etype, F.col("value")).otherwise(F.lit(0.0)))
+    ev = ev.withColumn("WATER_INJ_BOOKED", F.when(F.col("event_type") == "purchase", F.col("value"))
+                       .when(F.col("event_type") == CORRECTION_EVENT, F.col("value") * F.lit(CORRECTION_SHARE))
+                       .otherwise(F.lit(0.0)))
     ev = ordered_scan(
         ev, ["reservoir_id", "sim_id"], ["tiempo_dias", "event_id"], index_col="step",
-        running_sums={"FOPT": "FOPR", "FGPT": "FGPR", "FWIT": "FWIR", "FWPT": "WATER_PROD"},
+        running_sums={"FOPT": "FOPR", "FGPT": "FGPR", "FWIT": "WATER_INJ_BOOKED", "FWPT": "WATER_PROD"},
         rows_per_chunk=rows_per_chunk,
     )
     dim = reservoir_dim(spark).select("reservoir_id", "unit_system")
