@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pvt, units
 from ..schemas import SUMMARY_KEYS, TRAJECTORY_COLUMNS
-from ..sources.reference import reservoir_dim
+from ..sources.dimensions import reservoir_dim
 from .ranking import ordered_scan
 
 RUN_KEY = ["reservoir_id", "sim_id"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
 from ..schemas import ALL_LEVERS, RESERVOIRS, SPE9_PB_MARGIN_PSI, THROTTLE_RATIO
-from ..sources.reference import lever_ranges, reservoir_dim
+from ..sources.dimensions import lever_ranges, reservoir_dim
 from .ranking import buckets_for_size, global_rank
 
 MAX_REDRAWS = 50

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PVT_ANCHOR_PSI
-from ..sources.reference import GRID_PROPERTIES, control_table
+from ..sources.dimensions import GRID_PROPERTIES, control_table
 from .sampling import with_dependent_levers
 
 RUN_KEY = ["reservoir_id", "sim_id"]

@@ -6,7 +6,7 @@ from ..functions.units import VECTOR_COLUMNS
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, CUMULATIVE_COLUMNS, FEATURES, LEAKAGE_COLUMNS,
                        PVDG, PVT_ANCHOR_PSI, PVTO_SATURATED, SUMMARY_KEYS, TARGET, TRAJECTORY_COLUMNS,
                        ZERO_VARIANCE_COLUMNS)
-from ..sources.reference import EQUIL_RECORDS, GRID_PROPERTIES, GROUP_INJECTION_RECORDS, PVTO_RECORDS
+from ..sources.dimensions import EQUIL_RECORDS, GRID_PROPERTIES, GROUP_INJECTION_RECORDS, PVTO_RECORDS
 from .common import round_sql
 from .oracle_base import base_ctes, bg_sql, bo_sql, d, hu, interp_sql, rs_sql
 

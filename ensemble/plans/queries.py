@@ -22,8 +22,8 @@ from ..operators.ranking import global_rank
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
                        TRAJECTORY_COLUMNS)
 from ..sources import files, testdata
-from ..sources.reference import pvt_tables
-from ..sources.reference import reservoir_dim as dim_table
+from ..sources.dimensions import pvt_tables
+from ..sources.dimensions import reservoir_dim as dim_table
 from . import datasets as D
 from .common import rounded
 

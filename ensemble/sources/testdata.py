@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..schemas import BAR_TO_PSI, RESERVOIR_ORDER, SUMMARY_KEYS
 from ..operators.ranking import ordered_scan
 from ..operators.text import normalized_lines
-from .reference import reservoir_dim
+from .dimensions import reservoir_dim
 
 SEED = 42
 TIME_ORIGIN = "2024-01-01 00:00:00"

@@ -64,7 +64,7 @@ def test_binned_2d_counts_everything(spark):
 
 def test_weighted_mean_layer_porosity(spark):
     from ensemble.schemas import RESERVOIRS
-    from ensemble.sources.reference import layers
+    from ensemble.sources.dimensions import layers
     r = explore.weighted_mean(layers(spark), "thickness_ft", "porosity").first()
     assert r.weighted_mean == pytest.approx(RESERVOIRS["spe9"]["baseline_porosity"])
     assert r.total_weight == 359.0 and r.weighted_mean == pytest.approx(47.091 / 359)

@@ -70,7 +70,7 @@ def test_multipliers_rounded(spark):
 
 def test_hit_count_assertion_fails_job(spark, monkeypatch):
     import ensemble.operators.scenarios as mod
-    from ensemble.sources import reference
+    from ensemble.sources import dimensions as reference
     monkeypatch.setattr(reference, "PRODUCER_RECORDS", reference.PRODUCER_RECORDS[:2])
     monkeypatch.setattr(mod, "control_table", reference.control_table)
     with pytest.raises(Exception, match="producer caps"):
