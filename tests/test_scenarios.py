@@ -75,3 +75,14 @@ def test_hit_count_assertion_fails_job(spark, monkeypatch):
     monkeypatch.setattr(mod, "control_table", reference.control_table)
     with pytest.raises(Exception, match="producer caps"):
         rules.apply_producer_cap(scen(spark, [("spe9", 1, SPE9)])).collect()
+
+
+def test_multipliers_applied_to_grid_cells(spark):
+    from ensemble.sources.dimensions import control_table
+    s = scen(spark, [("spe9", 1, SPE9), ("spe9", 2, dict(SPE9, k_mult=2.0, phi_mult=1.0))])
+    cells = rules.apply_multipliers_to_grid(control_table(spark, "grid"), s).collect()
+    assert len(cells) == 2 * 15 * 4
+    poro = {(r.sim_id, r.cell): r.value for r in cells if r.prop == "PORO"}
+    assert poro[(1, 1)] == pytest.approx(0.087 * 0.91235) and poro[(2, 15)] == pytest.approx(0.157)
+    perm = {r.sim_id: r.value for r in cells if r.prop == "PERMZ" and r.cell == 3}
+    assert perm[2] == pytest.approx(108.07 * 2.0)
