@@ -34,14 +34,42 @@ def read_trajectory(spark: SparkSession, path: str, fmt: str = "parquet",
     return nan_to_null(reader.parquet(path))
 
 
-def read_run_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Run logs of any reservoirs; columns a file lacks are NULL (by name)."""
+def read_run_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A run log with the full run-log schema (Parquet, or CSV whose header
+    carries every run-log column)."""
     reader = spark.read.schema(RUN_LOG)
     if fmt == "csv":
         return nan_to_null(reader.option("header", True).option("enforceSchema", False).csv(path))
     return nan_to_null(reader.parquet(path))
 
 
+def read_run_logs_csv(spark: SparkSession, logs: dict[str, str]) -> DataFrame:
+    """Per-reservoir CSV run logs ``{reservoir_id: path}`` whose headers differ
+    (each reservoir has its own levers) as one table in the run-log schema:
+    columns are matched by name, cast to their type, and a column a file lacks
+    is NULL. Values are read as text first, so nothing is inferred."""
+    parts = []
+    for reservoir, path in logs.items():
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        have = set(raw.columns)
+        cols = []
+        for f in RUN_LOG.fields:
+            if f.name == "reservoir_id":
+                cols.append(F.lit(reservoir).alias(f.name))
+            elif f.name in have:
+                src = F.col(f.name)
+                if isinstance(f.dataType, T.BooleanType):
+                    cols.append(F.lower(src).isin("true", "1").alias(f.name))
+                elif isinstance(f.dataType, T.StringType):
+                    cols.append(F.coalesce(src, F.lit("")).alias(f.name))
+                else:
+                    cols.append(src.try_cast(f.dataType).alias(f.name))
+            else:
+                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        parts.append(raw.select(*cols))
+    return nan_to_null(union_datasets(parts))
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> bool:
     """Write a trajectory dataset partitioned by reservoir; an empty one is skipped.
 

@@ -14,3 +14,19 @@ def test_csv_round_trip_with_schema_and_nan(spark):
     assert back.sim_id == 7 and back.reservoir_id == "spe9" and back.Presion_Reservorio_psi is None
     assert not files.write_dataset(df.where("false"), out + "/empty")
     assert not math.isnan(back.Porosidad)
+
+
+def test_run_logs_with_different_levers_read_together(spark, tmp_path):
+    a = tmp_path / "runs_log_a.csv"
+    a.write_text("sim_id,ok,error,runtime_s,qwinj_rate,k_mult,fpr_min_psi,fpr_max_psi,fpr_range_psi\n"
+                 "1,True,,24.5,4000.0,1.1,1550.2,3000.0,1449.8\n2,False,docker exit 1,3.0,5000.0,0.9,,,\n")
+    b = tmp_path / "runs_log_b.csv"
+    b.write_text("sim_id,ok,error,runtime_s,k_mult,p_init_shift_bar,fpr_min_psi,fpr_max_psi,fpr_range_psi\n"
+                 "1,True,,265.9,1.2,-3.5,3346.5,4345.7,999.2\n")
+    log = files.read_run_logs_csv(spark, {"spe9": str(a), "norne": str(b)})
+    rows = {(r.reservoir_id, r.sim_id): r for r in log.collect()}
+    assert len(rows) == 3
+    assert rows[("spe9", 1)].qwinj_rate == 4000.0 and rows[("spe9", 1)].p_init_shift_bar is None
+    assert rows[("norne", 1)].p_init_shift_bar == -3.5 and rows[("norne", 1)].qwinj_rate is None
+    assert rows[("spe9", 2)].ok is False and rows[("spe9", 2)].fpr_min_psi is None
+    assert rows[("spe9", 2)].error == "docker exit 1" and rows[("spe9", 1)].error == ""
