@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ensemble.functions.interp import interp
-from ensemble.operators.ranking import exact_quantiles, global_rank
+from ensemble.operators.ranking import exact_quantiles, global_rank, ordered_scan
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 finite = st.floats(min_value=-1e4, max_value=1e4, allow_nan=False, allow_infinity=False)
@@ -41,3 +41,20 @@ def test_global_rank_total_order(spark, values, buckets):
     got = {r.id: r.r for r in global_rank(df, "v", ["id"], rank_col="r", buckets=buckets).collect()}
     expected = {i: k for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert got == expected
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(-5, 5)), min_size=1, max_size=80),
+       chunk=st.sampled_from([1, 2, 5, 1000]))
+def test_ordered_scan_equals_brute_force(spark, rows, chunk):
+    data = [(g, float(t), i, float(v)) for i, (g, t, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "g long, t double, id long, v double")
+    got = {r.id: r for r in ordered_scan(df, ["g"], ["t", "id"], index_col="k", running_sums={"cs": "v"},
+                                         previous={"pv": "v"}, rows_per_chunk=chunk).collect()}
+    for g in {r[0] for r in data}:
+        seq = sorted((r for r in data if r[0] == g), key=lambda r: (r[1], r[2]))
+        total, prev = 0.0, None
+        for k, (_, _, i, v) in enumerate(seq):
+            total += v
+            assert got[i].k == k and got[i].cs == total and got[i].pv == prev
+            prev = v
