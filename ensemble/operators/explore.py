@@ -130,7 +130,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         g = cen.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s_{i}_{j}") for i, j in pairs]).first()
         sums = [(i, j, g[f"s_{i}_{j}"], g[f"s_{i}_{i}"], g[f"s_{j}_{j}"], 0.0, 0.0, st["rows"]) for i, j in pairs]
         sums_df = spark.createDataFrame(
-            sums, "i int, j int, sab double, saa double, sbb double, sa double, sb double, n long")
+            sums, "i int, j int, sab double, saa double, sbb double, sa double, sb double, n long") \
+            .withColumn("pair_varies", F.lit(True))
     else:
         recs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
                                   F.col(cols[i]).alias("a"), F.col(cols[j]).alias("b")) for i, j in pairs])
@@ -141,7 +142,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.sum(F.when(both, F.col("b") * F.col("b"))).alias("sbb"),
             F.sum(F.when(both, F.col("a"))).alias("sa"),
             F.sum(F.when(both, F.col("b"))).alias("sb"),
-            F.count_if(both).alias("n"))
+            F.count_if(both).alias("n"),
+            # a pair is undefined when either side is constant on the shared rows
+            ((F.min(F.when(both, F.col("a"))) < F.max(F.when(both, F.col("a"))))
+             & (F.min(F.when(both, F.col("b"))) < F.max(F.when(both, F.col("b"))))).alias("pair_varies"))
     names = F.array(*[F.lit(c) for c in cols])
     varies = F.array(*[F.lit(bool(st[f"v_{c}"])) for c in cols])
     n = F.col("n")
@@ -149,7 +153,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cab = F.col("sab") - F.col("sa") * F.col("sb") / n
     caa = F.col("saa") - F.col("sa") * F.col("sa") / n
     cbb = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    ok = (n > 1) & F.get(varies, F.col("i")) & F.get(varies, F.col("j")) & (caa > 0) & (cbb > 0)
+    ok = (n > 1) & F.get(varies, F.col("i")) & F.get(varies, F.col("j")) & F.coalesce(F.col("pair_varies"), F.lit(False)) \
+        & (caa > 0) & (cbb > 0)
     r = F.when(ok, F.try_divide(cab, F.sqrt(caa * cbb)))
     per_pair = sums_df.select(F.get(names, F.col("i")).alias("a_name"), F.get(names, F.col("j")).alias("b_name"),
                               r.alias("corr"))

@@ -58,3 +58,25 @@ def test_ordered_scan_equals_brute_force(spark, rows, chunk):
             total += v
             assert got[i].k == k and got[i].cs == total and got[i].pv == prev
             prev = v
+
+
+@SETTINGS
+@given(cols=st.lists(st.lists(st.one_of(st.none(), st.integers(-3, 3)), min_size=12, max_size=12),
+                     min_size=2, max_size=3))
+def test_correlation_pairwise_complete_matches_pandas(spark, cols):
+    import math
+
+    import pandas as pd
+    from ensemble.operators.explore import correlation_matrix
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = [tuple(None if c[r] is None else float(c[r]) for c in cols) for r in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = {(r.col_a, r.col_b): r.corr for r in correlation_matrix(df, names).collect()}
+    ref = pd.DataFrame(rows, columns=names, dtype="float64").corr()
+    for a in names:
+        for b in names:
+            e = ref.loc[a, b]
+            if math.isnan(e):
+                assert got[(a, b)] is None, (a, b)
+            else:
+                assert got[(a, b)] is not None and abs(got[(a, b)] - e) < 1e-9, (a, b, got[(a, b)], e)
