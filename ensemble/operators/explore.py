@@ -88,9 +88,15 @@ def histogram(long: DataFrame, group_cols: Sequence[str], value_col: str, bins:
         *group, "__n",
         F.when(F.col("__mn") == F.col("__mx"), F.col("__mn") - 0.5).otherwise(F.col("__mn")).alias("__lo"),
         F.when(F.col("__mn") == F.col("__mx"), F.col("__mx") + 0.5).otherwise(F.col("__mx")).alias("__hi"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
-    idx = F.least(F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(bins))),
-                  F.lit(bins - 1)).cast("int")
+    lo, hi = F.col("__lo"), F.col("__hi")
+    width = (hi - lo) / F.lit(float(bins))
+
+    def edge(k):  # numpy's linspace edges: k * width + lo, the last one exactly hi
+        return F.when(k >= bins, hi).otherwise(k * width + lo)
+    # numpy's bin index: scaled offset, then corrected against the edges
+    i0 = F.least(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1))
+    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
+    idx = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1).cast("int")
     # one row per group (groups are datasets, levers, features: bounded)
     joined = vals.join(F.broadcast(rng), group) if group else vals.crossJoin(F.broadcast(rng))
     binned = joined.groupBy(*group, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

@@ -327,8 +327,14 @@ hv AS (SELECT * FROM ({src}) s WHERE {x} IS NOT NULL AND NOT isnan({x})),
 hr0 AS (SELECT {g}, min({x}) AS mn, max({x}) AS mx, count(*) AS n FROM hv GROUP BY {g}),
 hr AS (SELECT {g}, n, CASE WHEN mn = mx THEN mn - {d(0.5)} ELSE mn END AS lo,
               CASE WHEN mn = mx THEN mx + {d(0.5)} ELSE mx END AS hi FROM hr0),
-hb AS (SELECT {gsel}, CAST(least(floor((v.{x} - r.lo) / (r.hi - r.lo) * {d(bins)}), {bins - 1}) AS BIGINT) AS bin,
-              count(*) AS cnt FROM hv v JOIN hr r ON {on} GROUP BY ALL),
+hi0 AS (SELECT v.{x} AS x, {gsel}, r.lo, r.hi, (r.hi - r.lo) / {d(bins)} AS w,
+               CAST(least(floor((v.{x} - r.lo) * ({d(bins)} / (r.hi - r.lo))), {bins - 1}) AS BIGINT) AS i0
+        FROM hv v JOIN hr r ON {on}),
+hi1 AS (SELECT *, CASE WHEN x < (CASE WHEN i0 >= {bins} THEN hi ELSE i0 * w + lo END) THEN i0 - 1 ELSE i0 END AS i1
+        FROM hi0),
+hb AS (SELECT {g}, CASE WHEN x >= (CASE WHEN i1 + 1 >= {bins} THEN hi ELSE (i1 + 1) * w + lo END)
+                             AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END AS bin,
+              count(*) AS cnt FROM hi1 GROUP BY ALL),
 hf AS (SELECT r.*, CAST(b.range AS BIGINT) AS bin, (r.hi - r.lo) / {d(bins)} AS w FROM hr r CROSS JOIN range({bins}) b)"""
     dens = ", CAST(coalesce(b.cnt, 0) AS DOUBLE) / (f.n * f.w) AS density" if density else ""
     body = (f"SELECT {', '.join('f.' + c for c in group)}, f.bin, f.lo + f.bin * f.w AS lo,"

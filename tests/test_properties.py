@@ -80,3 +80,16 @@ def test_correlation_pairwise_complete_matches_pandas(spark, cols):
                 assert got[(a, b)] is None, (a, b)
             else:
                 assert got[(a, b)] is not None and abs(got[(a, b)] - e) < 1e-9, (a, b, got[(a, b)], e)
+
+
+@SETTINGS
+@given(values=st.lists(st.floats(min_value=-50, max_value=50, allow_nan=False).map(lambda v: round(v, 1)),
+                       min_size=1, max_size=60),
+       bins=st.sampled_from([1, 3, 7, 20, 40]))
+def test_histogram_matches_numpy(spark, values, bins):
+    from ensemble.operators.explore import histogram
+    df = spark.createDataFrame([(1, v) for v in values], "g int, x double")
+    got = sorted(histogram(df, ["g"], "x", bins).collect(), key=lambda r: r.bin)
+    counts, edges = np.histogram(values, bins=bins)
+    assert [r["count"] for r in got] == list(counts)
+    assert [r.lo for r in got] == list(edges[:-1])
