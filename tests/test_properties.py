@@ -1,5 +1,6 @@
 """Property tests (hypothesis): lookups and ranks against brute force."""
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -93,3 +94,20 @@ def test_histogram_matches_numpy(spark, values, bins):
     counts, edges = np.histogram(values, bins=bins)
     assert [r["count"] for r in got] == list(counts)
     assert [r.lo for r in got] == list(edges[:-1])
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-20, 20))), min_size=1, max_size=60))
+def test_median_by_step_matches_pandas(spark, rows):
+    import pandas as pd
+    from ensemble.operators.explore import median_by_step
+    data = [("r", i, step, None if v is None else float(v)) for i, (step, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "reservoir_id string, sim_id long, step long, x double")
+    got = {r.step: r.x for r in median_by_step(df, ["x"]).collect()}
+    ref = pd.DataFrame(data, columns=["reservoir_id", "sim_id", "step", "x"]).groupby("step")["x"].median()
+    for step, e in ref.items():
+        if pd.isna(e):
+            assert got.get(step) is None
+        else:
+            assert got[step] == e
