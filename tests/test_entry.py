@@ -9,7 +9,8 @@ from conftest import SF_SMALL
 def test_registry_and_oracles_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert {k for k in q if k not in s} == {k for k in q if k.endswith("_ml")}
+    own = {k for k in q if not k.startswith("op") and k != "pipeline"}  # corpus operators have their own tests
+    assert {k for k in own if k not in s} == {k for k in own if k.endswith("_ml")}
 
 
 def test_entry_runs(spark):
