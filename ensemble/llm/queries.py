@@ -21,6 +21,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# ---------------------------------------------------------------- 1: n-gram Jaccard join
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 4: BPE
 
 def vocabulary() -> str:
