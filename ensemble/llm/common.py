@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ from ..session import checkpoint_dir
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +35,9 @@ def bounded_batches(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
+    # workers import this package by name: name its place to those that share this file system
+    # (on a cluster it is installed or shipped with the job, as any library)
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     return df.mapInArrow(fn, schema)
 
 

@@ -81,3 +81,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urls
 
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+# ---------------------------------------------------------------- 2: quality classifier
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
