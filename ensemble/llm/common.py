@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -83,3 +84,10 @@ def blocks(rows: Iterator[pa.RecordBatch], limit: int, size: Callable[[pa.Record
             held, total = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table of large rows to the shared folder (zstd Parquet) and read it back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,3 +90,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# ---------------------------------------------------------------- 10: language-model scoring
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree
+
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
