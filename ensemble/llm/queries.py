@@ -99,3 +99,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_tree
 
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 3: benchmark decontamination
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -96,13 +96,24 @@ def byte_view(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body[off[0] : off[-1]], off - off[0]
 
 
-def batch_words(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Byte map that leaves letters and digits (lower-cased) and bytes of other scripts, the rest being white space.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[:128] = 32
+for _r in (range(48, 58), range(97, 123)):
+    PLAIN[list(_r)] = list(_r)
+PLAIN[65:91] = PLAIN[97:123]
+
+
+def batch_words(col: pa.Array, bytes_as: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, hashes, row offsets into hashes) for runs of rows.
 
     Short texts are hashed together (a separator byte stands between them), so
     that the cost per text is small; a text above SEGMENT is hashed by itself.
+    ``bytes_as`` maps the bytes before they are cut into words.
     """
     body, off = byte_view(col)
+    if bytes_as is not None:
+        body = bytes_as[body]
     n, row = len(off) - 1, 0
     while row < n:
         end = int(np.searchsorted(off, off[row] + SEGMENT, side="right")) - 1
