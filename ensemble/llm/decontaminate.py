@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def _words(text: str) -> np.ndarray:
-    return W.word_hashes(W.PLAIN[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)])
+    lower = pc.utf8_lower(pa.scalar(text or "", pa.string())).as_py()
+    return W.word_hashes(W.PLAIN[np.frombuffer(lower.encode(), np.uint8)])
 
 
 def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ class Index:
 
     def matches(self, col: pa.Array, verify: float) -> Iterator[tuple[int, int, int, float, float, float]]:
         """(row, item, first word, score, question share, answer share) of verified items."""
-        for row, _, h, off in W.batch_words(col, W.PLAIN):
+        for row, _, h, off in W.batch_words(pc.utf8_lower(col), W.PLAIN):
             t = self.look_up(h)
             found: dict[tuple[int, int], tuple[float, int, float, float]] = {}
             for doc, first, end in zip(*(x.tolist() for x in self.windows(t, off))):
