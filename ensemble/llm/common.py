@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of 8-byte keys that may be broadcast to filter a large table (counted first; beyond it, a shuffle join).
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have few rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bits of a table that says which of many 64-bit keys may be present; its size is fixed (4 MB).
+TABLE_BITS = 25
+
+
+def bit_table(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits of the low TABLE_BITS of a long column, as bytes; see may_hold."""
+    place = F.col(col).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    rows = keys.select(F.shiftright(place, 15).alias("k"), (place % 32768).alias("p")) \
+        .groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    out = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    for r in rows:
+        out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set: false for certain where the key is not in the table's column."""
+    at = (keys & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

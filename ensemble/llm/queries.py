@@ -108,3 +108,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---------------------------------------------------------------- 8: line dedup
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 5: personal data
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))

@@ -1,25 +1,28 @@
-"""Exact checks inside groups of candidate sets, and connected components.
-
-``groups`` hold sets that share a signature and so may be similar. A group is
-cut into chunks of bounded bytes; every chunk, and then every pair of chunks of
-a group that still holds different components, is checked by one step of a
-Python stage. Pairs are first held against an exact lower bound of their
-distance (differing bits of parity sketches), then against the sets themselves;
-only links that join two components are given out, never all pairs of a group.
+"""Exact links inside groups of candidate sets, and connected components.
+
+``groups`` hold sets that share a signature and so may be similar. Pairs are
+first held against an exact lower bound of their distance, the differing bits
+of parity sketches: a pair that fails it is no link for certain. Of the pairs
+that pass, each group proposes only those that join components within it;
+proposals are checked on the sets themselves, and groups whose proposals failed
+propose again, until nothing is left to propose. So all components are found,
+and never all pairs of a group are given out. A group is cut into chunks of
+bounded bytes; chunks, and pairs of chunks of a group that still holds different
+components, are each one step of a Python stage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, saved
+from .common import map_arrow, saved, small
 
-#: Bytes of sets that one chunk of a group holds at most (unless a single set is larger).
+#: Bytes of sketches that one chunk of a group holds at most.
 CHUNK_BYTES = 4 << 20
 
 
@@ -49,12 +52,27 @@ def set_list(col: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in col]
 
 
-def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """Per set, the parity of the number of elements in each of ``bits`` (a power of two) cells."""
-    at = np.concatenate(sets) & np.uint64(bits - 1)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.bincount(row * bits + at.astype(np.int64), minlength=len(sets) * bits) & 1
-    return np.packbits(flat.astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.uint64)
+def sketch_bits(size: int, num: int, den: int) -> int:
+    """Bits of a set's sketch: many for each element that a similar set may differ in."""
+    allowed = 2 * size * (den - num) // (den + num)
+    return 1 << max(10, min(22, (64 * allowed).bit_length()))
+
+
+def parity(s: np.ndarray, bits: int) -> bytes:
+    """Parity of the number of elements in each of ``bits`` (a power of two) cells."""
+    cell = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(cell.astype(np.uint8)).tobytes()
+
+
+def aligned(col: pa.ChunkedArray) -> np.ndarray:
+    """Sketches as a matrix of words, the longer ones folded to the shortest."""
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in col]
+    least = min(map(len, rows))
+    for i, r in enumerate(rows):
+        while len(r) > least:
+            r = r[: len(r) // 2] ^ r[len(r) // 2 :]
+        rows[i] = r
+    return np.stack(rows)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -71,100 +89,103 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * i >= num * (len(a) + len(b) - i)
 
 
-def _sketch_bits(longest: int, num: int, den: int) -> int:
-    allowed = 2 * longest * (den - num) // (den + num)
-    return 1 << max(10, min(20, int(16 * allowed).bit_length()))
-
-
-def chunk_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None,
-                num: int, den: int) -> list[tuple[int, int]]:
-    """Links between members with different labels that join components (positions).
+def proposals(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray | None,
+              refused: list, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs (positions) that the sketches allow and that join components of the group.
 
-    ``side``: check only members of different sides. Sets are not empty.
+    ``side``: propose only pairs of different sides; ``refused``: per member,
+    the ids that it is known not to link with.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    label = label.copy()
-    out: list[tuple[int, int]] = []
-    if len(sets) <= 3:
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                if label[i] != label[j] and (side is None or side[i] != side[j]) and similar(sets[i], sets[j], num, den):
-                    out.append((i, j))
-                    label[label == label[j]] = label[i]
-        return out
-    sketch = parity(sets, _sketch_bits(int(n.max()), num, den))
-    for i in range(len(sets) - 1):
+    label, out = label.copy(), []
+    for i in range(len(ids) - 1):
         apart = label[i + 1 :] != label[i]
         if side is not None:
             apart &= side[i + 1 :] != side[i]
         js = np.flatnonzero(apart) + i + 1
+        if len(js) and refused[i]:
+            js = js[~np.isin(ids[js], refused[i])]
         if not len(js):
-            if side is None and (label == label[0]).all():
-                break
             continue
         total = n[js] + n[i]
         least = -(-num * total // (num + den))  # smallest overlap that links
         dist = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1).astype(np.int64)
-        ok = dist <= total - 2 * least
-        js, dist = js[ok], dist[ok]
-        for j in js[np.argsort(dist, kind="stable")]:
-            if label[j] != label[i] and similar(sets[i], sets[j], num, den):
+        for j in js[dist <= total - 2 * least]:
+            if label[j] != label[i]:
                 out.append((i, int(j)))
                 label[label == label[j]] = label[i]
     return out
 
 
-def _within(num: int, den: int):
+def _propose(keys: list[str], num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["gid", "chunk"]):
+        for t in runs(batches, keys):
             ids = t.column("id").to_numpy()
-            pairs = chunk_links(set_list(t.column("toks").combine_chunks()), ids, None, num, den)
+            side = t.column("side").to_numpy() if "side" in t.column_names else None
+            pairs = proposals(ids, t.column("size").to_numpy(), aligned(t.column("sketch")), t.column("label").to_numpy(),
+                              side, t.column("refused").to_pylist(), num, den)
             if pairs:
                 p = np.array(pairs)
-                yield pa.RecordBatch.from_pydict({"a": ids[p[:, 0]], "b": ids[p[:, 1]]})
+                x, y = ids[p[:, 0]], ids[p[:, 1]]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
     return run
 
 
-def _between(num: int, den: int):
+def _check(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["gid", "lo", "hi"]):
-            ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-            pairs = chunk_links(set_list(t.column("toks").combine_chunks()), t.column("label").to_numpy(), side, num, den)
-            if pairs:
-                p = np.array(pairs)
-                yield pa.RecordBatch.from_pydict({"a": ids[p[:, 0]], "b": ids[p[:, 1]]})
+        for t in runs(batches, ["a", "b"]):
+            sets = dict(zip(t.column("id").to_pylist(), set_list(t.column("toks").combine_chunks())))
+            a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+            yield pa.RecordBatch.from_pydict({"a": [a], "b": [b], "ok": [similar(sets[a], sets[b], num, den)]})
     return run
 
 
-def links_of_groups(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def check_pairs(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b, ok) of each pair (a, b, distinct); ``fetch`` gives (id, toks) of the ids asked for."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = fetch(ends.select("id").distinct()).join(small(ends), "id").select("a", "b", "id", "toks") \
+        .repartition(n, "a", "b").sortWithinPartitions("a", "b", "id")
+    return saved(map_arrow(both, _check(num, den), "a long, b long, ok boolean"))
+
+
+def links_of_groups(members: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame],
+                    num: int, den: int) -> DataFrame:
     """Links (a, b) that give the same components as all links inside the groups.
 
-    ``members``: gid, id, distinct; ``sets``: id, size, toks (sorted distinct
-    64-bit values as bytes). A row of a group of one chunk is checked once;
-    groups of several chunks are then checked across chunks, where they still
-    hold more than one component.
+    ``members``: gid, id, distinct; ``sketches``: id, size, sketch; ``fetch``: see check_pairs.
     """
-    sized = members.join(sets.select("id", "size"), "id")
-    shape = sized.groupBy("gid").agg((F.count("*") * F.max("size") * 8).alias("bytes")) \
-        .select("gid", F.ceil(F.col("bytes") / CHUNK_BYTES).cast("int").alias("chunks"))
+    spark = members.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sized = members.join(sketches.select("id", "size", F.octet_length("sketch").alias("bytes")), "id")
+    shape = sized.groupBy("gid").agg((F.count("*") * F.max("bytes")).alias("all")) \
+        .select("gid", F.ceil(F.col("all") / CHUNK_BYTES).cast("int").alias("chunks"))
     dealt = saved(members.join(shape, "gid").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(17)), F.col("chunks")).cast("int")))
-    n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = dealt.join(sets.select("id", "toks"), "id").select("gid", "chunk", "id", "toks") \
-        .repartition(n, "gid", "chunk").sortWithinPartitions("gid", "chunk", "id")
-    links = saved(map_arrow(first, _within(num, den), "a long, b long").distinct())
-    large = dealt.filter("chunks > 1")
-    if large.isEmpty():
-        return links
-    label = components(links)
-    labelled = large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_groups = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gid")
-    pairs = labelled.join(open_groups, "gid") \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("other <> chunk") \
-        .select("gid", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
-                (F.col("chunk") < F.col("other")).cast("int").alias("side"), "id", "label")
-    second = pairs.join(sets.select("id", "toks"), "id").repartition(n, "gid", "lo", "hi") \
-        .sortWithinPartitions("gid", "lo", "hi", "id")
-    return saved(links.union(map_arrow(second, _between(num, den), "a long, b long")).distinct())
+    links = failed = spark.createDataFrame([], "a long, b long")
+    across = False  # first within chunks; then, also across them
+    while True:
+        label = components(links)
+        labelled = dealt.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        still = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gid")
+        refused = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("refused"))
+        part = labelled.join(still, "gid").join(refused, "id", "left")
+        keys = ["gid", "chunk"]
+        if across:
+            part = part.filter("chunks > 1") \
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("other <> chunk") \
+                .select("*", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
+                        (F.col("chunk") < F.col("other")).cast("int").alias("side"))
+            keys = ["gid", "lo", "hi"]
+        part = part.join(sketches, "id").repartition(n, *keys).sortWithinPartitions(*keys, "id")
+        proposed = map_arrow(part, _propose(keys, num, den), "a long, b long").distinct()
+        checked = check_pairs(saved(proposed), fetch, num, den)
+        good, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+        refusals = checked.filter("not ok").count()
+        links, failed = saved(links.union(good)), saved(failed.union(bad))
+        if refusals:
+            continue
+        if across or dealt.filter("chunks > 1").isEmpty():
+            return links
+        across = True
 
 
 def components(links: DataFrame) -> DataFrame:
