@@ -126,3 +126,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 6: approximate nearest neighbours
+
+@query("op6_nearest")
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
