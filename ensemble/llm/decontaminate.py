@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import map_arrow, saved
 
-ENTRY, BLOCK = 64, 32
+ENTRY, BLOCK = 64, 8
+#: Cells of a bounds table (windows by blocks) that are summed at once.
+CELLS = 1 << 22
 K1, B = 1.2, 0.75
 #: Bytes of item text whose index goes to the executors at once.
 SHARD_BYTES = 8 << 20
@@ -80,6 +82,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("item", pa.int64()), ("entry", pa.int32()), ("term", pa.int64()), ("tf", pa.int32()), ("size", pa.int32())]))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The ranges start..end-1, one after the other."""
+    k = end - start
+    return np.arange(int(k.sum())) + np.repeat(start - (np.cumsum(k) - k), k)
+
+
 class Index:
     """One shard of the inverted index, with the bounds and the items' words for verification."""
 
@@ -114,7 +122,7 @@ class Index:
             aside[e] += w
             self.essential[t] = False
         self.needed = threshold - aside.max(initial=0.0)
-        self.bound = np.append(np.where(self.essential, self.most, 0.0), 0.0)  # the last stands for unknown words
+        self.weighty = np.append(self.essential, False)  # the last stands for unknown words
         bits = 22
         self.mask = _U((1 << bits) - 1)
         self.slot = np.full(1 << bits, -1, np.int32)
@@ -138,15 +146,36 @@ class Index:
         return np.where((t >= 0) & (self.terms[t] == h), t, -1)
 
     def windows(self, t: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word, end) of the windows whose essential terms could lift an entry to the threshold."""
-        sums = np.concatenate([[0.0], np.cumsum(self.bound[t])])
+        """(text, first word, end) of the windows in which the block maxima of the essential terms
+        could lift an entry of some block to the threshold."""
         n = np.diff(off)
         count = np.maximum(1, -(-(n - ENTRY) // ENTRY))
+        base = np.cumsum(count) - count
         doc = np.repeat(np.arange(len(n)), count)
-        no = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        first = off[doc] + no * ENTRY
+        first = off[doc] + (np.arange(len(doc)) - base[doc]) * ENTRY
         end = np.minimum(first + 2 * ENTRY, off[doc + 1])
-        ok = sums[end] - sums[first] >= self.needed - 1e-9
+        at = np.flatnonzero(self.weighty[t])
+        if not len(at):
+            return doc[:0], first[:0], end[:0]
+        owner = np.searchsorted(off, at, side="right") - 1
+        step = (at - off[owner]) // ENTRY
+        # a word lies in the window that starts at its step and in the one before
+        now, before = step < count[owner], step > 0
+        window = np.concatenate([(base[owner] + step)[now], (base[owner] + step - 1)[before]])
+        term = np.concatenate([t[at][now], t[at][before]])
+        order = np.argsort(window, kind="stable")
+        window, term = window[order], term[order]
+        ok = np.zeros(len(doc), dtype=bool)
+        rows = max(1, CELLS // max(1, self.n_blocks))
+        for lo in range(0, len(doc), rows):
+            a, z = np.searchsorted(window, [lo, lo + rows])
+            some = term[a:z]
+            k = self.block_start[some + 1] - self.block_start[some]
+            take = _ranges(self.block_start[some], self.block_start[some + 1])
+            here = min(rows, len(doc) - lo)
+            cell = np.repeat(window[a:z] - lo, k) * self.n_blocks + self.block_of[take]
+            upper = np.bincount(cell, weights=self.block_most[take], minlength=here * self.n_blocks)
+            ok[lo : lo + here] = (upper.reshape(here, -1) >= self.needed - 1e-9).any(axis=1)
         return doc[ok], first[ok], end[ok]
 
     def retrieve(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +186,12 @@ class Index:
         ess = t[self.essential[t]]
         if self.most[ess].sum() < self.needed - 1e-9:
             return none
-        at = np.concatenate([np.arange(self.block_start[x], self.block_start[x + 1]) for x in t]) if len(t) else none[0]
+        at = _ranges(self.block_start[t], self.block_start[t + 1])
         upper = np.bincount(self.block_of[at], weights=self.block_most[at], minlength=self.n_blocks)
         live = upper >= self.threshold - 1e-9
         if not live.any():
             return none
-        at = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in t])
+        at = _ranges(self.start[t], self.start[t + 1])
         at = at[live[self.entry[at] // BLOCK]]
         score = np.bincount(self.entry[at], weights=self.weight[at], minlength=len(self.entry_item))
         hit = np.flatnonzero(score >= self.threshold - 1e-9)
