@@ -90,7 +90,7 @@ def blocks(rows: Iterator[pa.RecordBatch], limit: int, size: Callable[[pa.Record
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table of large rows to the shared folder (zstd Parquet) and read it back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

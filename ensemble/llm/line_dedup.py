@@ -289,3 +289,28 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     return own.alias("d").join(table.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.key = t.key"), "left").select(
         "d.doc_id", F.coalesce("t.n_lines", F.lit(0)).alias("n_lines"), F.coalesce("t.n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("t.removed", F.lit("")).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` without the removed lines, all columns in place (n_chars follows the text, if there is one).
+
+    A document all of whose lines with words are removed has nothing of its own
+    left and goes; documents without words stay as they are.
+    """
+    lost = line_table(docs, num, den).groupBy("doc_id", "key").agg(
+        F.count("*").alias("n"), F.collect_list(F.when(F.col("removed"), F.col("line"))).alias("lost")) \
+        .filter(F.size("lost") > 0).select("doc_id", "key", (F.size("lost") == F.col("n")).alias("whole"), "lost")
+    lost = small(saved(lost), 500_000)
+    joined = docs.alias("d").join(lost.alias("l"), F.expr("cast(d.doc_id as long) <=> l.doc_id and xxhash64(coalesce(d.text, '')) = l.key"), "left") \
+        .filter(F.coalesce(~F.col("l.whole"), F.lit(True)))
+    left = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains("l.lost", i)), "\n")
+    text = F.when(F.col("l.lost").isNull(), F.col("d.text")).otherwise(left)
+    out = []
+    for c in docs.columns:
+        own = F.col(f"d.`{c}`")
+        if c == "text":
+            own = text
+        elif c == "n_chars":
+            own = F.when(F.col("l.lost").isNull(), own).otherwise(F.length(text)).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
+    return joined.select(*out)
