@@ -1,0 +1,41 @@
+import numpy as np
+import pyarrow as pa
+
+from brute import crc, documents, frame
+from conftest import SF_SMALL
+from ensemble.llm import quality as Q
+from ensemble.llm.common import table
+
+
+def test_held_out_accuracy(spark):
+    d = SF_SMALL.replace("0.001", "0.01")
+    got = Q.score_documents(table(spark, d, "documents"), table(spark, d, "labels")).toPandas()
+    both = got.merge(table(spark, d, "labels").toPandas(), on="doc_id")
+    held = both[both.held_out]
+    assert len(got) == 1000 and (got.held_out == [crc(i, 3) == 1 for i in got.doc_id]).all()
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    assert (held.predicted == held.quality).mean() > 0.95
+
+
+def test_awkward_rows(spark):
+    rows = documents()
+    docs = frame(spark, rows)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = Q.score_documents(docs, none).collect()
+    assert len(got) == len(rows) and {r.score for r in got} == {0.5}
+    odd = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, None, 0), (None, 1, 1), (5, 0, 0), (999, 1, 0)], none.schema)
+    assert all(0 <= r.score <= 1 for r in Q.score_documents(docs, odd).collect())
+    kept = Q.keep_good(docs, none)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    assert Q.score_documents(frame(spark, []), odd).collect() == []
+
+
+def test_isotonic_and_statistics():
+    y = np.array([0.1, 0.5, 0.3, 0.2, 0.9])
+    fit = Q.isotonic(np.arange(5.0), y, np.array([1.0, 1, 2, 1, 1]))
+    assert (np.diff(fit) >= 0).all() and abs(fit[1:4].mean() - (0.5 + 0.6 + 0.2) / 4) < 1e-12
+    texts = ["", None, "Ab cd", "x" * (3 << 20), "a b " * 400_000]
+    both = Q.statistics(pa.array(texts, pa.string()))
+    assert (both[:2] == 0).all() and np.isfinite(both).all()
+    for i, t in enumerate(texts):  # a text's statistics don't depend on its neighbours
+        assert np.allclose(Q.statistics(pa.array([t], pa.string())), both[i])
