@@ -178,14 +178,13 @@ def rank_picks(per_run: DataFrame, measure: str, positions: Sequence[str] = ("fi
     Returns (group..., pick, sim_id, measure).
     """
     group = list(group_cols)
-    ranked = global_rank(per_run, measure, ["sim_id"], partition_cols=group, rank_col="__rank",
-                         bounded_groups=True)
+    ranked = global_rank(per_run, measure, ["sim_id"], partition_cols=group, rank_col="__rank")
     n = per_run.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     pos = {"first": F.lit(0), "half": F.floor(F.col("__n") / 2), "third": F.floor(F.col("__n") / 3),
            "two_thirds": F.floor(2 * F.col("__n") / 3), "last": F.col("__n") - 1}
     wanted = n.select(*group, F.inline(F.array(*[
         F.struct(F.lit(p).alias("pick"), pos[p].cast("long").alias("__pos")) for p in positions])))
-    return (ranked.join(F.broadcast(wanted), group)
+    return (ranked.join(wanted, group)
             .where(F.col("__rank") == F.col("__pos"))
             .select(*group, "pick", "sim_id", measure))
 
@@ -195,8 +194,7 @@ def sample_runs(runs: DataFrame, k: int = 8, seed: int = 0,
     """min(k, n) distinct runs per group in seeded hash order (a sampling operator)."""
     r = runs.select(*group_cols, "sim_id").distinct().withColumn(
         "__h", hash_uniform(seed, *[F.col(c) for c in group_cols], F.col("sim_id")))
-    ranked = global_rank(r, "__h", ["sim_id"], partition_cols=list(group_cols), rank_col="sample_rank",
-                         uniform=True, bounded_groups=True)
+    ranked = global_rank(r, "__h", ["sim_id"], partition_cols=list(group_cols), rank_col="sample_rank")
     return ranked.where(F.col("sample_rank") < k).drop("__h")
 
 
@@ -207,11 +205,11 @@ def pvt_curve(df: DataFrame, sims: DataFrame) -> DataFrame:
     return ordered_scan(rows, RUN_KEY, [TARGET, "step"], index_col="curve_pos")
 
 
-def lever_long(log: DataFrame, levers: Sequence[str] = ALL_LEVERS) -> DataFrame:
-    """Run log -> (reservoir_id, sim_id, lever, x, fpr_min_psi, fpr_max_psi) for
-    converged runs and the levers each reservoir has."""
+def lever_long(log: DataFrame, levers: Sequence[str] = ALL_LEVERS, converged: bool = True) -> DataFrame:
+    """Run log -> (reservoir_id, sim_id, lever, x, fpr_min_psi, fpr_max_psi) for the levers each
+    reservoir has, of converged runs or (``converged=False``) of all."""
     entries = F.array(*[F.struct(F.lit(lv).alias("lever"), F.col(lv).alias("x")) for lv in levers])
-    return (log.where(F.col("ok"))
+    return (log.where(F.col("ok") if converged else F.lit(True))
             .select(*RUN_KEY, "fpr_min_psi", "fpr_max_psi", F.inline(entries))
             .where(F.col("x").isNotNull())
             .select(*RUN_KEY, "lever", "x", "fpr_min_psi", "fpr_max_psi"))
@@ -228,7 +226,7 @@ def binned_2d(df: DataFrame, x: str, y: str, bins: int, group_cols: Sequence[str
     def idx(c):
         return F.when(span > 0, F.least(F.floor((F.col(c) - F.col("__lo")) / span * F.lit(float(bins))),
                                         F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    j = df.join(F.broadcast(rng), group) if group else df.crossJoin(F.broadcast(rng))
+    j = df.join(rng, group) if group else df.crossJoin(F.broadcast(rng))
     return j.groupBy(*group, idx(x).alias("bx"), idx(y).alias("by")).agg(F.count(F.lit(1)).alias("count"))
 
 

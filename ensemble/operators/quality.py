@@ -36,11 +36,19 @@ def _finding(check, column, passed, observed, threshold, message):
     )
 
 
+def step_order(df: DataFrame, cols: Sequence[str] = CUMULATIVE_COLUMNS) -> list[str] | None:
+    """Order of a run's rows: ``step`` if there is one; in a stored dataset the time, rows of
+    equal time by their cumulatives; None without either."""
+    if "step" in df.columns:
+        return ["step"]
+    return ["tiempo_dias", *[c for c in cols if c in df.columns]] if "tiempo_dias" in df.columns else None
+
+
 def cumulative_deltas(df: DataFrame, cols: Sequence[str] = CUMULATIVE_COLUMNS,
-                      order_col: str = "step", rows_per_chunk: int = 1_000_000) -> DataFrame:
+                      order_cols: Sequence[str] = ("step",), rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Adds ``d_<col>`` = value minus the previous step's value (NULL on a run's first row)."""
-    scanned = ordered_scan(df, RUN_KEY, [order_col], previous={f"p_{c}": c for c in cols},
-                           rows_per_chunk=rows_per_chunk)
+    scanned = ordered_scan(df, [c for c in RUN_KEY if c in df.columns], list(order_cols),
+                           previous={f"p_{c}": c for c in cols}, rows_per_chunk=rows_per_chunk)
     return scanned.select(*df.columns, *[(F.col(c) - F.col(f"p_{c}")).alias(f"d_{c}") for c in cols])
 
 
@@ -58,53 +66,52 @@ def validate_dataset(df: DataFrame, n_requested: DataFrame | int) -> DataFrame:
     """All findings of the dataset checks as rows; ``passed`` false marks a problem.
 
     Checks: empty dataset (short-circuits everything else), missing schema
-    columns (reported, then skipped), missing values, converged runs below
+    columns (each reported), missing values, converged runs below
     ``floor(0.8 * n_requested)``, cumulatives falling by more than 1.0 within a
-    run, and a global pressure range under 100 psi. One aggregation pass plus one
-    chunked window pass; nothing is collected.
+    run, and a global pressure range under 100 psi. A check whose columns are
+    missing is left out. One aggregation pass plus one chunked window pass;
+    nothing is collected.
     """
     spark = df.sparkSession
     missing = [c for c in SCHEMA_COLUMNS if c not in df.columns]
     present = [c for c in SCHEMA_COLUMNS if c in df.columns]
-    numeric = [c for c in present if c != "reservoir_id"]
-    cums = [c for c in CUMULATIVE_COLUMNS if c in df.columns]
+    key = [c for c in RUN_KEY if c in df.columns]
+    by_run = "sim_id" in key
+    order = step_order(df)
+    cums = [c for c in CUMULATIVE_COLUMNS if c in df.columns] if by_run and order else []
     if isinstance(n_requested, int):
         req = spark.range(1).select(F.lit(n_requested).cast("long").alias("n_requested"))
     else:
         req = n_requested.select(F.col("n_requested").cast("long"))
-    deltas = cumulative_deltas(df.select(*RUN_KEY, "step", *cums), cums)
-    worst = deltas.agg(*[F.min(f"d_{c}").alias(f"w_{c}") for c in cums]) if cums else spark.range(1)
     null_cells = sum((F.count_if(is_missing(F.col(c)) if c != "reservoir_id" else F.col(c).isNull())
                       for c in present), F.lit(0))
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        null_cells.alias("null_cells"),
-        F.count_distinct(*RUN_KEY).alias("n_sims"),
-        (F.max(TARGET) - F.min(TARGET)).alias("p_range") if TARGET in df.columns
-        else F.lit(None).cast("double").alias("p_range"),
-    )
-    row = F.broadcast(stats).crossJoin(F.broadcast(worst)).crossJoin(F.broadcast(req))  # 1 x 1 x 1
-    floor_n = F.floor(F.col("n_requested") * F.lit(MIN_CONVERGED_FRACTION))
-    findings = [
-        _finding("empty", None, F.col("n_rows") > 0, F.col("n_rows"), None,
-                 F.when(F.col("n_rows") == 0, F.lit("dataset is empty (no sims converged)")).otherwise(F.lit(""))),
-    ]
-    for c in missing:
-        findings.append(_finding("missing_column", c, F.lit(False), F.lit(None), None,
-                                 F.lit(f"missing column: {c}")))
+    stats = df.agg(F.count(F.lit(1)).alias("n_rows"), null_cells.alias("null_cells"),
+                   *([F.count_distinct(*key).alias("n_sims")] if by_run else []),
+                   *([(F.max(TARGET) - F.min(TARGET)).alias("p_range")] if TARGET in present else []))
+    row = F.broadcast(stats).crossJoin(F.broadcast(req))  # 1 x 1
+    if cums:
+        deltas = cumulative_deltas(df.select(*dict.fromkeys([*key, *order, *cums])), cums, order)
+        row = row.crossJoin(F.broadcast(deltas.agg(*[F.min(f"d_{c}").alias(f"w_{c}") for c in cums])))  # x 1
+    no_text = F.lit("")
+    findings = [_finding("empty", None, F.col("n_rows") > 0, F.col("n_rows"), None,
+                         F.when(F.col("n_rows") == 0, F.lit("no rows: not one run was kept")).otherwise(no_text))]
+    findings += [_finding("missing_column", c, F.lit(False), F.lit(None), None, F.lit(f"column {c} is not there")) for c in missing]
     findings.append(_finding("null_values", None, F.col("null_cells") == 0, F.col("null_cells"), 0,
-                             F.when(F.col("null_cells") > 0, F.lit("NaN in schema columns")).otherwise(F.lit(""))))
-    findings.append(_finding("converged", None, F.col("n_sims") >= floor_n, F.col("n_sims"), None,
-                             F.format_string("%d/%d simulations converged", F.col("n_sims"), F.col("n_requested"))))
+                             F.when(F.col("null_cells") > 0, F.format_string("%d cells without a value", F.col("null_cells")))
+                             .otherwise(no_text)))
+    if by_run:
+        floor_n = F.floor(F.col("n_requested") * F.lit(MIN_CONVERGED_FRACTION))
+        findings.append(_finding("converged", None, F.col("n_sims") >= floor_n, F.col("n_sims"), None,
+                                 F.format_string("runs kept: %d of %d", F.col("n_sims"), F.col("n_requested"))))
     for c in cums:
         w = F.col(f"w_{c}")
         ok = w.isNull() | (w >= F.lit(-CUMULATIVE_TOLERANCE))
         findings.append(_finding("monotonic", c, ok, w, -CUMULATIVE_TOLERANCE,
-                                 F.when(ok, F.lit("")).otherwise(F.lit(f"{c} decreases within at least one simulation"))))
-    findings.append(_finding("pressure_range", TARGET, F.coalesce(F.col("p_range") >= F.lit(MIN_PRESSURE_RANGE_PSI),
-                                                                   F.lit(False)),
-                             F.col("p_range"), MIN_PRESSURE_RANGE_PSI,
-                             F.format_string("FPR range across batch %.0f psi", F.floor(F.col("p_range") + 0.5).cast("double"))))
+                                 F.when(ok, no_text).otherwise(F.lit(f"a run's {c} goes down"))))
+    if TARGET in present:
+        findings.append(_finding("pressure_range", TARGET, F.coalesce(F.col("p_range") >= F.lit(MIN_PRESSURE_RANGE_PSI), F.lit(False)),
+                                 F.col("p_range"), MIN_PRESSURE_RANGE_PSI,
+                                 F.format_string("all pressures lie within %.0f psi", F.floor(F.col("p_range") + 0.5).cast("double"))))
     out = row.select(F.col("n_rows"), F.inline(F.array(*findings)))
     # empty dataset: only the first finding is reported
     return out.where((F.col("n_rows") > 0) | (F.col("check") == "empty")).drop("n_rows")
@@ -115,8 +122,8 @@ def variance_audit(df: DataFrame, group_cols: Sequence[str] = ("reservoir_id",))
     cols = [c for c in LEAKAGE_COLUMNS + ZERO_VARIANCE_COLUMNS if c in df.columns]
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in cols])
     long = df.select(*group_cols, F.inline(entries))
-    reason = F.when(F.col("column").isin(LEAKAGE_COLUMNS), F.lit("PVT-derived from pressure (leakage)")) \
-        .otherwise(F.lit("constant per reservoir (zero variance)"))
+    reason = F.when(F.col("column").isin(LEAKAGE_COLUMNS), F.lit("leakage: computed from the target pressure")) \
+        .otherwise(F.lit("no variance inside a reservoir"))
     # a constant column is detected exactly (min == max); merged partial
     # variances of equal values can otherwise come out as 1e-26 instead of 0
     agg = long.groupBy(*group_cols, "column").agg(

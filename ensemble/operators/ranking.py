@@ -1,199 +1,147 @@
-"""Ranks, running sums and lags without one task per (possibly huge) group.
+"""Ranks, running sums, lags and quantiles without one task per (possibly huge) group.
 
 A window ``partitionBy(sim).orderBy(t)`` puts a whole simulation in one task;
 if one simulation holds a third of all rows that task holds a third of the
-data. The helpers here first check the size of the largest group (one small
-aggregation); when it exceeds what one task should sort, they split each group
-into ordered chunks or buckets, compute per-chunk totals on a small table, take
-exclusive prefix sums over those totals, join them back and finish with a
-window over (group, chunk) only. Results are exact and equal to the plain
-window: chunks are contiguous ranges of the order key.
+data. Here every group is cut into contiguous chunks of its order: the bounds
+are approximate quantiles of the first order column over *all* rows, so no
+(group, chunk) can hold more than about one chunk's share of the table,
+whichever group it belongs to. Per-chunk totals, prefix sums over them and a
+window inside each chunk give exactly what the plain window gives. There is one
+path for all sizes, and nothing is counted while a plan is built: the number of
+chunks is an expression over the table's row count.
+
+NULLs behave as in the plain window: rows with a NULL group key form a group,
+a NULL order value comes first, and a running sum is NULL until a value was seen.
+Rows that are equal in the first order column share a chunk.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
 _CHUNK = "__chunk"
 
+#: Rows one chunk should hold, if MAX_CHUNKS of them cover the table.
+ROWS_PER_CHUNK = 1_000_000
+#: Most chunks the order is cut into: one holds about 1 / MAX_CHUNKS of all rows or ROWS_PER_CHUNK.
+MAX_CHUNKS = 1024
 
-def _exclusive_prefix(col: Column, part: Sequence[str], order: str) -> Column:
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(col).over(w), F.lit(0))
 
-
-#: Rows one window task may sort; larger groups are split into more buckets.
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 65_536
-
-
-def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Row count of the largest group (one small aggregation, one scalar back)."""
-    part = list(group_cols)
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")) if part else df.agg(F.count(F.lit(1)).alias("n"))
-    return int(sizes.agg(F.max("n")).first()[0] or 0)
+def _chunked(df: DataFrame, order_col: str, rows_per_chunk: int) -> DataFrame:
+    """Adds the chunk of every row: its place among the order column's approximate quantiles."""
+    probs = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
+    x = F.col(order_col)
+    stats = df.agg(F.percentile_approx(x, probs, 10 * MAX_CHUNKS).alias("__cuts"), F.count(F.lit(1)).alias("__rows"))
+    chunks = F.least(F.greatest(F.ceil(F.col("__rows") / F.lit(rows_per_chunk)), F.lit(1)), F.lit(MAX_CHUNKS))
+    place = F.size(F.filter(F.col("__cuts"), lambda c: c < x))
+    chunk = F.when(F.col("__cuts").isNull() | x.isNull() | (chunks == 1), F.lit(0)) \
+        .otherwise(F.floor(place * chunks / F.lit(MAX_CHUNKS)))
+    return df.crossJoin(F.broadcast(stats)).withColumn(_CHUNK, chunk.cast("int")).drop("__cuts", "__rows")  # one row
 
 
-def buckets_for_size(largest: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return int(max(1, min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))))
+def _with_totals(staged: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join per-chunk totals back, NULL keys included."""
+    right = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
+    cond = None
+    for k in keys:
+        same = staged[k].eqNullSafe(right[f"__k_{k}"])
+        cond = same if cond is None else cond & same
+    return staged.join(right, cond).drop(*[f"__k_{k}" for k in keys])
 
 
-def buckets_for(df: DataFrame, partition_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Bucket count so that the largest group's buckets fit one task each."""
-    return buckets_for_size(largest_group(df, partition_cols), rows_per_bucket)
+def _before(group: Sequence[str]):
+    return Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
                 partition_cols: Sequence[str] = (), rank_col: str = "rank",
-                uniform: bool = False, buckets: int | None = None,
-                bounded_groups: bool = False) -> DataFrame:
-    """0-based rank of each row by (order_col, *tie_cols) within partition_cols.
-
-    ``uniform=True`` says order_col lies in [0, 1) and is evenly spread (a hash
-    draw), so buckets are ``floor(x * B)``. Otherwise bucket bounds are the
-    approximate quantiles of order_col per group. ``buckets=None`` sizes B from
-    the largest group so no window task sorts more than ``ROWS_PER_BUCKET``
-    rows. ``bounded_groups`` says the number of groups is bounded by a
-    dimension (e.g. reservoirs x levers): the per-bucket tables are broadcast.
-    """
-    part = list(partition_cols)
-    if buckets is None:
-        buckets = buckets_for(df, part)
-    x = F.col(order_col)
-    if uniform:
-        staged = df.withColumn(_BUCKET, F.least(F.floor(x * F.lit(buckets)), F.lit(buckets - 1)))
-    elif buckets == 1:
-        staged = df.withColumn(_BUCKET, F.lit(0).cast("long"))
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        if part:
-            cuts = df.groupBy(*part).agg(
-                F.percentile_approx(x, probs, max(10_000, 10 * buckets)).alias("__cuts"))
-            if bounded_groups:
-                cuts = F.broadcast(cuts)
-            staged = df.join(cuts, part, "left")
-        else:
-            cuts = df.agg(F.percentile_approx(x, probs, max(10_000, 10 * buckets)).alias("__cuts"))
-            staged = df.crossJoin(F.broadcast(cuts))  # one row
-        staged = staged.withColumn(
-            _BUCKET, F.size(F.filter(F.col("__cuts"), lambda c: c < x)).cast("long")
-        ).drop("__cuts")
-    counts = staged.groupBy(*part, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__offset", _exclusive_prefix(F.col("__n"), part, _BUCKET)).drop("__n")
-    if bounded_groups:
-        counts = F.broadcast(counts)
-    w = Window.partitionBy(*part, _BUCKET).orderBy(x, *[F.col(c) for c in tie_cols])
-    return (
-        staged.join(counts, part + [_BUCKET], "inner")
-        .withColumn(rank_col, (F.col("__offset") + F.row_number().over(w) - 1).cast("long"))
-        .drop(_BUCKET, "__offset")
-    )
+                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """0-based rank of each row by (order_col, *tie_cols) within partition_cols."""
+    return ordered_scan(df, partition_cols, [order_col, *tie_cols], index_col=rank_col, rows_per_chunk=rows_per_chunk)
 
 
 def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], *,
                  index_col: str | None = None,
                  running_sums: Mapping[str, str] | None = None,
                  previous: Mapping[str, str] | None = None,
-                 rows_per_chunk: int = 1_000_000) -> DataFrame:
+                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per group, in (order_cols) order: 0-based index, running sums, previous values.
 
     ``running_sums`` maps output -> input column (inclusive running sum);
     ``previous`` maps output -> input column (value of the row before, NULL on
-    the first row of the group). The size of the largest group is checked
-    first: when it fits ``rows_per_chunk`` a plain window is used; otherwise
-    every group is cut into chunks — equal-width ranges of the first (numeric)
-    order column, as many per group as its size needs.
+    the first row of the group). The first order column is numeric.
     """
-    running_sums = dict(running_sums or {})
-    previous = dict(previous or {})
+    running_sums, previous = dict(running_sums or {}), dict(previous or {})
     group = list(group_cols)
-    if largest_group(df, group) <= rows_per_chunk:
-        # every group fits one task: a plain window (one shuffle) is enough
-        w = Window.partitionBy(*group).orderBy(*[F.col(c) for c in order_cols])
-        out = df
-        if index_col:
-            out = out.withColumn(index_col, (F.row_number().over(w) - 1).cast("long"))
-        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for o, src in running_sums.items():
-            out = out.withColumn(o, F.sum(src).over(w_run))
-        for o, src in previous.items():
-            out = out.withColumn(o, F.lag(src).over(w))
-        return out
-    t = F.col(order_cols[0])
-    stats = df.groupBy(*group).agg(
-        F.min(t).alias("__tmin"), F.max(t).alias("__tmax"), F.count(F.lit(1)).alias("__cnt"))
-    n_chunks = F.greatest(F.ceil(F.col("__cnt") / F.lit(rows_per_chunk)), F.lit(1))
-    span = F.col("__tmax") - F.col("__tmin")
-    chunk = F.when(
-        span > 0,
-        F.least(F.floor((t - F.col("__tmin")) / span * n_chunks), n_chunks - 1),
-    ).otherwise(F.lit(0)).cast("long")
-    staged = (
-        df.join(stats, group, "inner")
-        .withColumn(_CHUNK, chunk)
-        .drop("__tmin", "__tmax", "__cnt")
-    )
+    staged = _chunked(df, order_cols[0], rows_per_chunk)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.sum(src).alias(f"__tot_{out}") for out, src in running_sums.items()]
-    aggs += [F.max_by(F.col(src), order_struct).alias(f"__last_{out}") for out, src in previous.items()]
-    totals = staged.groupBy(*group, _CHUNK).agg(*aggs)
-    wc = Window.partitionBy(*group).orderBy(_CHUNK)
+    totals = staged.groupBy(*group, _CHUNK).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.sum(src).alias(f"__tot_{o}") for o, src in running_sums.items()],
+        *[F.max_by(F.struct(F.col(src).alias("v")), order_struct).alias(f"__last_{o}") for o, src in previous.items()])
+    w_before, w_chunks = _before(group), Window.partitionBy(*group).orderBy(_CHUNK)
     totals = totals.select(
-        *group, _CHUNK,
-        _exclusive_prefix(F.col("__n"), group, _CHUNK).alias("__off_n"),
-        *[_exclusive_prefix(F.col(f"__tot_{o}"), group, _CHUNK).alias(f"__off_{o}")
-          for o in running_sums],
-        *[F.lag(F.col(f"__last_{o}")).over(wc).alias(f"__prev_{o}") for o in previous],
-    )
+        *group, _CHUNK, F.coalesce(F.sum("__n").over(w_before), F.lit(0)).alias("__off_n"),
+        *[F.sum(f"__tot_{o}").over(w_before).alias(f"__off_{o}") for o in running_sums],
+        *[F.lag(f"__last_{o}").over(w_chunks).alias(f"__prev_{o}") for o in previous])
     w = Window.partitionBy(*group, _CHUNK).orderBy(*[F.col(c) for c in order_cols])
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = staged.join(totals, group + [_CHUNK], "inner").withColumn("__rn", F.row_number().over(w))
+    out = _with_totals(staged, totals, [*group, _CHUNK]).withColumn("__rn", F.row_number().over(w))
     if index_col:
         out = out.withColumn(index_col, (F.col("__off_n") + F.col("__rn") - 1).cast("long"))
     for o, src in running_sums.items():
-        out = out.withColumn(o, F.col(f"__off_{o}") + F.sum(src).over(w_run))
+        inside, offset = F.sum(src).over(w_run), F.col(f"__off_{o}")
+        out = out.withColumn(o, F.when(inside.isNull(), offset).otherwise(inside + F.coalesce(offset, F.lit(0))))
     for o, src in previous.items():
-        out = out.withColumn(
-            o, F.when(F.col("__rn") == 1, F.col(f"__prev_{o}")).otherwise(F.lag(src).over(w)))
-    drop = [_CHUNK, "__rn", "__off_n"] + [f"__off_{o}" for o in running_sums] \
-        + [f"__prev_{o}" for o in previous]
-    return out.drop(*drop)
+        out = out.withColumn(o, F.when(F.col("__rn") == 1, F.col(f"__prev_{o}.v")).otherwise(F.lag(src).over(w)))
+    return out.drop(_CHUNK, "__rn", "__off_n", *[f"__off_{o}" for o in running_sums], *[f"__prev_{o}" for o in previous])
+
+
+#: Accuracy of the approximate quantiles that bracket an exact one (rank error at most 1 / ACCURACY).
+ACCURACY = 10_000
 
 
 def exact_quantiles(long: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], *, buckets: int | None = None) -> DataFrame:
+                    probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``percentile``), per group.
 
-    Instead of buffering each group's values in one task, values are ranked
-    with :func:`global_rank` (bucketed by approximate quantiles), the two ranks
-    around ``q * (n - 1)`` are kept and interpolated. NULLs are ignored.
-    Returns (group_cols..., q, value).
+    Two passes. The first gives, per group, the count and approximate quantiles
+    just below and above each wanted one, which bracket it for certain. The
+    second counts the values of each bracket (all below it as one), so only
+    about 4 / ACCURACY of the values, and of equal values one row, are shuffled
+    and put in order. NULLs are ignored. Returns (group_cols..., q, value).
     """
     group = list(group_cols)
+    v = F.col("__v")
     vals = long.where(F.col(value_col).isNotNull()).select(*group, F.col(value_col).alias("__v"))
-    # tie-break on the value itself: equal values are interchangeable
-    ranked = global_rank(vals, "__v", [], partition_cols=group, rank_col="__r", buckets=buckets)
-    counts = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    qs = F.array(*[F.lit(float(q)) for q in probs])
-    targets = counts.select(*group, F.explode(qs).alias("q"), "__n").select(
-        *group, "q", (F.col("q") * (F.col("__n") - 1)).alias("__pos"))
-    targets = targets.select(*group, "q", "__pos",
-                             F.floor("__pos").cast("long").alias("__lo"),
-                             F.ceil("__pos").cast("long").alias("__hi"))
-    picks = targets.select(*group, "q", "__pos", "__lo", F.explode(F.array_distinct(
-        F.array("__lo", "__hi"))).alias("__r"))
-    hit = ranked.join(picks, group + ["__r"], "inner")
-    agg = hit.groupBy(*group, "q").agg(
-        F.max(F.when(F.col("__r") == F.col("__lo"), F.col("__v"))).alias("__vlo"),
-        F.max("__v").alias("__vhi"),
-        F.first("__pos").alias("__pos"), F.first("__lo").alias("__lo"))
-    frac = F.col("__pos") - F.col("__lo")
-    value = F.when(frac == 0, F.col("__vlo")).otherwise(
-        F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * frac)
-    return agg.select(*group, "q", value.alias("value"))
+    margin = 2.0 / ACCURACY
+    low = [max(0.0, q - margin) for q in probs]
+    high = [min(1.0, q + margin) for q in probs]
+    stats = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"),
+                                     F.percentile_approx(v, low, ACCURACY).alias("__low"),
+                                     F.percentile_approx(v, high, ACCURACY).alias("__high"),
+                                     F.min(v).alias("__min"), F.max(v).alias("__max"))
+    few = F.col("__n") < ACCURACY  # the margin is less than two ranks: the bracket is the whole group
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("q"),
+                 F.when(few | F.lit(low[i] == 0.0), F.col("__min")).otherwise(F.get("__low", i)).alias("lo"),
+                 F.when(few | F.lit(high[i] == 1.0), F.col("__max")).otherwise(F.get("__high", i)).alias("hi"))
+        for i, q in enumerate(probs)]))
+    brackets = stats.select(*group, "__n", wanted.alias("__w")).select(
+        *group, "__n", "__w.q", F.col("__w.lo").alias("__lo"), F.col("__w.hi").alias("__hi"))
+    near = (_with_totals(vals, brackets, group) if group else vals.crossJoin(brackets)) \
+        .where(v <= F.col("__hi")).withColumn("__v", F.when(v >= F.col("__lo"), v))  # NULL: below the bracket
+    counts = near.groupBy(*group, "q", "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+    w = Window.partitionBy(*group, "q").orderBy(F.col("__v").asc_nulls_first())
+    upto = counts.withColumn("__upto", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pos = F.col("q") * (F.col("__n") - 1)
+    picked = upto.groupBy(*group, "q").agg(
+        F.max("__n").alias("__n"),
+        F.min(F.when(F.col("__upto") > F.floor(pos), v)).alias("__a"),
+        F.min(F.when(F.col("__upto") > F.ceil(pos), v)).alias("__b"))
+    frac = pos - F.floor(pos)
+    value = F.when(frac == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * frac)
+    return picked.select(*group, "q", value.alias("value"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_uniform
 from ..schemas import ALL_LEVERS, RESERVOIRS, SPE9_PB_MARGIN_PSI, THROTTLE_RATIO
 from ..sources.dimensions import lever_ranges, reservoir_dim
-from .ranking import buckets_for_size, global_rank
+from .ranking import global_rank
 
 MAX_REDRAWS = 50
 #: Attempts tested by compiled CASE branches before the array form takes over.
@@ -52,25 +52,15 @@ def lhs_sample(runs: DataFrame, seed: int = 42) -> DataFrame:
     for levers the reservoir does not have."""
     spark = runs.sparkSession
     runs = runs.select("reservoir_id", "sim_id")
-    # runs per reservoir: one row per registered reservoir, fetched once
-    n_by_res = {r["reservoir_id"]: r["n"] for r in
-                runs.groupBy("reservoir_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n_by_res:
-        n_col = F.lit(None).cast("long")
-    else:
-        n_col = None
-        for res, n in n_by_res.items():
-            n_col = (F.when(F.col("reservoir_id") == res, F.lit(n)) if n_col is None
-                     else n_col.when(F.col("reservoir_id") == res, F.lit(n)))
-    buckets = buckets_for_size(max(n_by_res.values(), default=0))
+    n_runs = runs.groupBy("reservoir_id").agg(F.count(F.lit(1)).alias("n_runs"))  # one row per reservoir
     cells = (
-        runs.join(lever_ranges(spark), "reservoir_id")
+        runs.join(lever_ranges(spark), "reservoir_id").join(n_runs, "reservoir_id")
         .withColumn("h", hash_uniform(seed, F.col("reservoir_id"), F.col("lever"), "perm", F.col("sim_id")))
     )
     ranked = global_rank(cells, "h", ["sim_id"], partition_cols=["reservoir_id", "lever"],
-                         rank_col="stratum", uniform=True, bounded_groups=True, buckets=buckets)
+                         rank_col="stratum")
     jitter = hash_uniform(seed, F.col("reservoir_id"), F.col("lever"), "jitter", F.col("sim_id"))
-    u = (F.col("stratum") + jitter) / n_col
+    u = (F.col("stratum") + jitter) / F.col("n_runs")
     valued = ranked.select(
         "reservoir_id", "sim_id", "lever", (F.col("lo") + u * (F.col("hi") - F.col("lo"))).alias("value"))
     lever, value = F.col("lever"), F.col("value")

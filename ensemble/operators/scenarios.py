@@ -1,15 +1,17 @@
 """Scenario rules: baseline control records x scenario levers -> per-run records.
 
 Each rule joins the scenario table with a small fixed control table of the
-same reservoir (a broadcast join on ``reservoir_id``), rewrites the targeted
-values with column expressions, and checks how many records it hit per
-scenario. A hit count other than the rule's expectation fails the job
-(``raise_error``), as a rewrite that misses its target must not go unnoticed.
+same reservoir (a broadcast join on ``reservoir_id``) and rewrites the targeted
+values with column expressions. How many records a rule hits depends on the
+control table alone, so hits are counted there, once per reservoir; a count
+other than the rule expects fails the job in a filter that no later projection
+or count can prune, as a rewrite that misses its target must not go unnoticed.
+A reservoir without any control record has no hits, and fails too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PVT_ANCHOR_PSI
@@ -19,69 +21,84 @@ from .sampling import with_dependent_levers
 RUN_KEY = ["reservoir_id", "sim_id"]
 
 
-def _round(c: Column, digits: int) -> Column:
-    """Value as written with ``digits`` decimals."""
-    return F.round(c, digits)
-
-
-def _check_hits(df: DataFrame, hit: Column, expected, rule: str, at_least: bool = False) -> DataFrame:
-    """Adds ``hits`` per scenario and fails when it differs from ``expected``."""
-    w = Window.partitionBy(*RUN_KEY)
-    hits = F.sum(hit.cast("int")).over(w)
-    bad = (hits < F.lit(expected)) if at_least else (hits != F.lit(expected))
-    return df.withColumn("hits", hits.cast("long")).withColumn(
-        "hits", F.when(bad, F.raise_error(F.format_string(f"{rule}: %d records matched", hits)))
-        .otherwise(F.col("hits")))
-
-
-def _scen(scenarios: DataFrame, reservoir: str | None = None) -> DataFrame:
-    s = scenarios if reservoir is None else scenarios.where(F.col("reservoir_id") == reservoir)
-    return s
+def _two_product(x: Column, y: float) -> tuple[Column, Column]:
+    """x * y as (rounded product, exact error), both doubles (splitting by 2**27 + 1)."""
+    c = F.lit(134217729.0)
+    p = x * F.lit(y)
+    xh = c * x - (c * x - x)
+    xl = x - xh
+    t = 134217729.0 * y
+    yh = t - (t - y)
+    yl = y - yh
+    return p, ((xh * F.lit(yh) - p) + xh * F.lit(yl) + xl * F.lit(yh)) + xl * F.lit(yl)
 
 
-def apply_injector_rate(scenarios: DataFrame) -> DataFrame:
+def _round(c: Column, digits: int) -> Column:
+    """Value as ``%.<digits>f`` writes it: the exact binary value to the nearest, ties to even."""
+    x = F.abs(c.cast("double"))
+    p, err = _two_product(x, 10.0**digits)
+    n = F.floor(p).cast("double")
+    beyond = (p - (n + 0.5)) + err  # sign: on which side of the middle the exact product lies
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(n, F.lit(2.0)) == 1))
+    # the product may be rounded up to a whole number that the exact one does not reach
+    low = (p == n) & (err < 0) & (err < -0.5)
+    whole = F.when(low, n - 1).when(up, n + 1).otherwise(n)
+    return F.when(c < 0, -whole / F.lit(10.0**digits)).otherwise(whole / F.lit(10.0**digits))
+
+
+def _with_controls(scenarios: DataFrame, ctl: DataFrame, hit: Column, ok: Column, rule: str) -> DataFrame:
+    """Scenarios x control records of their reservoir, with ``hits``: the records that the rule
+    matches. Fails where ``ok`` (an expression on reservoir_id and hits) does not hold."""
+    hits = ctl.groupBy("reservoir_id").agg(F.count_if(hit).alias("hits"))  # a fixed table: a row per reservoir
+    j = scenarios.join(ctl, "reservoir_id", "left").join(F.broadcast(hits), "reservoir_id", "left") \
+        .withColumn("hits", F.coalesce("hits", F.lit(0)))
+    # one condition: a filter of its own on the records would turn the join into an inner one before the check
+    return j.where(F.when(ok, F.col("record_no").isNotNull()).otherwise(
+        F.raise_error(F.format_string(f"{rule} of %s: %d records matched", F.col("reservoir_id"), F.col("hits"))).cast("boolean")))
+
+
+def _scen(scenarios: DataFrame, reservoir: str) -> DataFrame:
+    return scenarios.where(F.col("reservoir_id") == reservoir)
+
+
+def apply_injector_rate(scenarios: DataFrame, ctl: DataFrame | None = None) -> DataFrame:
     """Water injector INJE1 (WATER/OPEN/RATE): rate := qwinj_rate (2 dp); exactly 1 hit."""
-    ctl = control_table(scenarios.sparkSession, "injector")
-    j = _scen(scenarios, "spe9").join(ctl, "reservoir_id")
+    ctl = control_table(scenarios.sparkSession, "injector") if ctl is None else ctl
     match = ((F.col("well") == "INJE1") & (F.col("fluid") == "WATER") & (F.col("status") == "OPEN")
              & (F.col("mode") == "RATE"))
-    out = j.select(*RUN_KEY, "record_no", "well", F.col("rate").alias("base_rate"),
-                   F.when(match, _round(F.col("qwinj_rate"), 2)).otherwise(F.col("rate")).alias("rate"),
-                   match.alias("__hit"))
-    return _check_hits(out, F.col("__hit"), 1, "injector rate").drop("__hit")
+    j = _with_controls(_scen(scenarios, "spe9"), ctl, match, F.col("hits") == 1, "injector rate")
+    return j.select(*RUN_KEY, "record_no", "well", F.col("rate").alias("base_rate"),
+                    F.when(match, _round(F.col("qwinj_rate"), 2)).otherwise(F.col("rate")).alias("rate"), "hits")
 
 
-def apply_producer_cap(scenarios: DataFrame) -> DataFrame:
+def apply_producer_cap(scenarios: DataFrame, ctl: DataFrame | None = None) -> DataFrame:
     """Producer ORAT caps: 1500 -> qo_rate_high, 100 -> qo_rate_low (2 dp), others
     kept; exactly 3 matching records."""
-    ctl = control_table(scenarios.sparkSession, "producer")
-    s = with_dependent_levers(_scen(scenarios, "spe9"))
-    j = s.join(ctl, "reservoir_id")
+    ctl = control_table(scenarios.sparkSession, "producer") if ctl is None else ctl
     match = (F.col("well_pattern") == "PRODU*") & (F.col("status") == "OPEN") & (F.col("mode") == "ORAT")
+    j = _with_controls(with_dependent_levers(_scen(scenarios, "spe9")), ctl, match, F.col("hits") == 3, "producer caps")
     base = F.col("rate")
     new = (F.when(match & (base == 1500.0), _round(F.col("qo_rate_high"), 2))
            .when(match & (base == 100.0), _round(F.col("qo_rate_low"), 2)).otherwise(base))
-    out = j.select(*RUN_KEY, "record_no", base.alias("base_rate"), new.alias("rate"), match.alias("__hit"))
-    return _check_hits(out, F.col("__hit"), 3, "producer caps").drop("__hit")
+    return j.select(*RUN_KEY, "record_no", base.alias("base_rate"), new.alias("rate"), "hits")
 
 
-def apply_equil(scenarios: DataFrame) -> DataFrame:
+def apply_equil(scenarios: DataFrame, ctl: DataFrame | None = None) -> DataFrame:
     """Equilibration pressure: FIELD deck sets it to p_init (2 dp, exactly 1
     record); METRIC decks shift every record by p_init_shift_bar (4 dp; shift 0
-    leaves the record as is; norne needs at least 1 record, volve exactly 12)."""
-    ctl = control_table(scenarios.sparkSession, "equil")
-    j = scenarios.join(ctl, "reservoir_id")
+    leaves the record as is, whatever the number of records; norne needs at
+    least 1 record, volve exactly 12). The twelve records of the third field
+    are illustrative: its main deck is not public."""
+    ctl = control_table(scenarios.sparkSession, "equil") if ctl is None else ctl
     shift = F.coalesce(F.col("p_init_shift_bar"), F.lit(0.0))
-    new = (F.when(F.col("reservoir_id") == "spe9", _round(F.col("p_init"), 2))
+    res, hits = F.col("reservoir_id"), F.col("hits")
+    ok = F.when(res == "spe9", hits == 1).when(shift == 0, F.lit(True)).when(res == "volve", hits == 12).otherwise(hits >= 1)
+    j = _with_controls(scenarios, ctl, F.lit(True), ok, "equilibration")
+    new = (F.when(res == "spe9", _round(F.col("p_init"), 2))
            .when(shift == 0, F.col("pressure"))
            .otherwise(_round(F.col("pressure") + shift, 4)))
-    out = j.select(*RUN_KEY, "record_no", F.col("pressure").alias("base_pressure"), new.alias("pressure"))
-    w = Window.partitionBy(*RUN_KEY)
-    hits = F.count(F.lit(1)).over(w)
-    expected = F.when(F.col("reservoir_id") == "spe9", 1).when(F.col("reservoir_id") == "volve", 12)
-    bad = F.when(expected.isNull(), hits < 1).otherwise(hits != expected)
-    return out.withColumn("hits", F.when(bad, F.raise_error(F.lit("equilibration records not matched")))
-                          .otherwise(hits).cast("long"))
+    return j.select(
+        *RUN_KEY, "record_no", F.col("pressure").alias("base_pressure"), new.alias("pressure"), "hits")
 
 
 def apply_multipliers(scenarios: DataFrame) -> DataFrame:
@@ -92,15 +109,6 @@ def apply_multipliers(scenarios: DataFrame) -> DataFrame:
     return s.select(*RUN_KEY, "prop", _round(mult, 5).alias("multiplier"))
 
 
-def apply_multipliers_to_grid(grid: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Cell values of each scenario: grid (reservoir_id, cell, prop, value) x multipliers.
-    Output grows as cells x scenarios; it is partitioned by the join on
-    (reservoir_id, prop), never gathered."""
-    m = apply_multipliers(scenarios)
-    return grid.join(m, ["reservoir_id", "prop"]).select(
-        *RUN_KEY, "cell", "prop", (F.col("value") * F.col("multiplier")).alias("value"))
-
-
 def apply_pvto_shift(scenarios: DataFrame) -> DataFrame:
     """PVTO records: bubble point + pb_shift on records of 4 numbers whose
     pressure is above the 14.7 psia anchor (written 3/2/4/4 dp); the anchor and
@@ -117,19 +125,20 @@ def apply_pvto_shift(scenarios: DataFrame) -> DataFrame:
                     "terminated", target.alias("shifted"))
 
 
-def apply_group_rate(scenarios: DataFrame) -> DataFrame:
+def apply_group_rate(scenarios: DataFrame, ctl: DataFrame | None = None) -> DataFrame:
     """Group injection: the first FIELD/WAT/RATE record's rate x qwinj_group_mult
-    (2 dp); exactly one such record; mult 1 changes nothing."""
-    ctl = control_table(scenarios.sparkSession, "group_injection")
-    j = _scen(scenarios, "volve").join(ctl, "reservoir_id")
+    (2 dp); there must be one; mult 1 changes nothing. The records of the third
+    field are illustrative: its main deck is not public."""
+    ctl = control_table(scenarios.sparkSession, "group_injection") if ctl is None else ctl
     match = (F.col("grp") == "FIELD") & (F.col("phase") == "WAT") & (F.col("mode") == "RATE")
-    first_no = F.min(F.when(match, F.col("record_no"))).over(Window.partitionBy(*RUN_KEY))
-    target = match & (F.col("record_no") == first_no)
+    first = ctl.where(match).groupBy("reservoir_id").agg(F.min("record_no").alias("__first"))  # a row per reservoir
+    ctl = ctl.join(F.broadcast(first), "reservoir_id", "left")
+    target = F.coalesce(F.col("record_no") == F.col("__first"), F.lit(False))
     mult = F.col("qwinj_group_mult")
+    j = _with_controls(_scen(scenarios, "volve"), F.broadcast(ctl), target, (F.col("hits") == 1) | (mult == 1.0), "group injection")
     new = F.when(target & (mult != 1.0), _round(F.col("rate") * mult, 2)).otherwise(F.col("rate"))
-    out = j.select(*RUN_KEY, "record_no", F.col("rate").alias("base_rate"), new.alias("rate"),
-                   target.alias("__hit"))
-    return _check_hits(out, F.col("__hit"), 1, "group injection").drop("__hit")
+    return j.select(
+        *RUN_KEY, "record_no", F.col("rate").alias("base_rate"), new.alias("rate"), "hits")
 
 
 def apply_scenario(scenarios: DataFrame) -> DataFrame:

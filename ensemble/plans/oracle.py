@@ -130,13 +130,22 @@ sql("pvt_rs", f"SELECT reservoir_id, sim_id, step, p, {rs_sql('p', 'pvt_shift')}
 sql("pvt_bo", f"SELECT reservoir_id, sim_id, step, p, {bo_sql('p', 'pvt_shift')} AS bo FROM tps", "p bo", TPS)
 sql("pvt_bg", f"SELECT reservoir_id, sim_id, step, p, {bg_sql('p')} AS bg FROM tp", "p bg", TP)
 
-_segs = ", ".join(f"({j}, {d(PVDG[j][0])}, {d(PVDG[j + 1][0])}, {d(PVDG[j][1] / 1000.0)}, {d(PVDG[j + 1][1] / 1000.0)})"
-                  for j in range(len(PVDG) - 1))
-sql("interp_join",
-    "SELECT t.reservoir_id, t.sim_id, t.step, t.p, CAST(s.seg AS BIGINT) AS seg,"
-    " (s.y1 - s.y0) / (s.x1 - s.x0) * (t.p - s.x0) + s.y0 AS bg"
-    f" FROM tp t JOIN (VALUES {_segs}) s(seg, x0, x1, y0, y1) ON t.p >= s.x0 AND t.p < s.x1",
-    "p bg", TP)
+def _clamped(points: list[tuple[float, float]]) -> tuple[str, str]:
+    """(value, segment) CASE chains of a clamped table lookup."""
+    value, seg = f"CASE WHEN p <= {d(points[0][0])} THEN {d(points[0][1])}", "CASE"
+    for j, ((x0, y0), (x1, y1)) in enumerate(zip(points, points[1:])):
+        value += f" WHEN p < {d(x1)} THEN ({d(y1)} - {d(y0)}) / ({d(x1)} - {d(x0)}) * (p - {d(x0)}) + {d(y0)}"
+        seg += f" WHEN p < {d(x1)} THEN {j}"
+    return (f"{value} WHEN p >= {d(points[-1][0])} THEN {d(points[-1][1])} END",
+            f"CAST({seg} WHEN p IS NOT NULL THEN {len(points) - 2} END AS BIGINT)")
+
+
+_lookup = []
+for _name, _points in (("pvdg_bg", [(r[0], r[1] / 1000.0) for r in PVDG]), ("pvto_bo", [(r[1], r[2]) for r in PVTO_SATURATED]),
+                       ("pvto_rs", [(r[1], r[0] * 1000.0) for r in PVTO_SATURATED])):
+    _v, _s = _clamped(_points)
+    _lookup.append(f"SELECT reservoir_id, sim_id, step, '{_name}' AS table_id, p, {_s} AS seg, {_v} AS value FROM tp WHERE p IS NOT NULL")
+sql("interp_join", " UNION ALL ".join(_lookup), "p value", TP)
 
 sql("weighted_statics",
     "SELECT p_brand AS grp, sum(CAST(p_size AS DOUBLE) * p_retailprice) / sum(CAST(p_size AS DOUBLE)) AS weighted_mean,"
@@ -144,30 +153,30 @@ sql("weighted_statics",
 
 # --- scenario rules ----------------------------------------------------------------
 INJ = ("inj AS (SELECT s.reservoir_id, s.sim_id, CAST(1 AS BIGINT) AS record_no, 'INJE1' AS well,"
-       f" {d(5000.0)} AS base_rate, round(s.qwinj_rate, 2) AS rate, CAST(1 AS BIGINT) AS hits"
+       f" {d(5000.0)} AS base_rate, CAST(printf('%.2f', s.qwinj_rate) AS DOUBLE) AS rate, CAST(1 AS BIGINT) AS hits"
        " FROM scen s WHERE s.reservoir_id = 'spe9')")
 sql("apply_injector_rate", "SELECT * FROM inj", "base_rate rate", INJ)
 
 _prod = ", ".join(f"({n}, {d(r)})" for n, r in [(1, 1500.0), (2, 100.0), (3, 1500.0)])
 PROD = ("prod AS (SELECT s.reservoir_id, s.sim_id, CAST(c.record_no AS BIGINT) AS record_no, c.rate AS base_rate,"
-        f" CASE WHEN c.rate = {d(1500.0)} THEN round(s.qo_rate_high, 2)"
-        f" WHEN c.rate = {d(100.0)} THEN round(s.qo_rate_high * {d(100.0 / 1500.0)}, 2) ELSE c.rate END AS rate,"
+        f" CASE WHEN c.rate = {d(1500.0)} THEN CAST(printf('%.2f', s.qo_rate_high) AS DOUBLE)"
+        f" WHEN c.rate = {d(100.0)} THEN CAST(printf('%.2f', s.qo_rate_high * {d(100.0 / 1500.0)}) AS DOUBLE) ELSE c.rate END AS rate,"
         " CAST(3 AS BIGINT) AS hits"
         f" FROM scen s CROSS JOIN (VALUES {_prod}) c(record_no, rate) WHERE s.reservoir_id = 'spe9')")
 sql("apply_producer_cap", "SELECT * FROM prod", "base_rate rate", PROD)
 
 _eq = ", ".join(f"('{r[0]}', {r[1]}, {d(r[3])})" for r in EQUIL_RECORDS)
 EQ = ("eq AS (SELECT s.reservoir_id, s.sim_id, CAST(c.record_no AS BIGINT) AS record_no, c.pressure AS base_pressure,"
-      " CASE WHEN s.reservoir_id = 'spe9' THEN round(s.p_init, 2)"
+      " CASE WHEN s.reservoir_id = 'spe9' THEN CAST(printf('%.2f', s.p_init) AS DOUBLE)"
       f" WHEN coalesce(s.p_init_shift_bar, {d(0)}) = {d(0)} THEN c.pressure"
-      f" ELSE round(c.pressure + coalesce(s.p_init_shift_bar, {d(0)}), 4) END AS pressure,"
+      f" ELSE CAST(printf('%.4f', c.pressure + coalesce(s.p_init_shift_bar, {d(0)})) AS DOUBLE) END AS pressure,"
       " count(*) OVER (PARTITION BY s.reservoir_id, s.sim_id) AS hits"
       f" FROM scen s JOIN (VALUES {_eq}) c(reservoir_id, record_no, pressure) ON s.reservoir_id = c.reservoir_id)")
 sql("apply_equil", "SELECT * FROM eq", "base_pressure pressure", EQ)
 
 _props = ", ".join(f"('{p}')" for p in GRID_PROPERTIES)
 MUL = ("mul AS (SELECT s.reservoir_id, s.sim_id, g.prop,"
-       " round(CASE WHEN g.prop = 'PORO' THEN s.phi_mult ELSE s.k_mult END, 5) AS multiplier"
+       " CAST(printf('%.5f', CASE WHEN g.prop = 'PORO' THEN s.phi_mult ELSE s.k_mult END) AS DOUBLE) AS multiplier"
        f" FROM scen s CROSS JOIN (VALUES {_props}) g(prop))")
 sql("apply_multipliers", "SELECT * FROM mul", "multiplier", MUL)
 
@@ -185,14 +194,14 @@ PV = ("pv0 AS (SELECT s.reservoir_id, s.sim_id, CAST(c.record_no AS BIGINT) AS r
       f" FROM scen s CROSS JOIN (VALUES {_pv}) c(record_no, n0, n1, n2, n3, n_nums, terminated)"
       " WHERE s.reservoir_id = 'spe9'),\n"
       "pv AS (SELECT reservoir_id, sim_id, record_no, n1 AS base_pressure,"
-      " CASE WHEN shifted THEN round(n0, 3) ELSE n0 END AS n0, CASE WHEN shifted THEN round(n1 + sh, 2) ELSE n1 END AS n1,"
-      " CASE WHEN shifted THEN round(n2, 4) ELSE n2 END AS n2, CASE WHEN shifted THEN round(n3, 4) ELSE n3 END AS n3,"
+      " CASE WHEN shifted THEN CAST(printf('%.3f', n0) AS DOUBLE) ELSE n0 END AS n0, CASE WHEN shifted THEN CAST(printf('%.2f', n1 + sh) AS DOUBLE) ELSE n1 END AS n1,"
+      " CASE WHEN shifted THEN CAST(printf('%.4f', n2) AS DOUBLE) ELSE n2 END AS n2, CASE WHEN shifted THEN CAST(printf('%.4f', n3) AS DOUBLE) ELSE n3 END AS n3,"
       " n_nums, terminated, shifted FROM pv0)")
 sql("apply_pvto_shift", "SELECT * FROM pv", "base_pressure n0 n1 n2 n3", PV)
 
 _gi = ", ".join(f"({r[1]}, '{r[2]}', '{r[3]}', '{r[4]}', {d(r[5])})" for r in GROUP_INJECTION_RECORDS)
 GI = ("gi AS (SELECT s.reservoir_id, s.sim_id, CAST(c.record_no AS BIGINT) AS record_no, c.rate AS base_rate,"
-      f" CASE WHEN c.record_no = 1 AND s.qwinj_group_mult <> {d(1.0)} THEN round(c.rate * s.qwinj_group_mult, 2)"
+      f" CASE WHEN c.record_no = 1 AND s.qwinj_group_mult <> {d(1.0)} THEN CAST(printf('%.2f', c.rate * s.qwinj_group_mult) AS DOUBLE)"
       " ELSE c.rate END AS rate, CAST(1 AS BIGINT) AS hits"
       f" FROM scen s CROSS JOIN (VALUES {_gi}) c(record_no, grp, phase, mode, rate) WHERE s.reservoir_id = 'volve')")
 sql("apply_group_rate", "SELECT * FROM gi", "base_rate rate", GI)
@@ -257,18 +266,24 @@ rq AS (SELECT count(*) AS n_requested FROM runs),
 one AS (SELECT * FROM st, wst, rq),
 fi AS (
   SELECT 'empty' AS "check", CAST(NULL AS VARCHAR) AS "column", n_rows > 0 AS passed, CAST(n_rows AS DOUBLE) AS observed,
-         CAST(NULL AS DOUBLE) AS threshold, CASE WHEN n_rows = 0 THEN 'dataset is empty (no sims converged)' ELSE '' END AS message, n_rows FROM one
+         CAST(NULL AS DOUBLE) AS threshold, CASE WHEN n_rows = 0 THEN 'no rows: not one run was kept' ELSE '' END AS message, n_rows FROM one
   UNION ALL SELECT 'null_values', NULL, null_cells = 0, CAST(null_cells AS DOUBLE), {d(0)},
-         CASE WHEN null_cells > 0 THEN 'NaN in schema columns' ELSE '' END, n_rows FROM one
+         CASE WHEN null_cells > 0 THEN printf('%d cells without a value', null_cells) ELSE '' END, n_rows FROM one
   UNION ALL SELECT 'converged', NULL, n_sims >= floor(n_requested * {d(0.8)}), CAST(n_sims AS DOUBLE), NULL,
-         printf('%d/%d simulations converged', n_sims, n_requested), n_rows FROM one
-  {" ".join(f"UNION ALL SELECT 'monotonic', '{c}', (w_{c} IS NULL OR w_{c} >= {d(-1.0)}), w_{c}, {d(-1.0)}, CASE WHEN (w_{c} IS NULL OR w_{c} >= {d(-1.0)}) THEN '' ELSE '{c} decreases within at least one simulation' END, n_rows FROM one" for c in CUMULATIVE_COLUMNS)}
+         printf('runs kept: %d of %d', n_sims, n_requested), n_rows FROM one
+  {" ".join(f"UNION ALL SELECT 'monotonic', '{c}', (w_{c} IS NULL OR w_{c} >= {d(-1.0)}), w_{c}, {d(-1.0)}, CASE WHEN (w_{c} IS NULL OR w_{c} >= {d(-1.0)}) THEN '' ELSE 'a run''s {c} goes down' END, n_rows FROM one" for c in CUMULATIVE_COLUMNS)}
   UNION ALL SELECT 'pressure_range', '{TARGET}', coalesce(p_range >= {d(100.0)}, false), p_range, {d(100.0)},
-         printf('FPR range across batch %.0f psi', CAST(floor(p_range + 0.5) AS DOUBLE)), n_rows FROM one)"""
+         printf('all pressures lie within %.0f psi', CAST(floor(p_range + 0.5) AS DOUBLE)), n_rows FROM one)"""
 sql("validate_dataset",
     "SELECT \"check\", \"column\", passed, observed, threshold, message FROM fi WHERE n_rows > 0 OR \"check\" = 'empty'",
     "observed threshold", VAL)
 
+# a stored dataset has no step: its rows are ordered by time, rows of equal time by their cumulatives
+_stored_order = "tiempo_dias NULLS FIRST, " + ", ".join(f"{c} NULLS FIRST" for c in CUMULATIVE_COLUMNS)
+sql("validate_stored",
+    "SELECT \"check\", \"column\", passed, observed, threshold, message FROM fi WHERE n_rows > 0 OR \"check\" = 'empty'",
+    "observed threshold", VAL.replace("ORDER BY step", f"ORDER BY {_stored_order}").replace("sim_id, step, ", "sim_id, "))
+
 MONO = (f"dl1 AS (SELECT reservoir_id, sim_id, step, {_cum_w} FROM traj)")
 sql("monotonic_violations",
     "SELECT * FROM (" + " UNION ALL ".join(
@@ -278,7 +293,7 @@ sql("monotonic_violations",
 sql("variance_audit",
     "SELECT reservoir_id, \"column\", variance, CASE WHEN \"column\" IN ("
     + ", ".join(f"'{c}'" for c in LEAKAGE_COLUMNS)
-    + ") THEN 'PVT-derived from pressure (leakage)' ELSE 'constant per reservoir (zero variance)' END AS reason,"
+    + ") THEN 'leakage: computed from the target pressure' ELSE 'no variance inside a reservoir' END AS reason,"
     " coalesce(variance = 0, false) AS zero_variance FROM (" + " UNION ALL ".join(
         f"SELECT reservoir_id, '{c}' AS \"column\", CASE WHEN min({c}) = max({c}) AND var_samp({c}) IS NOT NULL"
         f" THEN CAST(0 AS DOUBLE) ELSE var_samp({c}) END AS variance FROM traj GROUP BY reservoir_id"
@@ -412,7 +427,19 @@ LEVL = (RUNLOG_CTE + ",\nlvl AS (" + " UNION ALL ".join(
     for lv in ALL_LEVERS) + ")")
 sql("lever_sensitivity", "SELECT * FROM lvl", "x fpr_min_psi fpr_max_psi", LEVL)
 _c, _b = hist_sql("SELECT * FROM lvl", ["reservoir_id", "lever"], "x", 20)
-sql("lever_histogram", _b, "lo hi", LEVL + "," + _c)
+sql("lever_histogram", _b, "lo hi", LEVL.replace("WHERE ok AND ", "WHERE ") + "," + _c)
+
+THIRDS = PRM[: PRM.index("pk AS")] + """pk AS (SELECT reservoir_id, sim_id, 'first' AS pick FROM pr WHERE rk = 0
+       UNION ALL SELECT reservoir_id, sim_id, 'third' FROM pr WHERE rk = n // 3
+       UNION ALL SELECT reservoir_id, sim_id, 'two_thirds' FROM pr WHERE rk = 2 * n // 3
+       UNION ALL SELECT reservoir_id, sim_id, 'last' FROM pr WHERE rk = n - 1),
+lagged AS (SELECT reservoir_id, sim_id, step, Presion_Reservorio_psi AS y,
+                  lag(Presion_Reservorio_psi) OVER (PARTITION BY reservoir_id, sim_id ORDER BY step) AS y_pred FROM traj)"""
+sql("rank_picks_thirds", "SELECT t.reservoir_id, t.sim_id, t.step, k.pick, t.y, t.y_pred"
+    " FROM lagged t JOIN pk k ON t.reservoir_id = k.reservoir_id AND t.sim_id = k.sim_id", "y y_pred", THIRDS)
+sql("trajectory_band", "SELECT reservoir_id, step, quantile_cont(Presion_Reservorio_psi, 0.05) AS p05,"
+    " quantile_cont(Presion_Reservorio_psi, 0.5) AS p50, quantile_cont(Presion_Reservorio_psi, 0.95) AS p95"
+    " FROM traj GROUP BY reservoir_id, step", "p05 p50 p95")
 
 # --- splits ------------------------------------------------------------------------
 GS = f"""
@@ -421,6 +448,9 @@ gs AS (SELECT reservoir_id, sim_id, row_number() OVER (PARTITION BY reservoir_id
               ORDER BY {hu(42, 'reservoir_id', 'sim_id')}, sim_id) - 1 AS shuffle_rank FROM gd),
 gsp AS (SELECT *, CASE WHEN shuffle_rank < 20 THEN 'test' WHEN shuffle_rank < 36 THEN 'val' ELSE 'train' END AS split FROM gs)"""
 sql("group_split", "SELECT * FROM gsp", "", GS)
+sql("rows_not_held_out", "SELECT t.reservoir_id, t.sim_id, t.step, t.Presion_Reservorio_psi FROM traj t"
+    " WHERE NOT EXISTS (SELECT 1 FROM gsp g WHERE g.reservoir_id = t.reservoir_id AND g.sim_id = t.sim_id AND g.split = 'test')",
+    TARGET, GS)
 sql("split_sizes",
     "SELECT t.reservoir_id, g.split, count(*) AS n_rows, count(DISTINCT (t.reservoir_id, t.sim_id)) AS n_runs"
     " FROM traj t JOIN gsp g ON t.reservoir_id = g.reservoir_id AND t.sim_id = g.sim_id GROUP BY t.reservoir_id, g.split",

@@ -221,13 +221,18 @@ def pvt_bg(spark, sf):
 
 @query
 def interp_join(spark, sf):
-    """Tabular lookup: rows x segments of their table (equi key table_id, then
-    x0 <= p < x1), interpolated; rows outside the table find no segment."""
-    segs = pvt_tables(spark).where(F.col("table_id") == "pvdg_bg")
-    rows = _traj_p(spark, sf).withColumn("table_id", F.lit("pvdg_bg"))
-    j = rows.join(segs, (rows.table_id == segs.table_id) & (F.col("p") >= F.col("x0")) & (F.col("p") < F.col("x1")))
-    val = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")) * (F.col("p") - F.col("x0")) + F.col("y0")
-    return j.select(*STEP_KEY, "p", "seg", val.alias("bg"))
+    """Tabular lookup of every pressure in every PVT table: rows x segments (equi key table_id, then
+    x0 <= p < x1), interpolated. The first segment reaches down and the last one up without end and
+    hold the end values there, so each row finds one segment of each table."""
+    segs = pvt_tables(spark)
+    ends = segs.groupBy("table_id").agg(F.max("seg").alias("last_seg"))
+    segs = F.broadcast(segs.join(ends, "table_id"))  # fixed tables
+    rows = _traj_p(spark, sf).withColumn("table_id", F.explode(F.array(*[F.lit(t) for t in ("pvdg_bg", "pvto_bo", "pvto_rs")])))
+    p, first, last = F.col("p"), F.col("seg") == 0, F.col("seg") == F.col("last_seg")
+    j = rows.join(segs, "table_id").where((first | (p >= F.col("x0"))) & (last | (p < F.col("x1"))))
+    val = (F.when(p <= F.col("x0"), F.col("y0")).when(p >= F.col("x1"), F.col("y1"))
+           .otherwise((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")) * (p - F.col("x0")) + F.col("y0")))
+    return j.select(*STEP_KEY, "table_id", "p", "seg", val.alias("value"))
 
 
 @query
@@ -301,6 +306,14 @@ def validate_dataset(spark, sf):
     return quality.validate_dataset(D.trajectory(spark, sf), req)
 
 
+@query
+def validate_stored(spark, sf):
+    """The checks on the dataset as stored: its 19 columns, without a step."""
+    req = testdata.runs(spark, sf).agg(F.count(F.lit(1)).alias("n_requested"))
+    stored = files.read_trajectory(spark, D.trajectory_path(spark, sf)).select(*TRAJECTORY_COLUMNS)
+    return quality.validate_dataset(stored, req)
+
+
 @query
 def monotonic_violations(spark, sf):
     return quality.monotonic_violations(D.trajectory(spark, sf))
@@ -366,6 +379,31 @@ def rank_picks(spark, sf):
         "Prod_Acumulada_Petroleo", "Iny_Acumulada_Agua")
 
 
+@query
+def rank_picks_thirds(spark, sf):
+    """Runs at the ranks 0, n // 3, 2n // 3 and n - 1 of their lowest pressure, with their predicted traces
+    (a persistence forecast: the pressure of the step before)."""
+    tr = D.trajectory(spark, sf)
+    picks = explore.rank_picks(_per_run_min(spark, sf), "fpr_min", ("first", "third", "two_thirds", "last"))
+    before = tr.select(*RUN_KEY, (F.col("step") + 1).alias("step"), F.col(TARGET).alias("y_pred"))
+    rows = tr.select(*STEP_KEY, F.col(TARGET).alias("y")).join(picks.select(*RUN_KEY, "pick"), RUN_KEY)
+    return rows.join(before, STEP_KEY, "left").select(*STEP_KEY, "pick", "y", "y_pred")
+
+
+@query
+def trajectory_band(spark, sf):
+    """The 5, 50 and 95 % band of the pressure over the runs of a reservoir, by step."""
+    band = explore.quantile_band_by_step(D.trajectory(spark, sf))
+    return band.select("reservoir_id", "step", F.col("`0.05`").alias("p05"), F.col("`0.5`").alias("p50"), F.col("`0.95`").alias("p95"))
+
+
+@query
+def rows_not_held_out(spark, sf):
+    """Rows of all runs but the test runs, by an anti join on the run key."""
+    tr = D.trajectory(spark, sf)
+    return splits.rows_not_of(tr, splits.group_split(tr, seed=D.SEED), "test").select(*STEP_KEY, TARGET)
+
+
 @query
 def sample_sims(spark, sf):
     return explore.sample_runs(D.trajectory(spark, sf), k=8, seed=0)
@@ -384,7 +422,7 @@ def lever_sensitivity(spark, sf):
 
 @query
 def lever_histogram(spark, sf):
-    return explore.histogram(explore.lever_long(D.run_log(spark, sf)), ["reservoir_id", "lever"], "x", 20)
+    return explore.histogram(explore.lever_long(D.run_log(spark, sf), converged=False), ["reservoir_id", "lever"], "x", 20)
 
 
 # --- splits ----------------------------------------------------------------------
@@ -449,8 +487,7 @@ def residual_stats(spark, sf):
 @query
 def best_worst_sims(spark, sf):
     ps = metrics.per_sim_metrics(_pred(spark, sf))
-    ranked = global_rank(ps, "mae", ["sim_id"], partition_cols=["reservoir_id"], rank_col="rank",
-                         bounded_groups=True)
+    ranked = global_rank(ps, "mae", ["sim_id"], partition_cols=["reservoir_id"], rank_col="rank")
     n = ps.groupBy("reservoir_id").agg(F.count(F.lit(1)).alias("__n"))
     j = ranked.join(F.broadcast(n), "reservoir_id")
     kind = F.when(F.col("rank") < 3, F.lit("best")).when(F.col("rank") >= F.col("__n") - 3, F.lit("worst"))

@@ -25,21 +25,20 @@ def test_interp_equals_numpy(spark, nodes, ys, xs):
 
 
 @SETTINGS
-@given(values=st.lists(st.integers(min_value=0, max_value=5), min_size=1, max_size=60),
-       buckets=st.sampled_from([1, 3, 8]))
-def test_quantiles_with_ties(spark, values, buckets):
+@given(values=st.lists(st.integers(min_value=0, max_value=5), min_size=1, max_size=60))
+def test_quantiles_with_ties(spark, values):
     df = spark.createDataFrame([(1, float(v)) for v in values], "g int, v double")
-    q = {r.q: r.value for r in exact_quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0], buckets=buckets).collect()}
+    q = {r.q: r.value for r in exact_quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()}
     for p, v in q.items():
         assert abs(v - np.percentile(values, p * 100)) < 1e-9
 
 
 @SETTINGS
 @given(values=st.lists(st.integers(min_value=0, max_value=9), min_size=1, max_size=60),
-       buckets=st.sampled_from([1, 4]))
-def test_global_rank_total_order(spark, values, buckets):
+       rows_per_chunk=st.sampled_from([2, 1_000_000]))
+def test_global_rank_total_order(spark, values, rows_per_chunk):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id long, v double")
-    got = {r.id: r.r for r in global_rank(df, "v", ["id"], rank_col="r", buckets=buckets).collect()}
+    got = {r.id: r.r for r in global_rank(df, "v", ["id"], rank_col="r", rows_per_chunk=rows_per_chunk).collect()}
     expected = {i: k for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert got == expected
 

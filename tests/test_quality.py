@@ -78,7 +78,7 @@ def test_missing_column_reported_and_skipped(spark):
 def test_variance_audit_zero_variance(spark):
     out = {r.column: r for r in quality.variance_audit(make(spark)).collect()}
     assert out["Area"].zero_variance and out["Area"].variance == 0.0
-    assert out["Bo_rb_stb"].reason.startswith("PVT-derived")
+    assert out["Bo_rb_stb"].reason.startswith("leakage")
 
 
 def test_drift_report(spark):
@@ -86,3 +86,22 @@ def test_drift_report(spark):
     b = spark.createDataFrame([(5.0,), (11.0,), (12.0,), (1.0,)], "x double")
     r = quality.drift_report(a, b, ["x"]).first()
     assert r.out_of_range and r.share_out == 0.5 and r.max_b == 12.0
+
+
+@pytest.mark.parametrize("gone", [["step"], ["step", "reservoir_id"], ["step", "sim_id"], ["step", "tiempo_dias"],
+                                  ["step", "Presion_Reservorio_psi"], ["step", "Prod_Acumulada_Gas", "Bo_rb_stb"]])
+def test_missing_columns_skip_their_checks(spark, gone):
+    f = findings(make(spark).drop(*gone), 3)
+    assert {c for k, c in f if k == "missing_column"} == set(gone) & set(SCHEMA_COLUMNS)
+    monotonic = {c for k, c in f if k == "monotonic"}
+    whole = {"sim_id", "tiempo_dias"}.isdisjoint(gone)
+    assert monotonic == ({c for c in quality.CUMULATIVE_COLUMNS if c not in gone} if whole else set())
+    assert (("converged", None) in f) == ("sim_id" not in gone)
+    assert ("pressure_range", "Presion_Reservorio_psi") in f or "Presion_Reservorio_psi" in gone
+    assert all(r.passed for (k, _), r in f.items() if k != "missing_column")
+
+
+def test_falls_are_found_without_a_step(spark):
+    df = make(spark).withColumn("tiempo_dias", F.col("step") * 30.0).withColumn(
+        "Prod_Acumulada_Gas", F.when(F.col("step") == 2, 5.0).otherwise(F.col("step") * 10.0)).drop("step")
+    assert not findings(df, 3)[("monotonic", "Prod_Acumulada_Gas")].passed

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ensemble.operators import scenarios as rules
 from ensemble.schemas import ALL_LEVERS
@@ -65,7 +66,7 @@ def test_pvto_shift_rules(spark):
 def test_multipliers_rounded(spark):
     s = scen(spark, [("spe9", 1, SPE9)])
     m = {r.prop: r.multiplier for r in rules.apply_multipliers(s).collect()}
-    assert m == {"PORO": 0.91235, "PERMX": 1.23457, "PERMY": 1.23457, "PERMZ": 1.23457}
+    assert m == {"PORO": float("%.5f" % 0.912345), "PERMX": 1.23457, "PERMY": 1.23457, "PERMZ": 1.23457}
 
 
 def test_hit_count_assertion_fails_job(spark, monkeypatch):
@@ -77,12 +78,33 @@ def test_hit_count_assertion_fails_job(spark, monkeypatch):
         rules.apply_producer_cap(scen(spark, [("spe9", 1, SPE9)])).collect()
 
 
-def test_multipliers_applied_to_grid_cells(spark):
-    from ensemble.sources.dimensions import control_table
-    s = scen(spark, [("spe9", 1, SPE9), ("spe9", 2, dict(SPE9, k_mult=2.0, phi_mult=1.0))])
-    cells = rules.apply_multipliers_to_grid(control_table(spark, "grid"), s).collect()
-    assert len(cells) == 2 * 15 * 4
-    poro = {(r.sim_id, r.cell): r.value for r in cells if r.prop == "PORO"}
-    assert poro[(1, 1)] == pytest.approx(0.087 * 0.91235) and poro[(2, 15)] == pytest.approx(0.157)
-    perm = {r.sim_id: r.value for r in cells if r.prop == "PERMZ" and r.cell == 3}
-    assert perm[2] == pytest.approx(108.07 * 2.0)
+def all_levers(spark):
+    return scen(spark, [("spe9", 1, SPE9), ("norne", 2, {"k_mult": 1.0, "phi_mult": 1.0, "p_init_shift_bar": 1.0}),
+                        ("volve", 3, {"k_mult": 1.0, "phi_mult": 1.0, "p_init_shift_bar": 1.0, "qwinj_group_mult": 1.25})])
+
+
+@pytest.mark.parametrize("action", ["collect", "count"])
+@pytest.mark.parametrize("table,broken", [
+    ("injector", "fluid = 'GAS'"), ("injector", "false"), ("producer", "record_no < 3"), ("producer", "false"),
+    ("equil", "reservoir_id <> 'volve' or record_no < 12"), ("equil", "reservoir_id <> 'norne'"),
+    ("group_injection", "phase = 'GAS'"), ("group_injection", "false")])
+def test_missed_rules_fail(spark, monkeypatch, table, broken, action):
+    whole = rules.control_table
+    monkeypatch.setattr(rules, "control_table", lambda s, n: whole(s, n).where(broken) if n == table else whole(s, n))
+    with pytest.raises(Exception, match="records matched"):
+        getattr(rules.apply_scenario(all_levers(spark)), action)()
+
+
+def test_all_rules_hold_on_the_given_records(spark):
+    assert rules.apply_scenario(all_levers(spark)).count() == 1 + 3 + 18 + 12 + 10 + 3
+
+
+def test_decimals_as_formatted(spark):
+    import random
+    rnd = random.Random(1)
+    xs = [2.675, 0.125, 0.375, 1.005, 2.5, -2.675, -0.125, 0.0, 1e9 + 0.005, 0.145, 1.115, 8.345]
+    xs += [rnd.uniform(-1e4, 1e4) for _ in range(3000)] + [round(rnd.uniform(0, 100), 3) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (2, 3, 4, 5):
+        got = [r[0] for r in df.select(rules._round(F.col("x"), digits)).collect()]
+        assert got == [float(f"%.{digits}f" % x) for x in xs]
