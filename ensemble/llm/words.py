@@ -32,14 +32,17 @@ _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64
 _BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POW: np.ndarray = np.ones(1, dtype=np.uint64)
+_POW = _INV = np.ones(1, dtype=np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of them."""
+    global _POW, _INV
     if len(_POW) < n:
-        _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16), _BASE)]), dtype=np.uint64)
-    return _POW
+        size = max(n, 1 << 16)
+        _POW, _INV = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]), dtype=np.uint64)
+                      for x in (_BASE, _U(pow(int(_BASE), -1, 1 << 64))))
+    return _POW, _INV
 
 
 def _segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,12 +54,14 @@ def _segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), start, end
-    total, longest = int((end - start).sum()), int((end - start).max())
-    # position of each word byte within its word, so that no inverse powers are needed
-    off = np.arange(total) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
-    vals = _BYTES[buf[~space[1:-1]]]
-    vals *= _powers(longest + 1)[off]
-    h = np.add.reduceat(vals, np.cumsum(end - start) - (end - start))
+    power, inverse = _powers(len(buf))
+    sums = np.empty(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    vals = _BYTES[buf]
+    vals *= power[: len(buf)]
+    np.cumsum(vals, out=sums[1:])
+    # a word's part of the sum, moved to position 0: it depends on the word's bytes alone
+    h = (sums[end] - sums[start]) * inverse[start]
     return mix(h + (end - start).astype(np.uint64)), start, end
 
 
