@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import map_arrow, release, saved
-from .similar import components, links_of_groups
+from .common import map_arrow, release, saved, small
+from .similar import components, links_of_groups, parity, sketch_bits
 
 _U = np.uint64
 THIRDS = 3
@@ -98,7 +98,7 @@ def _keys(k: int):
                 keys += [_key(s) for s in sets]
                 ids += [_class(s) if len(s) else None for s in sets]
                 sizes += [len(s) for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "key": pa.array(keys, pa.binary()),
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "key": pa.array(keys, pa.binary()),
                                               "id": pa.array(ids, pa.int64()),
                                               "n_shingles": pa.array(sizes, pa.int64())})
     return run
@@ -119,6 +119,17 @@ def _signed(k: int, num: int, den: int):
 
 
 def _listed(k: int):
+    def run(batches):
+        for b in batches:
+            for _, sets in _sets(b, k):
+                sets = [s for s in sets if len(s)]
+                if sets:
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([_class(s) for s in sets], pa.int64()),
+                                                      "toks": pa.array([s.tobytes() for s in sets], pa.binary())})
+    return run
+
+
+def _sketched(k: int, num: int, den: int):
     def run(batches):
         for b in batches:
             for _, sets in _sets(b, k):
@@ -126,24 +137,29 @@ def _listed(k: int):
                 if sets:
                     yield pa.RecordBatch.from_pydict({
                         "id": pa.array([_class(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()),
-                        "toks": pa.array([s.tobytes() for s in sets], pa.binary())})
+                        "sketch": pa.array([parity(s, sketch_bits(len(s), num, den)) for s in sets], pa.binary())})
     return run
 
 
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, class_id, text_key of every row of ``docs`` (doc_id, text).
 
     Two documents link where den * |A and B| >= num * |A or B| of their k-word
     shingles. component_id: smallest doc_id reachable by links; class_id:
-    documents with equal sets share it (null for empty sets).
+    documents with equal sets share it (null for empty sets); text_key: a hash of the text.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    own = saved(map_arrow(texts, _keys(k), "doc_id long, key binary, id long, n_shingles long"))
-    classes = own.filter("n_shingles > 0").groupBy("key", "id").agg(F.min("doc_id").alias("rep"))
+    own = saved(map_arrow(texts.withColumn("text_key", _text_key()), _keys(k),
+                          "doc_id long, text_key long, key binary, id long, n_shingles long"))
+    classes = saved(own.filter("n_shingles > 0").groupBy("key", "id").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    chosen = texts.alias("t").join(reps.alias("r"), F.expr("t.doc_id <=> r.doc_id"), "left_semi")
-    sigs = map_arrow(chosen, _signed(k, num, den), "sig long, id long")
+    copies = own.select("doc_id").filter("doc_id is not null").distinct().join(reps, "doc_id", "left_anti")
+    sigs = map_arrow(texts.join(small(copies), "doc_id", "left_anti"), _signed(k, num, den), "sig long, id long")
     w = Window.partitionBy("sig")
     shared = sigs.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"),
                          F.count("*").over(w).alias("n"), F.bit_xor(F.xxhash64("id")).over(w).alias("x")).filter("lo <> hi")
@@ -152,15 +168,35 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # groups with the same members are one group
     kept = shared.groupBy("lo", "hi", "n", "x").agg(F.min("sig").alias("sig")).select("sig")
     members = saved(shared.join(kept, "sig").select(F.col("sig").alias("gid"), "id").distinct())
-    needed = members.select("id").distinct()
-    wanted = classes.join(needed, "id").select(F.col("rep").alias("doc_id")).distinct()
-    again = texts.alias("t").join(wanted.alias("r"), F.expr("t.doc_id <=> r.doc_id"), "left_semi")
-    sets = saved(map_arrow(again, _listed(k), "id long, size long, toks binary").dropDuplicates(["id"]))
-    release(spark)
-    label = components(links_of_groups(members, sets, num, den))
-    numbered = own.select("doc_id", "n_shingles", F.col("id").alias("class_id"))
+    def of_classes(ids: DataFrame) -> DataFrame:
+        """Texts of the representatives of the classes asked for."""
+        wanted = classes.join(ids, "id").select(F.col("rep").alias("doc_id")).distinct()
+        return texts.alias("t").join(small(wanted).alias("r"), F.expr("t.doc_id <=> r.doc_id"), "left_semi")
+
+    sketches = saved(map_arrow(of_classes(members.select("id").distinct()), _sketched(k, num, den), "id long, size long, sketch binary")
+                     .dropDuplicates(["id"]))
+    links = links_of_groups(members, sketches, lambda ids: map_arrow(of_classes(ids), _listed(k), "id long, toks binary"), num, den)
+    label = components(links)
+    numbered = own.select("doc_id", "text_key", "n_shingles", F.col("id").alias("class_id"))
     labelled = numbered.join(label.withColumnRenamed("id", "class_id"), "class_id", "left") \
         .withColumn("label", F.coalesce("label", "class_id"))
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id")
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", "text_key")
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each group of linked documents, all columns as they are: that of the smallest
+    doc_id (of rows with that id, the one with the smaller hash of its text; of equal rows, one)."""
+    found = saved(jaccard_components(docs, k, num, den).filter("n_shingles > 0"))
+    first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    # a component whose ids are all null has a null component_id: its rows are told apart by text
+    chosen = found.alias("f").join(first.alias("c"), F.expr("f.component_id = c.component_id"), "left") \
+        .select("f.doc_id", "f.text_key", F.expr("f.component_id is null or (f.doc_id <=> first.doc_id and f.text_key = first.text_key)").alias("stays"))
+    shape = chosen.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    other = small(saved(shape.filter("not stays or n > 1")))
+    keyed = docs.withColumn("_text_key", _text_key())
+    same = F.expr("cast(d.doc_id as long) <=> o.doc_id and d._text_key = o.text_key")
+    alone = keyed.alias("d").join(other.alias("o"), same, "left_anti")
+    repeated = keyed.alias("d").join(other.filter("stays").alias("o"), same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return alone.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

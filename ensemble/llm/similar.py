@@ -3,10 +3,11 @@
 ``groups`` hold sets that share a signature and so may be similar. Pairs are
 first held against an exact lower bound of their distance, the differing bits
 of parity sketches: a pair that fails it is no link for certain. Of the pairs
-that pass, each group proposes only those that join components within it;
-proposals are checked on the sets themselves, and groups whose proposals failed
-propose again, until nothing is left to propose. So all components are found,
-and never all pairs of a group are given out. A group is cut into chunks of
+that pass and join different components, each set proposes the one that passes
+by most; proposals are checked on the sets themselves, and sets propose again,
+more of what is left each time, until nothing is left to propose. So all
+components are found in a few rounds, and never all pairs of a group are given
+out. A group is cut into chunks of
 bounded bytes; chunks, and pairs of chunks of a group that still holds different
 components, are each one step of a Python stage.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved, small
+from .common import map_arrow, release, saved, small
 
 #: Bytes of sketches that one chunk of a group holds at most.
 CHUNK_BYTES = 4 << 20
@@ -90,13 +91,15 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def proposals(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray | None,
-              refused: list, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs (positions) that the sketches allow and that join components of the group.
+              refused: list, most: int, num: int, den: int) -> np.ndarray:
+    """Rows (i, j, room): for each member j, the ``most`` members i before it in another component that
+    leave the most room under the bound of the sketches.
 
     ``side``: propose only pairs of different sides; ``refused``: per member,
     the ids that it is known not to link with.
     """
-    label, out = label.copy(), []
+    out, best = [], np.full(len(ids), -1, np.int64)
+    partner = np.zeros(len(ids), np.int64)
     for i in range(len(ids) - 1):
         apart = label[i + 1 :] != label[i]
         if side is not None:
@@ -108,25 +111,31 @@ def proposals(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndar
             continue
         total = n[js] + n[i]
         least = -(-num * total // (num + den))  # smallest overlap that links
-        dist = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1).astype(np.int64)
-        for j in js[dist <= total - 2 * least]:
-            if label[j] != label[i]:
-                out.append((i, int(j)))
-                label[label == label[j]] = label[i]
-    return out
-
-
-def _propose(keys: list[str], num: int, den: int):
+        room = total - 2 * least - np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1).astype(np.int64)
+        if most == 1:
+            better = room > best[js]
+            partner[js[better]], best[js[better]] = i, room[better]
+        else:
+            ok = room >= 0
+            out.append(np.column_stack([np.full(int(ok.sum()), i), js[ok], room[ok]]))
+    if most == 1:
+        js = np.flatnonzero(best >= 0)
+        return np.column_stack([partner[js], js, best[js]])
+    rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    rows = rows[np.lexsort((rows[:, 0], -rows[:, 2], rows[:, 1]))]
+    first = np.searchsorted(rows[:, 1], rows[:, 1])
+    return rows[np.arange(len(rows)) - first < most]
+
+
+def _propose(keys: list[str], most: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, keys):
             ids = t.column("id").to_numpy()
             side = t.column("side").to_numpy() if "side" in t.column_names else None
-            pairs = proposals(ids, t.column("size").to_numpy(), aligned(t.column("sketch")), t.column("label").to_numpy(),
-                              side, t.column("refused").to_pylist(), num, den)
-            if pairs:
-                p = np.array(pairs)
-                x, y = ids[p[:, 0]], ids[p[:, 1]]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            p = proposals(ids, t.column("size").to_numpy(), aligned(t.column("sketch")), t.column("label").to_numpy(),
+                          side, t.column("refused").to_pylist(), most, num, den)
+            if len(p):
+                yield pa.RecordBatch.from_pydict({"a": ids[p[:, 0]], "b": ids[p[:, 1]], "room": p[:, 2]})
     return run
 
 
@@ -161,10 +170,10 @@ def links_of_groups(members: DataFrame, sketches: DataFrame, fetch: Callable[[Da
         .select("gid", F.ceil(F.col("all") / CHUNK_BYTES).cast("int").alias("chunks"))
     dealt = saved(members.join(shape, "gid").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(17)), F.col("chunks")).cast("int")))
     links = failed = spark.createDataFrame([], "a long, b long")
-    across = False  # first within chunks; then, also across them
+    across, most = False, 1  # first within chunks, one proposal for each set; then more, and across chunks
     while True:
-        label = components(links)
-        labelled = dealt.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labelled = dealt.withColumn("label", F.col("id")) if most == 1 and not across else \
+            dealt.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
         still = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gid")
         refused = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("refused"))
         part = labelled.join(still, "gid").join(refused, "id", "left")
@@ -176,16 +185,43 @@ def links_of_groups(members: DataFrame, sketches: DataFrame, fetch: Callable[[Da
                         (F.col("chunk") < F.col("other")).cast("int").alias("side"))
             keys = ["gid", "lo", "hi"]
         part = part.join(sketches, "id").repartition(n, *keys).sortWithinPartitions(*keys, "id")
-        proposed = map_arrow(part, _propose(keys, num, den), "a long, b long").distinct()
-        checked = check_pairs(saved(proposed), fetch, num, den)
-        good, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
-        refusals = checked.filter("not ok").count()
-        links, failed = saved(links.union(good)), saved(failed.union(bad))
-        if refusals:
+        proposed = map_arrow(part, _propose(keys, most, num, den), "a long, b long, room long")
+        proposed = saved(proposed.groupBy("b").agg(F.max_by("a", F.struct("room", "a")).alias("a")) if most == 1
+                         else proposed.select("a", "b").distinct())
+        most *= 8
+        if proposed.isEmpty():
+            if across or dealt.filter("chunks > 1").isEmpty():
+                return links
+            across = True
             continue
-        if across or dealt.filter("chunks > 1").isEmpty():
-            return links
-        across = True
+        checked = check_pairs(proposed, fetch, num, den)
+        links = saved(links.union(checked.filter("ok").select("a", "b")))
+        failed = saved(failed.union(checked.filter("not ok").select("a", "b")))
+        release(spark)
+
+
+#: Links that one task joins into components; more of them go through joins.
+LOCAL_LINKS = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of the nodes of at most LOCAL_LINKS links: union by the smaller id."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            x, y = top(u), top(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(list(up), pa.int64()), "label": pa.array([top(x) for x in up], pa.int64())})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,12 +229,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each round's links are written
     to the shared checkpoint folder. Minima are pre-aggregated before they are
-    shuffled, so a node with very many links is no single task's group.
+    shuffled, so a node with very many links is no single task's group. As soon
+    as no more than LOCAL_LINKS links are left, one task of that bounded size
+    ends the work.
     """
     edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now[0] <= LOCAL_LINKS:
+            return saved(map_arrow(edges.coalesce(1), _joined, "id long, label long"))
         if now == before:
             break
         before = now
@@ -207,8 +247,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .filter("u <> v").distinct()
         least2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v") \
+        small_ = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v") \
             .union(least2.select("u", F.col("m").alias("v")))
-        edges = saved(small.distinct())
+        edges = saved(small_.distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")) \
         .union(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()

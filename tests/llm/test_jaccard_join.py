@@ -57,7 +57,9 @@ def test_keep_one(spark):
     assert sum(not (t or "").split() for _, t in kept) == sum(n == 0 for n in sizes)
 
 
-def test_empty_table_and_components_of_a_path(spark):
+@pytest.mark.parametrize("local", [500_000, 5])
+def test_empty_table_and_components_of_a_path(spark, monkeypatch, local):
+    monkeypatch.setattr(S, "LOCAL_LINKS", local)
     assert J.jaccard_components(frame(spark, [])).collect() == []
     order = list(range(1, 60))
     random.Random(2).shuffle(order)
