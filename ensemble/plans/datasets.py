@@ -13,7 +13,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import features, runlog, sampling
-from ..schemas import TRAJECTORY_COLUMNS
+from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
 from ..session import checkpoint_dir
 from ..sources import testdata
 
@@ -21,7 +21,7 @@ SEED = testdata.SEED
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 #: Bump when the derivation of a materialized table changes.
-DATASET_VERSION = "v1"
+DATASET_VERSION = "v2"
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
@@ -70,8 +70,8 @@ def scenarios_plan(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFr
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = scenarios_plan(spark, sf_dir).columns
-    return materialized(spark, sf_dir, "scenarios", lambda: scenarios_plan(spark, sf_dir)).select(*cols)
+    return materialized(spark, sf_dir, "scenarios", lambda: scenarios_plan(spark, sf_dir)) \
+        .select("reservoir_id", "sim_id", "attempt", *ALL_LEVERS)
 
 
 def classified_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def classified_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows of all runs (before dropping failed ones)."""
-    return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios_plan(spark, sf_dir))
+    return features.feature_table(testdata.summary_vectors(spark, sf_dir), scenarios(spark, sf_dir))
 
 
 def trajectory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
