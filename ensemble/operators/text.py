@@ -9,6 +9,8 @@ into chunks, so one huge file is not one task) joined to the header lines.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +48,17 @@ def text_lines(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
                      F.posexplode(F.split(normalized_lines(F.col(text_col)), "\n")).alias("lineno", "line"))
 
 
-def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk: int = 1_000_000) -> DataFrame:
+def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk: int = 1_000_000,
+                 order_cols: Sequence[str] = ("lineno",)) -> DataFrame:
     """lines(file, lineno, line[, ...]) -> (file, lineno, section, line, tokens,
     n_tokens, numbers, n_numbers, terminated) for content lines.
 
-    ``header`` gives a line's header name (NULL when it is not a header); by
+    ``order_cols`` put a file's lines in order. ``header`` gives a line's header name (NULL when it is not a header); by
     default :func:`keyword_header`.
     """
     hdr = header if header is not None else keyword_header(F.col("line"))
     tagged = lines.withColumn("__hdr", hdr).withColumn("__is_hdr", F.col("__hdr").isNotNull().cast("long"))
-    scanned = ordered_scan(tagged, ["file"], ["lineno"], running_sums={"__sec_no": "__is_hdr"},
+    scanned = ordered_scan(tagged, ["file"], list(order_cols), running_sums={"__sec_no": "__is_hdr"},
                            rows_per_chunk=rows_per_chunk)
     headers = scanned.where(F.col("__is_hdr") == 1).select("file", "__sec_no", F.col("__hdr").alias("section"))
     stripped = strip(F.col("line"))
@@ -66,7 +69,7 @@ def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk:
     tokens = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
     numbers = F.transform(tokens, lambda t: t.try_cast("double"))
     return joined.select(
-        "file", "lineno", "section", "line", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"),
+        "file", *order_cols, "section", "line", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"),
         numbers.alias("numbers"), F.size(F.filter(numbers, lambda x: x.isNotNull())).alias("n_numbers"),
         terminated.alias("terminated"))
 

@@ -222,24 +222,24 @@ cl AS (
   FROM conversations),
 cl2 AS (SELECT conv_id, turn, role, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM cl),
 ln AS (
-  SELECT conv_id AS file, turn * 1000000 + pos AS lineno, line,
+  SELECT conv_id AS file, turn, CAST(pos AS BIGINT) AS pos, line,
          CASE WHEN role = 'user' AND pos = 0 THEN printf('TURN%d', turn) END AS header
   FROM cl2),
 ln2 AS (
-  SELECT *, sum(CASE WHEN header IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY lineno
+  SELECT *, sum(CASE WHEN header IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY turn, pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec_no,
          regexp_replace(line, '^\s+|\s+$', '', 'g') AS stripped
   FROM ln),
 hd AS (SELECT file, sec_no, header AS section FROM ln2 WHERE header IS NOT NULL),
 ct AS (
-  SELECT l.file, l.lineno, h.section, l.stripped,
+  SELECT l.file, l.turn, l.pos, h.section, l.stripped,
          regexp_replace(regexp_replace(l.stripped, '/+$', ''), '^\s+|\s+$', '', 'g') AS body
   FROM ln2 l LEFT JOIN hd h ON l.file = h.file AND l.sec_no = h.sec_no
   WHERE l.header IS NULL AND l.stripped <> '' AND NOT starts_with(l.stripped, '--')),
 tk AS (
   SELECT *, CASE WHEN body = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(body, '\s+') END AS tokens FROM ct)"""
 sql("section_scan",
-    "SELECT file, lineno, section, CAST(len(tokens) AS BIGINT) AS n_tokens,"
+    "SELECT file, turn, pos, section, CAST(len(tokens) AS BIGINT) AS n_tokens,"
     " CAST(len(list_filter(tokens, lambda t: TRY_CAST(t AS DOUBLE) IS NOT NULL)) AS BIGINT) AS n_numbers,"
     " ends_with(stripped, '/') AS terminated, array_to_string(tokens, ' ') AS tokens FROM tk", "", SEC)
 

@@ -287,8 +287,8 @@ def apply_scenario(spark, sf):
 @query
 def section_scan(spark, sf):
     lines = testdata.section_lines(spark, sf)
-    out = text.section_scan(lines, header=F.col("header"))
-    return out.select("file", "lineno", "section", "n_tokens", "n_numbers", "terminated",
+    out = text.section_scan(lines, header=F.col("header"), order_cols=("turn", "pos"))
+    return out.select("file", "turn", "pos", "section", "n_tokens", "n_numbers", "terminated",
                       F.array_join("tokens", " ").alias("tokens"))
 
 

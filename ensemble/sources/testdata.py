@@ -168,7 +168,7 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.posexplode(F.split(normalized_lines(F.col("text")), "\n")).alias("pos", "line"))
     return lines.select(
         F.col("conv_id").alias("file"),
-        (F.col("turn") * F.lit(1_000_000) + F.col("pos")).alias("lineno"),
+        "turn", F.col("pos").cast("long").alias("pos"),
         "line",
         F.when((F.col("role") == "user") & (F.col("pos") == 0),
                F.format_string("TURN%d", F.col("turn"))).alias("header"),
