@@ -97,8 +97,8 @@ def histogram(long: DataFrame, group_cols: Sequence[str], value_col: str, bins:
     i0 = F.least(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1))
     i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
     idx = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1).cast("int")
-    # one row per group (groups are datasets, levers, features: bounded)
-    joined = vals.join(F.broadcast(rng), group) if group else vals.crossJoin(F.broadcast(rng))
+    # one row per group: Spark broadcasts them at run time if they are few
+    joined = vals.join(rng, group) if group else vals.crossJoin(F.broadcast(rng))
     binned = joined.groupBy(*group, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     frame = rng.select(*group, "__n", "__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = frame.join(binned, group + ["bin"], "left").select(

@@ -89,6 +89,7 @@ def line_count(text_col: str) -> Column:
 def failure_log(stdout_col: str, stderr_col: str, n: int = 300) -> Column:
     """The persisted log of a failed run: the last ``n`` lines of stdout and of
     stderr under their headers."""
+    # The headings of the log format.
     return F.concat(F.lit("=== STDOUT (tail) ===\n"), tail_lines(stdout_col, n),
                     F.lit("\n\n=== STDERR (tail) ===\n"), tail_lines(stderr_col, n), F.lit("\n"))
 
