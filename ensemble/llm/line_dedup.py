@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, map_arrow, release, saved, small, written
+from .common import bit_table, blocks, map_arrow, may_hold, release, saved, small, written
 from .similar import CHUNK_BYTES, aligned, check_pairs, parity, runs, sketch_bits
 
 SHINGLE = 5
 BUCKET_BITS = 18
 _U = np.uint64
+_WEIGHT = np.cumprod(np.full(SHINGLE, 0xD6E8FEB86659FD93, _U), dtype=_U)
+#: Lines that share a token are paired directly up to this number, beyond it by sketches.
+SMALL_GROUP = 16
 
 
 def line_tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,23 +61,23 @@ def line_tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         first = np.searchsorted(doc_of, np.arange(len(size)))
         number = np.arange(len(feeds)) - first[doc_of]
         h, start, _ = W.spans(buf)
-        line = np.searchsorted(feeds, start)
+        line = np.cumsum(buf == 10, dtype=np.int32)[start].astype(np.int64)
         count = np.bincount(line, minlength=len(feeds))
         begin = np.cumsum(count) - count
         tokens, owner = [], []
         if len(h) >= SHINGLE:
-            acc = np.full(len(h) - SHINGLE + 1, SHINGLE, _U)
+            inner = np.flatnonzero(line[: len(h) - SHINGLE + 1] == line[SHINGLE - 1 :])
+            acc = np.full(len(inner), SHINGLE, _U)
             for i in range(SHINGLE):
-                acc = W.mix(acc * _U(0xD6E8FEB86659FD93) + h[i : len(h) - SHINGLE + 1 + i])
-            inner = line[: len(acc)] == line[SHINGLE - 1 :]
-            tokens.append(acc[inner])
-            owner.append(line[: len(acc)][inner])
+                acc += h[inner + i] * _WEIGHT[i]
+            tokens.append(W.mix(acc))
+            owner.append(line[inner])
         for k in range(1, SHINGLE):
             short = np.flatnonzero(count == k)
             acc = np.full(len(short), k, _U)
             for i in range(k):
-                acc = W.mix(acc * _U(0xD6E8FEB86659FD93) + h[begin[short] + i])
-            tokens.append(acc)
+                acc += h[begin[short] + i] * _WEIGHT[i]
+            tokens.append(W.mix(acc))
             owner.append(short)
         yield row, doc_of, number, np.concatenate(owner), np.concatenate(tokens)
         row = end
@@ -107,8 +110,14 @@ def in_order(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _sets(line: np.ndarray, tokens: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct tokens line by line, offset and size of each line)."""
-    order = np.lexsort((tokens, line))
-    line, tokens = line[order], tokens[order]
+    by_line = line, tokens
+    if n_lines < 1 << 20:  # one key of the line and the token's high bits sorts faster
+        order = np.argsort(line.astype(_U) << _U(44) | tokens >> _U(20))
+        line, tokens = line[order], tokens[order]
+    if n_lines >= 1 << 20 or ((line[1:] == line[:-1]) & (tokens[1:] < tokens[:-1])).any():
+        line, tokens = by_line
+        order = np.lexsort((tokens, line))
+        line, tokens = line[order], tokens[order]
     new = np.ones(len(line), dtype=bool)
     new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
     line, tokens = line[new], tokens[new]
@@ -128,23 +137,21 @@ def _lines(rank, num: int, den: int):
         order = rank.value
         for b in blocks(batches, 16 << 20, lambda x: x.nbytes):
             doc, key = b.column("doc_id").combine_chunks(), b.column("key").combine_chunks()
-            seen: set[int] = set()
             for row, doc_of, number, line, tokens in line_tokens(b.column("text").combine_chunks()):
                 tokens, start, size = _sets(line, in_order(tokens, order), len(number))
                 ids = _ids(tokens, start, size)
                 some = np.flatnonzero(size)
-                prefix = size - -(-size * num // den) + 1
-                data = []
-                for i in some.tolist():
-                    if ids[i] in seen:  # a copy in this block: its prefix is known
-                        data.append(None)
-                    else:
-                        seen.add(ids[i])
-                        data.append(tokens[start[i] : start[i] + prefix[i]].tobytes())
+                # of copies among these texts one has the prefix, the others an empty one
+                prefix = np.zeros(len(some), np.int64)
+                first = np.unique(ids[some], return_index=True)[1]
+                prefix[first] = (size - -(-size * num // den) + 1)[some[first]]
+                body = tokens[np.arange(int(prefix.sum())) + np.repeat(start[some] - (np.cumsum(prefix) - prefix), prefix)]
+                ends = np.concatenate([[0], np.cumsum(prefix * 8)]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(body)])
                 at = pa.array(doc_of[some] + row)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": doc.take(at), "key": key.take(at), "line": pa.array(number[some], pa.int32()),
-                    "id": pa.array(ids[some]), "size": pa.array(size[some], pa.int32()), "prefix": pa.array(data, pa.binary())})
+                    "id": pa.array(ids[some]), "size": pa.array(size[some], pa.int32()), "prefix": data})
     return run
 
 
@@ -153,30 +160,25 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, n = b.column("prefix"), pa.compute.binary_length(b.column("prefix")).to_numpy() // 8
         body, _ = W.byte_view(data)
         rows = np.repeat(np.arange(b.num_rows), n)
-        yield pa.RecordBatch.from_pydict({
-            "tok": np.frombuffer(body.tobytes(), np.int64), "id": b.column("id").to_numpy()[rows],
-            "size": b.column("size").to_numpy()[rows], "pos": (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)})
+        pos = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_pydict({"tok": np.frombuffer(body.tobytes(), np.int64), "id": b.column("id").to_numpy()[rows],
+                                          "place": b.column("size").to_numpy().astype(np.int64)[rows] << 32 | pos})
 
 
-def _wanted_sets(rank):
-    """Token sets of the lines of the given numbers."""
+def _wanted_sets(shared):
+    """Token sets (id, doc_id, key, line, toks) of the lines whose id may be asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = rank.value
+        order, asked = shared.value
         for b in batches:
-            wanted = b.column("lines").to_pylist()
-            out_id, out = [], []
+            doc, key = b.column("doc_id"), b.column("key")
             for row, doc_of, number, line, tokens in line_tokens(b.column("text")):
-                asked = np.concatenate([np.searchsorted(doc_of, i) + np.array(wanted[row + i], np.int64)
-                                        for i in range(int(doc_of[-1]) + 1)])
-                chosen = np.zeros(len(number), dtype=bool)
-                chosen[asked] = True
-                keep = chosen[line]
-                tokens, start, size = _sets(line[keep], in_order(tokens[keep], order), len(number))
+                tokens, start, size = _sets(line, in_order(tokens, order), len(number))
                 ids = _ids(tokens, start, size)
-                for i in np.flatnonzero(chosen & (size > 0)).tolist():
-                    out_id.append(int(ids[i]))
-                    out.append(tokens[start[i] : start[i] + size[i]].tobytes())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(out_id, pa.int64()), "toks": pa.array(out, pa.binary())})
+                some = np.flatnonzero((size > 0) & may_hold(asked, ids.view(_U)))
+                at = pa.array(doc_of[some] + row)
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(ids[some]), "doc_id": doc.take(at), "key": key.take(at), "line": pa.array(number[some], pa.int32()),
+                    "toks": pa.array([tokens[start[i] : start[i] + size[i]].tobytes() for i in some.tolist()], pa.binary())})
     return run
 
 
@@ -190,39 +192,65 @@ def _sketch(num: int, den: int):
     return run
 
 
-def _candidates(num: int, den: int):
-    """For each open line of a group, the nearest earlier line that no filter rules out."""
+def _candidates(most: int, num: int, den: int):
+    """For each open line of a group, the ``most`` nearest earlier lines that no filter rules out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["tok", "lo", "hi"]):
             probe = np.flatnonzero(t.column("probe").to_numpy(zero_copy_only=False))
-            if not len(probe) or t.num_rows < 2:
-                continue
-            ids, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "size", "pos"))
-            place = np.empty(t.num_rows, np.int64)
-            place[np.lexsort([t.column(c).to_numpy() for c in ("line", "key", "doc")])] = np.arange(t.num_rows)
             base = np.flatnonzero(t.column("base").to_numpy(zero_copy_only=False))
+            if not len(probe) or not len(base):
+                continue
+            ids, n = t.column("id").to_numpy(), t.column("size").to_numpy().astype(np.int64)
+            order = np.empty(t.num_rows, np.int64)
+            order[np.lexsort([t.column(c).to_numpy() for c in ("line", "key", "doc")])] = np.arange(t.num_rows)
             refused, sketch = t.column("refused").to_pylist(), aligned(t.column("sketch"))
             out = []
             for i in probe:
-                js = base[(place[base] < place[i]) & (ids[base] != ids[i])]
+                js = base[(order[base] < order[i]) & (ids[base] != ids[i])]
                 js = js[(den * n[js] >= num * n[i]) & (den * n[i] >= num * n[js])]  # length
-                least = -(-num * (n[js] + n[i]) // (num + den))
-                js = js[1 + np.minimum(n[js] - pos[js], n[i] - pos[i]) - 1 >= least]  # position, at the first shared token
                 if refused[i] and len(js):
                     js = js[~np.isin(ids[js], refused[i])]
                 if not len(js):
                     continue
+                total = n[js] + n[i]
                 dist = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1).astype(np.int64)
-                room = n[js] + n[i] - 2 * -(-num * (n[js] + n[i]) // (num + den)) - dist
-                best = int(np.argmax(room))
-                if room[best] >= 0:
-                    out.append((ids[i], ids[js[best]]))
+                room = total - 2 * -(-num * total // (num + den)) - dist
+                js, room = js[room >= 0], room[room >= 0]
+                best = np.argsort(-room, kind="stable")[:most]
+                out.append(np.column_stack([np.full(len(best), ids[i]), ids[js[best]], room[best]]))
             if out:
-                x = np.array(out)
-                yield pa.RecordBatch.from_pydict({"later": x[:, 0], "earlier": x[:, 1]})
+                x = np.concatenate(out)
+                yield pa.RecordBatch.from_pydict({"later": x[:, 0], "earlier": x[:, 1], "room": x[:, 2]})
     return run
 
 
+def _paired(rows: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """(later, earlier) of the lines that share tokens of small groups and that their prefixes allow.
+
+    Of two similar lines' tokens, all common ones up to the end of the prefix
+    that ends first are common prefix tokens; so the overlap is at most their
+    number and what the other tokens of that line can add. Shared tokens of
+    large groups (``wide``: how many a line has there) are not counted here, and
+    so allowed for.
+    """
+    size = lambda c: F.shiftright(F.col(c), 32)
+    pos = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    x, y = (rows.select("tok", *[F.col(c).alias(f"{c}_{v}") for c in ("id", "place", "first")]) for v in ("x", "y"))
+    pairs = x.join(y, "tok").filter("first_x > first_y") \
+        .filter((den * size("place_y") >= num * size("place_x")) & (den * size("place_x") >= num * size("place_y"))) \
+        .groupBy(F.col("id_x").alias("later"), F.col("id_y").alias("earlier")).agg(
+            F.count("*").alias("shared"), F.max(size("place_x")).alias("nx"), F.max(size("place_y")).alias("ny"),
+            F.min(pos("place_x")).alias("px"), F.min(pos("place_y")).alias("py"))
+    for side, name in (("later", "wx"), ("earlier", "wy")):
+        pairs = pairs.join(wide.select(F.col("id").alias(side), F.col("wide").alias(name)), side, "left")
+    more = F.least(F.coalesce("wx", F.lit(0)), F.coalesce("wy", F.lit(0)))
+    least = F.ceil(F.lit(num) * (F.col("nx") + F.col("ny")) / (num + den))
+    rest = F.ceil(F.greatest("nx", "ny") * F.lit(num) / den) - 1
+    # the first shared token's place bounds the overlap too, if no token of a large group may come before it
+    return pairs.filter(F.col("shared") + more + rest >= least) \
+        .filter((more > 0) | (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least)).select("later", "earlier")
+
+
 def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, key (hash of the text), line, removed of every line with words."""
     spark = docs.sparkSession
@@ -232,48 +260,66 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     rank = spark.sparkContext.broadcast(rarity(texts))
     lines = written(map_arrow(texts, _lines(rank, num, den), "doc_id long, key long, line int, id long, size int, prefix binary"), "lines")
     firsts = saved(lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "line")).alias("first")))
-    rows = map_arrow(lines.filter("prefix is not null").select("id", "size", "prefix"), _prefixes, "tok long, id long, size int, pos int")
+    rows = map_arrow(lines.filter("octet_length(prefix) > 0").select("id", "size", "prefix"), _prefixes, "tok long, id long, place long")
     w = Window.partitionBy("tok")
     shared = saved(rows.withColumn("a", F.min("id").over(w)).withColumn("b", F.max("id").over(w)).filter("a <> b")
-                   .select("tok", "id", "size", "pos").distinct())
+                   .select("tok", "id", "place").distinct())
     release(spark)
 
-    # places of the candidate lines, and their sets (each read once, from its first occurrence)
-    involved = shared.select("id").distinct().join(firsts, "id")
-    asked = involved.groupBy("first.doc_id", "first.key").agg(F.sort_array(F.collect_set("first.line")).alias("lines"))
-    where = texts.alias("t").join(small(asked).alias("r"), F.expr("t.doc_id <=> r.doc_id and t.key = r.key")).select("t.text", "r.lines")
-    sets = saved(map_arrow(where, _wanted_sets(rank), "id long, toks binary").dropDuplicates(["id"]))
-    sketches = saved(map_arrow(sets, _sketch(num, den), "id long, sketch binary").join(involved, "id").select(
-        "id", "sketch", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("first.key").alias("key"),
-        F.col("first.line").alias("line")))
-    chunks = F.ceil(F.count("*") * 256 / CHUNK_BYTES).cast("int")
-    groups = shared.join(shared.groupBy("tok").agg(chunks.alias("chunks")), "tok") \
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # each line of a group probes every chunk, and is a base line in its own
-    groups = saved(groups.select("tok", "id", "size", "pos", F.col("chunk").alias("own"), "other"))
-    matched = failed = spark.createDataFrame([], "later long, earlier long")
-    while True:
+    # the candidate lines' places, and their sets (each read once, from its first occurrence)
+    involved = saved(shared.select("id").distinct().join(firsts, "id"))
+    asked = involved.select("first.doc_id", "first.key").distinct()
+    where = texts.alias("t").join(small(asked).alias("r"), F.expr("t.doc_id <=> r.doc_id and t.key = r.key"), "left_semi")
+    read = map_arrow(where, _wanted_sets(spark.sparkContext.broadcast((rank.value, bit_table(involved, "id")))),
+                     "id long, doc_id long, key long, line int, toks binary")
+    same = F.expr("s.id = i.id and s.doc_id <=> i.first.doc_id and s.key = i.first.key and s.line = i.first.line")
+    sets = saved(read.alias("s").join(small(involved, 500_000).alias("i"), same, "left_semi").select("id", "toks"))
+    release(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """later, earlier, ok."""
+        return check_pairs(saved(pairs), lambda ids: sets, num, den, ("later", "earlier"))
+
+    place = F.struct(F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("first.key").alias("key"), F.col("first.line").alias("line"))
+    shape = shared.groupBy("tok").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"),
+                                      F.bit_xor(F.xxhash64("id")).alias("x"))
+    few = shared.join(shape.filter(F.col("n") <= SMALL_GROUP).select("tok"), "tok").join(involved, "id").select("tok", "id", "place", place.alias("first"))
+    many = saved(shape.filter(F.col("n") > SMALL_GROUP))
+    wide = shared.join(many.select("tok"), "tok").groupBy("id").agg(F.count("*").alias("wide"))
+    checked = verified(_paired(few, wide, num, den))
+    matched, failed = checked.filter("ok").select("later", "earlier"), checked.filter("not ok").select("later", "earlier")
+
+    # large groups with the same lines are one group; each line probes every chunk, and is a base line in its own
+    groups = many.groupBy("n", "a", "b", "x").agg(F.min("tok").alias("tok")).select(
+        "tok", F.ceil(F.col("n") * 256 / CHUNK_BYTES).cast("int").alias("chunks"))
+    groups = saved(shared.join(groups, "tok").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+                   .select("tok", "id", F.shiftright("place", 32).alias("size"), "own",
+                           F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")))
+    if not groups.isEmpty():
+        sketches = saved(map_arrow(sets.join(groups.select("id").distinct(), "id", "left_semi"), _sketch(num, den), "id long, sketch binary")
+                         .join(involved, "id").withColumn("first", place).select("id", "sketch", "first.doc", "first.key", "first.line"))
+    most = 1  # proposals for each line: the nearest one, then more of what is left
+    while not groups.isEmpty():
         refused = failed.groupBy(F.col("later").alias("id")).agg(F.collect_set("earlier").alias("refused"))
         done = matched.select(F.col("later").alias("id"), F.lit(True).alias("done")).distinct()
-        members = groups.join(refused, "id", "left").join(done, "id", "left") \
-            .select("*", F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("role")) \
-            .select("tok", "id", "size", "pos", "refused",
+        roles = F.when(F.col("own") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        members = groups.join(refused, "id", "left").join(done, "id", "left").select("*", F.explode(roles).alias("role")) \
+            .select("tok", "id", "size", "refused",
                     F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")).alias("lo"),
                     F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own")).alias("hi"),
                     ((F.col("role") == 0) & F.col("done").isNull()).alias("probe"),
                     ((F.col("role") == 1) | (F.col("own") == F.col("other"))).alias("base"))
         part = members.join(sketches, "id").repartition(n, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
-        proposed = saved(map_arrow(part, _candidates(num, den), "later long, earlier long").distinct())
+        proposed = map_arrow(part, _candidates(most, num, den), "later long, earlier long, room long")
+        proposed = saved(proposed.groupBy("later").agg(F.max_by("earlier", F.struct("room", "earlier")).alias("earlier"))
+                         .select("later", "earlier") if most == 1 else proposed.select("later", "earlier").distinct())
+        most *= 8
         if proposed.isEmpty():
             break
-        ends = proposed.select(F.least("later", "earlier").alias("a"), F.greatest("later", "earlier").alias("b"), "later", "earlier")
-        checked = saved(check_pairs(ends.select("a", "b").distinct(), lambda ids: sets.join(small(ids), "id", "left_semi"), num, den)
-                        .join(ends, ["a", "b"]))
+        checked = verified(proposed)
         matched = saved(matched.union(checked.filter("ok").select("later", "earlier")))
         failed = saved(failed.union(checked.filter("not ok").select("later", "earlier")))
-        if failed.isEmpty():
-            break
+        release(spark)
     later = matched.select(F.col("later").alias("id"), F.lit(True).alias("near")).distinct()
     return lines.select("doc_id", "key", "line", "id").join(firsts, "id").join(later, "id", "left") \
         .select("doc_id", "key", "line", (F.col("near").isNotNull()

@@ -49,10 +49,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield held
 
 
-def set_list(col: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in col]
-
-
 def sketch_bits(size: int, num: int, den: int) -> int:
     """Bits of a set's sketch: many for each element that a similar set may differ in."""
     allowed = 2 * size * (den - num) // (den + num)
@@ -139,22 +135,33 @@ def _propose(keys: list[str], most: int, num: int, den: int):
     return run
 
 
-def _check(num: int, den: int):
+def _check(x: str, y: str, num: int, den: int):
+    """Rows sorted by pair and id hold the two sets of each pair one after the other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["a", "b"]):
-            sets = dict(zip(t.column("id").to_pylist(), set_list(t.column("toks").combine_chunks())))
-            a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
-            yield pa.RecordBatch.from_pydict({"a": [a], "b": [b], "ok": [similar(sets[a], sets[b], num, den)]})
+        last: tuple = (None, None, None)
+        done = None
+        for t in batches:
+            out: dict[str, list] = {x: [], y: [], "ok": []}
+            for a, b, i, toks in zip(*(t.column(c).to_pylist() for c in (x, y, "id", "toks"))):
+                if last[0] == (a, b) and last[1] != i and done != (a, b):
+                    done = (a, b)
+                    out[x].append(a)
+                    out[y].append(b)
+                    out["ok"].append(similar(np.frombuffer(last[2], np.uint64), np.frombuffer(toks, np.uint64), num, den))
+                last = (a, b), i, toks
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(x, pa.int64()), (y, pa.int64()), ("ok", pa.bool_())]))
     return run
 
 
-def check_pairs(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(a, b, ok) of each pair (a, b, distinct); ``fetch`` gives (id, toks) of the ids asked for."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+def check_pairs(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int,
+                names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """The distinct pairs (columns ``names``) with ok; ``fetch`` gives (id, toks) of at least the ids asked for."""
+    x, y = names
+    ends = pairs.select(x, y, F.explode(F.array(x, y)).alias("id"))
     n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = fetch(ends.select("id").distinct()).join(small(ends), "id").select("a", "b", "id", "toks") \
-        .repartition(n, "a", "b").sortWithinPartitions("a", "b", "id")
-    return saved(map_arrow(both, _check(num, den), "a long, b long, ok boolean"))
+    both = fetch(ends.select("id").distinct()).join(small(ends), "id").select(x, y, "id", "toks") \
+        .repartition(n, x, y).sortWithinPartitions(x, y, "id")
+    return saved(map_arrow(both, _check(x, y, num, den), f"{x} long, {y} long, ok boolean"))
 
 
 def links_of_groups(members: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame],
