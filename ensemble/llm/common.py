@@ -87,9 +87,20 @@ def blocks(rows: Iterator[pa.RecordBatch], limit: int, size: Callable[[pa.Record
         yield pa.Table.from_batches(held)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written_at(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that this job wrote and needs no more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a table of large rows to the shared folder (zstd Parquet) and read it back."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or written_at(df.sparkSession, name)
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

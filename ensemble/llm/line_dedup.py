@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bit_table, blocks, map_arrow, may_hold, release, saved, small, written
+from .common import bit_table, blocks, discard, map_arrow, may_hold, release, saved, small, written, written_at
 from .similar import CHUNK_BYTES, aligned, check_pairs, parity, runs, sketch_bits
 
 SHINGLE = 5
@@ -258,7 +258,8 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")) \
         .withColumn("key", F.xxhash64("text"))
     rank = spark.sparkContext.broadcast(rarity(texts))
-    lines = written(map_arrow(texts, _lines(rank, num, den), "doc_id long, key long, line int, id long, size int, prefix binary"), "lines")
+    path = written_at(spark, "lines")  # an intermediate table, removed at the end
+    lines = written(map_arrow(texts, _lines(rank, num, den), "doc_id long, key long, line int, id long, size int, prefix binary"), "lines", path)
     firsts = saved(lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "line")).alias("first")))
     rows = map_arrow(lines.filter("octet_length(prefix) > 0").select("id", "size", "prefix"), _prefixes, "tok long, id long, place long")
     w = Window.partitionBy("tok")
@@ -321,9 +322,11 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         failed = saved(failed.union(checked.filter("not ok").select("later", "earlier")))
         release(spark)
     later = matched.select(F.col("later").alias("id"), F.lit(True).alias("near")).distinct()
-    return lines.select("doc_id", "key", "line", "id").join(firsts, "id").join(later, "id", "left") \
-        .select("doc_id", "key", "line", (F.col("near").isNotNull()
-                | ~F.col("first").eqNullSafe(F.struct("doc_id", "key", "line"))).alias("removed")).distinct()
+    out = saved(lines.select("doc_id", "key", "line", "id").join(firsts, "id").join(later, "id", "left")
+                .select("doc_id", "key", "line", (F.col("near").isNotNull()
+                        | ~F.col("first").eqNullSafe(F.struct("doc_id", "key", "line"))).alias("removed")).distinct())
+    discard(spark, path)
+    return out
 
 
 def removed_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

@@ -50,9 +50,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 def sketch_bits(size: int, num: int, den: int) -> int:
-    """Bits of a set's sketch: many for each element that a similar set may differ in."""
+    """Bits of a set's sketch: many for each element that a similar set may differ in, a byte of bits for each element at most."""
     allowed = 2 * size * (den - num) // (den + num)
-    return 1 << max(10, min(22, (64 * allowed).bit_length()))
+    return 1 << max(10, min(22, min(64 * allowed, 8 * size).bit_length()))
 
 
 def parity(s: np.ndarray, bits: int) -> bytes:
