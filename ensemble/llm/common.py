@@ -15,7 +15,7 @@ from ..session import checkpoint_dir
 
 #: Arrow batches to Python workers hold at most so many rows / bytes, so that
 #: very long texts do not meet in one batch of ten thousand rows.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

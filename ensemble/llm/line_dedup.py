@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bit_table, blocks, discard, map_arrow, may_hold, release, saved, small, written, written_at
+from .common import bit_table, discard, map_arrow, may_hold, release, saved, small, written, written_at
 from .similar import CHUNK_BYTES, aligned, check_pairs, parity, runs, sketch_bits
 
 SHINGLE = 5
@@ -135,9 +135,9 @@ def _lines(rank, num: int, den: int):
     """One row for each line with words: its place, its set's id and size, and its prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
-        for b in blocks(batches, 16 << 20, lambda x: x.nbytes):
-            doc, key = b.column("doc_id").combine_chunks(), b.column("key").combine_chunks()
-            for row, doc_of, number, line, tokens in line_tokens(b.column("text").combine_chunks()):
+        for b in batches:
+            doc, key = b.column("doc_id"), b.column("key")
+            for row, doc_of, number, line, tokens in line_tokens(b.column("text")):
                 tokens, start, size = _sets(line, in_order(tokens, order), len(number))
                 ids = _ids(tokens, start, size)
                 some = np.flatnonzero(size)
