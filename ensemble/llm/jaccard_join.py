@@ -145,13 +145,9 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, text_key of every row of ``docs`` (doc_id, text).
-
-    Two documents link where den * |A and B| >= num * |A or B| of their k-word
-    shingles. component_id: smallest doc_id reachable by links; class_id:
-    documents with equal sets share it (null for empty sets); text_key: a hash of the text.
-    """
+def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, class_id, label of every row; linked documents share a label,
+    others never do, whatever their doc_ids (null for empty sets)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     own = saved(map_arrow(texts.withColumn("text_key", _text_key()), _keys(k),
@@ -178,8 +174,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     links = links_of_groups(members, sketches, lambda ids: map_arrow(of_classes(ids), _listed(k), "id long, toks binary"), num, den)
     label = components(links)
     numbered = own.select("doc_id", "text_key", "n_shingles", F.col("id").alias("class_id"))
-    labelled = numbered.join(label.withColumnRenamed("id", "class_id"), "class_id", "left") \
+    return numbered.join(label.withColumnRenamed("id", "class_id"), "class_id", "left") \
         .withColumn("label", F.coalesce("label", "class_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, text_key of every row of ``docs`` (doc_id, text).
+
+    Two documents link where den * |A and B| >= num * |A or B| of their k-word
+    shingles. component_id: smallest doc_id reachable by links; class_id:
+    documents with equal sets share it (null for empty sets); text_key: a hash of the text.
+    """
+    labelled = labelled_rows(docs, k, num, den)
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", "text_key")
@@ -187,12 +193,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each group of linked documents, all columns as they are: that of the smallest
-    doc_id (of rows with that id, the one with the smaller hash of its text; of equal rows, one)."""
-    found = saved(jaccard_components(docs, k, num, den).filter("n_shingles > 0"))
-    first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    # a component whose ids are all null has a null component_id: its rows are told apart by text
-    chosen = found.alias("f").join(first.alias("c"), F.expr("f.component_id = c.component_id"), "left") \
-        .select("f.doc_id", "f.text_key", F.expr("f.component_id is null or (f.doc_id <=> first.doc_id and f.text_key = first.text_key)").alias("stays"))
+    doc_id (null ids last; of rows with that id, the one with the smaller hash of its text; of equal
+    rows, one). Groups are told apart by their links alone: a doc_id may occur with unrelated texts."""
+    found = saved(labelled_rows(docs, k, num, den).filter("n_shingles > 0").select("doc_id", "text_key", "label"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    chosen = found.join(first, "label").select("doc_id", "text_key", F.expr("doc_id <=> first.doc_id and text_key = first.text_key").alias("stays"))
     shape = chosen.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     other = small(saved(shape.filter("not stays or n > 1")))
     keyed = docs.withColumn("_text_key", _text_key())

@@ -66,3 +66,18 @@ def test_empty_table_and_components_of_a_path(spark, monkeypatch, local):
     links = spark.createDataFrame([(i, i + 1) for i in order] + [(100, 101)], "a long, b long")
     got = {r.id: r.label for r in S.components(links).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
+
+
+def _near(n, at):
+    """Texts of n distinct words, one of them another at each of the given places."""
+    return [" ".join(f"w{i}" if i != j else f"other{j}" for i in range(n)) for j in at]
+
+
+def test_keep_one_where_doc_ids_repeat(spark):
+    """Groups that share a doc_id, or have none, are told apart: one row of each stays."""
+    b, lone, nulls = _near(80, (0, 79, None)), "text a of the same id " * 3, ["null " + t for t in _near(60, (0, 59))]
+    rows = [(7, lone), (7, b[0]), (9, b[1]), (12, b[2]), (7, lone), (None, nulls[0]), (None, nulls[1])]
+    want, _ = components([(i, t) for i, (_, t) in enumerate(rows)], 5, 80, 100)
+    kept = [(r.doc_id, r.text) for r in J.keep_one(frame(spark, rows)).collect()]
+    assert sorted(want[rows.index(r)] for r in kept) == sorted(set(want)) and len(set(want)) == 3
+    assert {r for r in kept if r[0] is not None} == {(7, lone), (7, b[0])}
