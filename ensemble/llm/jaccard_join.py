@@ -157,8 +157,11 @@ def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     copies = own.select("doc_id").filter("doc_id is not null").distinct().join(reps, "doc_id", "left_anti")
     sigs = map_arrow(texts.join(small(copies), "doc_id", "left_anti"), _signed(k, num, den), "sig long, id long")
     w = Window.partitionBy("sig")
+    # the ids of a group add up: repeated rows, which bring an id into a group twice, do not cancel (halves of 32 bits, so that no sum overflows)
+    h = F.xxhash64("id")
+    content = F.xxhash64(F.sum(F.shiftright(h, 32)).over(w), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(w))
     shared = sigs.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"),
-                         F.count("*").over(w).alias("n"), F.bit_xor(F.xxhash64("id")).over(w).alias("x")).filter("lo <> hi")
+                         F.count("*").over(w).alias("n"), content.alias("x")).filter("lo <> hi")
     shared = saved(shared)
     release(spark)
     # groups with the same members are one group

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import components, documents, frame
-from ensemble.llm import jaccard_join as J, similar as S
+from ensemble.llm import jaccard_join as J, similar as S, words as W
 
 
 def key(x):
@@ -81,3 +82,23 @@ def test_keep_one_where_doc_ids_repeat(spark):
     kept = [(r.doc_id, r.text) for r in J.keep_one(frame(spark, rows)).collect()]
     assert sorted(want[rows.index(r)] for r in kept) == sorted(set(want)) and len(set(want)) == 3
     assert {r for r in kept if r[0] is not None} == {(7, lone), (7, b[0])}
+
+
+def test_rows_given_twice_keep_their_links(spark, monkeypatch):
+    """Two signature groups that differ in one member alone, every row given twice, are two groups."""
+    texts = sorted(_near(100, (0, 1, 98, 99)), key=lambda t: J._class(W.shingles(next(W.batch_words(pa.array([t])))[2], 3)))
+    ids = [J._class(W.shingles(next(W.batch_words(pa.array([t])))[2], 3)) for t in texts]
+    groups = {1: (0, 1, 3), 2: (0, 2, 3)}
+
+    def signed(k, num, den):
+        def run(batches):
+            for b in batches:
+                own = [ids[texts.index(t)] for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"sig": [g for i in own for g, m in groups.items() if ids.index(i) in m],
+                                                  "id": [i for i in own for m in groups.values() if ids.index(i) in m]},
+                                                 schema=pa.schema([("sig", pa.int64()), ("id", pa.int64())]))
+        return run
+
+    monkeypatch.setattr(J, "_signed", signed)
+    got = J.jaccard_components(frame(spark, list(enumerate(texts)) * 2)).collect()
+    assert len(got) == 8 and {r.component_id for r in got} == {0}
