@@ -118,12 +118,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 TABLE_BITS = 25
 
 
-def bit_table(keys: DataFrame, col: str) -> np.ndarray:
-    """Bits of the low TABLE_BITS of a long column, as bytes; see may_hold."""
-    place = F.col(col).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+def bit_table(keys: DataFrame, col: str, n: int = TABLE_BITS) -> np.ndarray:
+    """Bits of the low ``n`` of a long column, as bytes; see may_hold."""
+    place = F.col(col).bitwiseAND(F.lit((1 << n) - 1))
     rows = keys.select(F.shiftright(place, 15).alias("k"), (place % 32768).alias("p")) \
         .groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    out = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    out = np.zeros(1 << n - 3, np.uint8)
     for r in rows:
         out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
@@ -131,5 +131,5 @@ def bit_table(keys: DataFrame, col: str) -> np.ndarray:
 
 def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key's bit is set: false for certain where the key is not in the table's column."""
-    at = (keys & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    at = (keys & np.uint64(8 * len(table) - 1)).astype(np.int64)
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
