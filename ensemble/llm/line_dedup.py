@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def _lines(rank, num: int, den: int):
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, n = b.column("prefix"), pa.compute.binary_length(b.column("prefix")).to_numpy() // 8
+        data, n = b.column("prefix"), pc.binary_length(b.column("prefix")).to_numpy() // 8
         body, _ = W.byte_view(data)
         rows = np.repeat(np.arange(b.num_rows), n)
         pos = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)

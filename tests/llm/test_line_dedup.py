@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from brute import documents, frame, removed_lines, words
@@ -49,3 +53,14 @@ def test_documents_without_the_lines(spark):
             assert set(kept[d]) == ({"\n".join(left)} if want[d, t] else {t})
     assert L.dedup_lines(frame(spark, [])).collect() == []
     assert L.removed_lines(frame(spark, [])).collect() == []
+
+
+def test_prefixes_need_no_import_of_another_module():
+    code = ("import numpy as np, pyarrow as pa\n"
+            "from ensemble.llm.line_dedup import _prefixes\n"
+            "b = pa.RecordBatch.from_pydict({'id': pa.array([7], pa.int64()), 'size': pa.array([3], pa.int32()),\n"
+            "                                'prefix': pa.array([np.array([5, 6], np.int64).tobytes()], pa.binary())})\n"
+            "print([r['tok'] for x in _prefixes(iter([b])) for r in x.to_pylist()])\n")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "[5, 6]", out.stderr
