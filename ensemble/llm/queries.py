@@ -172,3 +172,54 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     return warc.fixity(pages, written(warc.records(pages), "replica"))
+
+
+# ---------------------------------------------------------------- 11: embedding whitening
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- 12: centroid clustering
+
+def _centroids_sql(k: int = 8, rounds: int = 10) -> str:
+    dist = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, v, min(struct_pack(d := CAST({dist} AS BIGINT), cluster := cluster)) AS best "
+                     f"FROM kept CROSS JOIN c{r} GROUP BY row, v)")
+        if r < rounds:
+            steps.append(
+                f"s{r} AS (SELECT best.cluster AS cluster, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, 65) AS t(i) GROUP BY 1, 2), "
+                f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN "
+                f"(SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY cluster) AS m USING (cluster))")
+    last = rounds
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c
+  FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT {k})),
+{', '.join(steps)},
+final AS (SELECT vec_id, best.cluster AS cluster, best.d AS distance FROM a{last} JOIN kept USING (row))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM final JOIN c{last} USING (cluster)"""
+
+
+@query("op12_centroids", _centroids_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids
+
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- 13: sharding
+
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
