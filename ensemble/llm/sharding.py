@@ -9,11 +9,11 @@ all tasks, and cells are what the rounds move.
 
 Each round joins the cells with the weights of their hubs by shard. A cell
 wants the shard where most of its neighbours' rows are, among those that still
-have room. For each pair of shards the wanted moves are counted by priority (gain,
-then a hash), and those of highest priority move, as far as the target's quota
-of linked rows allows. The only things that reach the driver are loads and counts
-by pair of shards and priority, whose number is fixed. Rounds end when
-nothing moves, or after ``rounds``.
+have room; a group larger than a quota wants as many shards as it needs. For each pair of shards the wanted moves are counted by priority
+(neighbours there, then a hash), and those of highest priority move, as far as the
+target's quota of linked rows allows. Only loads and counts by pair of shards
+and priority, whose number is fixed, reach the driver. Rounds end when nothing
+moves, or after ``rounds``.
 
 The law is ``rows``: in the end each shard holds floor(N / shards) rows or one
 more. Shards over their quota give rows to those under it, unlinked documents
@@ -39,8 +39,8 @@ from .common import discard, saved, written, written_at
 SHARDS, ROUNDS = 8, 8
 #: Rows a cell of a hot hub holds at most, about; buckets of the orders of cells and rows.
 CELL_ROWS, BUCKETS = 50_000, 4096
-#: Powers of two by which gains are told apart; that from which groups move in pieces, and their number.
-SIZES, WHOLE, PIECES = 40, 8, 64
+#: Powers of two by which neighbours' numbers are told apart; that from which groups move in pieces, and their number.
+SIZES, WHOLE, PIECES = 40, 6, 64
 #: Share of its quota by which a shard's linked rows may exceed it between rounds; whole groups leave in the end.
 SLACK = 16
 
@@ -116,14 +116,18 @@ def propagate(cells: DataFrame, hubs: Sequence[str], shards: int, quota: list[in
         score = F.transform(numbers, lambda s: F.struct(
             F.when((s == F.col("shard")) | F.element_at(open_to, s + 1), F.element_at("w", s + 1)).otherwise(F.lit(-1)).alias("weight"),
             F.pmod(F.xxhash64("hub", s), F.lit(1 << 20)).alias("tie"), s.alias("to")))
-        gain = F.col("best.weight") - F.element_at("w", F.col("shard") + 1)
-        moves = near.withColumn("best", F.array_max(score)).select(*key, "n", "hub", F.col("shard").alias("from"), "best.to", gain.alias("gain")) \
+        # a group of more rows than a quota takes as many shards as it needs, its cells dealt over them
+        needs = F.greatest(F.ceil(F.aggregate("w", F.lit(0).cast("long"), lambda x, y: x + y) / F.lit(max(1, min(quota)))), F.lit(1)).cast("int")
+        near = near.withColumn("top", F.slice(F.sort_array(score, asc=False), F.lit(1), F.least(needs, F.lit(shards))))
+        own = F.get(F.filter("top", lambda t: t["to"] == F.col("shard")), 0)
+        dealt = F.get("top", F.pmod(F.xxhash64(*key), F.size("top")).cast("int"))
+        moves = near.withColumn("best", F.coalesce(own, dealt)).select(*key, "n", "hub", F.col("shard").alias("from"), "best.to", "best.weight") \
             .filter(F.col("from") != F.col("to"))
-        # large gains first; groups of a size move whole, by a hash of the hub, the largest piece by piece
-        magnitude = F.least(F.floor(F.log2(F.col("gain") + F.lit(1.0))), F.lit(SIZES - 1))
+        # many neighbours first; groups of a size move whole, by a hash of the hub, the largest piece by piece
+        magnitude = F.least(F.floor(F.log2(F.col("weight") + F.lit(1.0))), F.lit(SIZES - 1))
         part = F.when(magnitude >= WHOLE, F.pmod(F.xxhash64(*key), F.lit(PIECES))).otherwise(0)
         step = ((F.lit(SIZES - 1) - magnitude) * 16 + F.pmod(F.xxhash64("hub"), F.lit(16))) * PIECES + part
-        moves = saved(moves.withColumn("step", step.cast("int")).drop("hub", "gain"))
+        moves = saved(moves.withColumn("step", step.cast("int")).drop("hub", "weight"))
         wanted = {(r["from"], r["to"], r.step): r.n for r in moves.groupBy("from", "to", "step").agg(F.sum("n").alias("n")).collect()}
         upto, turned = accepted(wanted, load, [q + q // SLACK for q in quota])
         if not upto:
