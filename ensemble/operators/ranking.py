@@ -22,24 +22,33 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "__chunk"
+_CHUNK, _KEY = "__chunk", "__group_chunk"
 
 #: Rows one chunk should hold, if MAX_CHUNKS of them cover the table.
 ROWS_PER_CHUNK = 1_000_000
-#: Most chunks the order is cut into: one holds about 1 / MAX_CHUNKS of all rows or ROWS_PER_CHUNK.
-MAX_CHUNKS = 1024
+#: Most chunks the order is cut into (a power of two): one holds about 1 / MAX_CHUNKS of all rows or ROWS_PER_CHUNK.
+LEVELS = 12
+MAX_CHUNKS = 1 << LEVELS
 
 
 def _chunked(df: DataFrame, order_col: str, rows_per_chunk: int) -> DataFrame:
-    """Adds the chunk of every row: its place among the order column's approximate quantiles."""
+    """Adds the chunk of every row: its place among the cuts of the order column.
+
+    The cuts are as many of the approximate quantiles as there are chunks, less
+    one; a row finds its place by halving (``LEVELS`` array reads, compiled code).
+    """
     probs = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
     x = F.col(order_col)
-    stats = df.agg(F.percentile_approx(x, probs, 10 * MAX_CHUNKS).alias("__cuts"), F.count(F.lit(1)).alias("__rows"))
+    stats = df.agg(F.percentile_approx(x, probs, 10 * MAX_CHUNKS).alias("__all"), F.count(F.lit(1)).alias("__rows"))
     chunks = F.least(F.greatest(F.ceil(F.col("__rows") / F.lit(rows_per_chunk)), F.lit(1)), F.lit(MAX_CHUNKS))
-    place = F.size(F.filter(F.col("__cuts"), lambda c: c < x))
-    chunk = F.when(F.col("__cuts").isNull() | x.isNull() | (chunks == 1), F.lit(0)) \
-        .otherwise(F.floor(place * chunks / F.lit(MAX_CHUNKS)))
-    return df.crossJoin(F.broadcast(stats)).withColumn(_CHUNK, chunk.cast("int")).drop("__cuts", "__rows")  # one row
+    at = F.transform(F.sequence(F.lit(1), F.lit(MAX_CHUNKS)), lambda i: F.floor(i * F.lit(MAX_CHUNKS) / F.col("__chunks")))
+    cuts = F.when(F.col("__chunks") > 1, F.transform(F.slice(at, F.lit(1), F.col("__chunks") - 1), lambda i: F.get("__all", i - 1)))
+    stats = stats.withColumn("__chunks", chunks.cast("int")).select(cuts.alias("__cuts"))
+    out = df.crossJoin(F.broadcast(stats)).withColumn(_CHUNK, F.lit(0))  # one row
+    for level in reversed(range(LEVELS)):
+        more = F.coalesce(F.get("__cuts", F.col(_CHUNK) + F.lit((1 << level) - 1)) < x, F.lit(False))
+        out = out.withColumn(_CHUNK, F.col(_CHUNK) + F.when(more, F.lit(1 << level)).otherwise(F.lit(0)))
+    return out.drop("__cuts")
 
 
 def _with_totals(staged: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,8 +61,14 @@ def _with_totals(staged: DataFrame, totals: DataFrame, keys: Sequence[str]) -> D
     return staged.join(right, cond).drop(*[f"__k_{k}" for k in keys])
 
 
-def _before(group: Sequence[str]):
-    return Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+def _order_value(df: DataFrame, order_cols: Sequence[str]) -> Column:
+    """What the last row of a chunk has most of. One number, where there is one order column,
+    keeps the aggregation in a hash table; a struct of several columns needs a sorted one."""
+    kind = df.schema[order_cols[0]].dataType
+    lowest = {"bigint": -(1 << 63), "int": -(1 << 31), "double": float("-inf")}.get(kind.simpleString())
+    if len(order_cols) == 1 and lowest is not None:
+        return F.coalesce(F.col(order_cols[0]), F.lit(lowest).cast(kind))
+    return F.struct(*[F.col(c) for c in order_cols])
 
 
 def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str], *,
@@ -76,28 +91,35 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     """
     running_sums, previous = dict(running_sums or {}), dict(previous or {})
     group = list(group_cols)
-    staged = _chunked(df, order_cols[0], rows_per_chunk)
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
-    totals = staged.groupBy(*group, _CHUNK).agg(
+    # group and chunk as one key that is never NULL: window and join share its one shuffle and sort
+    staged = _chunked(df, order_cols[0], rows_per_chunk).withColumn(_KEY, F.struct(*[F.col(c) for c in group], F.col(_CHUNK)))
+    last = _order_value(df, order_cols)
+    totals = staged.groupBy(_KEY).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(src).alias(f"__tot_{o}") for o, src in running_sums.items()],
-        *[F.max_by(F.struct(F.col(src).alias("v")), order_struct).alias(f"__last_{o}") for o, src in previous.items()])
-    w_before, w_chunks = _before(group), Window.partitionBy(*group).orderBy(_CHUNK)
+        *[F.max_by(F.col(src), last).alias(f"__last_{o}") for o, src in previous.items()])
+    w_chunks = Window.partitionBy(*[F.col(f"{_KEY}.{c}") for c in group]).orderBy(F.col(f"{_KEY}.{_CHUNK}"))
+    w_before = w_chunks.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *group, _CHUNK, F.coalesce(F.sum("__n").over(w_before), F.lit(0)).alias("__off_n"),
+        _KEY, F.coalesce(F.sum("__n").over(w_before), F.lit(0)).alias("__off_n"),
         *[F.sum(f"__tot_{o}").over(w_before).alias(f"__off_{o}") for o in running_sums],
         *[F.lag(f"__last_{o}").over(w_chunks).alias(f"__prev_{o}") for o in previous])
-    w = Window.partitionBy(*group, _CHUNK).orderBy(*[F.col(c) for c in order_cols])
+    w = Window.partitionBy(_KEY).orderBy(*[F.col(c) for c in order_cols])
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _with_totals(staged, totals, [*group, _CHUNK]).withColumn("__rn", F.row_number().over(w))
+    # all frames in one window, before the join
+    out = staged.select("*", F.row_number().over(w).alias("__rn"),
+                        *[F.sum(src).over(w_run).alias(f"__in_{o}") for o, src in running_sums.items()],
+                        *[F.lag(src).over(w).alias(f"__lag_{o}") for o, src in previous.items()]).join(totals, _KEY)
+    cols = []
     if index_col:
-        out = out.withColumn(index_col, (F.col("__off_n") + F.col("__rn") - 1).cast("long"))
-    for o, src in running_sums.items():
-        inside, offset = F.sum(src).over(w_run), F.col(f"__off_{o}")
-        out = out.withColumn(o, F.when(inside.isNull(), offset).otherwise(inside + F.coalesce(offset, F.lit(0))))
-    for o, src in previous.items():
-        out = out.withColumn(o, F.when(F.col("__rn") == 1, F.col(f"__prev_{o}.v")).otherwise(F.lag(src).over(w)))
-    return out.drop(_CHUNK, "__rn", "__off_n", *[f"__off_{o}" for o in running_sums], *[f"__prev_{o}" for o in previous])
+        cols.append((F.col("__off_n") + F.col("__rn") - 1).cast("long").alias(index_col))
+    for o in running_sums:
+        inside, offset = F.col(f"__in_{o}"), F.col(f"__off_{o}")
+        cols.append(F.when(inside.isNull(), offset).otherwise(inside + F.coalesce(offset, F.lit(0))).alias(o))
+    for o in previous:
+        cols.append(F.when(F.col("__rn") == 1, F.col(f"__prev_{o}")).otherwise(F.col(f"__lag_{o}")).alias(o))
+    new = {index_col, *running_sums, *previous}
+    return out.select(*[F.col(c) for c in df.columns if c not in new], *cols)
 
 
 #: Accuracy of the approximate quantiles that bracket an exact one (rank error at most 1 / ACCURACY).
