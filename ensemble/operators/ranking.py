@@ -82,14 +82,16 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
                  index_col: str | None = None,
                  running_sums: Mapping[str, str] | None = None,
                  previous: Mapping[str, str] | None = None,
+                 carried: Mapping[str, str] | None = None,
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Per group, in (order_cols) order: 0-based index, running sums, previous values.
+    """Per group, in (order_cols) order: 0-based index, running sums, previous and carried values.
 
     ``running_sums`` maps output -> input column (inclusive running sum);
     ``previous`` maps output -> input column (value of the row before, NULL on
-    the first row of the group). The first order column is numeric.
+    the first row of the group); ``carried`` maps output -> input column (its last
+    value that is not NULL, at the row or before). The first order column is numeric.
     """
-    running_sums, previous = dict(running_sums or {}), dict(previous or {})
+    running_sums, previous, carried = dict(running_sums or {}), dict(previous or {}), dict(carried or {})
     group = list(group_cols)
     # group and chunk as one key that is never NULL: window and join share its one shuffle and sort
     staged = _chunked(df, order_cols[0], rows_per_chunk).withColumn(_KEY, F.struct(*[F.col(c) for c in group], F.col(_CHUNK)))
@@ -97,19 +99,22 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     totals = staged.groupBy(_KEY).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(src).alias(f"__tot_{o}") for o, src in running_sums.items()],
-        *[F.max_by(F.col(src), last).alias(f"__last_{o}") for o, src in previous.items()])
+        *[F.max_by(F.col(src), last).alias(f"__last_{o}") for o, src in previous.items()],
+        *[F.max_by(F.col(src), F.when(F.col(src).isNotNull(), last)).alias(f"__some_{o}") for o, src in carried.items()])
     w_chunks = Window.partitionBy(*[F.col(f"{_KEY}.{c}") for c in group]).orderBy(F.col(f"{_KEY}.{_CHUNK}"))
     w_before = w_chunks.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         _KEY, F.coalesce(F.sum("__n").over(w_before), F.lit(0)).alias("__off_n"),
         *[F.sum(f"__tot_{o}").over(w_before).alias(f"__off_{o}") for o in running_sums],
-        *[F.lag(f"__last_{o}").over(w_chunks).alias(f"__prev_{o}") for o in previous])
+        *[F.lag(f"__last_{o}").over(w_chunks).alias(f"__prev_{o}") for o in previous],
+        *[F.last(f"__some_{o}", ignorenulls=True).over(w_before).alias(f"__from_{o}") for o in carried])
     w = Window.partitionBy(_KEY).orderBy(*[F.col(c) for c in order_cols])
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # all frames in one window, before the join
     out = staged.select("*", F.row_number().over(w).alias("__rn"),
                         *[F.sum(src).over(w_run).alias(f"__in_{o}") for o, src in running_sums.items()],
-                        *[F.lag(src).over(w).alias(f"__lag_{o}") for o, src in previous.items()]).join(totals, _KEY)
+                        *[F.lag(src).over(w).alias(f"__lag_{o}") for o, src in previous.items()],
+                        *[F.last(src, ignorenulls=True).over(w_run).alias(f"__own_{o}") for o, src in carried.items()]).join(totals, _KEY)
     cols = []
     if index_col:
         cols.append((F.col("__off_n") + F.col("__rn") - 1).cast("long").alias(index_col))
@@ -118,7 +123,8 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
         cols.append(F.when(inside.isNull(), offset).otherwise(inside + F.coalesce(offset, F.lit(0))).alias(o))
     for o in previous:
         cols.append(F.when(F.col("__rn") == 1, F.col(f"__prev_{o}")).otherwise(F.col(f"__lag_{o}")).alias(o))
-    new = {index_col, *running_sums, *previous}
+    cols += [F.coalesce(f"__own_{o}", f"__from_{o}").alias(o) for o in carried]
+    new = {index_col, *running_sums, *previous, *carried}
     return out.select(*[F.col(c) for c in df.columns if c not in new], *cols)
 
 

@@ -2,16 +2,17 @@
 
 ``section_scan`` tags every line of a keyword file with the section it is in
 (the last keyword header at or before it), drops blanks and ``--`` comments,
-splits tokens, parses numbers and flags a trailing ``/`` terminator. The
-carried-forward section is a running count of headers (an ordered scan split
-into chunks, so one huge file is not one task) joined to the header lines.
+splits tokens, parses numbers and flags a trailing ``/`` terminator. The section
+is carried forward inside chunks and from chunk to chunk, so one huge file is not
+one task: chunks of an ordered scan where lines come from a table, the files'
+own splits where they come from text files (``scan_keyword_files``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ordered_scan
@@ -48,32 +49,68 @@ def text_lines(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
                      F.posexplode(F.split(normalized_lines(F.col(text_col)), "\n")).alias("lineno", "line"))
 
 
-def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk: int = 1_000_000,
-                 order_cols: Sequence[str] = ("lineno",)) -> DataFrame:
-    """lines(file, lineno, line[, ...]) -> (file, lineno, section, line, tokens,
-    n_tokens, numbers, n_numbers, terminated) for content lines.
-
-    ``order_cols`` put a file's lines in order. ``header`` gives a line's header name (NULL when it is not a header); by
-    default :func:`keyword_header`.
-    """
-    hdr = header if header is not None else keyword_header(F.col("line"))
-    tagged = lines.withColumn("__hdr", hdr).withColumn("__is_hdr", F.col("__hdr").isNotNull().cast("long"))
-    scanned = ordered_scan(tagged, ["file"], list(order_cols), running_sums={"__sec_no": "__is_hdr"},
-                           rows_per_chunk=rows_per_chunk)
-    headers = scanned.where(F.col("__is_hdr") == 1).select("file", "__sec_no", F.col("__hdr").alias("section"))
+def _content(tagged: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+    """Content lines of lines with ``section`` and ``__hdr``, in tokens and numbers."""
     stripped = strip(F.col("line"))
-    content = scanned.where((F.col("__is_hdr") == 0) & (stripped != "") & ~stripped.startswith("--"))
-    joined = content.join(headers, ["file", "__sec_no"], "left")
+    content = tagged.where(F.col("__hdr").isNull() & (stripped != "") & ~stripped.startswith("--"))
     terminated = stripped.endswith("/")
     body = strip(F.regexp_replace(stripped, r"/+$", ""))
     tokens = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
     numbers = F.transform(tokens, lambda t: t.try_cast("double"))
-    return joined.select(
+    return content.select(
         "file", *order_cols, "section", "line", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"),
         numbers.alias("numbers"), F.size(F.filter(numbers, lambda x: x.isNotNull())).alias("n_numbers"),
         terminated.alias("terminated"))
 
 
+def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk: int = 1_000_000,
+                 order_cols: Sequence[str] = ("lineno",), order: Column | None = None) -> DataFrame:
+    """lines(file, lineno, line[, ...]) -> (file, lineno, section, line, tokens,
+    n_tokens, numbers, n_numbers, terminated) for content lines.
+
+    ``order_cols`` put a file's lines in order; ``order`` may give one number that does so, by
+    which a long file is cut anywhere. ``header`` gives a line's header name (NULL when it is not
+    a header); by default :func:`keyword_header`.
+    """
+    hdr = header if header is not None else keyword_header(F.col("line"))
+    tagged = lines.withColumn("__hdr", hdr)
+    by = list(order_cols)
+    if order is not None:
+        tagged, by = tagged.withColumn("__order", order), ["__order"]
+    return _content(ordered_scan(tagged, ["file"], by, carried={"section": "__hdr"}, rows_per_chunk=rows_per_chunk), order_cols)
+
+
+def numbered_lines(raw: DataFrame, header: Column | None = None) -> DataFrame:
+    """Lines of split files -> (file, lineno, line, section, section_no, __hdr).
+
+    ``raw`` has (file, block, place, line): the split a line was read from and its
+    place, rising inside the split. A split is one chunk of its file: the counts and
+    last headers of a file's splits, a row each, are prefix-summed, so a file of any
+    size is numbered from 0 and its sections carried over split borders by tasks
+    that see one split each.
+    """
+    hdr = header if header is not None else keyword_header(F.col("line"))
+    rows = raw.withColumn("__hdr", hdr)
+    blocks = rows.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.count("__hdr").alias("h"), F.max_by("__hdr", F.when(F.col("__hdr").isNotNull(), F.col("place"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__lines"),
+                           F.coalesce(F.sum("h").over(before), F.lit(0)).alias("__headers"),
+                           F.last("last", ignorenulls=True).over(before).alias("__from"))
+    w = Window.partitionBy("file", "block").orderBy("place")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.select("file", "block", "line", "__hdr", (F.row_number().over(w) - 1).alias("__at"),
+                         F.last("__hdr", ignorenulls=True).over(run).alias("__own"), F.count("__hdr").over(run).alias("__n"))
+    return placed.join(blocks, ["file", "block"]).select(
+        "file", (F.col("__lines") + F.col("__at")).cast("long").alias("lineno"), "line", F.coalesce("__own", "__from").alias("section"),
+        (F.col("__headers") + F.col("__n")).cast("long").alias("section_no"), "__hdr")
+
+
+def scan_keyword_files(raw: DataFrame, header: Column | None = None) -> DataFrame:
+    """Content lines of split keyword files (see :func:`numbered_lines`), as :func:`section_scan` gives them."""
+    return _content(numbered_lines(raw, header), ("lineno",))
+
+
 def tail_lines(text_col: str, n: int = 300) -> Column:
     """The last ``n`` lines of a text (all of it when shorter): the part after
     the n-th line break counted from the end, found without splitting."""

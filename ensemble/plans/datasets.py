@@ -11,6 +11,7 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import features, runlog, sampling
 from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
@@ -43,19 +44,26 @@ def materialize(spark: SparkSession, sf_dir: str, name: str, build, partition_by
     groups cover narrow key ranges and equality filters on those keys skip
     most of them; files are capped at a fixed number of rows.
     """
+    def write(path: str) -> None:
+        df = build()
+        if sort_by:
+            df = df.sortWithinPartitions(*sort_by)
+        w = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        if partition_by:
+            w = w.partitionBy(partition_by)
+        w.parquet(path)
+    return materialize_with(spark, sf_dir, name, write)
+
+
+def materialize_with(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """``write(path)`` once; the path."""
     key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DATASET_VERSION}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-tables/{name}-{key}"
     with _LOCKS_GUARD:
         lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # one writer per table and process
         if not _exists(spark, f"{path}/_SUCCESS"):
-            df = build()
-            if sort_by:
-                df = df.sortWithinPartitions(*sort_by)
-            w = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            if partition_by:
-                w = w.partitionBy(partition_by)
-            w.parquet(path)
+            write(path)
     return path
 
 
@@ -108,3 +116,16 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_log_path(spark: SparkSession, sf_dir: str) -> str:
     """The run log written next to the dataset (the batch's second sink)."""
     return materialize(spark, sf_dir, "run_log", lambda: run_log(spark, sf_dir))
+
+
+def keyword_files_path(spark: SparkSession, sf_dir: str) -> str:
+    """The conversations as keyword text: files of a thousand conversations, a header line with the
+    role in capitals before each turn's lines."""
+    def write(path: str) -> None:
+        lines = testdata.section_lines(spark, sf_dir, with_role=True)
+        bucket = F.floor(F.col("file") / 1000).alias("bucket")
+        head = lines.where("pos = 0").select(bucket, "file", "turn", F.lit(-1).cast("long").alias("pos"), F.upper("role").alias("value"))
+        body = lines.select(bucket, "file", "turn", "pos", F.col("line").alias("value"))
+        head.union(body).repartition("bucket").sortWithinPartitions("bucket", "file", "turn", "pos") \
+            .select("bucket", "value").write.mode("overwrite").partitionBy("bucket").text(path)
+    return materialize_with(spark, sf_dir, "keyword_files", write)

@@ -243,6 +243,21 @@ sql("section_scan",
     " CAST(len(list_filter(tokens, lambda t: TRY_CAST(t AS DOUBLE) IS NOT NULL)) AS BIGINT) AS n_numbers,"
     " ends_with(stripped, '/') AS terminated, array_to_string(tokens, ' ') AS tokens FROM tk", "", SEC)
 
+KEYFILES = SEC.split("ln2 AS", 1)[0].rstrip().rstrip(",") + r""",
+kl AS (SELECT file // 1000 AS bucket, file, turn, pos, line FROM ln
+  UNION ALL SELECT conv_id // 1000, conv_id, turn, -1, upper(role) FROM conversations WHERE text IS NOT NULL),
+kn AS (SELECT bucket, row_number() OVER (PARTITION BY bucket ORDER BY file, turn, pos) - 1 AS lineno,
+         regexp_replace(line, '^\s+|\s+$', '', 'g') AS stripped FROM kl),
+kh AS (SELECT *, CASE WHEN regexp_full_match(stripped, '[A-Z][A-Z0-9]*') THEN stripped END AS hdr FROM kn),
+ks AS (SELECT *, last_value(hdr IGNORE NULLS) OVER (PARTITION BY bucket ORDER BY lineno ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM kh),
+kb AS (SELECT *, regexp_replace(regexp_replace(stripped, '/+$', ''), '^\s+|\s+$', '', 'g') AS body FROM ks
+  WHERE hdr IS NULL AND stripped <> '' AND NOT starts_with(stripped, '--')),
+kt AS (SELECT *, CASE WHEN body = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(body, '\s+') END AS tokens FROM kb)"""
+sql("section_scan_files",
+    "SELECT bucket AS file, lineno, section, CAST(len(tokens) AS BIGINT) AS n_tokens,"
+    " CAST(len(list_filter(tokens, lambda t: TRY_CAST(t AS DOUBLE) IS NOT NULL)) AS BIGINT) AS n_numbers,"
+    " ends_with(stripped, '/') AS terminated, array_to_string(tokens, ' ') AS tokens FROM kt", "", KEYFILES)
+
 TAIL = r"""
 dl AS (SELECT doc_id, text, string_split_regex(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS parts
        FROM documents)"""

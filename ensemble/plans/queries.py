@@ -287,11 +287,22 @@ def apply_scenario(spark, sf):
 @query
 def section_scan(spark, sf):
     lines = testdata.section_lines(spark, sf)
-    out = text.section_scan(lines, header=F.col("header"), order_cols=("turn", "pos"))
+    place = F.col("turn").cast("long") * (1 << 31) + F.col("pos")
+    out = text.section_scan(lines, header=F.col("header"), order_cols=("turn", "pos"), order=place)
     return out.select("file", "turn", "pos", "section", "n_tokens", "n_numbers", "terminated",
                       F.array_join("tokens", " ").alias("tokens"))
 
 
+@query
+def section_scan_files(spark, sf):
+    """The conversations written as keyword files (a header line before each turn), each of a
+    thousand conversations, and scanned split by split with the keyword rule for headers."""
+    out = text.scan_keyword_files(files.read_keyword_lines(spark, D.keyword_files_path(spark, sf)))
+    number = F.regexp_extract("file", r"bucket=(-?\d+)", 1).cast("long")
+    return out.select(number.alias("file"), "lineno", "section", "n_tokens", "n_numbers", "terminated",
+                      F.array_join("tokens", " ").alias("tokens"))
+
+
 @query
 def tail_lines(spark, sf):
     docs = testdata.table(spark, sf, "documents")

@@ -105,3 +105,12 @@ def read_keyword_files(spark: SparkSession, paths: str | list[str]) -> DataFrame
     that line order within a file is kept; files are spread over tasks."""
     df = spark.read.text(paths, wholetext=True)
     return df.select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def read_keyword_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of keyword text files as (file, block, place, line), read split by split: ``block`` is
+    the byte at which the line's split starts, ``place`` rises inside a split. See
+    :func:`ensemble.operators.text.numbered_lines` for line numbers."""
+    return spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))

@@ -160,7 +160,7 @@ def well_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def section_lines(spark: SparkSession, sf_dir: str, with_role: bool = False) -> DataFrame:
     """Lines of keyword text: a file per conversation; every line of a turn in
     turn order; a ``user`` turn opens a section named after its turn."""
     cv = table(spark, sf_dir, "conversations")
@@ -172,4 +172,5 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line",
         F.when((F.col("role") == "user") & (F.col("pos") == 0),
                F.format_string("TURN%d", F.col("turn"))).alias("header"),
+        *(["role"] if with_role else []),
     )

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ensemble.operators import text, wells
+from ensemble.sources import files
 
 
 def test_tail_lines(spark):
@@ -60,3 +61,41 @@ def test_failure_log_and_keyword_files(spark, tmp_path):
     kf = files.read_keyword_files(spark, str(p))
     scanned = text.section_scan(text.text_lines(kf, "file", "text")).collect()
     assert {r.section for r in scanned} == {"PVTO", "EQUIL"} and len(scanned) == 5
+
+
+def test_split_files_number_as_a_whole_read(spark, tmp_path):
+    """One file over many splits gives the same lines and sections as reading it whole."""
+    body = "\n".join(["first line", "EQUIL"] + [f"  {i} {i * 0.5} /" if i % 7 else f"KEY{i}" for i in range(400)] + ["-- end", "", "last"]) + "\n"
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text(body + name + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        raw = files.read_keyword_lines(spark, str(tmp_path))
+        assert raw.select("file", "block").distinct().count() > 10
+        got = text.scan_keyword_files(raw).collect()
+        numbered = text.numbered_lines(raw).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name in ("a", "b"):
+        want, section, no, lines = [], None, 0, (body + name).split("\n")
+        for i, x in enumerate(lines):
+            t = x.strip()
+            if t and t.isalnum() and t.upper() == t and t[0].isalpha():
+                section, no = t, no + 1
+            elif t and not t.startswith("--"):
+                want.append((i, section, x))
+        mine = [r for r in got if r.file.endswith(f"/{name}.txt")]
+        assert sorted((r.lineno, r.section, r.line) for r in mine) == want
+        assert sorted((r.lineno, r.line) for r in numbered if r.file.endswith(f"/{name}.txt")) == list(enumerate(lines))
+        assert max(r.section_no for r in numbered if r.file.endswith(f"/{name}.txt")) == no
+
+
+def test_sections_carried_over_chunks_of_a_table(spark):
+    rows = [(f, i, f"KEY{i}" if i % 50 == 0 and i else f"word {i}") for f in ("x", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "file string, lineno long, line string")
+    got = text.section_scan(df, rows_per_chunk=20).collect()
+    assert {(r.file, r.lineno): r.section for r in got} == {
+        (f, i): f"KEY{i // 50 * 50}" if i >= 50 else None for f, i, _ in rows if i % 50 or not i}
