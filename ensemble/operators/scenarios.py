@@ -11,6 +11,8 @@ A reservoir without any control record has no hits, and fails too.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,11 +111,11 @@ def apply_multipliers(scenarios: DataFrame) -> DataFrame:
     return s.select(*RUN_KEY, "prop", _round(mult, 5).alias("multiplier"))
 
 
-def apply_pvto_shift(scenarios: DataFrame) -> DataFrame:
+def apply_pvto_shift(scenarios: DataFrame, ctl: DataFrame | None = None) -> DataFrame:
     """PVTO records: bubble point + pb_shift on records of 4 numbers whose
     pressure is above the 14.7 psia anchor (written 3/2/4/4 dp); the anchor and
     the 3-number undersaturated record are untouched; shift 0 changes nothing."""
-    ctl = control_table(scenarios.sparkSession, "pvto")
+    ctl = control_table(scenarios.sparkSession, "pvto") if ctl is None else ctl
     j = _scen(scenarios, "spe9").join(ctl, "reservoir_id")
     shift = F.coalesce(F.col("pb_shift"), F.lit(0.0))
     nums = F.col("nums")
@@ -141,20 +143,22 @@ def apply_group_rate(scenarios: DataFrame, ctl: DataFrame | None = None) -> Data
         *RUN_KEY, "record_no", F.col("rate").alias("base_rate"), new.alias("rate"), "hits")
 
 
-def apply_scenario(scenarios: DataFrame) -> DataFrame:
+def apply_scenario(scenarios: DataFrame, controls: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """All rules of each run's reservoir, as one long table of changed values:
-    (reservoir_id, sim_id, rule, record, base, value)."""
+    (reservoir_id, sim_id, rule, record, base, value). ``controls``: control tables by name
+    (see :mod:`records`), else the fixed ones."""
+    controls = controls or {}
     def norm(df, rule, record, base, value):
         return df.select(*RUN_KEY, F.lit(rule).alias("rule"), F.col(record).cast("string").alias("record"),
                          F.col(base).cast("double").alias("base"), F.col(value).cast("double").alias("value"))
     parts = [
-        norm(apply_injector_rate(scenarios), "injector_rate", "record_no", "base_rate", "rate"),
-        norm(apply_producer_cap(scenarios), "producer_cap", "record_no", "base_rate", "rate"),
-        norm(apply_equil(scenarios), "equil_pressure", "record_no", "base_pressure", "pressure"),
+        norm(apply_injector_rate(scenarios, controls.get("injector")), "injector_rate", "record_no", "base_rate", "rate"),
+        norm(apply_producer_cap(scenarios, controls.get("producer")), "producer_cap", "record_no", "base_rate", "rate"),
+        norm(apply_equil(scenarios, controls.get("equil")), "equil_pressure", "record_no", "base_pressure", "pressure"),
         norm(apply_multipliers(scenarios).withColumn("one", F.lit(1.0)), "multiply", "prop", "one", "multiplier"),
-        norm(apply_pvto_shift(scenarios).where(F.col("shifted")).withColumn("v", F.get(F.col("nums"), 1)),
+        norm(apply_pvto_shift(scenarios, controls.get("pvto")).where(F.col("shifted")).withColumn("v", F.get(F.col("nums"), 1)),
              "pvto_bubble_point", "record_no", "base_pressure", "v"),
-        norm(apply_group_rate(scenarios), "group_rate", "record_no", "base_rate", "rate"),
+        norm(apply_group_rate(scenarios, controls.get("group_injection")), "group_rate", "record_no", "base_rate", "rate"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -10,7 +10,7 @@ own splits where they come from text files (``scan_keyword_files``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,30 +80,36 @@ def section_scan(lines: DataFrame, header: Column | None = None, rows_per_chunk:
     return _content(ordered_scan(tagged, ["file"], by, carried={"section": "__hdr"}, rows_per_chunk=rows_per_chunk), order_cols)
 
 
-def numbered_lines(raw: DataFrame, header: Column | None = None) -> DataFrame:
-    """Lines of split files -> (file, lineno, line, section, section_no, __hdr).
+def numbered_lines(raw: DataFrame, header: Column | None = None, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Lines of split files -> (file, lineno, line, section, section_no, __hdr[, sums...]).
 
     ``raw`` has (file, block, place, line): the split a line was read from and its
     place, rising inside the split. A split is one chunk of its file: the counts and
     last headers of a file's splits, a row each, are prefix-summed, so a file of any
     size is numbered from 0 and its sections carried over split borders by tasks
-    that see one split each.
+    that see one split each. ``sums`` names running sums (inclusive) of whole numbers
+    taken from ``line`` and ``__hdr``.
     """
     hdr = header if header is not None else keyword_header(F.col("line"))
-    rows = raw.withColumn("__hdr", hdr)
+    sums = dict(sums or {})
+    rows = raw.withColumn("__hdr", hdr).withColumns({f"__v_{k}": c.cast("long") for k, c in sums.items()})
     blocks = rows.groupBy("file", "block").agg(
+        *[F.sum(f"__v_{k}").alias(f"t_{k}") for k in sums],
         F.count(F.lit(1)).alias("n"), F.count("__hdr").alias("h"), F.max_by("__hdr", F.when(F.col("__hdr").isNotNull(), F.col("place"))).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__lines"),
                            F.coalesce(F.sum("h").over(before), F.lit(0)).alias("__headers"),
+                           *[F.coalesce(F.sum(f"t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums],
                            F.last("last", ignorenulls=True).over(before).alias("__from"))
     w = Window.partitionBy("file", "block").orderBy("place")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.select("file", "block", "line", "__hdr", (F.row_number().over(w) - 1).alias("__at"),
+                         *[F.sum(f"__v_{k}").over(run).alias(f"__r_{k}") for k in sums],
                          F.last("__hdr", ignorenulls=True).over(run).alias("__own"), F.count("__hdr").over(run).alias("__n"))
     return placed.join(blocks, ["file", "block"]).select(
         "file", (F.col("__lines") + F.col("__at")).cast("long").alias("lineno"), "line", F.coalesce("__own", "__from").alias("section"),
-        (F.col("__headers") + F.col("__n")).cast("long").alias("section_no"), "__hdr")
+        (F.col("__headers") + F.col("__n")).cast("long").alias("section_no"), "__hdr",
+        *[(F.col(f"__b_{k}") + F.col(f"__r_{k}")).alias(k) for k in sums])
 
 
 def scan_keyword_files(raw: DataFrame, header: Column | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import features, runlog, sampling
 from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
 from ..session import checkpoint_dir
-from ..sources import testdata
+from ..sources import decks, testdata
 
 SEED = testdata.SEED
 _LOCKS: dict[str, threading.Lock] = {}
@@ -129,3 +129,8 @@ def keyword_files_path(spark: SparkSession, sf_dir: str) -> str:
         head.union(body).repartition("bucket").sortWithinPartitions("bucket", "file", "turn", "pos") \
             .select("bucket", "value").write.mode("overwrite").partitionBy("bucket").text(path)
     return materialize_with(spark, sf_dir, "keyword_files", write)
+
+
+def control_files_path(spark: SparkSession, sf_dir: str) -> str:
+    """The fixed control records as keyword files, one a reservoir."""
+    return materialize_with(spark, sf_dir, "control_files", lambda path: decks.write_control_files(spark, path))

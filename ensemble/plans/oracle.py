@@ -214,6 +214,7 @@ sql("apply_scenario",
     " UNION ALL SELECT reservoir_id, sim_id, 'pvto_bubble_point', CAST(record_no AS VARCHAR), base_pressure, n1 FROM pv WHERE shifted"
     " UNION ALL SELECT reservoir_id, sim_id, 'group_rate', CAST(record_no AS VARCHAR), base_rate, rate FROM gi",
     "base value", ",\n".join([INJ, PROD, EQ, MUL, PV, GI]))
+ORACLE["apply_scenario_files"] = ORACLE["apply_scenario"]
 
 # --- text --------------------------------------------------------------------------
 SEC = rf"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import formatting as fmt
 from ..functions import pvt as pvt_fn
 from ..functions.interp import interp, segment_index
-from ..operators import explore, features, metrics, quality, runlog, sampling, splits, text, wells
+from ..operators import explore, features, metrics, quality, records, runlog, sampling, splits, text, wells
 from ..operators import scenarios as rules
 from ..operators.ranking import global_rank
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
@@ -282,6 +282,13 @@ def apply_scenario(spark, sf):
     return rules.apply_scenario(D.scenarios(spark, sf))
 
 
+@query
+def apply_scenario_files(spark, sf):
+    """All rules on control tables that are assembled from keyword files."""
+    controls = records.control_tables(files.read_keyword_lines(spark, D.control_files_path(spark, sf)))
+    return rules.apply_scenario(D.scenarios(spark, sf), controls)
+
+
 # --- text ------------------------------------------------------------------------
 
 @query
