@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import features, runlog, sampling
 from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
 from ..session import checkpoint_dir
-from ..sources import decks, testdata
+from ..sources import decks, files, stores, testdata
 
 SEED = testdata.SEED
 _LOCKS: dict[str, threading.Lock] = {}
@@ -24,12 +24,8 @@ _LOCKS_GUARD = threading.Lock()
 #: Bump when the derivation of a materialized table changes.
 DATASET_VERSION = "v2"
 MAX_RECORDS_PER_FILE = 5_000_000
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+#: The tables that materialized ones are derived from.
+SOURCE_TABLES = ("events", "conversations")
 
 
 def materialize(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None,
@@ -56,13 +52,14 @@ def materialize(spark: SparkSession, sf_dir: str, name: str, build, partition_by
 
 
 def materialize_with(spark: SparkSession, sf_dir: str, name: str, write) -> str:
-    """``write(path)`` once; the path."""
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DATASET_VERSION}".encode()).hexdigest()[:16]
+    """``write(path)`` once for the source files as they are now (new data at the same path give a new table); the path."""
+    source = stores.fingerprint(spark, *[f"{sf_dir}/{t}.parquet" for t in SOURCE_TABLES])
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DATASET_VERSION}|{source}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-tables/{name}-{key}"
     with _LOCKS_GUARD:
         lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # one writer per table and process
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not stores.exists(spark, f"{path}/_SUCCESS"):
             write(path)
     return path
 
@@ -115,7 +112,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log_path(spark: SparkSession, sf_dir: str) -> str:
     """The run log written next to the dataset (the batch's second sink)."""
-    return materialize(spark, sf_dir, "run_log", lambda: run_log(spark, sf_dir))
+    return materialize_with(spark, sf_dir, "run_log", lambda path: files.write_run_log(run_log(spark, sf_dir), path))
 
 
 def keyword_files_path(spark: SparkSession, sf_dir: str) -> str:
@@ -134,3 +131,21 @@ def keyword_files_path(spark: SparkSession, sf_dir: str) -> str:
 def control_files_path(spark: SparkSession, sf_dir: str) -> str:
     """The fixed control records as keyword files, one a reservoir."""
     return materialize_with(spark, sf_dir, "control_files", lambda path: decks.write_control_files(spark, path))
+
+
+def ordered_trajectory_path(spark: SparkSession, sf_dir: str, rows_per_file: int = 1_000_000) -> str:
+    """The dataset in the order of its runs and steps, with a manifest of the files' key ranges."""
+    def write(path: str) -> None:
+        tr = trajectory(spark, sf_dir)
+        stores.write_ordered(tr, path, ("reservoir_id", "sim_id", "step"), max(4, -(-tr.count() // rows_per_file)))
+    return materialize_with(spark, sf_dir, "ordered_trajectory", write)
+
+
+def batched_trajectory_path(spark: SparkSession, sf_dir: str) -> str:
+    """The dataset written in two batches of runs (odd and even ids), the first one offered again after the second."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-batches/{hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:16]}"
+    source = stores.fingerprint(spark, *[f"{sf_dir}/{t}.parquet" for t in SOURCE_TABLES])
+    for batch in ("even", "odd", "even"):
+        rest = 0 if batch == "even" else 1
+        stores.write_batch(spark, path, batch, source, lambda: trajectory(spark, sf_dir).where(F.pmod("sim_id", F.lit(2)) == rest))
+    return path

@@ -216,6 +216,13 @@ sql("apply_scenario",
     "base value", ",\n".join([INJ, PROD, EQ, MUL, PV, GI]))
 ORACLE["apply_scenario_files"] = ORACLE["apply_scenario"]
 
+# --- stores ------------------------------------------------------------------------
+sql("ordered_store",
+    "SELECT reservoir_id, sim_id, step, row_number() OVER (ORDER BY reservoir_id, sim_id, step) - 1 AS position, true AS rising FROM traj", "")
+sql("batch_store",
+    "SELECT reservoir_id, sim_id, step, Presion_Reservorio_psi, CASE WHEN sim_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM traj",
+    "Presion_Reservorio_psi")
+
 # --- text --------------------------------------------------------------------------
 SEC = rf"""
 cl AS (

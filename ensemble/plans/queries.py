@@ -21,7 +21,7 @@ from ..operators import scenarios as rules
 from ..operators.ranking import global_rank
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
                        TRAJECTORY_COLUMNS)
-from ..sources import files, testdata
+from ..sources import files, stores, testdata
 from ..sources.dimensions import pvt_tables
 from ..sources.dimensions import reservoir_dim as dim_table
 from . import datasets as D
@@ -57,6 +57,22 @@ def scan_run_log(spark, sf):
     return files.read_run_log(spark, D.run_log_path(spark, sf), fmt="parquet")
 
 
+@query
+def ordered_store(spark, sf):
+    """Every row of the stored dataset with its place in the order of (reservoir, run, step), taken from the
+    files' key ranges and the row's index in its file, and whether the files' ranges rise without overlap."""
+    path = D.ordered_trajectory_path(spark, sf)
+    rising = stores.manifest(spark, path).agg(F.every("rising").alias("rising"))
+    return stores.read_ordered(spark, path).select(*RUN_KEY, "step", "position").crossJoin(F.broadcast(rising))  # one row
+
+
+@query
+def batch_store(spark, sf):
+    """The dataset as two batches of runs have written it."""
+    rows = stores.read_batches(spark, D.batched_trajectory_path(spark, sf))
+    return rows.select(*RUN_KEY, "step", TARGET, "batch")
+
+
 @query
 def pivot_summary_vectors(spark, sf):
     return features.pivot_summary_vectors(testdata.summary_vectors(spark, sf))
