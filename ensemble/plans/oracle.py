@@ -216,6 +216,10 @@ sql("apply_scenario",
     "base value", ",\n".join([INJ, PROD, EQ, MUL, PV, GI]))
 ORACLE["apply_scenario_files"] = ORACLE["apply_scenario"]
 
+# the as-of joins give what the plain lookups give
+ORACLE["interp_asof"] = ORACLE["interp_join"]
+ORACLE["interp_asof_runs"] = ORACLE["pvt_rs"]
+
 # --- stores ------------------------------------------------------------------------
 sql("ordered_store",
     "SELECT reservoir_id, sim_id, step, row_number() OVER (ORDER BY reservoir_id, sim_id, step) - 1 AS position, true AS rising FROM traj", "")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import formatting as fmt
 from ..functions import pvt as pvt_fn
 from ..functions.interp import interp, segment_index
-from ..operators import explore, features, metrics, quality, records, runlog, sampling, splits, text, wells
+from ..operators import explore, features, interval, metrics, quality, records, runlog, sampling, splits, text, wells
 from ..operators import scenarios as rules
 from ..operators.ranking import global_rank
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
@@ -251,6 +251,26 @@ def interp_join(spark, sf):
     return j.select(*STEP_KEY, "table_id", "p", "seg", val.alias("value"))
 
 
+@query
+def interp_asof(spark, sf):
+    """The lookups of ``interp_join`` as an as-of join of rows and nodes (no broadcast, no range condition)."""
+    segs = pvt_tables(spark)
+    ends = segs.groupBy("table_id").agg(F.max_by("x1", "seg").alias("x"), F.max_by("y1", "seg").alias("y"))
+    nodes = segs.select("table_id", F.col("x0").alias("x"), F.col("y0").alias("y")).union(ends)
+    rows = _traj_p(spark, sf).withColumn("table_id", F.explode(F.array(*[F.lit(t) for t in ("pvdg_bg", "pvto_bo", "pvto_rs")])))
+    return interval.interp_asof(rows, nodes, ["table_id"], "p").select(*STEP_KEY, "table_id", "p", "seg", "value")
+
+
+@query
+def interp_asof_runs(spark, sf):
+    """Rs of every pressure in its own run's shifted table: as many tables as there are runs."""
+    rf = features.run_features(D.scenarios(spark, sf)).select(*RUN_KEY, "pvt_shift")
+    rs = F.array(*[F.lit(r[0]) for r in PVTO_SATURATED])
+    nodes = rf.select(*RUN_KEY, F.posexplode(pvt_fn.shifted_grid_array(F.col("pvt_shift"))).alias("node", "x")) \
+        .withColumn("y", F.get(rs, F.col("node")))
+    return interval.interp_asof(_traj_p(spark, sf), nodes, RUN_KEY, "p").select(*STEP_KEY, "p", (F.col("value") * 1000.0).alias("rs"))
+
+
 @query
 def weighted_statics(spark, sf):
     """Weighted mean sum(w*x)/sum(w) and sum(w) per group (parts: w = size,
