@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
 from ..schemas import ALL_LEVERS, CUMULATIVE_COLUMNS, TARGET
-from .ranking import exact_quantiles, global_rank, ordered_scan
+from .ranking import ACCURACY, exact_quantiles, global_rank, ordered_scan
 
 RUN_KEY = ["reservoir_id", "sim_id"]
 
@@ -113,89 +113,116 @@ def histogram(long: DataFrame, group_cols: Sequence[str], value_col: str, bins:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pooled Pearson correlation of every pair (pairwise-complete rows).
-
-    Pass 1 (one row, fetched): column means, whether each column varies, and
-    its NULL count. Pass 2 sums centred cross products in one aggregation with
-    partial sums before the shuffle: when no value is missing, one sum per pair
-    (the Gram matrix); otherwise each row emits one record per pair so that each
-    pair uses only rows where both values exist. A constant column gives NULL,
-    never a division by zero. Returns (col_a, col_b, corr) for all ordered pairs
-    including the diagonal.
+    """Pooled Pearson correlation of every pair (pairwise-complete rows), lazily.
+
+    Rows are summed by which of their values are missing (a bit mask: one group
+    where nothing is): counts, sums and products of the values less the column's
+    mean. A pair then adds up the groups in which both are there, so one aggregation
+    gives every pair its own rows. A column that is constant on them gives NULL, never
+    a division by zero. Returns (col_a, col_b, corr) for all ordered pairs including
+    the diagonal.
     """
     cols = [c for c in cols if c in df.columns]
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    st = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-               *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in cols],
-               *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in cols],
-               F.count(F.lit(1)).alias("rows")).first()
-    spark = df.sparkSession
-    cen = d.select(*[(F.col(c) - F.lit(st[f"m_{c}"])).alias(c) for c in cols])
+    means = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
+    zero = F.lit(0.0)
+    mask = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cols)), F.lit(0))
+    cen = d.crossJoin(F.broadcast(means)).select(  # one row
+        mask.alias("mask"), *cols, *[F.coalesce(F.col(c) - F.col(f"m_{c}"), zero).alias(f"c_{c}") for c in cols])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    if all(st[f"z_{c}"] == 0 for c in cols):
-        g = cen.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s_{i}_{j}") for i, j in pairs]).first()
-        sums = [(i, j, g[f"s_{i}_{j}"], g[f"s_{i}_{i}"], g[f"s_{j}_{j}"], 0.0, 0.0, st["rows"]) for i, j in pairs]
-        sums_df = spark.createDataFrame(
-            sums, "i int, j int, sab double, saa double, sbb double, sa double, sb double, n long") \
-            .withColumn("pair_varies", F.lit(True))
-    else:
-        recs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                  F.col(cols[i]).alias("a"), F.col(cols[j]).alias("b")) for i, j in pairs])
-        both = F.col("a").isNotNull() & F.col("b").isNotNull()
-        sums_df = cen.select(F.inline(recs)).groupBy("i", "j").agg(
-            F.sum(F.when(both, F.col("a") * F.col("b"))).alias("sab"),
-            F.sum(F.when(both, F.col("a") * F.col("a"))).alias("saa"),
-            F.sum(F.when(both, F.col("b") * F.col("b"))).alias("sbb"),
-            F.sum(F.when(both, F.col("a"))).alias("sa"),
-            F.sum(F.when(both, F.col("b"))).alias("sb"),
-            F.count_if(both).alias("n"),
-            # a pair is undefined when either side is constant on the shared rows
-            ((F.min(F.when(both, F.col("a"))) < F.max(F.when(both, F.col("a"))))
-             & (F.min(F.when(both, F.col("b"))) < F.max(F.when(both, F.col("b"))))).alias("pair_varies"))
-    names = F.array(*[F.lit(c) for c in cols])
-    varies = F.array(*[F.lit(bool(st[f"v_{c}"])) for c in cols])
+    g = cen.groupBy("mask").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"c_{c}").alias(f"s_{i}") for i, c in enumerate(cols)],
+        *[F.sum(F.col(f"c_{cols[i]}") * F.col(f"c_{cols[j]}")).alias(f"q_{i}_{j}") for i, j in pairs],
+        *[f(c).alias(f"{name}_{i}") for i, c in enumerate(cols) for name, f in (("lo", F.min), ("hi", F.max))])
+    recs = F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit((1 << i) | (1 << j)).alias("need"), F.col(f"q_{i}_{j}").alias("sab"), F.col(f"q_{i}_{i}").alias("saa"),
+        F.col(f"q_{j}_{j}").alias("sbb"), F.col(f"s_{i}").alias("sa"), F.col(f"s_{j}").alias("sb"), F.col(f"lo_{i}").alias("loa"),
+        F.col(f"hi_{i}").alias("hia"), F.col(f"lo_{j}").alias("lob"), F.col(f"hi_{j}").alias("hib")) for i, j in pairs])
+    kept = g.select("mask", "n", F.inline(recs)).withColumn("there", F.col("mask").bitwiseAND(F.col("need")) == 0)
+    there = lambda c: F.when(F.col("there"), F.col(c))
+    per = kept.groupBy("i", "j").agg(
+        F.coalesce(F.sum(there("n")), F.lit(0)).alias("n"), *[F.sum(there(c)).alias(c) for c in ("sab", "saa", "sbb", "sa", "sb")],
+        ((F.min(there("loa")) < F.max(there("hia"))) & (F.min(there("lob")) < F.max(there("hib")))).alias("varies"))
     n = F.col("n")
-    # subtract the pair-subset means (0 when nothing is missing)
     cab = F.col("sab") - F.col("sa") * F.col("sb") / n
     caa = F.col("saa") - F.col("sa") * F.col("sa") / n
     cbb = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    ok = (n > 1) & F.get(varies, F.col("i")) & F.get(varies, F.col("j")) & F.coalesce(F.col("pair_varies"), F.lit(False)) \
-        & (caa > 0) & (cbb > 0)
-    r = F.when(ok, F.try_divide(cab, F.sqrt(caa * cbb)))
-    per_pair = sums_df.select(F.get(names, F.col("i")).alias("a_name"), F.get(names, F.col("j")).alias("b_name"),
-                              r.alias("corr"))
-    both_ways = F.array(F.struct(F.col("a_name").alias("col_a"), F.col("b_name").alias("col_b"), F.col("corr")),
-                        F.struct(F.col("b_name").alias("col_a"), F.col("a_name").alias("col_b"), F.col("corr")))
-    return per_pair.select(F.inline(F.array_distinct(both_ways)))
+    r = F.when((n > 1) & F.coalesce(F.col("varies"), F.lit(False)), F.when((caa > 0) & (cbb > 0), F.try_divide(cab, F.sqrt(caa * cbb))))
+    names = F.array(*[F.lit(c) for c in cols])
+    a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
+    both = F.array(F.struct(a.alias("col_a"), b.alias("col_b"), r.alias("corr")), F.struct(b.alias("col_a"), a.alias("col_b"), r.alias("corr")))
+    return per.select(F.inline(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)))
+
+
+#: Rank of a position among n rows, and its share of them.
+POSITIONS = {"first": (lambda n: F.lit(0), 0.0), "half": (lambda n: F.floor(n / 2), 0.5), "third": (lambda n: F.floor(n / 3), 1 / 3),
+             "two_thirds": (lambda n: F.floor(2 * n / 3), 2 / 3), "last": (lambda n: n - 1, 1.0)}
 
 
 def rank_picks(per_run: DataFrame, measure: str, positions: Sequence[str] = ("first", "half", "last"),
                group_cols: Sequence[str] = ("reservoir_id",)) -> DataFrame:
-    """Runs at rank positions of ascending ``measure`` within each group.
+    """Runs at rank positions of ascending ``measure`` within each group, without ranking all runs.
 
     positions: 'first' (0), 'half' (n//2), 'third' (n//3), 'two_thirds' (2n//3),
-    'last' (n-1). Ranks come from :func:`global_rank` (ties broken by sim_id).
+    'last' (n-1); ties are broken by sim_id, NULL measures take no part. Approximate
+    quantiles bracket each wanted rank for certain; the values inside a bracket are
+    counted (all below as one), which gives the value at the rank and how many of its
+    equals come before; only runs of that value are put in order of their ids.
     Returns (group..., pick, sim_id, measure).
     """
     group = list(group_cols)
-    ranked = global_rank(per_run, measure, ["sim_id"], partition_cols=group, rank_col="__rank")
-    n = per_run.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    pos = {"first": F.lit(0), "half": F.floor(F.col("__n") / 2), "third": F.floor(F.col("__n") / 3),
-           "two_thirds": F.floor(2 * F.col("__n") / 3), "last": F.col("__n") - 1}
-    wanted = n.select(*group, F.inline(F.array(*[
-        F.struct(F.lit(p).alias("pick"), pos[p].cast("long").alias("__pos")) for p in positions])))
-    return (ranked.join(wanted, group)
-            .where(F.col("__rank") == F.col("__pos"))
-            .select(*group, "pick", "sim_id", measure))
+    runs = per_run.where(F.col(measure).isNotNull()).select(*group, "sim_id", F.col(measure))
+    shares = [POSITIONS[p][1] for p in positions]
+    at = rank_values(runs, group, measure, list(positions), shares)
+    ties = runs.join(at.select(*group, F.col("value").alias(measure), "pick", "skip"), [*group, measure])
+    order = global_rank(ties, "sim_id", [], partition_cols=[*group, "pick"], rank_col="__rank")
+    return order.where(F.col("__rank") == F.col("skip")).select(*group, "pick", "sim_id", measure)
+
+
+def rank_values(rows: DataFrame, group: Sequence[str], col: str, positions: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(group..., pick, value, skip): the value at each position and the number of its equals before it."""
+    group, margin, v = list(group), 2.0 / ACCURACY, F.col(col)
+    low, high = [max(0.0, s - margin) for s in shares], [min(1.0, s + margin) for s in shares]
+    stats = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(v, low, ACCURACY).alias("__low"),
+                                     F.percentile_approx(v, high, ACCURACY).alias("__high"), F.min(v).alias("__min"), F.max(v).alias("__max"))
+    few = F.col("__n") < ACCURACY
+    wanted = stats.select(*group, F.inline(F.array(*[F.struct(
+        F.lit(p).alias("pick"), POSITIONS[p][0](F.col("__n")).cast("long").alias("__pos"),
+        F.when(few | F.lit(low[i] == 0.0), F.col("__min")).otherwise(F.get("__low", i)).alias("__lo"),
+        F.when(few | F.lit(high[i] == 1.0), F.col("__max")).otherwise(F.get("__high", i)).alias("__hi")) for i, p in enumerate(positions)])))
+    near = rows.select(*group, v.alias("__v")).join(wanted, group).where(F.col("__v") <= F.col("__hi"))
+    counts = near.groupBy(*group, "pick", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("value")).agg(
+        F.count(F.lit(1)).alias("__c"), F.max("__pos").alias("__pos"))
+    w = Window.partitionBy(*group, "pick").orderBy(F.col("value").asc_nulls_first())
+    upto = counts.withColumn("__upto", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return upto.where((F.col("__upto") > F.col("__pos")) & (F.col("__upto") - F.col("__c") <= F.col("__pos"))) \
+        .select(*group, "pick", "value", (F.col("__pos") - F.col("__upto") + F.col("__c")).alias("skip"))
 
 
 def sample_runs(runs: DataFrame, k: int = 8, seed: int = 0,
                 group_cols: Sequence[str] = ("reservoir_id",)) -> DataFrame:
-    """min(k, n) distinct runs per group in seeded hash order (a sampling operator)."""
+    """min(k, n) distinct runs per group in seeded hash order (a sampling operator). Each task keeps its
+    own first k of a group before the shuffle."""
     r = runs.select(*group_cols, "sim_id").distinct().withColumn(
         "__h", hash_uniform(seed, *[F.col(c) for c in group_cols], F.col("sim_id")))
-    ranked = global_rank(r, "__h", ["sim_id"], partition_cols=list(group_cols), rank_col="sample_rank")
-    return ranked.where(F.col("sample_rank") < k).drop("__h")
+    return first_k(r, k, ["__h", "sim_id"], group_cols, "sample_rank").drop("__h")
+
+
+def first_k(df: DataFrame, k: int, order: Sequence, group_cols: Sequence[str], rank_col: str) -> DataFrame:
+    """The first k rows of each group with their place from 0; a limited window, so that no task sends more than k of a group."""
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k).withColumn(rank_col, (F.col(rank_col) - 1).cast("long"))
+
+
+def best_and_worst(per_run: DataFrame, measure: str, k: int = 3, group_cols: Sequence[str] = ("reservoir_id",)) -> DataFrame:
+    """The k runs of the smallest and of the largest ``measure`` of each group with their ranks (ties by sim_id);
+    a run may be both where there are fewer than 2k. Runs without a measure come first, as NULLs do."""
+    group = list(group_cols)
+    best = first_k(per_run, k, [measure, "sim_id"], group, "rank").withColumn("kind", F.lit("best"))
+    worst = first_k(per_run, k, [F.desc(measure), F.desc("sim_id")], group, "__back").withColumn("kind", F.lit("worst"))
+    n = per_run.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    worst = worst.join(n, group).withColumn("rank", F.col("__n") - 1 - F.col("__back")).drop("__n", "__back")
+    return best.unionByName(worst)
 
 
 def pvt_curve(df: DataFrame, sims: DataFrame) -> DataFrame:
@@ -232,4 +259,4 @@ def binned_2d(df: DataFrame, x: str, y: str, bins: int, group_cols: Sequence[str
 
 __all__ = ["unpivot", "median_by_step", "describe_columns", "histogram", "correlation_matrix",
            "rank_picks", "sample_runs", "pvt_curve", "lever_long", "binned_2d", "quantile_band_by_step",
-           "weighted_mean"]
+           "weighted_mean", "first_k", "best_and_worst", "rank_values"]

@@ -18,7 +18,6 @@ from ..functions import pvt as pvt_fn
 from ..functions.interp import interp, segment_index
 from ..operators import explore, features, interval, metrics, quality, records, runlog, sampling, splits, text, wells
 from ..operators import scenarios as rules
-from ..operators.ranking import global_rank
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
                        TRAJECTORY_COLUMNS)
 from ..sources import files, stores, testdata
@@ -541,11 +540,9 @@ def residual_stats(spark, sf):
 @query
 def best_worst_sims(spark, sf):
     ps = metrics.per_sim_metrics(_pred(spark, sf))
-    ranked = global_rank(ps, "mae", ["sim_id"], partition_cols=["reservoir_id"], rank_col="rank")
-    n = ps.groupBy("reservoir_id").agg(F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(F.broadcast(n), "reservoir_id")
-    kind = F.when(F.col("rank") < 3, F.lit("best")).when(F.col("rank") >= F.col("__n") - 3, F.lit("worst"))
-    return j.where(kind.isNotNull()).select("reservoir_id", kind.alias("kind"), "rank", "sim_id", "mae", "r2")
+    both = explore.best_and_worst(ps, "mae", 3)
+    # a run among the best is not listed again as one of the worst
+    return both.where((F.col("kind") == "best") | (F.col("rank") >= 3)).select("reservoir_id", "kind", "rank", "sim_id", "mae", "r2")
 
 
 @query

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,49 @@ def test_approximate_paths_close_to_exact(spark):
     assert e == 500.0 and abs(a - e) <= 1.0
     d = explore.describe_columns(df, ["x"], exact=False).first()
     assert abs(d.p25 - 250.0) <= 1.0 and d["count"] == 1001
+
+
+@pytest.mark.parametrize("accuracy", [8, 10_000])
+def test_rank_picks_without_ranking_all(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(explore, "ACCURACY", accuracy)
+    rng = np.random.default_rng(2)
+    rows = [("abc"[i % 3], i, float(rng.integers(0, 12)) if i % 3 else 4.0) for i in range(500)]  # many ties, one group of equals
+    rows += [("d", 900, 1.0), ("a", 901, None)]
+    df = spark.createDataFrame(rows, "reservoir_id string, sim_id long, m double")
+    names = ("first", "third", "half", "two_thirds", "last")
+    got = {(r.reservoir_id, r.pick): (r.m, r.sim_id) for r in explore.rank_picks(df, "m", names).collect()}
+    want = {}
+    for g in "abcd":
+        own = sorted((m, i) for x, i, m in rows if x == g and m is not None)
+        n = len(own)
+        want |= {(g, p): own[k] for p, k in zip(names, (0, n // 3, n // 2, 2 * n // 3, n - 1))}
+    assert got == want
+
+
+def test_best_and_worst_are_limited_before_the_shuffle(spark):
+    rows = [("a", i, float(i * 37 % 101)) for i in range(50)] + [("b", 1, 2.0), ("b", 2, 1.0)]
+    df = spark.createDataFrame(rows, "reservoir_id string, sim_id long, m double")
+    out = explore.best_and_worst(df, "m", 3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().toString()
+    order = sorted((m, i) for g, i, m in rows if g == "a")
+    got = sorted((r.kind, r["rank"], r.sim_id) for r in out.where("reservoir_id = 'a'").collect())
+    assert got == [("best", k, order[k][1]) for k in range(3)] + [("worst", k, order[k][1]) for k in (47, 48, 49)]
+    assert sorted((r.kind, r["rank"], r.sim_id) for r in out.where("reservoir_id = 'b'").collect()) == [
+        ("best", 0, 2), ("best", 1, 1), ("worst", 0, 2), ("worst", 1, 1)]
+
+
+def test_correlation_is_lazy_and_pairwise_complete(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(None if rng.random() < 0.2 else float(x) for x in (*(rng.normal(size=3) * [1, 100, 1e6] + 1e6), 7.0)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = explore.correlation_matrix(df, ["a", "b", "c", "k"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    got = {(r.col_a, r.col_b): r["corr"] for r in out.collect()}
+    want = pd.DataFrame(rows, columns=list("abck")).astype(float).corr()
+    assert len(got) == 16
+    for (a, b), r in got.items():
+        if "k" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], rel=1e-9)
