@@ -149,3 +149,16 @@ def batched_trajectory_path(spark: SparkSession, sf_dir: str) -> str:
         rest = 0 if batch == "even" else 1
         stores.write_batch(spark, path, batch, source, lambda: trajectory(spark, sf_dir).where(F.pmod("sim_id", F.lit(2)) == rest))
     return path
+
+
+def damaged_csv_path(spark: SparkSession, sf_dir: str) -> str:
+    """Run, step and pressure of the dataset as CSV, in which every 97th line by a fixed rule is broken:
+    a word for a number, a value too few, or one too many."""
+    def write(path: str) -> None:
+        run, step = F.col("sim_id").cast("string"), F.col("step").cast("string")
+        rest = F.pmod(F.col("sim_id") * 31 + F.col("step"), F.lit(97))
+        line = (F.when(rest == 0, F.concat_ws(",", run, step, F.lit("high"))).when(rest == 1, F.concat_ws(",", run, step))
+                .when(rest == 2, F.concat_ws(",", run, step, F.lit("1.5"), F.lit("2"))).when(rest == 3, F.concat_ws(",", F.lit(""), step, F.lit("1.5")))
+                .otherwise(F.concat_ws(",", run, step, F.col("Presion_Reservorio_psi").cast("string"))))
+        trajectory(spark, sf_dir).select(line.alias("value")).write.mode("overwrite").text(path)
+    return materialize_with(spark, sf_dir, "damaged_csv", write)

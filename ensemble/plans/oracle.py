@@ -216,6 +216,11 @@ sql("apply_scenario",
     "base value", ",\n".join([INJ, PROD, EQ, MUL, PV, GI]))
 ORACLE["apply_scenario_files"] = ORACLE["apply_scenario"]
 
+sql("scan_csv_checked",
+    "SELECT r > 3 AS accepted, CASE WHEN r > 3 THEN sim_id || ',' || step WHEN r = 0 THEN sim_id || ',' || step || ',high' WHEN r = 1 THEN sim_id || ',' || step"
+    " WHEN r = 2 THEN sim_id || ',' || step || ',1.5,2' ELSE ',' || step || ',1.5' END AS record,"
+    f" CASE WHEN r > 3 THEN Presion_Reservorio_psi ELSE {d(0)} END AS pressure"
+    " FROM (SELECT *, (((sim_id * 31 + step) % 97) + 97) % 97 AS r FROM traj)", "pressure")
 # the as-of joins give what the plain lookups give
 ORACLE["interp_asof"] = ORACLE["interp_join"]
 ORACLE["interp_asof_runs"] = ORACLE["pvt_rs"]

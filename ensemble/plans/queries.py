@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formatting as fmt
 from ..functions import pvt as pvt_fn
@@ -56,6 +57,15 @@ def scan_run_log(spark, sf):
     return files.read_run_log(spark, D.run_log_path(spark, sf), fmt="parquet")
 
 
+@query
+def scan_csv_checked(spark, sf):
+    """A CSV with broken lines read with its schema: the accepted rows and, as they stand, the rejected lines."""
+    schema = T.StructType([T.StructField("sim_id", T.LongType()), T.StructField("step", T.LongType()), T.StructField("pressure", T.DoubleType())])
+    good, bad = files.read_csv_checked(spark, D.damaged_csv_path(spark, sf), schema, keys=("sim_id", "step"), header=False)
+    return good.select(F.lit(True).alias("accepted"), F.concat_ws(",", "sim_id", "step").alias("record"), "pressure") \
+        .union(bad.select(F.lit(False), "record", F.lit(0.0)))
+
+
 @query
 def ordered_store(spark, sf):
     """Every row of the stored dataset with its place in the order of (reservoir, run, step), taken from the

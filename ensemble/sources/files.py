@@ -7,6 +7,7 @@ the Parquet reader). CSV is supported with explicit schemas — never inferred.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,26 @@ def read_run_logs_csv(spark: SparkSession, logs: dict[str, str]) -> DataFrame:
     return nan_to_null(union_datasets(parts))
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = (), header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """CSV rows with an explicit schema as (accepted, rejected).
+
+    Rejected are lines with a value that is not of its column's type, with too few or
+    too many values, or without a value in one of ``keys``; they are given back as they
+    stand, (file, record), to be counted or mended. Nothing is dropped silently and
+    nothing ends the job.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    rows = spark.read.schema(whole).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad") \
+        .csv(path).withColumn("__file", F.col("_metadata.file_path"))
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    good = F.col("__bad").isNull() & ~missing
+    # a whole record without its key is written out again from its columns
+    record = F.coalesce("__bad", F.concat_ws(",", *[F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in schema.fields]))
+    return nan_to_null(rows.where(good).drop("__bad", "__file")), rows.where(~good).select(F.col("__file").alias("file"), record.alias("record"))
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> bool:
     """Write a trajectory dataset partitioned by reservoir; an empty one is skipped.
 
