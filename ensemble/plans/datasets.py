@@ -13,8 +13,8 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, runlog, sampling
-from ..schemas import ALL_LEVERS, TRAJECTORY_COLUMNS
+from ..operators import features, runlog, sampling, summaries
+from ..schemas import ALL_LEVERS, TARGET, TRAJECTORY_COLUMNS
 from ..session import checkpoint_dir
 from ..sources import decks, files, stores, testdata
 
@@ -162,3 +162,11 @@ def damaged_csv_path(spark: SparkSession, sf_dir: str) -> str:
                 .otherwise(F.concat_ws(",", run, step, F.col("Presion_Reservorio_psi").cast("string"))))
         trajectory(spark, sf_dir).select(line.alias("value")).write.mode("overwrite").text(path)
     return materialize_with(spark, sf_dir, "damaged_csv", write)
+
+
+def step_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored summary table of the batches: sketches of the pressure by (batch, reservoir, step)."""
+    def build() -> DataFrame:
+        rows = stores.read_batches(spark, batched_trajectory_path(spark, sf_dir))
+        return summaries.summarize(rows, TARGET, ["batch", "reservoir_id", "step"])
+    return materialized(spark, sf_dir, "step_summaries", build)

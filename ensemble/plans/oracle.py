@@ -221,6 +221,9 @@ sql("scan_csv_checked",
     " WHEN r = 2 THEN sim_id || ',' || step || ',1.5,2' ELSE ',' || step || ',1.5' END AS record,"
     f" CASE WHEN r > 3 THEN Presion_Reservorio_psi ELSE {d(0)} END AS pressure"
     " FROM (SELECT *, (((sim_id * 31 + step) % 97) + 97) % 97 AS r FROM traj)", "pressure")
+sql("summary_by_step",
+    "SELECT reservoir_id, step, count(*) AS n, min(Presion_Reservorio_psi) AS lo, max(Presion_Reservorio_psi) AS hi,"
+    " true AS median_within, true AS runs_within FROM traj GROUP BY reservoir_id, step", "lo hi")
 # the as-of joins give what the plain lookups give
 ORACLE["interp_asof"] = ORACLE["interp_join"]
 ORACLE["interp_asof_runs"] = ORACLE["pvt_rs"]

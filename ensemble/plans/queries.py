@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import formatting as fmt
 from ..functions import pvt as pvt_fn
 from ..functions.interp import interp, segment_index
-from ..operators import explore, features, interval, metrics, quality, records, runlog, sampling, splits, text, wells
+from ..operators import explore, features, interval, metrics, quality, records, runlog, sampling, splits, summaries, text, wells
 from ..operators import scenarios as rules
 from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
                        TRAJECTORY_COLUMNS)
@@ -453,6 +453,21 @@ def rank_picks_thirds(spark, sf):
     return rows.join(before, STEP_KEY, "left").select(*STEP_KEY, "pick", "y", "y_pred")
 
 
+@query
+def summary_by_step(spark, sf):
+    """Sketches by (batch, reservoir, step), merged over the batches: the approximate median's rank among the
+    step's rows is held against the stated bound, the approximate number of runs against four standard errors."""
+    rows = stores.read_batches(spark, D.batched_trajectory_path(spark, sf)).select("batch", *RUN_KEY, "step", TARGET)
+    merged = summaries.merge(D.step_summaries(spark, sf), ["reservoir_id", "step"])
+    got = summaries.quantiles(merged, [0.5], ["p50"])
+    place = rows.join(got, ["reservoir_id", "step"]).groupBy("reservoir_id", "step", "n", "lo", "hi").agg(
+        F.avg((F.col(TARGET) < F.col("p50")).cast("int")).alias("below"), F.avg((F.col(TARGET) <= F.col("p50")).cast("int")).alias("upto"),
+        F.max("n_runs").alias("n_runs"))
+    bound = summaries.RANK_ERROR + 1 / F.col("n")
+    return place.select("reservoir_id", "step", "n", "lo", "hi", ((F.col("below") <= 0.5 + bound) & (F.col("upto") >= 0.5 - bound)).alias("median_within"),
+                        (F.abs(F.col("n_runs") - F.col("n")) <= 1 + 0.065 * F.col("n")).alias("runs_within"))
+
+
 @query
 def trajectory_band(spark, sf):
     """The 5, 50 and 95 % band of the pressure over the runs of a reservoir, by step."""
