@@ -104,7 +104,8 @@ def _keys(k: int):
     return run
 
 
-def _signed(k: int, num: int, den: int):
+def _signed(k: int, num: int, den: int, part: int = 0, parts: int = 1):
+    """Signatures of one of ``parts`` shares of all signatures."""
     def run(batches):
         tops = band_tops(num, den)
         for b in batches:
@@ -114,6 +115,9 @@ def _signed(k: int, num: int, den: int):
                     continue
                 ids = np.array([_class(s) for s in sets], np.int64)
                 sig, owner = signatures(np.concatenate(sets), np.array([len(s) for s in sets]), num, den, tops)
+                if parts > 1:
+                    mine = (sig >> _U(32)) % _U(parts) == _U(part)
+                    sig, owner = sig[mine], owner[mine]
                 yield pa.RecordBatch.from_pydict({"sig": sig.view(np.int64), "id": ids[owner]})
     return run
 
@@ -145,9 +149,12 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def labelled_rows(docs: DataFrame, k: int, num: int, den: int, parts: int = 1) -> DataFrame:
     """doc_id, text_key, n_shingles, class_id, label of every row; linked documents share a label,
-    others never do, whatever their doc_ids (null for empty sets)."""
+    others never do, whatever their doc_ids (null for empty sets).
+
+    Signatures are shuffled in ``parts`` shares one after another, each let go before the next:
+    the same groups with so much less on disk at once, for as many more passes over the texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     own = saved(map_arrow(texts.withColumn("text_key", _text_key()), _keys(k),
@@ -155,15 +162,18 @@ def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     classes = saved(own.filter("n_shingles > 0").groupBy("key", "id").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     copies = own.select("doc_id").filter("doc_id is not null").distinct().join(reps, "doc_id", "left_anti")
-    sigs = map_arrow(texts.join(small(copies), "doc_id", "left_anti"), _signed(k, num, den), "sig long, id long")
+    alone = texts.join(small(copies), "doc_id", "left_anti")
     w = Window.partitionBy("sig")
     # the ids of a group add up: repeated rows, which bring an id into a group twice, do not cancel (halves of 32 bits, so that no sum overflows)
     h = F.xxhash64("id")
     content = F.xxhash64(F.sum(F.shiftright(h, 32)).over(w), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(w))
-    shared = sigs.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"),
-                         F.count("*").over(w).alias("n"), content.alias("x")).filter("lo <> hi")
-    shared = saved(shared)
-    release(spark)
+    shared = None
+    for part in range(parts):
+        sigs = map_arrow(alone, _signed(k, num, den, part, parts), "sig long, id long")
+        some = saved(sigs.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"),
+                                 F.count("*").over(w).alias("n"), content.alias("x")).filter("lo <> hi"))
+        shared = some if shared is None else shared.union(some)
+        release(spark)
     # groups with the same members are one group
     kept = shared.groupBy("lo", "hi", "n", "x").agg(F.min("sig").alias("sig")).select("sig")
     members = saved(shared.join(kept, "sig").select(F.col("sig").alias("gid"), "id").distinct())
@@ -198,7 +208,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """One row of each group of linked documents, all columns as they are: that of the smallest
     doc_id (null ids last; of rows with that id, the one with the smaller hash of its text; of equal
     rows, one). Groups are told apart by their links alone: a doc_id may occur with unrelated texts."""
-    found = saved(labelled_rows(docs, k, num, den).filter("n_shingles > 0").select("doc_id", "text_key", "label"))
+    found = saved(labelled_rows(docs, k, num, den, parts=3).filter("n_shingles > 0").select("doc_id", "text_key", "label"))
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
     chosen = found.join(first, "label").select("doc_id", "text_key", F.expr("doc_id <=> first.doc_id and text_key = first.text_key").alias("stays"))
     shape = chosen.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
