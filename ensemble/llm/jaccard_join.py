@@ -169,7 +169,7 @@ def labelled_rows(docs: DataFrame, k: int, num: int, den: int, parts: int = 1) -
     content = F.xxhash64(F.sum(F.shiftright(h, 32)).over(w), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(w))
     shared = None
     for part in range(parts):
-        sigs = map_arrow(alone, _signed(k, num, den, part, parts), "sig long, id long")
+        sigs = map_arrow(alone, _signed(k, num, den, *((part, parts) if parts > 1 else ())), "sig long, id long")
         some = saved(sigs.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"),
                                  F.count("*").over(w).alias("n"), content.alias("x")).filter("lo <> hi"))
         shared = some if shared is None else shared.union(some)
