@@ -142,12 +142,12 @@ def _search(dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, limit = projection(dim), chi_square_bound(CONFIDENCE)
         for t in runs(batches, ["cell", "salt", "part"]):
-            kind = t.column("kind").to_numpy()
+            kind, smallest = t.column("kind").to_numpy(), t.column("first").to_numpy()
             v, ids, best = _matrix(t.column("v").combine_chunks(), dim), t.column("cls").to_numpy(), t.column("worst").to_numpy()
             points, asked = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             if not len(points) or not len(asked):
                 continue
-            own, norm = v[points], np.linalg.norm(v[points], axis=1)
+            own, norm, smallest = v[points], np.linalg.norm(v[points], axis=1), smallest[points]
             low = (own / norm[:, None]) @ g
             tree = KdTree(low, LEAF)
             out_q, out_c, out_s = [], [], []
@@ -166,12 +166,12 @@ def _search(dim: int, k: int):
                         continue
                     found = np.concatenate([found, rows])
                     score = np.concatenate([score, own[rows] @ q / (norm[rows] * size)])
-                    if len(found) > k:
-                        keep = np.argpartition(-score, k - 1)[:k] if len(found) > 8 * k else np.arange(len(found))
+                    if len(found) > 8 * k:
+                        keep = np.lexsort((smallest[found], -score))[:k]
                         found, score = found[keep], score[keep]
                     if len(found) >= k:  # squared distance of unit vectors: 2 - 2 cos
                         worst = min(worst, 2 - 2 * float(np.partition(score, len(score) - k)[len(score) - k]) + 1e-12)
-                keep = np.argsort(-score, kind="stable")[:k]
+                keep = np.lexsort((smallest[found], -score))[:k]  # of equal scores those with the smallest ids
                 out_q += [ids[i]] * len(keep)
                 out_c += ids[points][found[keep]].tolist()
                 out_s += score[keep].tolist()
@@ -206,10 +206,10 @@ def _visit(points: DataFrame, visits: DataFrame, dim: int, k: int) -> DataFrame:
     parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts"))
     salts = points.groupBy("cell").agg(F.max("salts").alias("salts"))
     own = points.join(parts, "cell").select("cell", "salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                                           F.lit(0).alias("kind"), "cls", "v", F.lit(0.0).alias("worst"))
+                                           F.lit(0).alias("kind"), "cls", "v", F.lit(0.0).alias("worst"), "first")
     asked = visits.join(parts, "cell").join(salts, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "cls", "v", "worst")
+        F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "cls", "v", "worst", F.lit(0).cast("long").alias("first"))
     both = own.union(asked).repartition(n, "cell", "salt", "part").sortWithinPartitions("cell", "salt", "part", "kind")
     return map_arrow(both, _search(dim, k), "query long, cls long, score double")
 
@@ -241,7 +241,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
               .select("v").limit(2 * wanted + 100).collect()]
     low = _unit(np.array(picked)) @ projection(dim) if picked else np.zeros((0, M))
     tree = spark.sparkContext.broadcast(KdTree(low, max(1, len(low) // cells), tight=False))
-    dealt = saved(map_arrow(classes.select("cls", "v"), _deal(tree, dim), "cls long, v array<double>, cell int"))
+    dealt = saved(map_arrow(classes.select("cls", "v", F.col("ids")[0].alias("first")), _deal(tree, dim),
+                            "cls long, v array<double>, first long, cell int"))
     salts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     points = dealt.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("salts")).cast("int"))
 

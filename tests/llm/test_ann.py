@@ -70,3 +70,10 @@ def test_query_recall(spark):
 
 def test_quantiles():
     assert abs(ann.chi_square_bound(0.95, 8) - 15.507) < 1e-2 and abs(ann.chi_square_bound(0.99, 2) - 9.210) < 1e-2
+
+
+def test_ties_of_many_classes_go_to_the_smallest_ids(spark):
+    """Thirty multiples of one vector have the same cosine with the query, though no two are equal."""
+    rows = [(50, [1, 0.25, 0, 0])] + [(j, [2.0 ** (j - 185), 0, 0, 0]) for j in reversed(range(171, 201))] + [(300 + j, [0, 0, 1, j]) for j in range(5)]
+    got = [r for r in ann.nearest(frame(spark, rows)).collect() if r.query_id == 50]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [171, 172, 173, 174, 175] and len({r.score for r in got}) == 1
