@@ -25,6 +25,8 @@ from .common import map_arrow, release, saved, small
 
 #: Bytes of sketches that one chunk of a group holds at most.
 CHUNK_BYTES = 4 << 20
+#: One of so many groups is looked at before all others.
+FIRST = 8
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -177,9 +179,11 @@ def links_of_groups(members: DataFrame, sketches: DataFrame, fetch: Callable[[Da
         .select("gid", F.ceil(F.col("all") / CHUNK_BYTES).cast("int").alias("chunks"))
     dealt = saved(members.join(shape, "gid").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(17)), F.col("chunks")).cast("int")))
     links = failed = spark.createDataFrame([], "a long, b long")
-    across, most = False, 1  # first within chunks, one proposal for each set; then more, and across chunks
+    # first one of FIRST groups, as near copies share many: most others then hold one component and need no sketches;
+    # within chunks, one proposal for each set; then more, and across chunks
+    first, across, most = True, False, 1
     while True:
-        labelled = dealt.withColumn("label", F.col("id")) if most == 1 and not across else \
+        labelled = dealt.filter(F.pmod(F.xxhash64("gid", F.lit(5)), F.lit(FIRST)) == 0).withColumn("label", F.col("id")) if first else \
             dealt.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
         still = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gid")
         refused = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("refused"))
@@ -195,7 +199,10 @@ def links_of_groups(members: DataFrame, sketches: DataFrame, fetch: Callable[[Da
         proposed = map_arrow(part, _propose(keys, most, num, den), "a long, b long, room long")
         proposed = saved(proposed.groupBy("b").agg(F.max_by("a", F.struct("room", "a")).alias("a")) if most == 1
                          else proposed.select("a", "b").distinct())
-        most *= 8
+        if first and proposed.isEmpty():
+            first = False
+            continue
+        most, first = most if first else most * 8, False
         if proposed.isEmpty():
             if across or dealt.filter("chunks > 1").isEmpty():
                 return links
