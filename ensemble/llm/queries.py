@@ -145,33 +145,45 @@ def _level_sql(below: str) -> str:
 FROM (SELECT *, node // 16 AS up FROM {below}) GROUP BY archive, up"""
 
 
-WARC_SQL = f"""
-WITH r AS (SELECT page_id, CASE WHEN page_id IS NULL THEN -1 ELSE CAST(floor(page_id / 1024.0) AS BIGINT) END AS archive,
+def _leaves_sql(name: str, pages: str) -> str:
+    """CTEs that put the records of ``pages`` in place: ``name`` has archive, node, page_id, h, s, e, digest."""
+    return f"""{name}r AS (SELECT page_id, CASE WHEN page_id IS NULL THEN -1 ELSE CAST(floor(page_id / 1024.0) AS BIGINT) END AS archive,
   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id, -1)
   || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
   || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
-  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
-d AS (SELECT archive, page_id, octet_length(encode(record)) AS size, sha256(record) AS h FROM r),
-p AS (SELECT *, row_number() OVER w - 1 AS leaf, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM d
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM {pages}),
+{name}d AS (SELECT archive, page_id, octet_length(encode(record)) AS size, sha256(record) AS h FROM {name}r),
+{name}p AS (SELECT *, row_number() OVER w - 1 AS leaf, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM {name}d
       WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, h)),
-l0 AS (SELECT archive, leaf AS node, page_id, h, CAST(e - size AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
-       sha256(concat_ws(':', 'leaf', CAST(e - size AS BIGINT), CAST(e AS BIGINT), h)) AS digest FROM p),
+{name} AS (SELECT archive, leaf AS node, page_id, h, CAST(e - size AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
+       sha256(concat_ws(':', 'leaf', CAST(e - size AS BIGINT), CAST(e AS BIGINT), h)) AS digest FROM {name}p)"""
+
+
+WARC_SQL = f"""
+WITH u AS (SELECT page_id, url, html, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4) AS BIGINT) AS n FROM pages),
+copy AS (SELECT page_id, url, CASE WHEN n % 16 = 0 THEN translate(html, 'e', 'a') ELSE html END AS html FROM u WHERE n IS NULL OR n % 256 <> 1
+  UNION ALL SELECT page_id, url || '#copy', html FROM u WHERE n % 256 = 2),
+{_leaves_sql('l0', 'pages')}, {_leaves_sql('m0', 'copy')},
 t1 AS ({_level_sql('l0')}), t2 AS ({_level_sql('t1')}), t3 AS ({_level_sql('t2')}),
 top AS (SELECT max(node) AS m FROM l0),
 roots AS (SELECT t3.archive, CASE WHEN m = 0 THEN t0.digest WHEN m < 16 THEN t1.digest WHEN m < 256 THEN t2.digest ELSE t3.digest END AS root
   FROM t3 CROSS JOIN top JOIN t2 ON t2.archive = t3.archive AND t2.node = 0 JOIN t1 ON t1.archive = t3.archive AND t1.node = 0
-  JOIN l0 AS t0 ON t0.archive = t3.archive AND t0.node = 0)
-SELECT page_id, archive, s AS record_start, e AS record_end, h AS record_sha256, root, 'intact' AS status FROM l0 JOIN roots USING (archive)"""
+  JOIN l0 AS t0 ON t0.archive = t3.archive AND t0.node = 0),
+both_ AS (SELECT coalesce(l0.archive, m0.archive) AS archive, CASE WHEN l0.node IS NULL THEN m0.page_id ELSE l0.page_id END AS page_id,
+    coalesce(l0.s, m0.s) AS s, coalesce(l0.e, m0.e) AS e, coalesce(l0.h, m0.h) AS h,
+    CASE WHEN m0.node IS NULL THEN 'missing' WHEN l0.node IS NULL THEN 'extra' WHEN l0.digest = m0.digest THEN 'intact' ELSE 'changed' END AS status
+  FROM l0 FULL JOIN m0 ON l0.archive = m0.archive AND l0.node = m0.node)
+SELECT page_id, archive, s AS record_start, e AS record_end, h AS record_sha256, root, status FROM both_ LEFT JOIN roots USING (archive)"""
 
 
 @query("op9_warc_fixity", WARC_SQL)
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a written copy of the pages' records against the pages."""
+    """Audit of a written copy of the pages' records, damaged by a fixed rule, against the pages."""
     from . import warc
     from .common import written
 
     pages = table(spark, sf_dir, "pages")
-    return warc.fixity(pages, written(warc.records(pages), "replica"))
+    return warc.fixity(pages, written(warc.records(warc.damaged(pages)), "replica"))
 
 
 # ---------------------------------------------------------------- 11: embedding whitening

@@ -42,6 +42,18 @@ def records(pages: DataFrame) -> DataFrame:
                         record_text(F.coalesce(number, F.lit(-1)), text("url"), text("html")).alias("record"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html) of a copy of the pages that is damaged by a fixed rule over the whole table: by a number
+    from the hash of its id, one page of 16 has its letters changed (at the same length), one of 256 is dropped,
+    and one of 256 has a second record. Null ids are left as they are."""
+    n = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int")
+    rule = lambda mod, rest: F.coalesce(n % mod == rest, F.lit(False))
+    html = F.when(rule(16, 0), F.translate("html", "e", "a")).otherwise(F.col("html"))
+    kept = pages.filter(~rule(256, 1)).select("page_id", "url", html.alias("html"))
+    added = pages.filter(rule(256, 2)).select("page_id", F.concat("url", F.lit("#copy")).alias("url"), "html")
+    return kept.union(added)
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """WARC files in Spark's folder layout, a folder for each archive, its records in order of page_id."""
     rows = records(pages)
