@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting that gives the Python stages of a phase smaller batches; see batches_of.
+_PHASE = "ensemble.llm.batchBytes"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes for the Python stages that run inside."""
+    spark.conf.set(_PHASE, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PHASE)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get(_PHASE, str(BATCH_BYTES)))
     except Exception:  # an older Spark without this setting has the row bound alone
         pass
 
