@@ -5,10 +5,10 @@ Vectors are scaled to length one and projected to ``M`` dimensions by a Gaussian
 squared distance times a chi-square variable of M degrees. A coarse kd-tree,
 whose splits come from a bounded sample, deals all projected vectors into
 cells; each cell (cut into blocks of bounded size) has its own kd-tree. A query
-walks a tree's leaves by growing projected distance, verifies the vectors there
-by exact cosine, and stops when the chi-square test says that a vector beyond
-would be nearer than the worst of its best found with a probability below
-1 - CONFIDENCE. It searches its own cell first, then all other cells that the
+walks a tree's leaves by growing projected distance (one, then twice as many at a
+time), verifies the vectors there by exact cosine, and stops when the chi-square
+test says that a vector beyond would be nearer than the worst of its best found
+with a probability below 1 - CONFIDENCE. It searches its own cell first, then all other cells that the
 same test does not rule out.
 
 Equal vectors are folded first; as the nearest few are asked for, the smallest
@@ -93,6 +93,8 @@ class KdTree:
             stack.append((rows[up], lo2, hi, node, 1))
             stack.append((rows[~up], lo, hi2, node, 0))
         self.low, self.high = np.array(self.low), np.array(self.high)
+        self.leaf_nodes = np.flatnonzero(np.array(self.dim) < 0)
+        self.leaf_low, self.leaf_high = self.low[self.leaf_nodes], self.high[self.leaf_nodes]
 
     def leaf_of(self, points: np.ndarray) -> np.ndarray:
         dim, split, left, right = map(np.array, (self.dim, self.split, self.left, self.right))
@@ -107,6 +109,13 @@ class KdTree:
         out = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0)
         return float(out @ out)
 
+    def by_distance(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared projected distances, nodes) of all leaves by growing distance; for trees of few leaves."""
+        out = np.maximum(np.maximum(self.leaf_low - q, q - self.leaf_high), 0)
+        d = np.einsum("ij,ij->i", out, out)
+        order = np.argsort(d, kind="stable")
+        return d[order], self.leaf_nodes[order]
+
     def leaves(self, q: np.ndarray) -> Iterator[tuple[float, int]]:
         """(squared projected distance, leaf) by growing distance."""
         heap = [(self.box(0, q), 0)]
@@ -156,16 +165,18 @@ def _search(dim: int, k: int):
                 size = np.linalg.norm(q)
                 at = (q / size) @ g
                 worst, found, score = float(best[i]), np.zeros(0, np.int64), np.zeros(0)
-                for d, leaf in tree.leaves(at):
-                    if d > limit * worst:
-                        break
-                    rows = tree.rows[leaf]
+                far, leaves = tree.by_distance(at)
+                seen, many = 0, 1
+                while len(step := leaves[seen : min(seen + many, int(np.searchsorted(far, limit * worst, side="right")))]):
+                    seen, many = seen + len(step), 2 * many
+                    rows = np.concatenate([tree.rows[leaf] for leaf in step])
                     gap = low[rows] - at
-                    rows = rows[(gap * gap).sum(axis=1) <= limit * worst]
+                    rows = rows[np.einsum("ij,ij->i", gap, gap) <= limit * worst]
                     if not len(rows):
                         continue
                     found = np.concatenate([found, rows])
-                    score = np.concatenate([score, own[rows] @ q / (norm[rows] * size)])
+                    # row by row, so that a score depends on its two vectors alone
+                    score = np.concatenate([score, np.einsum("ij,j->i", own[rows], q) / (norm[rows] * size)])
                     if len(found) > 8 * k:
                         keep = np.lexsort((smallest[found], -score))[:k]
                         found, score = found[keep], score[keep]
