@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -72,15 +73,23 @@ b AS (SELECT page_id, url,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 c AS (SELECT *, CASE {' '.join(f"WHEN {_fits(r)} THEN '{r}'" for r in _BY_LENGTH)} END AS rule FROM b)
 SELECT page_id, url, host, path, rule,
-       CASE WHEN rule IN ({', '.join(f"'{r}'" for r, v in URL_RULES.items() if v == 'block')}) THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN rule IN ({', '.join(f"'{r}'" for r, v in URL_RULES.items() if v == 'block')}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN CAST('0x' || substr(md5(url), 1, 4) AS BIGINT) % 16 = 3 THEN 'block' ELSE 'allow' END AS verdict
 FROM c"""
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """Block list of whole URLs. The tables have none, so it is derived from ``pages``: the URLs for whose
+    md5's first sixteen bits the remainder by 16 is 3."""
+    return pages.select("url").filter(F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("long") % 16 == 3)
+
+
 @query("op7_url_filter", URL_SQL)
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urls
 
-    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, URL_RULES, url_list(pages))
 
 
 # ---------------------------------------------------------------- 2: quality classifier

@@ -2,19 +2,24 @@
 
 A rule is ``host/path-prefix`` with a verdict; it fits its host and all
 subdomains where the URL's path starts with its path, and the longest fitting
-rule wins. Rules (and listed whole URLs) are kept as one sorted array of 64-bit
-xxhash keys with their strings beside it. A task maps the array into memory and
-probes every key a URL could hit (each host suffix with each path prefix of a
-length that occurs in the list) by vectorised binary search; a hit counts only
-where the stored string equals the probed one, so digest collisions are harmless.
-A list above ``SHARD_BYTES`` is split into shards that are probed one after the
-other in the same pass over the URLs.
+rule wins. Rules, and listed whole URLs, are kept as sorted arrays of 64-bit
+xxhash keys with their strings beside them. A task maps an array into memory and
+probes it by vectorised binary search; a hit counts only where the stored string
+equals the probed one, so digest collisions are harmless.
+
+Rules are an argument of the caller: their array is broadcast (in shards of
+``SHARD_BYTES``, probed one after the other in the same pass over the URLs), and
+every key a URL could hit is probed, each host suffix with each path prefix of a
+length that occurs. Listed URLs are a table of any size: it is dealt into shards
+by digest together with the distinct URLs that no rule fits, a task builds a
+shard's array and probes it, and the URLs found meet the rows again by a join.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 no rule and the default verdict; of equally long fitting rules the one with the
 longer host wins; a rule given twice counts once, and ``block`` wins where its
-verdicts differ; an empty list gives every URL the default verdict; other
-columns are ignored. Rows are judged one by one, so repeated rows stay.
+verdicts differ; without rules and list every URL gets the default verdict; null
+listed URLs fit nothing, and a URL listed twice counts once; other columns are
+ignored. Rows are judged one by one, so repeated rows stay.
 """
 
 from __future__ import annotations
@@ -29,9 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, saved
+from .similar import runs
 
-#: Bytes of list strings that go to the executors as one shard.
+#: Bytes of strings (of rules; of listed and probed URLs) in one shard, and of found URLs that may be broadcast.
 SHARD_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,12 +111,35 @@ def _shards(entries: dict[bytes, int]) -> list[dict[bytes, int]]:
     return out
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], blocked_urls: Iterator[str] = (),
+def _probe_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in runs(batches, ["shard"]):
+        listed = t.column("listed").to_numpy(zero_copy_only=False)
+        urls = t.column("url").combine_chunks()
+        stored, asked = urls.filter(pa.array(listed)), urls.filter(pa.array(~listed))
+        if not len(stored) or not len(asked):
+            continue
+        array = DigestArray(map_into_memory(DigestArray.pack({u.encode(): 1 for u in stored.to_pylist()})))
+        found = array.probe([u.encode() for u in asked.to_pylist()])
+        yield pa.RecordBatch.from_arrays([asked.filter(pa.array(found >= 0))], names=["url"])
+
+
+def listed_urls(urls: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The distinct ``url`` of ``urls`` that are in ``blocked`` (url)."""
+    n = max(1, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked, stored = (d.select(F.col("url").cast("string").alias("url")).filter("url is not null").distinct() for d in (urls, blocked))
+    both = stored.select("url", F.lit(True).alias("listed")).union(asked.select("url", F.lit(False)))
+    size = urls.select("url").union(blocked.select("url")).agg(F.sum(F.octet_length("url") + 17)).first()[0] or 0
+    shards = max(n, -(-size // SHARD_BYTES))
+    dealt = both.withColumn("shard", F.pmod(F.xxhash64("url"), F.lit(shards))).repartition(n, "shard").sortWithinPartitions("shard")
+    return map_arrow(dealt, _probe_shard, "url string")
+
+
+def filter_urls(pages: DataFrame, rules: dict[str, str], blocked_urls: DataFrame | None = None,
                 otherwise: str = "allow") -> DataFrame:
     """page_id, url, host, path, rule, verdict of every row of ``pages`` (page_id, url).
 
     ``rules`` maps ``host/path-prefix`` to ``allow`` or ``block``; a URL without
-    a fitting rule is blocked if ``blocked_urls`` holds exactly it, else gets
+    a fitting rule is blocked if ``blocked_urls`` (url) holds exactly it, else gets
     ``otherwise``.
     """
     lists: dict[bytes, int] = {}
@@ -118,9 +147,8 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], blocked_urls: Iterator[
     for rule, verdict in rules.items():
         host, path = split_rule(rule)
         lengths.add(len(path))
-        key = b"r" + (host + path).encode()
+        key = (host + path).encode()
         lists[key] = max(lists.get(key, 0), int(verdict == "block"))
-    lists |= {b"u" + u.encode(): 1 for u in blocked_urls}
     sizes = sorted(lengths, reverse=True)
     host, path = split_url("url")
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")) \
@@ -130,7 +158,14 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], blocked_urls: Iterator[
     sc = pages.sparkSession.sparkContext
     for shard in _shards(lists):
         df = map_arrow(df, _prober(sc.broadcast(DigestArray.pack(shard)), sizes), schema)
-    return df.withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))
+    default = F.lit(otherwise)
+    if blocked_urls is not None:
+        found = saved(listed_urls(df.filter("rule is null").select("url"), blocked_urls))
+        size = found.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+        found = found.withColumn("listed", F.lit(True))
+        df = df.join(F.broadcast(found) if size <= SHARD_BYTES else found, "url", "left")
+        default = F.when(F.col("listed"), "block").otherwise(default)
+    return df.select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", default).alias("verdict"))
 
 
 def _rank(rule: str) -> tuple[int, int]:
@@ -156,21 +191,16 @@ def _prober(packed, sizes: list[int]):
             rows = b.to_pydict()
             probes: list[bytes] = []
             owner: list[int] = []
-            for i, (h, p, u) in enumerate(zip(rows["host"], rows["path"], rows["url"])):
-                mine = [("r" + s + x).encode() for s, x in _candidates(h, p, sizes)] if h else []
-                if u is not None:
-                    mine.append(b"u" + u.encode())
+            for i, (h, p) in enumerate(zip(rows["host"], rows["path"])):
+                mine = [(s + x).encode() for s, x in _candidates(h, p, sizes)] if h else []
                 probes += mine
                 owner += [i] * len(mine)
             found = array.probe(probes)
             rule, verdict = rows["rule"], rows["verdict"]
             for k in np.flatnonzero(found >= 0):
-                i, kind, key = owner[k], probes[k][:1], probes[k][1:].decode()
-                if kind == b"r" and (rule[i] is None or _rank(key) > _rank(rule[i])):
-                    rule[i] = key
-                elif kind == b"r" or rule[i] is not None:
-                    continue
-                verdict[i] = "block" if found[k] else "allow"
+                i, key = owner[k], probes[k].decode()
+                if rule[i] is None or _rank(key) > _rank(rule[i]):
+                    rule[i], verdict[i] = key, "block" if found[k] else "allow"
             yield pa.RecordBatch.from_pydict(rows, schema=b.schema)
 
     return run

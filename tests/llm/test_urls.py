@@ -38,12 +38,24 @@ def test_rules_equal_brute_force(spark, monkeypatch):
 
 
 def test_listed_urls_default_and_empty(spark):
-    got = {r.page_id: r.verdict for r in urls.filter_urls(frame(spark), {"com/": "allow"}, ["http://b.net", "http://com/"], "allow").collect()}
-    assert got[5] == "block" and got[10] == "allow" and got[6] == "allow"
+    listed = spark.createDataFrame([("http://b.net", 1), ("http://com/", 2), ("http://b.net", 3), (None, 4), ("http://b.net/es/x", 5)], "url string, page_id long")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(frame(spark), {"com/": "allow"}, listed, "allow").collect()}
+    assert got[5] == "block" and got[10] == "allow" and got[6] == "allow" and got[3] == "allow" and got[7] == "allow"
+    assert {r.verdict for r in urls.filter_urls(frame(spark), {}, listed.filter("false")).collect()} == {"allow"}
     assert urls.filter_urls(frame(spark, []), URL_RULES).collect() == []
     assert {r.verdict for r in urls.filter_urls(frame(spark), {}, otherwise="block").collect()} == {"block"}
 
 
+def test_lists_in_shards_equal_sets(spark, monkeypatch):
+    rows = ROWS + [(100 + i, f"http://x.org/{i % 300}") for i in range(900)] + [(i, "http://hot.org/") for i in range(2000, 2600)]
+    listed = [(f"http://x.org/{i}",) for i in range(0, 600, 3)] + [("http://hot.org/",), ("",), (None,)]
+    want = sorted((str(i), str(u), "block" if (u,) in listed and u is not None else "allow") for i, u in rows)
+    for shard in (32 << 20, 500):  # the small bound also joins the found URLs by a shuffle
+        monkeypatch.setattr(urls, "SHARD_BYTES", shard)
+        got = urls.filter_urls(frame(spark, rows), {}, spark.createDataFrame(listed, "url string"))
+        assert sorted((str(r.page_id), str(r.url), r.verdict) for r in got.collect()) == want
+
+
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: len(s))
     a = urls.DigestArray(urls.map_into_memory(urls.DigestArray.pack({b"ab": 1, b"cd": 0, b"ef": 1})))
