@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Vectors compared when none are named.
 DEFAULT_VECTORS = ["WBHP", "WOPR", "WGPR", "WWPR"]
+#: Runs that a comparison may lay side by side, a column each.
+MAX_RUN_COLUMNS = 200
 
 
 def split_key(df: DataFrame) -> DataFrame:
@@ -59,10 +61,18 @@ def well_wide(vectors: DataFrame, keys: Sequence[str] = DEFAULT_VECTORS) -> Data
         *[F.avg(F.when(F.col("vector") == k, F.col("value"))).alias(k) for k in keys])
 
 
-def run_comparison(vectors: DataFrame, runs: Sequence[str], keys: Sequence[str] = DEFAULT_VECTORS) -> DataFrame:
-    """Side by side per (well, vector, days): one column per run label
-    (labels with ``_`` written as ``-``)."""
+def run_labels(vectors: DataFrame, most: int = MAX_RUN_COLUMNS) -> list[str]:
+    """The names of all runs in order. More than ``most`` cannot lie side by side: an error, not a cut."""
+    names = [r.run for r in vectors.select("run").where(F.col("run").isNotNull()).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} runs: name those to compare")
+    return sorted(names)
+
+
+def run_comparison(vectors: DataFrame, runs: Sequence[str] | None = None, keys: Sequence[str] = DEFAULT_VECTORS) -> DataFrame:
+    """Side by side per (well, vector, days): one column per run label (labels
+    with ``_`` written as ``-``); without named ``runs``, all that occur."""
     v = filter_selection(vectors, keys=keys).withColumn("label", F.translate(F.col("run"), "_", "-"))
-    labels = [r.replace("_", "-") for r in runs]
+    labels = [r.replace("_", "-") for r in (run_labels(vectors) if runs is None else runs)]
     return v.groupBy("well", "vector", "days").agg(
         *[F.avg(F.when(F.col("label") == lb, F.col("value"))).alias(lb) for lb in labels])

@@ -101,9 +101,7 @@ sql("union_runs",
     "SELECT reservoir_id, sim_id, step, tiempo_dias, Presion_Reservorio_psi FROM traj",
     "tiempo_dias Presion_Reservorio_psi")
 
-sql("union_reservoirs",
-    "SELECT reservoir_id, count(*) AS n_rows, count(DISTINCT sim_id) AS n_sims, max(sim_id) AS max_sim_id"
-    " FROM traj GROUP BY reservoir_id")
+sql("union_reservoirs", f"SELECT {', '.join(TRAJECTORY_COLUMNS)}, step FROM traj", TRAJ_DOUBLES)
 
 
 # --- PVT and lookups -------------------------------------------------------------
@@ -286,6 +284,13 @@ sql("tail_lines",
     " CASE WHEN text = '' THEN '' ELSE array_to_string(list_slice(parts, greatest(len(parts) - 299, 1), len(parts)), chr(10)) END AS tail"
     " FROM dl", "", TAIL)
 
+_tail = ("CASE WHEN coalesce(text, '') = '' THEN '' ELSE array_to_string(list_slice(parts, greatest(len(parts) - 299, 1), len(parts)), chr(10)) END")
+sql("failure_logs",
+    f"SELECT c.reservoir_id, c.sim_id, '=== STDOUT (tail) ===' || chr(10) || {_tail} || chr(10) || chr(10)"
+    " || '=== STDERR (tail) ===' || chr(10) || 'last event ' || last.event_id || ': ' || last.event_type || chr(10) || c.error || chr(10) AS log"
+    " FROM runs_c c JOIN (SELECT user_id, max(struct_pack(ts := ts, event_id := event_id, event_type := event_type)) AS last"
+    " FROM events GROUP BY user_id) e ON e.user_id = c.sim_id LEFT JOIN dl ON dl.doc_id = c.sim_id WHERE NOT c.ok", "", TAIL)
+
 # --- quality -------------------------------------------------------------------------
 _cum_w = ", ".join(f"{c} - lag({c}) OVER (PARTITION BY reservoir_id, sim_id ORDER BY step) AS d_{c}"
                    for c in CUMULATIVE_COLUMNS)

@@ -19,7 +19,7 @@ from ..functions import pvt as pvt_fn
 from ..functions.interp import interp, segment_index
 from ..operators import explore, features, interval, metrics, quality, records, runlog, sampling, splits, summaries, text, wells
 from ..operators import scenarios as rules
-from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, TARGET,
+from ..schemas import (ALL_LEVERS, CORRELATION_COLUMNS, FEATURES, PVDG, PVTO_SATURATED, RESERVOIRS, TARGET,
                        TRAJECTORY_COLUMNS)
 from ..sources import files, stores, testdata
 from ..sources.dimensions import pvt_tables
@@ -183,14 +183,16 @@ def union_runs(spark, sf):
 
 @query
 def union_reservoirs(spark, sf):
-    """Per-reservoir datasets combined by name; the key becomes (reservoir, sim)."""
+    """The datasets of all reservoirs of the registry, each read as its own folder, combined by name: all
+    rows, keyed by (reservoir, sim)."""
     tr = D.trajectory(spark, sf)
-    parts = [tr.where(F.col("reservoir_id") == r) for r in ("spe9", "norne", "volve")]
-    combined = files.union_datasets(parts)
-    return combined.groupBy("reservoir_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("sim_id").alias("n_sims"),
-        F.max("sim_id").alias("max_sim_id"))
+    return files.union_datasets([tr.where(F.col("reservoir_id") == r) for r in RESERVOIRS])
+
+
+@query
+def failure_logs(spark, sf):
+    """The log kept of each failed run: the last lines of what it printed and of its error stream."""
+    return text.failure_logs(testdata.run_streams(spark, sf, D.classified_runs(spark, sf)))
 
 
 # --- PVT and lookups ----------------------------------------------------------
@@ -594,4 +596,5 @@ def well_wide(spark, sf):
 
 @query
 def run_comparison(spark, sf):
-    return wells.run_comparison(testdata.well_vectors(spark, sf), ["run_O", "run_F"])
+    """All runs of the table side by side, their labels taken from the data."""
+    return wells.run_comparison(testdata.well_vectors(spark, sf))

@@ -101,6 +101,18 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_streams(spark: SparkSession, sf_dir: str, classified: DataFrame) -> DataFrame:
+    """(reservoir_id, sim_id, ok, stdout, stderr) of each run: it printed the text of the document
+    with its number (NULL, if there is none), and its error stream names its last event, by
+    (ts, event_id), and its error."""
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sim_id")) \
+        .agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
+    printed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sim_id"), F.col("text").alias("stdout"))
+    return classified.join(last, "sim_id").join(printed, "sim_id", "left").select(
+        "reservoir_id", "sim_id", "ok", "stdout",
+        F.format_string("last event %d: %s\n%s\n", "last.event_id", "last.event_type", "error").alias("stderr"))
+
+
 def summary_vectors(spark: SparkSession, sf_dir: str, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Long summary vectors (reservoir_id, sim_id, step, key, value) in deck units."""
     ev = event_rows(spark, sf_dir)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ensemble.operators import text, wells
@@ -48,6 +49,9 @@ def test_well_key_filter_and_catalogue_union(spark):
     assert wide.WBHP == 1.0 and wide.WOPR == 3.0
     cmp = wells.run_comparison(v, ["r1", "r2"]).where("well = 'A' AND vector = 'WBHP'").first()
     assert cmp["r1"] == 1.0 and cmp["r2"] == 4.0
+    assert wells.run_comparison(v).columns == ["well", "vector", "days", "r1", "r2"]
+    with pytest.raises(ValueError, match="more than 1 runs"):
+        wells.run_labels(v, most=1)
 
 
 def test_failure_log_and_keyword_files(spark, tmp_path):
