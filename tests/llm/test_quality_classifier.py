@@ -17,6 +17,39 @@ def test_held_out_accuracy(spark):
     assert (held.predicted == held.quality).mean() > 0.95
 
 
+def plain_isotonic(y, w):
+    """Largest of the smallest means: the fit's textbook formula, without pooling."""
+    mean = lambda a, z: float(np.average(y[a:z], weights=w[a:z]))
+    return np.array([max(min(mean(a, z) for z in range(i + 1, len(y) + 1)) for a in range(i + 1)) for i in range(len(y))])
+
+
+def test_scores_equal_plain_regression(spark):
+    """Features by their formula, ridge as least squares with rows added, calibration by the textbook formula."""
+    docs, labels = (table(spark, SF_SMALL, t) for t in ("documents", "labels"))
+    got = Q.score_documents(docs, labels).toPandas().sort_values("doc_id").score.to_numpy()
+    rows = docs.select("doc_id", "text").toPandas().sort_values("doc_id")
+    stats = Q.statistics(pa.array(rows.text.tolist(), pa.string()))
+    mark = {r.doc_id: float(r.quality) for r in labels.collect() if crc(r.doc_id, 3) != 1}
+    train = np.array([i for i, d in enumerate(rows.doc_id) if d in mark])
+    y = np.array([mark[d] for d in rows.doc_id.iloc[train]])
+    assert len(train) > 50 and 0 < y.mean() < 1
+
+    centre, scale = stats[train].mean(axis=0), stats[train].std(axis=0)
+    x = np.clip((stats - centre) / np.where(scale > 1e-9, scale, 1.0), -6, 6)
+    rng = np.random.default_rng(7)
+    direction, phase = rng.standard_normal((x.shape[1], Q.N_RANDOM)) / Q.WIDTH, rng.uniform(0, 2 * np.pi, Q.N_RANDOM)
+    z = np.column_stack([np.cos(x @ direction + phase) * (2 / Q.N_RANDOM) ** 0.5, np.ones(len(x))])
+    more = np.sqrt(Q.RIDGE * len(train)) * np.eye(z.shape[1])
+    weights = np.linalg.lstsq(np.vstack([z[train], more]), np.concatenate([y, np.zeros(len(more))]), rcond=None)[0]
+
+    raw = z @ weights
+    inside = np.clip(raw[train], Q.LOW, Q.HIGH)
+    bins = np.minimum((inside - Q.LOW) / (Q.HIGH - Q.LOW) * Q.BINS, Q.BINS - 1).astype(int)
+    knots, mean, n = (np.array(v) for v in zip(*[(inside[bins == b].mean(), y[bins == b].mean(), (bins == b).sum()) for b in np.unique(bins)]))
+    want = np.clip(np.interp(raw, knots, plain_isotonic(mean, n)), 0, 1)
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_awkward_rows(spark):
     rows = documents()
     docs = frame(spark, rows)
