@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bit_table, discard, map_arrow, may_hold, release, saved, small, written, written_at
+from .common import bit_table, blocks, discard, map_arrow, may_hold, release, saved, small, written, written_at
 from .similar import CHUNK_BYTES, aligned, check_pairs, parity, runs, sketch_bits
 
 SHINGLE = 5
@@ -43,6 +43,8 @@ _U = np.uint64
 _WEIGHT = np.cumprod(np.full(SHINGLE, 0xD6E8FEB86659FD93, _U), dtype=_U)
 #: Lines that share a token are paired directly up to this number, beyond it by sketches.
 SMALL_GROUP = 16
+#: Bytes of prefixes whose tokens are dealt together, and of dealt tokens that are compared together (about).
+DEAL_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 
 
 def line_tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,6 +168,52 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "place": b.column("size").to_numpy().astype(np.int64)[rows] << 32 | pos})
 
 
+def _dealt(buckets: int):
+    """Prefix tokens, each with the smallest and the largest id of the sets that have it, packed by bucket.
+
+    However many lines hold a token, a run of prefixes gives out two entries of it at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in blocks(batches, DEAL_BYTES, lambda b: b.nbytes):
+            data = t.column("prefix").combine_chunks()
+            tok = np.frombuffer(W.byte_view(data)[0].tobytes(), _U)
+            ids = np.repeat(t.column("id").to_numpy(), pc.binary_length(data).to_numpy() // 8)
+            tok, least, most = _ends(tok, ids)
+            several = least != most
+            tok, ids = np.concatenate([tok, tok[several]]), np.concatenate([least, most[several]])
+            bucket = (tok % _U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, entries = bucket[order], np.column_stack([tok.view(np.int64), ids])[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            yield pa.RecordBatch.from_pydict({"bucket": bucket[cuts[:-1]], "data": [entries[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]})
+    return run
+
+
+def _ends(tok: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, smallest and largest id of each)."""
+    order = np.argsort(tok)
+    tok, ids = tok[order], ids[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(tok)), dtype=bool), tok[1:] != tok[:-1]]))
+    if not len(start):
+        return tok, ids, ids
+    return tok[start], np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a bucket that different sets have."""
+    for t in runs(batches, ["bucket"]):
+        entries = np.frombuffer(b"".join(t.column("data").to_pylist()), np.int64).reshape(-1, 2)
+        tok, least, most = _ends(entries[:, 0], entries[:, 1])
+        yield pa.RecordBatch.from_pydict({"tok": tok[least != most]})
+
+
+def _shared_prefixes(shared):
+    """Prefix tokens that the bit table of shared tokens may hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _prefixes(batches):
+            yield b.filter(pa.array(may_hold(shared.value, b.column("tok").to_numpy().view(_U))))
+    return run
+
+
 def _wanted_sets(shared):
     """Token sets (id, doc_id, key, line, toks) of the lines whose id may be asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +310,16 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     path = written_at(spark, "lines")  # an intermediate table, removed at the end
     lines = written(map_arrow(texts, _lines(rank, num, den), "doc_id long, key long, line int, id long, size int, prefix binary"), "lines", path)
     firsts = saved(lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "line")).alias("first")))
-    rows = map_arrow(lines.filter("octet_length(prefix) > 0").select("id", "size", "prefix"), _prefixes, "tok long, id long, place long")
-    w = Window.partitionBy("tok")
-    shared = saved(rows.withColumn("a", F.min("id").over(w)).withColumn("b", F.max("id").over(w)).filter("a <> b")
-                   .select("tok", "id", "place").distinct())
+
+    # tokens that different sets have: found from two ids of each token a run, so that no token's lines meet in one task
+    prefixes = lines.filter("octet_length(prefix) > 0")
+    size = prefixes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0]
+    buckets = max(4 * n, -(-2 * size // BUCKET_BYTES))
+    dealt = map_arrow(prefixes.select("id", "prefix"), _dealt(buckets), "bucket int, data binary")
+    toks = saved(map_arrow(dealt.repartition(n, "bucket").sortWithinPartitions("bucket"), _shared, "tok long"))
+    rows = map_arrow(prefixes.select("id", "size", "prefix"), _shared_prefixes(spark.sparkContext.broadcast(bit_table(toks, "tok"))),
+                     "tok long, id long, place long")
+    shared = saved(rows.distinct().join(small(toks), "tok", "left_semi"))
     release(spark)
 
     # the candidate lines' places, and their sets (each read once, from its first occurrence)

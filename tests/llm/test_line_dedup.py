@@ -2,6 +2,8 @@ import os
 import subprocess
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import documents, frame, removed_lines, words
@@ -64,3 +66,21 @@ def test_prefixes_need_no_import_of_another_module():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == "[5, 6]", out.stderr
+
+
+def test_dealt_tokens_give_those_of_several_sets(monkeypatch):
+    monkeypatch.setattr(L, "DEAL_BYTES", 64)
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 60, rng.integers(0, 6)) for _ in range(80)] + [np.array([7])] * 200  # token 7 is in most of them
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(len(sets)) - 40, pa.int64()),
+                                        "prefix": pa.array([x.astype(np.int64).tobytes() for x in sets], pa.binary())})
+    runs_ = [b for i in range(0, len(sets), 9) for b in L._dealt(5)(iter([batch.slice(i, 9)]))]
+    assert max(sum(e == 7 for e, _ in np.frombuffer(d, np.int64).reshape(-1, 2)) for b in runs_ for d in b.column("data").to_pylist()) <= 2
+    dealt = pa.Table.from_batches(runs_).sort_by("bucket").to_batches()
+    got = [x for b in L._shared(iter(dealt)) for x in b.column("tok").to_pylist()]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            holders.setdefault(x, set()).add(i)
+    assert sorted(got) == sorted(x for x, who in holders.items() if len(who) > 1)
+    assert not list(L._shared(iter([])))
