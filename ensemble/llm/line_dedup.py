@@ -39,12 +39,14 @@ from .similar import CHUNK_BYTES, aligned, check_pairs, parity, runs, sketch_bit
 
 SHINGLE = 5
 BUCKET_BITS = 18
+#: Token counters that are added up in one row.
+COUNTER_SLICE = 1 << 15
 _U = np.uint64
 _WEIGHT = np.cumprod(np.full(SHINGLE, 0xD6E8FEB86659FD93, _U), dtype=_U)
 #: Lines that share a token are paired directly up to this number, beyond it by sketches.
 SMALL_GROUP = 16
 #: Bytes of prefixes whose tokens are dealt together, and of dealt tokens that are compared together (about).
-DEAL_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+DEAL_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
 def line_tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,15 +93,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for *_, tokens in line_tokens(b.column("text")):
             total += np.bincount((tokens & _U((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=1 << BUCKET_BITS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "n": total[some]})
+    yield pa.RecordBatch.from_pydict({"slice": np.arange(len(total) // COUNTER_SLICE, dtype=np.int32),
+                                      "n": [x.tobytes() for x in total.reshape(-1, COUNTER_SLICE)]})
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice of the counters that a task meets."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, n in zip(b.column("slice").to_pylist(), b.column("n").to_pylist()):
+            sums[i] = sums.get(i, 0) + np.frombuffer(n, np.int64)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "n": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
     """Rank of each bucket of hashed tokens, the rarest first."""
-    rows = map_arrow(texts.select("text"), _count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(1 << BUCKET_BITS, np.int64)
-    n[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    slices = map_arrow(texts.select("text"), _count, "slice int, n binary")
+    rows = map_arrow(slices.repartition((1 << BUCKET_BITS) // COUNTER_SLICE, "slice"), _add, "slice int, n binary").toArrow()
+    n = np.zeros((1 << BUCKET_BITS) // COUNTER_SLICE * COUNTER_SLICE, np.int64)
+    for i, x in zip(rows.column("slice").to_pylist(), rows.column("n").to_pylist()):
+        n[i * COUNTER_SLICE : (i + 1) * COUNTER_SLICE] = np.frombuffer(x, np.int64)
     rank = np.empty(1 << BUCKET_BITS, _U)
     rank[np.argsort(n, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=_U)
     return rank
