@@ -72,10 +72,10 @@ def line_tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         tokens, owner = [], []
         if len(h) >= SHINGLE:
             inner = np.flatnonzero(line[: len(h) - SHINGLE + 1] == line[SHINGLE - 1 :])
-            acc = np.full(len(inner), SHINGLE, _U)
+            acc = np.full(len(h) - SHINGLE + 1, SHINGLE, _U)
             for i in range(SHINGLE):
-                acc += h[inner + i] * _WEIGHT[i]
-            tokens.append(W.mix(acc))
+                acc += h[i : len(acc) + i] * _WEIGHT[i]
+            tokens.append(W.mix(acc[inner]))
             owner.append(line[inner])
         for k in range(1, SHINGLE):
             short = np.flatnonzero(count == k)
@@ -322,7 +322,7 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     rank = spark.sparkContext.broadcast(rarity(texts))
     path = written_at(spark, "lines")  # an intermediate table, removed at the end
     lines = written(map_arrow(texts, _lines(rank, num, den), "doc_id long, key long, line int, id long, size int, prefix binary"), "lines", path)
-    firsts = saved(lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "line")).alias("first")))
+    firsts = saved(lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count("*").alias("n")))
 
     # tokens that different sets have: found from two ids of each token a run, so that no token's lines meet in one task
     prefixes = lines.filter("octet_length(prefix) > 0")
@@ -336,7 +336,7 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     release(spark)
 
     # the candidate lines' places, and their sets (each read once, from its first occurrence)
-    involved = saved(shared.select("id").distinct().join(firsts, "id"))
+    involved = saved(shared.select("id").distinct().join(firsts.select("id", "first"), "id"))
     asked = involved.select("first.doc_id", "first.key").distinct()
     where = texts.alias("t").join(small(asked).alias("r"), F.expr("t.doc_id <=> r.doc_id and t.key = r.key"), "left_semi")
     read = map_arrow(where, _wanted_sets(spark.sparkContext.broadcast((rank.value, bit_table(involved, "id")))),
@@ -368,15 +368,20 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         sketches = saved(map_arrow(sets.join(groups.select("id").distinct(), "id", "left_semi"), _sketch(num, den), "id long, sketch binary")
                          .join(involved, "id").withColumn("first", place).select("id", "sketch", "first.doc", "first.key", "first.line"))
     most = 1  # proposals for each line: the nearest one, then more of what is left
+    still = None  # lines whose proposals all failed so far; one without a proposal has no candidate left
     while not groups.isEmpty():
         refused = failed.groupBy(F.col("later").alias("id")).agg(F.collect_set("earlier").alias("refused"))
-        done = matched.select(F.col("later").alias("id"), F.lit(True).alias("done")).distinct()
+        if still is None:
+            done = matched.select(F.col("later").alias("id")).distinct().withColumn("open", F.lit(False))
+        else:
+            done = small(still).withColumn("open", F.lit(True))
+            groups = saved(groups.join(small(groups.join(small(still), "id", "left_semi").select("tok").distinct()), "tok", "left_semi"))
         roles = F.when(F.col("own") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
         members = groups.join(refused, "id", "left").join(done, "id", "left").select("*", F.explode(roles).alias("role")) \
             .select("tok", "id", "size", "refused",
                     F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")).alias("lo"),
                     F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own")).alias("hi"),
-                    ((F.col("role") == 0) & F.col("done").isNull()).alias("probe"),
+                    ((F.col("role") == 0) & F.coalesce("open", F.lit(still is None))).alias("probe"),
                     ((F.col("role") == 1) | (F.col("own") == F.col("other"))).alias("base"))
         part = members.join(sketches, "id").repartition(n, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
         proposed = map_arrow(part, _candidates(most, num, den), "later long, earlier long, room long")
@@ -388,11 +393,15 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         checked = verified(proposed)
         matched = saved(matched.union(checked.filter("ok").select("later", "earlier")))
         failed = saved(failed.union(checked.filter("not ok").select("later", "earlier")))
+        still = saved(checked.select(F.col("later").alias("id")).distinct().join(matched.select(F.col("later").alias("id")), "id", "left_anti"))
         release(spark)
-    later = matched.select(F.col("later").alias("id"), F.lit(True).alias("near")).distinct()
-    out = saved(lines.select("doc_id", "key", "line", "id").join(firsts, "id").join(later, "id", "left")
-                .select("doc_id", "key", "line", (F.col("near").isNotNull()
-                        | ~F.col("first").eqNullSafe(F.struct("doc_id", "key", "line"))).alias("removed")).distinct())
+    # only a set that several lines have, or with an earlier similar one, can have lines to remove
+    near = matched.select(F.col("later").alias("id"), F.lit(True).alias("near")).distinct()
+    again = firsts.filter("n > 1").select("id", "first")
+    out = saved(lines.select("doc_id", "key", "line", "id").join(small(again, 500_000), "id", "left").join(small(near), "id", "left")
+                .select("doc_id", "key", "line", (F.col("near").isNotNull() | F.coalesce(
+                    ~F.col("first").eqNullSafe(F.struct("doc_id", "key", "line")), F.lit(False))).alias("removed"))
+                .repartition("doc_id", "key").distinct())
     discard(spark, path)
     return out
 
