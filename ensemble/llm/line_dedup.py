@@ -399,8 +399,8 @@ def line_table(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     near = matched.select(F.col("later").alias("id"), F.lit(True).alias("near")).distinct()
     again = firsts.filter("n > 1").select("id", "first")
     out = saved(lines.select("doc_id", "key", "line", "id").join(small(again, 500_000), "id", "left").join(small(near), "id", "left")
-                .select("doc_id", "key", "line", (F.col("near").isNotNull() | F.coalesce(
-                    ~F.col("first").eqNullSafe(F.struct("doc_id", "key", "line")), F.lit(False))).alias("removed"))
+                .select("doc_id", "key", "line", (F.col("near").isNotNull() | (F.col("first").isNotNull()
+                        & ~F.col("first").eqNullSafe(F.struct("doc_id", "key", "line")))).alias("removed"))
                 .repartition("doc_id", "key").distinct())
     discard(spark, path)
     return out
