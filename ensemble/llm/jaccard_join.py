@@ -208,7 +208,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """One row of each group of linked documents, all columns as they are: that of the smallest
     doc_id (null ids last; of rows with that id, the one with the smaller hash of its text; of equal
     rows, one). Groups are told apart by their links alone: a doc_id may occur with unrelated texts."""
-    with batches_of(docs.sparkSession, 2 << 20):
+    with batches_of(docs.sparkSession, 512 << 10):
         found = saved(labelled_rows(docs, k, num, den, parts=3).filter("n_shingles > 0").select("doc_id", "text_key", "label"))
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
     chosen = found.join(first, "label").select("doc_id", "text_key", F.expr("doc_id <=> first.doc_id and text_key = first.text_key").alias("stays"))

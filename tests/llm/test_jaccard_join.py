@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from brute import components, documents, frame
-from ensemble.llm import jaccard_join as J, similar as S, words as W
+from ensemble.llm import common, jaccard_join as J, similar as S, words as W
 
 
 def key(x):
@@ -102,3 +102,38 @@ def test_rows_given_twice_keep_their_links(spark, monkeypatch):
     monkeypatch.setattr(J, "_signed", signed)
     got = J.jaccard_components(frame(spark, list(enumerate(texts)) * 2)).collect()
     assert len(got) == 8 and {r.component_id for r in got} == {0}
+
+
+def test_workers_give_their_memory_back(spark, monkeypatch):
+    """At the end of a task, whether it ends well or not; near copies are found in small batches."""
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    b = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(common.lean(lambda batches: (x for x in batches))(iter([b]))) == [b] and done == [1]
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(lambda batches: (1 // 0 for _ in batches))(iter([b])))
+    assert done == [1, 1]
+    sizes = []
+    label = J.labelled_rows
+    monkeypatch.setattr(J, "labelled_rows", lambda *a, **k: (sizes.append(int(spark.conf.get(common._PHASE))), label(*a, **k))[1])
+    assert J.keep_one(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")])).count() == 1
+    assert sizes[0] <= 512 << 10
+
+
+def test_give_back_lowers_a_worker(spark):
+    """What one task held is not kept by the worker that waits for the next."""
+    def held(batches):
+        for b in batches:
+            kept = [np.ones(1000) for _ in range(40_000)]
+            hole = np.ones(1000)  # above them, so that the heap's end does not fall
+            del kept
+            yield pa.RecordBatch.from_pydict({"x": [int(hole[0])] * b.num_rows})
+
+    def resident(batches):
+        for b in batches:
+            pages = int(open("/proc/self/statm").read().split()[1])
+            yield pa.RecordBatch.from_pydict({"x": [pages * 4096 >> 20] * b.num_rows})
+
+    one = spark.range(1).coalesce(1)
+    common.map_arrow(one, held, "x long").collect()
+    assert common.map_arrow(one, resident, "x long").first().x < 300
