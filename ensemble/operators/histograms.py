@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,56 @@ class Block:
 
 @dataclass(frozen=True)
 class Walk:
-    """A tree over bins as arrays; a leaf leads to itself."""
+    """A tree over bins or values as arrays; a leaf leads to itself."""
 
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     right: np.ndarray
-    depth: int
 
-    def nodes(self, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(rows), dtype=np.int64)
-        for _ in range(self.depth):
-            at = np.where(bins[self.feature[at], rows] <= self.cut[at], self.left[at], self.right[at])
-        return at
+    def parts(self, values: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The leaves that hold some of the rows, each with its rows in their order. A node reads one feature of its rows."""
+        todo = [(0, rows)]
+        while todo:
+            node, rows = todo.pop()
+            if not len(rows):
+                continue
+            if self.left[node] == node:
+                yield node, rows
+                continue
+            left = values[self.feature[node]].take(rows) <= self.cut[node].item()
+            todo += [(int(self.right[node]), rows[~left]), (int(self.left[node]), rows[left])]
+
+    def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of every row of a block. A tree of few nodes moves all rows node by node, a byte a row and without
+        an index, which is faster than to follow the rows of each node."""
+        if len(self.feature) > 256:
+            out = np.zeros(bins.shape[1], dtype=np.int32)
+            for leaf, rows in self.parts(bins, np.arange(len(out))):
+                out[rows] = leaf
+            return out
+        out = np.zeros(bins.shape[1], dtype=np.uint8)
+        for node in range(len(self.feature)):  # a node comes before its children
+            left, right = int(self.left[node]), int(self.right[node])
+            if left != node:
+                here = out == node
+                to_right = here & (bins[self.feature[node]] > self.cut[node].item())
+                # differences modulo 256: a row that is not here moves by nothing
+                out += here.view(np.uint8) * np.uint8((left - node) % 256)
+                out += to_right.view(np.uint8) * np.uint8((right - left) % 256)
+        return out
+
+    def groups(self, bins: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """What ``parts`` gives for the rows of a block, in the order of the leaves."""
+        if len(self.feature) == 1:
+            yield 0, rows
+            return
+        leaf = self.leaves(bins).take(rows)
+        ends = np.bincount(leaf, minlength=len(self.feature)).cumsum().tolist()
+        rows = rows.take(leaf.argsort(kind="stable"))
+        for node, (start, end) in enumerate(zip([0, *ends], ends)):
+            if end > start:
+                yield node, rows[start:end]
 
 
 @dataclass(frozen=True)
@@ -63,9 +102,17 @@ def seed_of(*parts: object) -> int:
 def uniform(key: np.ndarray, seed: int) -> np.ndarray:
     """Uniform draws in [0, 1) from 64-bit keys and a seed (the finisher of splitmix64)."""
     z = key ^ np.uint64(seed)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(by)
+    z ^= z >> np.uint64(31)
+    z >>= np.uint64(11)
+    return z / float(1 << 53)
+
+
+def among(role: np.ndarray, roles: Sequence[int]) -> np.ndarray:
+    """Which rows have one of the roles."""
+    return reduce(or_, [role == r for r in roles], np.zeros(len(role), dtype=bool))
 
 
 def few_values(features: Sequence[str], most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -109,47 +156,50 @@ def moved(steps: Sequence[tuple[int, Walk, np.ndarray]]) -> Callable[[Iterable[B
     """Blocks whose predictions have moved by the values of the models' new trees, given by node."""
     def run(parts: Iterable[Block]) -> Iterator[Block]:
         for b in parts:
-            pred, rows = b.pred.copy(), np.arange(len(b.y))
+            pred = b.pred.copy()
             for model, walk, by_node in steps:
-                pred[model] += by_node[walk.nodes(b.bins, rows)]
+                pred[model] += by_node.take(walk.leaves(b.bins))
             yield replace(b, pred=pred)
     return run
 
 
 def sums(works: Sequence[Work], losses: Sequence[tuple[int, tuple[int, ...], tuple[int, ...]]], bins: int) \
         -> Callable[[Iterable[Block]], Iterator[tuple[tuple[int, int], np.ndarray]]]:
-    """For each (model, node) the number and the sum of residuals of its sampled training rows by feature and bin,
-    and for each (model, -1) of ``losses`` the number and the sum of squares of training and of validation rows."""
+    """For each (model, node) the number and the sum of residuals of its sampled training rows by column of the node and bin,
+    and for each (model, -1) of ``losses`` the number and the sum of squares of training and of validation rows.
+
+    Models that draw the same rows share the draw. The rows of a node are taken together, in their order, so that
+    sums run over its own columns only and stay in the fastest memory."""
     def run(parts: Iterable[Block]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         total: dict[tuple[int, int], np.ndarray] = {}
 
         def add(key: tuple[int, int], x: np.ndarray) -> None:
             total[key] = total[key] + x if key in total else x
         for b in parts:
+            of_roles = lru_cache(None)(lambda roles, b=b: among(b.role, roles))
+            sampled = lru_cache(None)(lambda draw, share, b=b: uniform(b.key, draw) < share)
             for model, trains, checks in losses:
                 square = (b.y - b.pred[model]) ** 2
-                roles = [np.isin(b.role, x) for x in (trains, checks)]
-                add((model, -1), np.array([v for x in roles for v in (float(x.sum()), float(square[x].sum()))]))
+                add((model, -1), np.array([v for x in map(of_roles, (trains, checks)) for v in (float(x.sum()), float(square[x].sum()))]))
             for w in works:
-                rows = np.flatnonzero(np.isin(b.role, w.trains) & (uniform(b.key, w.draw) < w.subsample))
-                place = np.full(len(w.walk.feature), -1)
-                nodes = sorted(w.columns)
-                place[nodes] = np.arange(len(nodes))
-                at = place[w.walk.nodes(b.bins, rows)]
-                rows, at = rows[at >= 0], at[at >= 0]
-                r, at = b.y[rows] - b.pred[w.model][rows], at * bins
-                size = len(nodes) * bins
-                out = np.zeros((len(nodes), len(b.bins), 2, bins))
-                for f in sorted(set().union(*w.columns.values())):
-                    slot = at + b.bins[f][rows]
-                    out[:, f, 0] = np.bincount(slot, minlength=size).reshape(-1, bins)
-                    out[:, f, 1] = np.bincount(slot, weights=r, minlength=size).reshape(-1, bins)
-                for k, node in enumerate(nodes):
-                    add((w.model, node), out[k])
+                rest = b.y - b.pred[w.model]
+                for node, rows in w.walk.groups(b.bins, np.flatnonzero(of_roles(w.trains) & sampled(w.draw, w.subsample))):
+                    if node in w.columns:
+                        add((w.model, node), by_bin(b.bins, rows, rest.take(rows), w.columns[node], bins))
         yield from total.items()
     return run
 
 
+def by_bin(binned: np.ndarray, rows: np.ndarray, rest: np.ndarray, columns: Sequence[int], bins: int) -> np.ndarray:
+    """The number of the rows and the sum of their residuals by column and bin."""
+    out = np.empty((len(columns), 2, bins))
+    for j, f in enumerate(columns):
+        slot = binned[f].take(rows).astype(np.intp)
+        out[j, 0] = np.bincount(slot, minlength=bins)
+        out[j, 1] = np.bincount(slot, weights=rest, minlength=bins)
+    return out
+
+
 @dataclass(frozen=True)
 class Split:
     """The best split of a node (feature -1: none), with rows and sums of residuals on both sides (or of the node)."""
@@ -161,9 +211,8 @@ class Split:
 
 
 def best_split(hist: np.ndarray, columns: Sequence[int]) -> Split:
-    """The split of the largest fall of the residuals' variance; the first of equal ones."""
-    columns = list(columns)
-    n, s = hist[columns, 0].cumsum(axis=1), hist[columns, 1].cumsum(axis=1)
+    """The split of the largest fall of the residuals' variance, from the sums by column; the first of equal ones."""
+    n, s = hist[:, 0].cumsum(axis=1), hist[:, 1].cumsum(axis=1)
     rows, total = n[0, -1], s[0, -1]
     left, right = n[:, :-1], rows - n[:, :-1]
     with np.errstate(divide="ignore", invalid="ignore"):
