@@ -15,6 +15,8 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 
+#: Up to so many rows of a node are summed over all columns at once: the calls would cost more than the sums.
+FEW = 4096
 PACKED = "bins binary, y binary, key binary, role binary"
 
 
@@ -51,20 +53,20 @@ class Walk:
             left = values[self.feature[node]].take(rows) <= self.cut[node].item()
             todo += [(int(self.right[node]), rows[~left]), (int(self.left[node]), rows[left])]
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of every row of a block. A tree of few nodes moves all rows node by node, a byte a row and without
+    def leaves(self, values: np.ndarray) -> np.ndarray:
+        """The leaf of every row of a block or batch. A tree of few nodes moves all rows node by node, a byte a row and without
         an index, which is faster than to follow the rows of each node."""
         if len(self.feature) > 256:
-            out = np.zeros(bins.shape[1], dtype=np.int32)
-            for leaf, rows in self.parts(bins, np.arange(len(out))):
+            out = np.zeros(values.shape[1], dtype=np.int32)
+            for leaf, rows in self.parts(values, np.arange(len(out))):
                 out[rows] = leaf
             return out
-        out = np.zeros(bins.shape[1], dtype=np.uint8)
+        out = np.zeros(values.shape[1], dtype=np.uint8)
         for node in range(len(self.feature)):  # a node comes before its children
             left, right = int(self.left[node]), int(self.right[node])
             if left != node:
                 here = out == node
-                to_right = here & (bins[self.feature[node]] > self.cut[node].item())
+                to_right = here > (values[self.feature[node]] <= self.cut[node].item())
                 # differences modulo 256: a row that is not here moves by nothing
                 out += here.view(np.uint8) * np.uint8((left - node) % 256)
                 out += to_right.view(np.uint8) * np.uint8((right - left) % 256)
@@ -193,6 +195,11 @@ def sums(works: Sequence[Work], losses: Sequence[tuple[int, tuple[int, ...], tup
 def by_bin(binned: np.ndarray, rows: np.ndarray, rest: np.ndarray, columns: Sequence[int], bins: int) -> np.ndarray:
     """The number of the rows and the sum of their residuals by column and bin."""
     out = np.empty((len(columns), 2, bins))
+    if len(rows) <= FEW:
+        slot = (binned[np.ix_(columns, rows)] + bins * np.arange(len(columns))[:, None]).ravel()
+        out[:, 0] = np.bincount(slot, minlength=len(columns) * bins).reshape(-1, bins)
+        out[:, 1] = np.bincount(slot, weights=np.tile(rest, len(columns)), minlength=len(columns) * bins).reshape(-1, bins)
+        return out
     for j, f in enumerate(columns):
         slot = binned[f].take(rows).astype(np.intp)
         out[j, 0] = np.bincount(slot, minlength=bins)
